@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, html_main, quality_gbdt
+from . import chat_windows, html_main, lm_bloom, quality_gbdt
 from . import line_dedup as lines
 from . import piece_codec as pieces
 from . import simhash, wu_manber
 from .shared import held_out, table
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_bloom.lm_score(docs, ~held_out("doc_id", 5, 1))
+    return scored.select("doc_id", held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = lines.line_dedup(docs)
@@ -80,6 +86,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_line_dedup": op2_line_dedup,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
