@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, html_main, lm_bloom, quality_gbdt
+from . import additive_ann, chat_windows, html_main, lm_bloom, quality_gbdt
 from . import line_dedup as lines
 from . import piece_codec as pieces
 from . import simhash, wu_manber
@@ -45,6 +45,23 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = additive_ann.ann_search(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP3_SQL = """
+WITH fine AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and([coalesce(isfinite(x), false) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding])
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum([(a - c.v[i]) * (a - c.v[i]) FOR a, i IN q.v])) AS score
+  FROM fine q, fine c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     forest = quality_gbdt.fit(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2))
@@ -88,6 +105,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_line_dedup": op2_line_dedup,
+    "op3_nearest": op3_nearest,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
     "op6_chat_windows": op6_chat_windows,
@@ -97,5 +115,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_nearest": OP3_SQL,
     "op2_line_dedup": OP2_SQL,
 }
