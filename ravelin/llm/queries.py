@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import additive_ann, chat_windows, html_main, lm_bloom, quality_gbdt
 from . import line_dedup as lines
 from . import piece_codec as pieces
-from . import simhash, wu_manber
+from . import simhash, substring_fm, wu_manber
 from .shared import held_out, table
 
 
@@ -94,6 +94,26 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(docs, tokenizer_path(), keep=["doc_id"])
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_fm.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("stretches", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return cut.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+windows AS (SELECT r, i, md5(array_to_string(words[i : i + 34], ' ')) AS h FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS i FROM docs WHERE len(words) >= 35)),
+again AS (SELECT h FROM windows GROUP BY h HAVING count(*) >= 2),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS w FROM windows JOIN again USING (h)),
+words AS (SELECT doc_id, r, unnest(words) AS word, generate_subscripts(words, 1) AS w FROM docs),
+kept AS (
+  SELECT words.r, count(*) FILTER (WHERE gone.r IS NOT NULL) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY words.w) FILTER (WHERE gone.r IS NULL), '') AS text
+  FROM words LEFT JOIN gone ON words.r = gone.r AND words.w = gone.w GROUP BY words.r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (r)
+"""
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = wu_manber.find_items(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -111,10 +131,12 @@ QUERIES = {
     "op6_chat_windows": op6_chat_windows,
     "op7_main_text": op7_main_text,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
 SQL = {
+    "op9_substring_dedup": OP9_SQL,
     "op3_nearest": OP3_SQL,
     "op2_line_dedup": OP2_SQL,
 }
