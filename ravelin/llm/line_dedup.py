@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_map, texts
+from .shared import arrow_map, materialise, texts
 
 KEYS, DROPS = "__rv_keys", "__rv_drops"
 
@@ -42,7 +42,8 @@ def repeated_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         held = lines.distinct().groupBy("key").agg(F.min(id_col).alias("first"), F.count("*").alias("n")).filter(F.col("n") >= min_documents)
     else:
         held = lines.groupBy("key").agg(F.min(id_col).alias("first"), F.max(id_col).alias("last")).filter("first < last")
-    later = lines.join(held.select("key", "first"), "key").filter(F.col(id_col) > F.col("first"))
+    held = materialise(held.select("key", "first"), "held")  # its own input of the join, so that a key many lines have can be split
+    later = lines.join(held, "key").filter(F.col(id_col) > F.col("first"))
     return later.groupBy(id_col).agg(F.collect_set("key").alias(DROPS))
 
 
