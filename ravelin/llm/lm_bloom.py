@@ -168,6 +168,19 @@ class LogFrequencyFilter:
         return found
 
 
+def assemble(rows: DataFrame, segments: int, base: float) -> LogFrequencyFilter:
+    """The filter from its segments' rows (seg, k, bits, data), which the builders bound to max_bytes in all. They come to
+    the driver one partition at a time."""
+    sizes = {r.seg: (r.k, r.bits) for r in rows.select("seg", "k", "bits").collect()}
+    bits = np.array([sizes[s][1] if s in sizes else 64 for s in range(segments)], dtype=np.int64)
+    hashes = np.array([sizes[s][0] if s in sizes else 1 for s in range(segments)], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(bits // 8)]).astype(np.int64)
+    data = np.zeros(int(starts[-1]), dtype=np.uint8)
+    for r in rows.select("seg", "data").toLocalIterator():
+        data[starts[r.seg] : starts[r.seg + 1]] = np.frombuffer(r.data, np.uint8)
+    return LogFrequencyFilter(starts[:-1], bits, hashes, data, base)
+
+
 @dataclass
 class Model:
     filter: LogFrequencyFilter
@@ -240,13 +253,7 @@ def fit(docs: DataFrame, text_col: str = "text", hashes: int = 7, base: float =
         least = r["size"]
     hot = (words.filter(size >= least) if least is not None else words.limit(0)).toPandas()  # hot_words rows at most
     order = np.argsort(hot["key"].to_numpy().view(np.uint64))
-    parts = {r.key: r for r in gathered.filter("kind = 2").select("key", "k", "bits", "data").collect()}  # max_bytes at most
-    bits, ks, data = np.full(segments, 64, dtype=np.int64), np.ones(segments, dtype=np.int64), []
-    for s in range(segments):
-        if s in parts:
-            bits[s], ks[s] = parts[s].bits, parts[s].k
-        data.append(np.frombuffer(parts.pop(s).data, np.uint8) if s in parts else np.zeros(8, np.uint8))
-    filt = LogFrequencyFilter(np.concatenate([[0], np.cumsum([len(d) for d in data])[:-1]]).astype(np.int64), bits, ks, np.concatenate(data), base)
+    filt = assemble(gathered.filter("kind = 2").select(F.col("key").alias("seg"), "k", "bits", "data"), segments, base)
     return Model(filt, total, distinct, hot["key"].to_numpy().view(np.uint64)[order], hot["n"].to_numpy()[order], mu), words
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lm_bloom import _A, LogFrequencyFilter, Vocabulary, build_segment, chunks, mix
+from .lm_bloom import _A, LogFrequencyFilter, Vocabulary, assemble, build_segment, chunks, mix
 from .shared import arrow_map, materialise, partitions, texts
 from .wu_manber import merged
 
@@ -226,11 +226,8 @@ def repeated_anchors(docs: DataFrame, text_col: str, length: int, gram: int, chu
             k, bits, data = build_segment(keys, np.ones(len(keys)), 7, 2.0, max_bytes * 8 // segments)
             yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([k], pa.int32()), pa.array([bits], pa.int64()), pa.array([data], pa.binary())], names=["seg", "k", "bits", "data"])
 
-    rows = docs.select(text_col).mapInArrow(send, "seg int, keys binary, n binary").repartition(partitions(spark), "seg").mapInArrow(gather, "seg int, k int, bits long, data binary").collect()  # max_bytes at most
-    parts = {r.seg: r for r in rows}
-    data = [np.frombuffer(parts[s].data, np.uint8) if s in parts else np.zeros(8, np.uint8) for s in range(segments)]
-    starts = np.concatenate([[0], np.cumsum([len(d) for d in data])[:-1]]).astype(np.int64)
-    return LogFrequencyFilter(starts, np.array([parts[s].bits if s in parts else 64 for s in range(segments)]), np.array([parts[s].k if s in parts else 1 for s in range(segments)]), np.concatenate(data), 2.0)
+    rows = docs.select(text_col).mapInArrow(send, "seg int, keys binary, n binary").repartition(partitions(spark), "seg").mapInArrow(gather, "seg int, k int, bits long, data binary")
+    return assemble(materialise(rows, "anchors"), segments, 2.0)
 
 
 def pack(docs: DataFrame, text_col: str) -> DataFrame:
