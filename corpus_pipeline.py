@@ -1,13 +1,73 @@
-"""A corpus pipeline of five stages; each is written as Parquet and read again by the next."""
+"""A corpus pipeline of five stages; each is written as Parquet and read again by the next.
+
+quality_classifier   keeps the documents that the classifier predicts to be good
+line_dedup           takes out repeated lines, keeping each in the smallest doc_id that holds it
+simhash_near_dedup   keeps one document, that of the smallest doc_id, of each group of near copies
+decontaminate        drops documents that benchmark windows cover in a twentieth of their words or more
+sentencepiece        returns token counts and digests of the documents that are left
+
+All but the last return the columns of documents; a stage that changes a text changes n_chars with it. Rows without a
+doc_id can't be told apart, and so are no near copies of each other. Rows of one doc_id are one document: the near-dedup
+stage keeps or drops them together.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ravelin.llm import line_dedup, piece_codec, quality_gbdt, simhash, wu_manber
+from ravelin.llm.queries import tokenizer_path
+from ravelin.llm.shared import held_out, materialise, table
+
+#: The near-dedup stage's word shingles and bits: five words, and at most 4 of 64 bits (a similarity well over 0.8).
+SHINGLE, BUDGET = 5, 4
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    forest = quality_gbdt.fit(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2))
+    return quality_gbdt.score(docs, forest, out=("__score", "__predicted")).filter("__predicted = 1").select(docs.columns)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = line_dedup.line_dedup(docs, out=("__kept", "__lines", "__dropped"))
+    changed = F.col("__dropped") > 0
+    new = {"text": F.when(changed, F.col("__kept")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("__kept").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumns(new).select(docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_dedup(docs, shingle=SHINGLE, budget=BUDGET)
+    gone = materialise(found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "near_copies")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = wu_manber.find_items(docs, table(spark, sf_dir, "benchmark"), out=("__words", "__spans", "__items"))
+    return wu_manber.contamination(found, "__words", "__spans").filter(~F.col("contaminated")).select(docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_digests(docs.select("doc_id", "text"), tokenizer_path(), keep=["doc_id"])
+
 
-STAGES: list = []
-#: The stages hold a trained model and a tokenizer, which SQL can't express; the tests compare with a brute-force version.
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup_stage),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("decontaminate", decontaminate),
+    ("sentencepiece", sentencepiece),
+]
+#: The stages hold a trained model and a tokenizer, which SQL can't express; a test compares with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
