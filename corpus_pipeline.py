@@ -22,8 +22,8 @@ from ravelin.llm import line_dedup, piece_codec, quality_gbdt, simhash, wu_manbe
 from ravelin.llm.queries import tokenizer_path
 from ravelin.llm.shared import held_out, materialise, table
 
-#: The near-dedup stage's word shingles and bits: five words, and at most 4 of 64 bits (a similarity well over 0.8).
-SHINGLE, BUDGET = 5, 4
+#: The near-dedup stage's word shingles and bits, as the SimHash query has them.
+SHINGLE, BUDGET = 4, 4
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
