@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,55 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests only) a temporary one."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None) or getattr(spark, "_ravelin_dir", None)
-    if not root:
-        root = spark._ravelin_dir = tempfile.mkdtemp(prefix="ravelin-")
-        if "://" not in root:
-            root = spark._ravelin_dir = f"file://{root}"
-    return root
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _sweep() -> None:
-    for spark, path in _written:
-        try:
-            remove(spark, path)
-        except Exception:  # the JVM has gone; the folder's owner clears it
-            return
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, survives lost executors, gives real sizes."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/ravelin/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(_sweep)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._ravelin_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete what materialise() wrote, once nothing reads it any more."""
-    remove(df.sparkSession, df._ravelin_path)
+from ..sources.movements import table
+from ..sources.storage import materialise, release
 
+__all__ = ["arrow_map", "components", "held_out", "materialise", "partitions", "release", "table", "texts"]
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
