@@ -67,7 +67,9 @@ def correlation_screen(df: DataFrame, specs: Sequence[Spec], target: str) -> Dat
     aggs = []
     for s in specs:
         x, both = F.col(name(s)), F.col(name(s)).isNotNull() & F.col(target).isNotNull()
-        aggs.append(F.struct(F.corr(F.when(both, x), F.when(both, F.col(target))).alias("r"), F.count(F.when(both, 1)).alias("n")).alias(name(s)))
+        a, b = F.when(both, x), F.when(both, F.col(target))
+        r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))  # null for a constant, where corr() fails
+        aggs.append(F.struct(r.alias("r"), F.count(F.when(both, 1)).alias("n")).alias(name(s)))
     one = rows.agg(*aggs)
     items = [F.struct(F.lit(name(s)).alias("feature"), F.col(name(s))["r"].alias("r"), F.col(name(s))["n"].alias("n")) for s in specs]
     return one.select(F.explode(F.array(*items)).alias("x")).select("x.*")
