@@ -236,7 +236,7 @@ def gather(docs: DataFrame, text_col: str, segments: int, chunk: int, hashes: in
     return docs.select(text_col).mapInArrow(count, packed).repartition(max(segments // 4, 1), "seg").mapInArrow(merge, out)
 
 
-def fit(docs: DataFrame, text_col: str = "text", hashes: int = 7, base: float = 1.5, max_bytes: int = 128 << 20, hot_words: int = 400_000, mu: float = 4.0, chunk: int = 8 << 20) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, text_col: str = "text", hashes: int = 7, base: float = 1.5, max_bytes: int = 128 << 20, hot_words: int = 400_000, mu: float = 4.0, chunk: int = 4 << 20) -> tuple[Model, DataFrame]:
     """The model, and all words' (key, n), learned from docs."""
     spark = docs.sparkSession
     segments = 4 * partitions(spark)
@@ -278,7 +278,7 @@ def score_texts(bodies: list[bytes], model: Model) -> dict[str, list | np.ndarra
     }
 
 
-def lm_score(docs: DataFrame, may_learn, text_col: str = "text", chunk: int = 4 << 20, **how) -> DataFrame:
+def lm_score(docs: DataFrame, may_learn, text_col: str = "text", chunk: int = 2 << 20, **how) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score, learned from the rows where may_learn holds."""
     spark = docs.sparkSession
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
