@@ -1,7 +1,6 @@
 """Main text of web pages: site templates are found by counting element subtrees per host, and deleted.
 
-First pass: each page is parsed, every block-level element's subtree is hashed (tag, class, id, text, children), and the
-page sends the distinct hashes with its host and a hash of its main element. Spark counts, for each host, under how many
+First pass: each page is parsed, every container's subtree is hashed (tag, class, id, text, children), and the page sends the distinct hashes with its host and a hash of its main element. Spark counts, for each host, under how many
 different main elements a hash occurs; copies of a page therefore count once. A subtree that at least `min_pages`
 different pages of a host hold, and at least `share` of them, is template. Second pass: template subtrees and what is
 boilerplate by its nature (nav, footer, aside, form, script, adverts, comments and so on, by element, role, class or id)
@@ -46,6 +45,8 @@ CLOSES = (
     (frozenset({"td", "th"}), frozenset({"td", "th"}), frozenset({"tr", "table"})),
     (frozenset({"option"}), frozenset({"option"}), frozenset({"select"})),
 )
+#: Containers, which a template can be made of. Paragraphs, headings, items and cells recur in articles too.
+TEMPLATE_TAGS = frozenset("address aside center details dialog div dl fieldset figure footer form header hgroup menu nav ol section table ul".split())
 #: What is never main text.
 DROP_TAGS = frozenset(
     "head nav footer aside form script style noscript template iframe object embed applet canvas svg math audio video picture map button select input textarea label dialog menu title link meta xmp noembed noframes".split()
@@ -216,7 +217,7 @@ def main_element(root: Element) -> Element:
 
 
 def subtree_hashes(root: Element) -> dict[int, int]:
-    """Signed 64-bit hashes of block-level elements with text, by id of the element."""
+    """Signed 64-bit hashes of containers with text, by id of the element."""
     out: dict[int, int] = {}
     done: dict[int, bytes] = {}
     stack: list[tuple[Element, bool]] = [(root, False)]
@@ -238,7 +239,7 @@ def subtree_hashes(root: Element) -> dict[int, int]:
                 parts.append("\3" + digest)
         digest = xxhash.xxh3_64_hexdigest("".join(parts))
         done[id(x)] = digest, full
-        if full and x.tag in BLOCKS and x.tag not in ("html", "body"):
+        if full and x.tag in TEMPLATE_TAGS:
             value = int(digest, 16)
             out[id(x)] = value - (1 << 64) if value >> 63 else value
     return out
