@@ -86,8 +86,8 @@ class Codebooks:
         return sum((self.words[m][codes[:, m]] for m in range(len(self.words))), np.zeros((len(codes), self.words.shape[2])))
 
 
-def fit_codebooks(x: np.ndarray, books: int = 8, words: int = 256, rounds: int = 8, beam: int = 4, refits: int = 2, seed: int = 7) -> Codebooks:
-    """Residual k-means for a start; then codes by beam search and all codebooks anew by least squares, `refits` times."""
+def fit_codebooks(x: np.ndarray, books: int = 8, words: int = 256, rounds: int = 8, beam: int = 4, refits: int = 3, seed: int = 7) -> Codebooks:
+    """Residual k-means for a start; then, `refits` times, codes by beam search and least squares for one book after another."""
     rng = np.random.default_rng(seed)
     left, found = x.copy(), []
     for _ in range(books):
@@ -98,17 +98,15 @@ def fit_codebooks(x: np.ndarray, books: int = 8, words: int = 256, rounds: int =
         left = left - centres[nearest(left, centres)]
     fitted = Codebooks(np.stack(found))
     for _ in range(refits):
-        codes = fitted.encode(x, beam).astype(np.int64) + np.arange(books) * words
-        gram = np.zeros((books * words, books * words))
-        for i in range(books):
-            for j in range(books):
-                np.add.at(gram, (codes[:, i], codes[:, j]), 1.0)
-        right = np.zeros((books * words, x.shape[1]))
-        for i in range(books):
-            np.add.at(right, codes[:, i], x)
-        gram[np.diag_indices_from(gram)] += 0.1
-        # Towards the words that were there: least squares with a small pull.
-        fitted = Codebooks(np.linalg.solve(gram, right + 0.1 * fitted.words.reshape(books * words, -1)).reshape(books, words, -1))
+        codes = fitted.encode(x, beam)
+        rest = x - fitted.decode(codes)
+        for m in [*range(books)] * 2:  # each word moves to the mean of what the other books leave of its vectors
+            own, n = codes[:, m], np.bincount(codes[:, m], minlength=words)
+            moved = np.zeros((words, x.shape[1]))
+            np.add.at(moved, own, rest)
+            moved /= np.maximum(n, 1)[:, None]
+            fitted.words[m] += moved
+            rest -= moved[own]
     return fitted
 
 
