@@ -112,9 +112,23 @@ def count_of(levels: np.ndarray, base: float) -> np.ndarray:
     return np.where(levels <= 1, levels.astype(np.float64), base ** (levels - 0.5))
 
 
-def places(keys: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(keys + np.asarray(level, dtype=np.uint64) * _A)
-    return h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+_LOW = np.uint64(0xFFFFFFFF)
+_HALF = np.uint64(32)
+
+
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of each key, from its high bits."""
+    return (((keys >> _HALF) * np.uint64(segments)) >> _HALF).astype(np.int64)
+
+
+def places(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit hashes of a key at a level; probe i looks at place(first + i * second)."""
+    h = mix(keys + np.uint64(level * int(_A) % 2**64))
+    return h >> _HALF, (h & _LOW) | np.uint64(1)
+
+
+def place(first: np.ndarray, second: np.ndarray, i: int, bits: np.ndarray | np.uint64) -> np.ndarray:
+    return (((first + np.uint64(i) * second) & _LOW) * bits) >> _HALF
 
 
 def build_segment(keys: np.ndarray, counts: np.ndarray, hashes: int, base: float, most_bits: int) -> tuple[int, int, bytes]:
@@ -124,12 +138,12 @@ def build_segment(keys: np.ndarray, counts: np.ndarray, hashes: int, base: float
     if not entries:
         return 1, 64, bytes(8)
     k = max(1, min(hashes, int(most_bits * log(2) / entries)))
-    bits = max(64, min(most_bits, int(entries * k / log(2))) // 64 * 64)
+    bits = max(64, min(most_bits, int(entries * k / log(2)), 1 << 32) // 64 * 64)
     marks = np.zeros(bits, dtype=np.uint8)
     for level in range(1, int(levels.max()) + 1):
         a, b = places(keys[levels >= level], level)
         for i in range(k):
-            marks[(a + np.uint64(i) * b) % np.uint64(bits)] = 1
+            marks[place(a, b, i, np.uint64(bits))] = 1
     return k, bits, np.packbits(marks, bitorder="little").tobytes()
 
 
@@ -146,25 +160,29 @@ class LogFrequencyFilter:
     def levels(self, keys: np.ndarray, most: int = 120) -> np.ndarray:
         """The quantised count of each key, by probing level after level."""
         found = np.zeros(len(keys), dtype=np.int64)
-        seg = (keys % np.uint64(len(self.bits))).astype(np.int64)
-        offset, bits, k = self.starts[seg], self.bits[seg].astype(np.uint64), self.hashes[seg]
-        top = int(self.hashes.max(initial=1))
-        alive = np.arange(len(keys))
+        seg = segment_of(keys, len(self.bits))
+        start, bits = (self.starts * 8).astype(np.uint64)[seg], self.bits.astype(np.uint64)[seg]
+        top, same = int(self.hashes.max(initial=1)), self.hashes.min(initial=1 << 30) == self.hashes.max(initial=1)
+        k = None if same else self.hashes[seg]
+        alive, key = np.arange(len(keys)), keys
         for level in range(1, most):
-            a, b = places(keys[alive], level)
-            here = alive
+            a, b = places(key, level)
+            here, s, n = alive, start, bits
             for i in range(top):
-                at = (a + np.uint64(i) * b) % bits[here]
-                ok = (self.data[offset[here] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                if i:
+                at = s + place(a, b, i, n)
+                ok = (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                if i and k is not None:
                     ok |= i >= k[here]
-                here, a, b = here[ok], a[ok], b[ok]
+                if ok.all():
+                    continue
+                here, a, b, s, n = here[ok], a[ok], b[ok], s[ok], n[ok]
                 if not len(here):
                     break
-            alive = here
+            alive, start, bits = here, s, n
             if not len(alive):
                 break
             found[alive] = level
+            key = keys[alive]
         return found
 
 
@@ -205,7 +223,7 @@ def gather(docs: DataFrame, text_col: str, segments: int, chunk: int, hashes: in
             known = once > 0
             pairs, pair_counts = np.unique(pair_keys(names[histories(numbers)], names[numbers]), return_counts=True)
             for kind, keys, n in ((1, names[known], once[known]), (2, pairs, pair_counts.astype(np.uint64))):
-                seg = ((keys if kind == 2 else mix(keys ^ UNIGRAM)) % np.uint64(segments)).astype(np.int64)
+                seg = segment_of(keys if kind == 2 else mix(keys ^ UNIGRAM), segments)
                 order = np.argsort(seg, kind="stable")
                 keys, n, seg = keys[order], n[order], seg[order]
                 cut = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1], [True]]))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lm_bloom import _A, LogFrequencyFilter, Vocabulary, assemble, build_segment, chunks, mix
+from .lm_bloom import _A, LogFrequencyFilter, Vocabulary, assemble, build_segment, chunks, mix, segment_of
 from .shared import arrow_map, materialise, partitions, texts
 from .wu_manber import merged
 
@@ -208,7 +208,7 @@ def repeated_anchors(docs: DataFrame, text_col: str, length: int, gram: int, chu
     def send(batches):
         for held in chunks(batches, chunk, text_col):
             keys, n = np.unique(anchors([b for _, bodies in held for b in bodies], length, gram)[2], return_counts=True)
-            seg = (keys % np.uint64(segments)).astype(np.int64)
+            seg = segment_of(keys, segments)
             order = np.argsort(seg, kind="stable")
             keys, n, seg = keys[order], n[order], seg[order]
             cut = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1], [True]])) if len(seg) else np.zeros(0, int)
