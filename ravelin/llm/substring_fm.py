@@ -5,7 +5,9 @@ anchor: the least (first, if equal) hash among its runs of `gram` words. Equal w
 windows with one anchor form a context, a stretch of at most 2 * length - gram words. Anchors that occur once can't
 hold a repeat; a Bloom filter of bounded size names those that occur again (a false positive only costs work).
 
-Equal contexts collapse to one with a count. A shard is a set of anchors: its contexts' words are numbered, the suffix
+Equal contexts collapse to one with a count. An anchor that more than `crowd` different contexts share (a passage that many
+documents quote) would be one task's unbounded group; its contexts are cut into single windows, each filed under a hash of
+all its words, so that they spread, and equal ones again collapse. A shard is a set of anchors: its contexts' words are numbered, the suffix
 array gives the Burrows-Wheeler transform, and a wavelet matrix over it (bit vectors with counts every 64 bits) answers
 rank queries. Each context is then streamed through the index from its end: backward search extends the match to the
 left while at least two places hold it. A match that stops is as long as repeats ending there get; matches of at least
@@ -200,34 +202,60 @@ def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumn(ROW[0], F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col))).withColumn(ROW[1], F.xxhash64(F.lit(2), F.col(text_col), F.col(id_col)))
 
 
-def repeated_anchors(docs: DataFrame, text_col: str, length: int, gram: int, chunk: int, max_bytes: int) -> LogFrequencyFilter:
-    """A Bloom filter of the anchors that occur more than once, of max_bytes at most."""
+def context_digests(hashes: np.ndarray, begin: np.ndarray, words: np.ndarray) -> np.ndarray:
+    raw, digest = hashes.astype("<u8").tobytes(), xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(raw[a:b]) for a, b in zip((8 * begin).tolist(), (8 * (begin + words)).tolist(), strict=True)), dtype=np.uint64, count=len(begin))
+
+
+def stream_begins(split: list[list[bytes]], owner: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum([len(w) for w in split])[:-1]]).astype(np.int64)[owner] + first
+
+
+def anchor_filters(docs: DataFrame, text_col: str, length: int, gram: int, chunk: int, crowd: int, max_bytes: int) -> tuple[LogFrequencyFilter, LogFrequencyFilter]:
+    """Bloom filters, of max_bytes each at most: of the anchors that occur more than once, and of those with more than
+    `crowd` contexts that differ (tasks count apart, so copies may be counted several times; that only costs work)."""
     spark = docs.sparkSession
     segments = 4 * partitions(spark)
 
     def send(batches):
         for held in chunks(batches, chunk, text_col):
-            keys, n = np.unique(anchors([b for _, bodies in held for b in bodies], length, gram)[2], return_counts=True)
+            split, hashes, keys, owner, first, words = anchors([b for _, bodies in held for b in bodies], length, gram)
+            digests = context_digests(hashes, stream_begins(split, owner, first), words)
+            n = np.unique(keys, return_counts=True)[1]
+            keys, differ = np.unique(keys[np.unique(mix(keys * _A + digests), return_index=True)[1]], return_counts=True)
             seg = segment_of(keys, segments)
             order = np.argsort(seg, kind="stable")
-            keys, n, seg = keys[order], n[order], seg[order]
+            keys, n, seg = keys[order], (np.minimum(n, 2) + 4 * np.minimum(differ, 4095))[order], seg[order]
             cut = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1], [True]])) if len(seg) else np.zeros(0, int)
-            rows = [(int(seg[a]), keys[a:b].astype("<u8").tobytes(), np.minimum(n[a:b], 2).astype(np.uint8).tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            rows = [(int(seg[a]), keys[a:b].astype("<u8").tobytes(), n[a:b].astype("<u2").tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["seg", "keys", "n"])
 
     def gather(batches):
         own: dict[int, list] = {}
         for batch in batches:
             for seg, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own.setdefault(seg, []).append((np.frombuffer(keys, "<u8"), np.frombuffer(n, np.uint8)))
+                own.setdefault(seg, []).append((np.frombuffer(keys, "<u8"), np.frombuffer(n, "<u2")))
         for seg, parts in own.items():
             keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            keys = keys[np.bincount(where, weights=np.concatenate([p[1] for p in parts])) >= 2]
-            k, bits, data = build_segment(keys, np.ones(len(keys)), 7, 2.0, max_bytes * 8 // segments)
-            yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([k], pa.int32()), pa.array([bits], pa.int64()), pa.array([data], pa.binary())], names=["seg", "k", "bits", "data"])
+            n = np.concatenate([p[1] for p in parts])
+            again, differ = np.bincount(where, weights=n % 4), np.bincount(where, weights=n // 4)
+            for kind, chosen in enumerate((keys[again >= 2], keys[differ > crowd])):
+                k, bits, data = build_segment(chosen, np.ones(len(chosen)), 7, 2.0, max_bytes * 8 // segments)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((kind, pa.int32()), (seg, pa.int32()), (k, pa.int32()), (bits, pa.int64()), (data, pa.binary()))], names=["kind", "seg", "k", "bits", "data"])
+
+    rows = docs.select(text_col).mapInArrow(send, "seg int, keys binary, n binary").repartition(partitions(spark), "seg").mapInArrow(gather, "kind int, seg int, k int, bits long, data binary")
+    rows = materialise(rows, "anchors")
+    again, crowded = (assemble(rows.filter(F.col("kind") == kind).drop("kind"), segments, 2.0) for kind in (0, 1))
+    return again, crowded
+
 
-    rows = docs.select(text_col).mapInArrow(send, "seg int, keys binary, n binary").repartition(partitions(spark), "seg").mapInArrow(gather, "seg int, k int, bits long, data binary")
-    return assemble(materialise(rows, "anchors"), segments, 2.0)
+def single_windows(split, hashes, keys, owner, first, words, length: int):
+    """Contexts cut into their windows, each filed under a hash of all its words."""
+    n = words - length + 1
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    owner, first = np.repeat(owner, n), np.repeat(first, n) + at
+    words = np.full(len(first), length, dtype=np.int64)
+    return mix(context_digests(hashes, stream_begins(split, owner, first), words)), owner, first, words
 
 
 def pack(docs: DataFrame, text_col: str) -> DataFrame:
@@ -245,11 +273,11 @@ def unpacked(batch: pa.RecordBatch) -> list[bytes]:
     return [tool.decompress(z) for z in batch.column("__rv_z").to_pylist()]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, gram: int = 8, chunk: int = 6 << 20, shard_words: int = 400_000, filter_bytes: int = 64 << 20, out: tuple[str, str, str] = ("kept_words", "n_words", "stretches")) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, gram: int = 8, chunk: int = 6 << 20, shard_words: int = 400_000, filter_bytes: int = 64 << 20, crowd: int = 512, out: tuple[str, str, str] = ("kept_words", "n_words", "stretches")) -> DataFrame:
     """docs (without their text) with the words kept, joined by spaces, the words there were, and the removed [begin, end) stretches of words."""
     spark = docs.sparkSession
     docs = docs.select(*[c for c in docs.columns if c not in out])
-    again = spark.sparkContext.broadcast(repeated_anchors(docs, text_col, length, gram, chunk, filter_bytes))
+    sent = spark.sparkContext.broadcast(anchor_filters(docs, text_col, length, gram, chunk, crowd, filter_bytes))
     keyed = with_row_key(docs, id_col, text_col)
 
     def place(batches):
@@ -257,12 +285,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             split, hashes, keys, owner, first, words = anchors([b for _, bodies in held for b in bodies], length, gram)
             if not len(keys):
                 continue
-            take = np.flatnonzero(again.value.levels(keys, 2) > 0)
-            keys, owner, first, words = keys[take], owner[take], first[take], words[take]
-            begin = np.concatenate([[0], np.cumsum([len(w) for w in split])[:-1]])[owner] + first
-            raw = hashes.astype("<u8").tobytes()
-            digest = xxhash.xxh3_64_intdigest
-            ctx = np.array([digest(raw[a:b]) for a, b in zip((8 * begin).tolist(), (8 * (begin + words)).tolist(), strict=True)], dtype=np.uint64).view(np.int64)
+            again, crowded = sent.value
+            take = again.levels(keys, 2) > 0
+            many = take & (crowded.levels(keys, 2) > 0)
+            one = take & ~many
+            parts = [(keys[one], owner[one], first[one], words[one])]
+            if many.any():
+                parts.append(single_windows(split, hashes, keys[many], owner[many], first[many], words[many], length))
+            keys, owner, first, words = (np.concatenate(x) for x in zip(*parts, strict=True))
+            ctx = context_digests(hashes, stream_begins(split, owner, first), words).view(np.int64)
             rows = pa.Table.from_batches([b.select(list(ROW)) for b, _ in held]).take(pa.array(owner)).combine_chunks()
             yield from pa.table([pa.array(keys.view(np.int64)), pa.array(ctx), *rows.columns, pa.array(first.astype(np.int32)), pa.array(words.astype(np.int32))], names=["key", "ctx", *ROW, "first", "words"]).combine_chunks().to_batches()
 

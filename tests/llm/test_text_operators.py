@@ -35,7 +35,7 @@ def test_line_dedup_threshold(spark):
 
 @pytest.mark.parametrize("gram, length", [(3, 6), (8, 35)])
 def test_substring_dedup(hard_docs, hard_texts, gram, length):
-    got = substring_fm.remove_repeats(hard_docs, length=length, gram=gram, chunk=4000, shard_words=500)
+    got = substring_fm.remove_repeats(hard_docs, length=length, gram=gram, chunk=4000, shard_words=500, crowd=2)
     want = brute.without_repeats([t for _, t in hard_texts], length)
     rows = got.withColumn("removed", F.expr("aggregate(stretches, 0, (n, s) -> n + s.end - s.begin)")).collect()
     assert by_text(rows, "n_words", "removed", "kept_words") == want_rows(hard_texts, want)
@@ -45,7 +45,7 @@ def test_substring_dedup(hard_docs, hard_texts, gram, length):
 def test_substring_dedup_of_repetitive_texts(spark, seed):
     rng = random.Random(seed)
     texts = [(i, " ".join(rng.choice("ab" if i % 3 else "abcdefgh") for _ in range(rng.choice([0, 3, 30, 80])))) for i in range(25)]
-    got = substring_fm.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), length=9, gram=3, chunk=300, shard_words=100)
+    got = substring_fm.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), length=9, gram=3, chunk=300, shard_words=100, crowd=3 + 500 * (seed == 0))
     rows = got.withColumn("removed", F.expr("aggregate(stretches, 0, (n, s) -> n + s.end - s.begin)")).collect()
     assert by_text(rows, "n_words", "removed", "kept_words") == want_rows(texts, brute.without_repeats([t for _, t in texts], 9))
 
