@@ -84,6 +84,34 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP6_SQL = r"""
+WITH RECURSIVE rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, len(regexp_split_to_array(body, '[\x20\x09-\x0D]+')) + 4 AS tokens,
+    22 + length(role) + length(body) + length(regexp_replace(role || body, '[^\\<\[]', '', 'g')) AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, body) AS i
+  FROM rows
+), t AS (
+  SELECT *, (sum(tokens) OVER (PARTITION BY conv_id ORDER BY i))::BIGINT AS upto, (first(role) OVER (PARTITION BY conv_id ORDER BY i) = 'system')::INTEGER AS system FROM sized
+), walk AS (
+  SELECT conv_id, 1::BIGINT AS i, 1::BIGINT AS start, 0::BIGINT AS since FROM t WHERE i = 1
+  UNION ALL
+  SELECT t.conv_id, t.i, CASE WHEN t.upto - w.since > 768 THEN t.i ELSE w.start END, CASE WHEN t.upto - w.since > 768 THEN t.upto - t.tokens ELSE w.since END
+  FROM walk w JOIN t ON t.conv_id = w.conv_id AND t.i = w.i + 1
+), starts AS (SELECT DISTINCT conv_id, start FROM walk),
+again AS (
+  SELECT s.conv_id, sum(CASE WHEN t.i = 1 AND t.system = 1 OR t.i > t.system AND b.upto - t.upto + t.tokens <= 256 THEN t.chars ELSE 0 END) AS chars
+  FROM starts s JOIN t b ON b.conv_id = s.conv_id AND b.i = s.start - 1 JOIN t ON t.conv_id = s.conv_id AND t.i < s.start GROUP BY s.conv_id
+)
+SELECT t.conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(body)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(body, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (sum(t.chars) + coalesce(any_value(again.chars), 0))::BIGINT AS formatted_chars, (SELECT count(*) FROM starts s WHERE s.conv_id = t.conv_id)::BIGINT AS n_windows
+FROM t LEFT JOIN again ON again.conv_id = t.conv_id GROUP BY t.conv_id
+"""
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_main.main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -122,6 +150,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP10_SQL = r"""
+WITH items AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM benchmark WHERE text IS NOT NULL),
+docs AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents),
+starts AS (SELECT item_id, words, least(13, len(words)) AS m, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS i FROM items WHERE len(words) > 0),
+patterns AS (SELECT DISTINCT item_id, m, array_to_string(words[i : i + m - 1], ' ') AS w FROM starts),
+windows AS (SELECT r, m, i, array_to_string(words[i : i + m - 1], ' ') AS w FROM (SELECT r, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM docs, (SELECT DISTINCT m FROM patterns) WHERE len(words) >= m)),
+found AS (SELECT r, item_id, i, m FROM windows JOIN patterns USING (m, w)),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + m)) AS p FROM found) GROUP BY r),
+named AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(named.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(words) AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_line_dedup": op2_line_dedup,
@@ -136,6 +179,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op6_chat_windows": OP6_SQL,
+    "op10_decontaminate": OP10_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op3_nearest": OP3_SQL,
     "op2_line_dedup": OP2_SQL,
