@@ -12,8 +12,9 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, as in tests, a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or getattr(spark, "_ravelin_dir", None)
+    """The folder in spark.checkpoint.dir, or the context's checkpoint folder; where both are unset, as in tests, a temporary one."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir() or getattr(spark, "_ravelin_dir", None)
     if not root:
         root = spark._ravelin_dir = f"file://{tempfile.mkdtemp(prefix='ravelin-')}"
     return root
