@@ -254,7 +254,7 @@ def gather(docs: DataFrame, text_col: str, segments: int, chunk: int, hashes: in
     return docs.select(text_col).mapInArrow(count, packed).repartition(max(segments // 4, 1), "seg").mapInArrow(merge, out)
 
 
-def fit(docs: DataFrame, text_col: str = "text", hashes: int = 7, base: float = 1.5, max_bytes: int = 128 << 20, hot_words: int = 400_000, mu: float = 4.0, chunk: int = 4 << 20) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, text_col: str = "text", hashes: int = 6, base: float = 1.5, max_bytes: int = 128 << 20, hot_words: int = 400_000, mu: float = 4.0, chunk: int = 4 << 20) -> tuple[Model, DataFrame]:
     """The model, and all words' (key, n), learned from docs."""
     spark = docs.sparkSession
     segments = 4 * partitions(spark)
