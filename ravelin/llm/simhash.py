@@ -3,9 +3,10 @@
 A fingerprint bit is 1 if it is set in over half of a text's word-shingle hashes (XXH64, seed 42, repeats included).
 Two fingerprints link at `budget` or fewer differing bits. The 64 bits lie on a ring of budget + 1 segments. If two
 fingerprints link, then from some segment on every chain of consecutive segments stays within its proportional share of
-the budget: the first segment differs in none, the first two in no more than 2*budget/(budget+1), and so on. So
-fingerprints meet under their segments, and in each meeting the chain from that segment on is tested at growing length;
-only survivors get the full Hamming check.
+the budget: the first segment differs in none, the first two in no more than 2*budget/(budget+1), which is one, and so on.
+One differing bit leaves a half of the second segment whole, so fingerprints meet under a segment and a half of the next
+one, and in each meeting the chain from that segment on is tested at growing length; only survivors get the full Hamming
+check.
 
 Work is on distinct fingerprints, each standing for the smallest id that has it. Meetings of up to `block` fingerprints
 are worked off many in a task. Larger ones are cut into blocks, and each pair of blocks is a meeting of its own, so no
@@ -73,6 +74,17 @@ def chain_masks(start: int, budget: int) -> list[tuple[np.uint64, int]]:
     return out
 
 
+def meeting_keys(budget: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(start, pieces) for each key under which fingerprints meet: pieces are (shift, width) of bits that must be equal."""
+    parts = segments(budget)
+    out = []
+    for i, own in enumerate(parts):
+        shift, width = parts[(i + 1) % len(parts)]
+        halves = [(shift, width // 2), (shift + width // 2, width - width // 2)]
+        out += [(i, [own, h]) for h in halves] if len(parts) > 1 else [(i, [own])]
+    return out
+
+
 def linked(a: np.ndarray, b: np.ndarray, start: int, budget: int) -> np.ndarray:
     """For aligned fingerprints, whether they stay within every chain's share from a segment on, the last chain being the whole ring."""
     x = np.bitwise_xor(a, b)
@@ -166,18 +178,25 @@ def meetings(rows: pa.Table, budget: int) -> tuple[np.ndarray, np.ndarray]:
 def near_components(prints: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", budget: int = 4, block: int = 2048) -> DataFrame:
     """(node, component) for the representatives of fingerprints that link to another; node is the smallest id of a fingerprint."""
     spark = prints.sparkSession
-    parts = segments(budget)
+    starts = [start for start, _ in meeting_keys(budget)]
     distinct = materialise(prints.filter(F.col(id_col).isNotNull()).groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("node")), "distinct")
-    keyed = distinct.select("fp", "node", F.posexplode(F.array(*[F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1) for shift, width in parts])).alias("seg", "key"))
-    crowded = materialise(keyed.groupBy("seg", "key").count().filter(F.col("count") > block).select("seg", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "crowded")
-    # At most (budget + 1) * 2^13 rows for 64 bits, whatever the input.
-    placed = keyed.join(F.broadcast(crowded), ["seg", "key"], "left")
+
+    def key(pieces: list[tuple[int, int]]):
+        out = F.lit(0).cast("long")
+        for shift, width in pieces:
+            out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1)) if width < 64 else F.col("fp")
+        return out
+
+    keyed = distinct.select("fp", "node", F.posexplode(F.array(*[key(pieces) for _, pieces in meeting_keys(budget)])).alias("way", "key"))
+    keyed = keyed.select("fp", "node", F.get(F.array(*[F.lit(s) for s in starts]), F.col("way")).alias("seg"), "way", "key")
+    crowded = keyed.groupBy("way", "key").count().filter(F.col("count") > block).select("way", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    placed = keyed.join(materialise(crowded, "crowded"), ["way", "key"], "left")
     own = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int")
     pairs = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
     )
-    met = placed.withColumn("own", own).select("fp", "node", "seg", "key", "own", F.explode(pairs).alias("p"))
-    met = met.select("fp", "node", "seg", F.xxhash64("key", "p.x", "p.y").alias("meet"), F.when((F.col("p.x") != F.col("p.y")) & (F.col("own") == F.col("p.y")), 1).otherwise(0).alias("side"))
+    met = placed.withColumn("own", own).select("fp", "node", "seg", "way", "key", "own", F.explode(pairs).alias("p"))
+    met = met.select("fp", "node", "seg", F.xxhash64("way", "key", "p.x", "p.y").alias("meet"), F.when((F.col("p.x") != F.col("p.y")) & (F.col("own") == F.col("p.y")), 1).otherwise(0).alias("side"))
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
