@@ -7,9 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .operators.cells import value_ranks
+
 
 def rmse(error: Column) -> Column:
     return F.sqrt(F.avg(error * error))
@@ -93,18 +94,12 @@ def gain_decomposition(df: DataFrame, y: str, base: str, new: str, masks: dict[s
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """One row: the area under the curve by rank sums, ties at average ranks. Ranks come from the sorted table of distinct
-    scores with their counts, numbered range by range, so no task sorts all rows."""
-    cells = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("pos"))
-    edges = cells.stat.approxQuantile("s", [i / 32 for i in range(1, 32)], 0.01)
-    part = F.lit(0)
-    for e in sorted(set(edges)):
-        part = part + (F.col("s") > e).cast("int")
-    cells = cells.withColumn("p", part)
-    sums = cells.groupBy("p").agg(F.sum("n").alias("pn")).withColumn("before", F.coalesce(F.sum("pn").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("pn")  # 32 rows
-    upto = F.sum("n").over(W.partitionBy("p").orderBy("s").rowsBetween(W.unboundedPreceding, -1))
-    ranked = cells.join(F.broadcast(sums), "p").withColumn("rank", F.col("before") + F.coalesce(upto, F.lit(0)) + (F.col("n") + 1) / 2)
-    total = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p1"), F.sum(F.col("n") - F.col("pos")).alias("p0"))
+    """One row: the area under the curve by rank sums, ties at average ranks. Distinct scores are ranked range by range, so no
+    task sorts all rows."""
+    rows = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).select(F.col(score).alias("s"), F.col(label).cast("double").alias("l"))
+    ranks = value_ranks(rows, [], "s")
+    hits = rows.groupBy("s").agg(F.sum("l").alias("pos"))
+    total = ranks.join(hits, "s").agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p1"), F.sum(F.col("n") - F.col("pos")).alias("p0"))
     return total.select(F.try_divide(F.col("r") - F.col("p1") * (F.col("p1") + 1) / 2, F.col("p1") * F.col("p0")).alias("auc"))
 
 

@@ -80,17 +80,43 @@ def apply_lines(df: DataFrame, fitted: DataFrame, key: str, x: str, out: str) ->
     return got.select(*df.columns, F.when(F.col(x).isNotNull() & value.isNotNull(), F.greatest(value, F.lit(0.0))).alias(out))
 
 
+def value_ranks(df: DataFrame, keys: Sequence[str], x: str, parts: int = 32) -> DataFrame:
+    """(keys, x, n, rank): each distinct value of each group with its count and average rank. Values are numbered in ranges
+    of x, with the ranges' totals added, so that a group of any size is spread over tasks."""
+    counts = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("n"))
+    edges = sorted(set(df.select(F.col(x).cast("double").alias("x")).stat.approxQuantile("x", [i / parts for i in range(1, parts)], 0.01)))
+    part = F.lit(0)
+    for e in edges:
+        part = part + (F.col(x) > e).cast("int")
+    counts = counts.withColumn("__p", part)
+    sums = counts.groupBy(*keys, "__p").agg(F.sum("n").alias("__pn"))
+    before = F.coalesce(F.sum("__pn").over(W.partitionBy(*keys).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("__before", before).drop("__pn")
+    inner = F.coalesce(F.sum("n").over(W.partitionBy(*keys, "__p").orderBy(x).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    got = _null_safe(counts.withColumn("__in", inner), sums, [*keys, "__p"])
+    return got.select(*keys, x, "n", (F.col("__before") + F.col("__in") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys where null equals null; the right side's keys go."""
+    r = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(r, on, "left").drop(*[f"__r_{k}" for k in keys])
+
+
 def group_features(df: DataFrame, x: str, keys: Sequence[str], prefix: str = "g_") -> DataFrame:
     """Mean, population deviation (null for one row), difference, z, count, and percentile rank with average ties, in groups
-    where a null key is a group of its own."""
-    w = W.partitionBy(*keys)
+    where a null key is a group of its own. Groups are aggregated and joined back, never gathered."""
+    stats = df.groupBy(*keys).agg(F.avg(x).alias("__m"), F.stddev_pop(x).alias("__s"), F.count(x).alias("__n"))
+    ranks = value_ranks(df.select(*keys, x), keys, x).select(*keys, x, F.col("rank").alias("__rank"))
+    got = _null_safe(_null_safe(df, stats, list(keys)), ranks, [*keys, x])
+    n, mean, sd = F.col("__n"), F.col("__m"), F.when(F.col("__n") > 1, F.col("__s"))
     v = F.col(x)
-    n = F.count(x).over(w)
-    mean, sd = F.avg(x).over(w), F.when(n > 1, F.stddev_pop(x).over(w))
-    place = F.rank().over(W.partitionBy(*keys, v.isNull()).orderBy(x)) + (F.count("*").over(W.partitionBy(*keys, x)) - 1) / 2
-    return df.withColumns({
-        f"{prefix}mean": mean, f"{prefix}sd": sd, f"{prefix}n": n, f"{prefix}diff": v - mean, f"{prefix}z": F.try_divide(v - mean, sd), f"{prefix}pos": F.when(v.isNotNull(), F.try_divide(place, n)),
-    })
+    return got.withColumns({
+        f"{prefix}mean": mean, f"{prefix}sd": sd, f"{prefix}n": n, f"{prefix}diff": v - mean, f"{prefix}z": F.try_divide(v - mean, sd), f"{prefix}pos": F.when(v.isNotNull(), F.try_divide(F.col("__rank"), n)),
+    }).drop("__m", "__s", "__n", "__rank")
 
 
 def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
