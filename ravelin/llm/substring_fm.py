@@ -5,7 +5,7 @@ anchor: the least (first, if equal) hash among its runs of `gram` words. Equal w
 windows with one anchor form a context, a stretch of at most 2 * length - gram words. Anchors that occur once can't
 hold a repeat; a Bloom filter of bounded size names those that occur again (a false positive only costs work).
 
-Equal contexts collapse to one with a count. An anchor that more than `crowd` different contexts share (a passage that many
+Equal contexts collapse to one that counts for all its places. An anchor that more than `crowd` different contexts share (a passage that many
 documents quote) would be one task's unbounded group; its contexts are cut into single windows, each filed under a hash of
 all its words, so that they spread, and equal ones again collapse. A shard is a set of anchors: its contexts' words are numbered, the suffix
 array gives the Burrows-Wheeler transform, and a wavelet matrix over it (bit vectors with counts every 64 bits) answers
@@ -72,12 +72,12 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """The order of suffixes by their first `depth` symbols at least, by prefix doubling."""
     rank = text.astype(np.int64)
     n, step = len(text), 1
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     while step < depth:
         after = np.zeros(n, dtype=np.int64)
         after[:-step] = rank[step:] + 1
         key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
@@ -88,13 +88,17 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FmIndex:
-    def __init__(self, text: np.ndarray, symbols: int, depth: int) -> None:
-        """text: numbers from 1; 0 ends each part."""
+    def __init__(self, text: np.ndarray, symbols: int, depth: int, weights: np.ndarray | None = None) -> None:
+        """text: numbers from 1; 0 ends each part. weights: at how many places each position's part stands."""
         order = suffix_array(text, depth)
+        self.places = np.concatenate([[0], np.cumsum(weights[order])]) if weights is not None else np.arange(len(text) + 1)
         self.wavelet = WaveletMatrix(text[order - 1], symbols)
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
         self.shift = self.starts[:-1] - self.wavelet.first
 
+    def occurrences(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return self.places[high] - self.places[low]
+
     def one(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.starts[symbol], self.starts[symbol + 1]
 
@@ -113,7 +117,7 @@ def repeated_stretches(index: FmIndex, text: np.ndarray, begins: np.ndarray, siz
     at = end - 1
     low, high = index.one(text[begins[ctx] + at])
     while len(ctx):
-        held = high - low >= 2
+        held = index.occurrences(low, high) >= 2
         whole = held & (at == 0)
         if whole.any():
             found.append((ctx[whole], at[whole], end[whole]))
@@ -143,16 +147,16 @@ def search_shard(bodies: list[bytes], counts: list[int], length: int, depth: int
     number = vocabulary.__getitem__
     parts, begins, sizes, at = [], [], [], 0
     stop = np.zeros(1, dtype=np.int32)
-    for body, count in zip(bodies, counts, strict=True):
+    for body in bodies:
         words = body.split(b" ")
         own = np.fromiter(map(number, words), dtype=np.int32, count=len(words))
         begins.append(at)
         sizes.append(len(own))
-        for _ in range(min(count, 2)):  # a context that stands at two places occurs twice
-            parts += [own, stop]
-            at += len(own) + 1
+        parts += [own, stop]
+        at += len(own) + 1
     text = np.concatenate(parts)
-    index = FmIndex(text, len(vocabulary) + 1, depth)
+    weights = np.repeat(np.array(counts, dtype=np.int64), np.array(sizes) + 1)
+    index = FmIndex(text, len(vocabulary) + 1, depth, weights)
     out: list[list[tuple[int, int]]] = [[] for _ in bodies]
     for c, a, b in repeated_stretches(index, text, np.array(begins), np.array(sizes), length):
         out[c].append((a, b))
