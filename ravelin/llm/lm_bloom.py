@@ -25,6 +25,7 @@ empty table; other columns pass through.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 from math import log
 
 import numpy as np
@@ -52,33 +53,28 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * _A + second)
 
 
-class Vocabulary(dict):
-    """Words of a chunk as small numbers; 0 is the end token."""
+def numbered(lists: list[list[bytes]]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(numbers of all words, one list after another; the words, numbered from 1; words of each list)."""
+    words = list(dict.fromkeys(chain.from_iterable(lists)))
+    number = dict(zip(words, range(1, len(words) + 1), strict=True))
+    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), dtype=np.int32, count=int(sizes.sum())), words, sizes
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.words: list[bytes] = []
 
-    def __missing__(self, word: bytes) -> int:
-        self.words.append(word)
-        self[word] = n = len(self.words)
-        return n
-
-    def hashes(self) -> np.ndarray:
-        digest = xxhash.xxh3_64_intdigest
-        return np.array([int(END), *(digest(w) for w in self.words)], dtype=np.uint64)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes by number; 0 is the end token."""
+    out = np.empty(len(words) + 1, dtype=np.uint64)
+    out[0] = END
+    out[1:] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    return out
 
 
 def stream(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(numbers, hashes by number, tokens of each text): the texts' tokens one after another, each text with its end."""
-    vocabulary, parts, sizes = Vocabulary(), [], []
-    number = vocabulary.__getitem__
-    for body in bodies:
-        words = body.lower().split()  # of bytes: A-Z and ASCII white space only
-        parts.append(np.fromiter(map(number, words), dtype=np.int32, count=len(words)))
-        parts.append(np.zeros(1, dtype=np.int32))
-        sizes.append(len(words) + 1)
-    return np.concatenate(parts), vocabulary.hashes(), np.array(sizes, dtype=np.int64)
+    found, words, sizes = numbered([b.lower().split() for b in bodies])  # of bytes: A-Z and ASCII white space only
+    numbers = np.zeros(len(found) + len(sizes), dtype=np.int32)
+    numbers[np.arange(len(found)) + np.repeat(np.arange(len(sizes)), sizes)] = found
+    return numbers, word_hashes(words), sizes + 1
 
 
 def histories(numbers: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lm_bloom import _A, LogFrequencyFilter, Vocabulary, assemble, build_segment, chunks, mix, segment_of
+from .lm_bloom import _A, LogFrequencyFilter, assemble, build_segment, chunks, mix, numbered, segment_of, word_hashes
 from .shared import arrow_map, materialise, partitions, texts
 from .wu_manber import merged
 
@@ -143,37 +143,26 @@ def repeated_stretches(index: FmIndex, text: np.ndarray, begins: np.ndarray, siz
 
 def search_shard(bodies: list[bytes], counts: list[int], length: int, depth: int) -> list[list[tuple[int, int]]]:
     """For each context (words joined by spaces) of a shard, the merged stretches that occur twice or more."""
-    vocabulary = Vocabulary()
-    number = vocabulary.__getitem__
-    parts, begins, sizes, at = [], [], [], 0
-    stop = np.zeros(1, dtype=np.int32)
-    for body in bodies:
-        words = body.split(b" ")
-        own = np.fromiter(map(number, words), dtype=np.int32, count=len(words))
-        begins.append(at)
-        sizes.append(len(own))
-        parts += [own, stop]
-        at += len(own) + 1
-    text = np.concatenate(parts)
-    weights = np.repeat(np.array(counts, dtype=np.int64), np.array(sizes) + 1)
+    numbers, vocabulary, sizes = numbered([body.split(b" ") for body in bodies])
+    text = np.zeros(len(numbers) + len(sizes), dtype=np.int32)  # a 0 after each context
+    text[np.arange(len(numbers)) + np.repeat(np.arange(len(sizes)), sizes)] = numbers
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    weights = np.repeat(np.array(counts, dtype=np.int64), sizes + 1)
     index = FmIndex(text, len(vocabulary) + 1, depth, weights)
     out: list[list[tuple[int, int]]] = [[] for _ in bodies]
-    for c, a, b in repeated_stretches(index, text, np.array(begins), np.array(sizes), length):
+    for c, a, b in repeated_stretches(index, text, begins, sizes, length):
         out[c].append((a, b))
     return [merged(x) for x in out]
 
 
 def anchors(bodies: list[bytes], length: int, gram: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words of each text, word hashes in one stream, then for each context its anchor's hash, text, first word and words)."""
-    vocabulary = Vocabulary()
-    number = vocabulary.__getitem__
     split = [b.split() for b in bodies]
-    sizes = np.array([len(w) for w in split], dtype=np.int64)
+    stream, vocabulary, sizes = numbered(split)
     none = np.zeros(0, dtype=np.int64)
-    stream = np.concatenate([np.fromiter(map(number, w), dtype=np.int32, count=len(w)) for w in split]) if split else none
     if len(stream) < length:
         return split, np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, none, none
-    hashes = vocabulary.hashes()[stream]
+    hashes = word_hashes(vocabulary)[stream]
     n = len(stream) - gram + 1
     grams = np.zeros(n, dtype=np.uint64)
     for j in range(gram):
