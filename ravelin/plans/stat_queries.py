@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import evaluation as ev
@@ -180,8 +179,10 @@ _PAIRS = f"""WITH {MV}, p AS (SELECT mvt_id, airport, day, flight_id, (mvt_us -
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes with two predictions."""
     dep = departures(spark, sf_dir)
-    mean = lambda *k: F.round(F.avg("taxi_s").over(W.partitionBy(*k)), 3)
-    return dep.select("mvt_id", "airport", "day", "flight_id", ((F.col("mvt_us") - F.col("sched_us")) / SECOND).alias("ms"), F.col("taxi_s").alias("y"), mean("airport").alias("base"), mean("airport", "runway").alias("new"))
+    mean = lambda name, *k: dep.groupBy(*k).agg(F.round(F.avg("taxi_s"), 3).alias(name))
+    rows = dep.select("mvt_id", "airport", "runway", "day", "flight_id", ((F.col("mvt_us") - F.col("sched_us")) / SECOND).alias("ms"), F.col("taxi_s").alias("y"))
+    rows = rows.join(mean("base", "airport"), "airport").join(mean("new", "airport", "runway"), ["airport", "runway"])
+    return rows.select("mvt_id", "airport", "day", "flight_id", "ms", "y", "base", "new")
 
 
 SLICES: dict[str, Column | str] = {"all": "true", "with_plan": "flight_id IS NOT NULL", "no_plan": "flight_id IS NULL", "short": "y <= 3600", "long": "y > 3600", "copies": "coalesce(abs(y - ms) <= 60, false)", "normal": "flight_id IS NOT NULL AND y <= 7200", "false_alarm": "y < 1800 AND new > 1000"}
@@ -223,11 +224,11 @@ def share_of_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.share_of_top(pairs(spark, sf_dir), "y", "base", "new", 20, "mvt_id").select(F.round("share", 6).alias("share"))
 
 
-@query(_PAIRS + " SELECT day, count(*)::BIGINT AS n, round(sum((base - y) ** 2), 3) AS sse_base, round(sum((new - y) ** 2), 3) AS sse_new FROM p GROUP BY day")
+@query(_PAIRS + " SELECT day, count(*)::BIGINT AS n, round(sum((base - y) ** 2), 0) AS sse_base, round(sum((new - y) ** 2), 0) AS sse_new FROM p GROUP BY day")
 def bootstrap_day_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sums per day that the paired bootstrap draws from."""
     got = ev.day_sums(pairs(spark, sf_dir), "y", "base", "new", "day")
-    return got.select("day", "n", F.round("sse_base", 3).alias("sse_base"), F.round("sse_new", 3).alias("sse_new"))
+    return got.select("day", "n", F.round("sse_base", 0).alias("sse_base"), F.round("sse_new", 0).alias("sse_new"))
 
 
 @query()
