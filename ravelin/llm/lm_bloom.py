@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import materialise, partitions, texts
+from .shared import give_back, materialise, partitions, texts
 
 END = np.uint64(0x5E7D1C0FFEE01234)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -184,13 +184,13 @@ class LogFrequencyFilter:
 
 def assemble(rows: DataFrame, segments: int, base: float) -> LogFrequencyFilter:
     """The filter from its segments' rows (seg, k, bits, data), which the builders bound to max_bytes in all. They come to
-    the driver one partition at a time."""
+    the driver in 16 parts, one after another."""
     sizes = {r.seg: (r.k, r.bits) for r in rows.select("seg", "k", "bits").collect()}
     bits = np.array([sizes[s][1] if s in sizes else 64 for s in range(segments)], dtype=np.int64)
     hashes = np.array([sizes[s][0] if s in sizes else 1 for s in range(segments)], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(bits // 8)]).astype(np.int64)
     data = np.zeros(int(starts[-1]), dtype=np.uint8)
-    for r in rows.select("seg", "data").toLocalIterator():
+    for r in rows.select("seg", "data").coalesce(16).toLocalIterator():
         data[starts[r.seg] : starts[r.seg + 1]] = np.frombuffer(r.data, np.uint8)
     return LogFrequencyFilter(starts[:-1], bits, hashes, data, base)
 
@@ -227,6 +227,7 @@ def gather(docs: DataFrame, text_col: str, segments: int, chunk: int, hashes: in
             for at in range(0, len(rows), 4096):
                 part = rows[at : at + 4096]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], type=f.type) for i, f in enumerate(to_arrow_schema(packed))], names=packed.names)
+        give_back()
 
     def merge(batches):
         own: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -246,11 +247,12 @@ def gather(docs: DataFrame, text_col: str, segments: int, chunk: int, hashes: in
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64)), *(pa.nulls(len(keys), kinds.field(i).type) for i in (3, 4, 5))], names=kinds.names)
             k, bits, data = build_segment(np.concatenate([mix(keys ^ UNIGRAM), summed[2][0]]), np.concatenate([n, summed[2][1]]), hashes, base, most_bits)
             yield pa.RecordBatch.from_arrays([pa.array([x], type=kinds.field(i).type) for i, x in enumerate((2, seg, None, k, bits, data))], names=kinds.names)
+        give_back()
 
     return docs.select(text_col).mapInArrow(count, packed).repartition(max(segments // 4, 1), "seg").mapInArrow(merge, out)
 
 
-def fit(docs: DataFrame, text_col: str = "text", hashes: int = 6, base: float = 1.5, max_bytes: int = 128 << 20, hot_words: int = 400_000, mu: float = 4.0, chunk: int = 4 << 20) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, text_col: str = "text", hashes: int = 6, base: float = 1.5, max_bytes: int = 128 << 20, hot_words: int = 400_000, mu: float = 4.0, chunk: int = 2 << 20) -> tuple[Model, DataFrame]:
     """The model, and all words' (key, n), learned from docs."""
     spark = docs.sparkSession
     segments = 4 * partitions(spark)
@@ -292,7 +294,7 @@ def score_texts(bodies: list[bytes], model: Model) -> dict[str, list | np.ndarra
     }
 
 
-def lm_score(docs: DataFrame, may_learn, text_col: str = "text", chunk: int = 2 << 20, **how) -> DataFrame:
+def lm_score(docs: DataFrame, may_learn, text_col: str = "text", chunk: int = 1 << 20, **how) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score, learned from the rows where may_learn holds."""
     spark = docs.sparkSession
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -311,9 +313,11 @@ def lm_score(docs: DataFrame, may_learn, text_col: str = "text", chunk: int = 2
             passed = [rows.column(c).combine_chunks() for c in schema.names[: len(schema.names) - 5]]
             tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(t) for t in got["tail"]])]).astype(np.int32)), pa.array(np.concatenate(got["tail"])))
             yield pa.RecordBatch.from_arrays([*passed, pa.array(got["n_tokens"]), pa.array(got["hot_known"]), pa.array(got["hot_base"]), pa.array(got["score"]), tail], names=schema.names)
+        give_back()
 
     # Written once: the rows' numbers must not change between the two uses.
     done = materialise(numbered.mapInArrow(run, schema), "scores")
+    sent.destroy()
     space = float(model.total + 0.5 * (model.distinct + 1))
     tails = done.select("__rv_row", F.explode("__rv_tail").alias("key")).join(words, "key", "left")
     tails = tails.groupBy(F.col("__rv_row").alias("__rv_at")).agg(F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / space)).alias("__rv_more"), F.count("n").alias("__rv_found"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lm_bloom import _A, LogFrequencyFilter, assemble, build_segment, chunks, mix, numbered, segment_of, word_hashes
-from .shared import arrow_map, materialise, partitions, texts
+from .shared import arrow_map, give_back, materialise, partitions, texts
 from .wu_manber import merged
 
 
@@ -222,6 +222,7 @@ def anchor_filters(docs: DataFrame, text_col: str, length: int, gram: int, chunk
             cut = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1], [True]])) if len(seg) else np.zeros(0, int)
             rows = [(int(seg[a]), keys[a:b].astype("<u8").tobytes(), n[a:b].astype("<u2").tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["seg", "keys", "n"])
+        give_back()
 
     def gather(batches):
         own: dict[int, list] = {}
@@ -266,7 +267,7 @@ def unpacked(batch: pa.RecordBatch) -> list[bytes]:
     return [tool.decompress(z) for z in batch.column("__rv_z").to_pylist()]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, gram: int = 8, chunk: int = 6 << 20, shard_words: int = 400_000, filter_bytes: int = 64 << 20, crowd: int = 512, out: tuple[str, str, str] = ("kept_words", "n_words", "stretches")) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, gram: int = 8, chunk: int = 3 << 20, shard_words: int = 400_000, filter_bytes: int = 64 << 20, crowd: int = 512, out: tuple[str, str, str] = ("kept_words", "n_words", "stretches")) -> DataFrame:
     """docs (without their text) with the words kept, joined by spaces, the words there were, and the removed [begin, end) stretches of words."""
     spark = docs.sparkSession
     docs = docs.select(*[c for c in docs.columns if c not in out])
@@ -289,8 +290,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ctx = context_digests(hashes, stream_begins(split, owner, first), words).view(np.int64)
             rows = pa.Table.from_batches([b.select(list(ROW)) for b, _ in held]).take(pa.array(owner)).combine_chunks()
             yield from pa.table([pa.array(keys.view(np.int64)), pa.array(ctx), *rows.columns, pa.array(first.astype(np.int32)), pa.array(words.astype(np.int32))], names=["key", "ctx", *ROW, "first", "words"]).combine_chunks().to_batches()
+        give_back()
 
     placed = materialise(keyed.select(*ROW, text_col).mapInArrow(place, f"key long, ctx long, {ROW[0]} long, {ROW[1]} long, first int, words int"), "places")
+    sent.destroy()
     distinct = placed.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct(*ROW, "first", "words")).alias("at"))
     asked = distinct.groupBy(*[F.col(f"at.{r}").alias(r) for r in ROW]).agg(F.collect_list(F.struct("key", "ctx", F.least("n", F.lit(2)).cast("int").alias("n"), "at.first", "at.words")).alias("asked"))
     # One row gives the words of a context; rows that are wholly equal would give it twice.
@@ -337,6 +340,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows = [(int(key[i]), int(ctx[i]), [x for x, _ in s], [y for _, y in s]) for i, s in zip(mine.tolist(), found, strict=True) if s]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], names=["key", "ctx", "begins", "ends"])
+        give_back()
 
     reported = materialise(contexts.repartition(partitions(spark), "key").mapInArrow(look, "key long, ctx long, begins array<int>, ends array<int>"), "reported")
     covered = placed.select("key", "ctx", *ROW, "first").join(reported, ["key", "ctx"])
