@@ -2,17 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_lines int, fp string, score string, ids string, key string, kept_text string, spans string, __rv_x int"
-
-
-def prose(rng, n, words=None):
-    words = words or ["the", "And", "of", "Étre", "tion,", "ing.", "漢字", "x1", "don't", "a-b", "!!", "río"]
-    return " ".join(rng.choice(words) + (rng.choice("abcdef") * rng.randint(0, 2)) for _ in range(n))
-
-
-def rows_of(texts):
-    """(doc_id, text) pairs as documents with extra columns whose names operators use themselves."""
-    return [(i, t, "en", "s", None if t is None else len(t), 7, "f", "s", "i", "k", "kt", "sp", 1) for i, t in texts]
+from brute import SCHEMA, prose, rows_of
 
 
 @pytest.fixture(scope="session")

@@ -74,3 +74,16 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == docs.columns
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "simhash_near_dedup", "decontaminate", "sentencepiece"]
+
+
+def test_stages_take_hard_documents(spark, hard_docs, no_docs):
+    """Nulls, repeated rows, clashing names and an empty table pass through every stage."""
+    for docs, some in ((hard_docs, True), (no_docs, False)):
+        for _, stage in corpus_pipeline.STAGES[1:-1]:  # the classifier rejects these texts
+            docs = stage(spark, docs, DATA)
+            assert docs.columns == hard_docs.columns
+        assert (docs.count() > 0) == some
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == docs.count()
+        assert corpus_pipeline.STAGES[0][1](spark, docs, DATA).columns == hard_docs.columns
+    dropped = corpus_pipeline.line_dedup_stage(spark, hard_docs, DATA).filter("n_chars <> length(text)").count()
+    assert dropped == 0

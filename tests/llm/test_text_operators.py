@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from conftest import SCHEMA, prose, rows_of
+from brute import SCHEMA, prose, rows_of
 from ravelin.llm import line_dedup, lm_bloom, piece_codec, quality_gbdt, simhash, substring_fm, wu_manber
 from ravelin.llm.queries import tokenizer_path
 from ravelin.llm.shared import components, held_out
