@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lm_bloom import _A, LogFrequencyFilter, assemble, build_segment, chunks, mix, numbered, segment_of, word_hashes
+from .lm_bloom import _A, LogFrequencyFilter, assemble, build_segment, chunks, mix, numbered, segment_of
 from .shared import arrow_map, give_back, materialise, partitions, texts
 from .wu_manber import merged
 
@@ -155,15 +155,44 @@ def search_shard(bodies: list[bytes], counts: list[int], length: int, depth: int
     return [merged(x) for x in out]
 
 
-def anchors(bodies: list[bytes], length: int, gram: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words of each text, word hashes in one stream, then for each context its anchor's hash, text, first word and words)."""
-    split = [b.split() for b in bodies]
-    stream, vocabulary, sizes = numbered(split)
+_SPACE = np.array([b in (9, 10, 11, 12, 13, 32) for b in range(256)])
+#: An odd number whose powers weigh the bytes of a word, and its inverse modulo 2^64.
+_RADIX = 0xA24BAED4963EE407
+_INVERSE = pow(_RADIX, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo 2^64, kept for the next call."""
+    if len(_powers.get(base, ())) < n:
+        full = np.full(max(n, 1), base, dtype=np.uint64)
+        full[0] = 1
+        _powers[base] = np.multiply.accumulate(full)
+    return _powers[base][:n]
+
+
+def word_stream(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words, one text after another; words of each text), without an object for each word: a word's
+    hash is a difference of the bytes' running weighted sum."""
+    raw = np.frombuffer(b" ".join([*bodies, b""]), dtype=np.uint8)
+    space = _SPACE[raw]
+    before = np.concatenate([[True], space[:-1]])
+    starts, ends = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
+    total = np.cumsum(raw * powers(_RADIX, len(raw)), dtype=np.uint64)
+    lower = np.where(starts > 0, total[starts - 1], np.uint64(0)) if len(starts) else np.zeros(0, np.uint64)
+    value = (total[ends - 1] - lower) * powers(_INVERSE, len(raw))[starts]
+    stops = np.cumsum(np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies)) + 1)
+    sizes = np.diff(np.searchsorted(starts, np.concatenate([[0], stops])))
+    return mix(value * _A + (ends - starts).astype(np.uint64)), sizes
+
+
+def anchors(bodies: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each text, all word hashes in one stream, then for each context its anchor's hash, text, first word and words)."""
+    hashes, sizes = word_stream(bodies)
     none = np.zeros(0, dtype=np.int64)
-    if len(stream) < length:
-        return split, np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, none, none
-    hashes = word_hashes(vocabulary)[stream]
-    n = len(stream) - gram + 1
+    if len(hashes) < length:
+        return sizes, hashes, np.zeros(0, np.uint64), none, none, none
+    n = len(hashes) - gram + 1
     grams = np.zeros(n, dtype=np.uint64)
     for j in range(gram):
         grams = grams * _A + hashes[j : n + j]
@@ -175,17 +204,17 @@ def anchors(bodies: list[bytes], length: int, gram: int) -> tuple[list[list[byte
         left, right = best[:-step], best[step:]
         best = np.where(grams[right] < grams[left], right, left)
         span += step
-    text_of = np.repeat(np.arange(len(split)), sizes)
+    text_of = np.repeat(np.arange(len(sizes)), sizes)
     at = np.arange(len(best))
     inside = text_of[at] == text_of[at + length - 1]
     at, best = at[inside], best[inside]
     if not len(at):
-        return split, hashes, np.zeros(0, np.uint64), none, none, none
+        return sizes, hashes, np.zeros(0, np.uint64), none, none, none
     owner = text_of[at]
     cut = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])]))
     windows = np.diff(np.append(cut, len(at)))
     first = at[cut] - np.concatenate([[0], np.cumsum(sizes)[:-1]])[owner[cut]]
-    return split, hashes, grams[best[cut]], owner[cut], first, windows + length - 1
+    return sizes, hashes, grams[best[cut]], owner[cut], first, windows + length - 1
 
 
 ROW = ("__rv_a", "__rv_b")
@@ -200,8 +229,8 @@ def context_digests(hashes: np.ndarray, begin: np.ndarray, words: np.ndarray) ->
     return np.fromiter((digest(raw[a:b]) for a, b in zip((8 * begin).tolist(), (8 * (begin + words)).tolist(), strict=True)), dtype=np.uint64, count=len(begin))
 
 
-def stream_begins(split: list[list[bytes]], owner: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum([len(w) for w in split])[:-1]]).astype(np.int64)[owner] + first
+def stream_begins(sizes: np.ndarray, owner: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return (np.cumsum(sizes) - sizes)[owner] + first
 
 
 def anchor_filters(docs: DataFrame, text_col: str, length: int, gram: int, chunk: int, crowd: int, max_bytes: int) -> tuple[LogFrequencyFilter, LogFrequencyFilter]:
@@ -212,8 +241,8 @@ def anchor_filters(docs: DataFrame, text_col: str, length: int, gram: int, chunk
 
     def send(batches):
         for held in chunks(batches, chunk, text_col):
-            split, hashes, keys, owner, first, words = anchors([b for _, bodies in held for b in bodies], length, gram)
-            digests = context_digests(hashes, stream_begins(split, owner, first), words)
+            sizes, hashes, keys, owner, first, words = anchors([b for _, bodies in held for b in bodies], length, gram)
+            digests = context_digests(hashes, stream_begins(sizes, owner, first), words)
             n = np.unique(keys, return_counts=True)[1]
             keys, differ = np.unique(keys[np.unique(mix(keys * _A + digests), return_index=True)[1]], return_counts=True)
             seg = segment_of(keys, segments)
@@ -243,13 +272,13 @@ def anchor_filters(docs: DataFrame, text_col: str, length: int, gram: int, chunk
     return again, crowded
 
 
-def single_windows(split, hashes, keys, owner, first, words, length: int):
+def single_windows(sizes, hashes, keys, owner, first, words, length: int):
     """Contexts cut into their windows, each filed under a hash of all its words."""
     n = words - length + 1
     at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     owner, first = np.repeat(owner, n), np.repeat(first, n) + at
     words = np.full(len(first), length, dtype=np.int64)
-    return mix(context_digests(hashes, stream_begins(split, owner, first), words)), owner, first, words
+    return mix(context_digests(hashes, stream_begins(sizes, owner, first), words)), owner, first, words
 
 
 def pack(docs: DataFrame, text_col: str) -> DataFrame:
@@ -276,7 +305,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def place(batches):
         for held in chunks(batches, chunk, text_col):
-            split, hashes, keys, owner, first, words = anchors([b for _, bodies in held for b in bodies], length, gram)
+            sizes, hashes, keys, owner, first, words = anchors([b for _, bodies in held for b in bodies], length, gram)
             if not len(keys):
                 continue
             again, crowded = sent.value
@@ -285,9 +314,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             one = take & ~many
             parts = [(keys[one], owner[one], first[one], words[one])]
             if many.any():
-                parts.append(single_windows(split, hashes, keys[many], owner[many], first[many], words[many], length))
+                parts.append(single_windows(sizes, hashes, keys[many], owner[many], first[many], words[many], length))
             keys, owner, first, words = (np.concatenate(x) for x in zip(*parts, strict=True))
-            ctx = context_digests(hashes, stream_begins(split, owner, first), words).view(np.int64)
+            ctx = context_digests(hashes, stream_begins(sizes, owner, first), words).view(np.int64)
             rows = pa.Table.from_batches([b.select(list(ROW)) for b, _ in held]).take(pa.array(owner)).combine_chunks()
             yield from pa.table([pa.array(keys.view(np.int64)), pa.array(ctx), *rows.columns, pa.array(first.astype(np.int32)), pa.array(words.astype(np.int32))], names=["key", "ctx", *ROW, "first", "words"]).combine_chunks().to_batches()
         give_back()
