@@ -160,6 +160,7 @@ _SPACE = np.array([b in (9, 10, 11, 12, 13, 32) for b in range(256)])
 _RADIX = 0xA24BAED4963EE407
 _INVERSE = pow(_RADIX, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+STRETCH = 1 << 19
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -178,12 +179,19 @@ def word_stream(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[raw]
     before = np.concatenate([[True], space[:-1]])
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
-    total = np.cumsum(raw * powers(_RADIX, len(raw)), dtype=np.uint64)
-    lower = np.where(starts > 0, total[starts - 1], np.uint64(0)) if len(starts) else np.zeros(0, np.uint64)
-    value = (total[ends - 1] - lower) * powers(_INVERSE, len(raw))[starts]
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):  # a stretch of whole words at a time, so that memory does not follow the longest text
+        first = int(starts[at])
+        upto = max(at + 1, int(np.searchsorted(ends, first + STRETCH, side="right")))
+        own, stop = starts[at:upto] - first, ends[at:upto] - first
+        part = raw[first : first + int(stop[-1])]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * powers(_RADIX, len(part)), dtype=np.uint64)])
+        value = (total[stop] - total[own]) * powers(_INVERSE, len(part))[own]
+        hashes[at:upto] = mix(value * _A + (stop - own).astype(np.uint64))
+        at = upto
     stops = np.cumsum(np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies)) + 1)
-    sizes = np.diff(np.searchsorted(starts, np.concatenate([[0], stops])))
-    return mix(value * _A + (ends - starts).astype(np.uint64)), sizes
+    return hashes, np.diff(np.searchsorted(starts, np.concatenate([[0], stops])))
 
 
 def anchors(bodies: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -278,3 +278,17 @@ def test_empty_tables(spark, no_docs):
 def test_an_empty_benchmark_hits_nothing(spark, hard_docs):
     got = wu_manber.contamination(wu_manber.find_items(hard_docs, spark.createDataFrame([], "item_id long, text string")))
     assert got.filter("contaminated OR n_hit > 0 OR size(items) > 0").count() == 0
+
+
+def test_word_hashes_do_not_depend_on_where_words_stand(monkeypatch):
+    rng = random.Random(9)
+    bodies = [" \t".join("".join(rng.choice("abé漢") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 40))).encode() for _ in range(30)] + [b"", b" \n ", b" a", b"a "]
+    words = [w for b in bodies for w in b.split()]
+    for stretch in (1 << 19, 7):
+        monkeypatch.setattr(substring_fm, "STRETCH", stretch)
+        hashes, sizes = substring_fm.word_stream(bodies)
+        assert sizes.tolist() == [len(b.split()) for b in bodies]
+        by_word = {}
+        for w, h in zip(words, hashes.tolist(), strict=True):
+            assert by_word.setdefault(w, h) == h
+        assert len(set(by_word.values())) == len(by_word)
