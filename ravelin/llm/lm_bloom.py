@@ -30,25 +30,18 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .shared import give_back, materialise, partitions, texts
+from .words import _A, mix, word_stream
 
 END = np.uint64(0x5E7D1C0FFEE01234)
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 UNIGRAM = np.uint64(0xD6E8FEB86659FD93)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _B
-    x = (x ^ (x >> np.uint64(27))) * _C
-    return x ^ (x >> np.uint64(31))
-
-
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * _A + second)
 
@@ -61,25 +54,19 @@ def numbered(lists: list[list[bytes]]) -> tuple[np.ndarray, list[bytes], np.ndar
     return np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), dtype=np.int32, count=int(sizes.sum())), words, sizes
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """Hashes by number; 0 is the end token."""
-    out = np.empty(len(words) + 1, dtype=np.uint64)
-    out[0] = END
-    out[1:] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-    return out
-
-
 def stream(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(numbers, hashes by number, tokens of each text): the texts' tokens one after another, each text with its end."""
-    found, words, sizes = numbered([b.lower().split() for b in bodies])  # of bytes: A-Z and ASCII white space only
-    numbers = np.zeros(len(found) + len(sizes), dtype=np.int32)
-    numbers[np.arange(len(found)) + np.repeat(np.arange(len(sizes)), sizes)] = found
-    return numbers, word_hashes(words), sizes + 1
+    """(numbers, hashes by number, tokens of each text): the texts' tokens one after another, each text with its end. A-Z are
+    lower-cased."""
+    found, sizes = word_stream([b.lower() for b in bodies])
+    tokens = np.full(len(found) + len(sizes), END, dtype=np.uint64)
+    tokens[np.arange(len(found)) + np.repeat(np.arange(len(sizes)), sizes)] = found
+    names, numbers = np.unique(tokens, return_inverse=True)
+    return numbers, names, sizes + 1
 
 
-def histories(numbers: np.ndarray) -> np.ndarray:
+def histories(numbers: np.ndarray, names: np.ndarray) -> np.ndarray:
     """The number before each token; a text's first word follows the end token, as the text before it ended."""
-    return np.concatenate([np.zeros(1, dtype=numbers.dtype), numbers[:-1]])
+    return np.concatenate([np.searchsorted(names, [END]), numbers[:-1]])
 
 
 def chunks(batches, size: int, text_col: str):
@@ -217,7 +204,7 @@ def gather(docs: DataFrame, text_col: str, segments: int, chunk: int, hashes: in
             rows = []
             once = np.bincount(numbers, minlength=len(names)).astype(np.uint64)
             known = once > 0
-            pairs, pair_counts = np.unique(pair_keys(names[histories(numbers)], names[numbers]), return_counts=True)
+            pairs, pair_counts = np.unique(pair_keys(names[histories(numbers, names)], names[numbers]), return_counts=True)
             for kind, keys, n in ((1, names[known], once[known]), (2, pairs, pair_counts.astype(np.uint64))):
                 seg = segment_of(keys if kind == 2 else mix(keys ^ UNIGRAM), segments)
                 order = np.argsort(seg, kind="stable")
@@ -286,7 +273,7 @@ def score_texts(bodies: list[bytes], model: Model) -> dict[str, list | np.ndarra
     filt = model.filter
     once = count_of(filt.levels(mix(names ^ UNIGRAM)), filt.base)
     unigram = (once + 0.5) / space
-    before = histories(numbers)
+    before = histories(numbers, names)
     twice = count_of(filt.levels(pair_keys(names[before], names[numbers])), filt.base)
     p = (np.minimum(twice, once[before]) + model.mu * unigram[numbers]) / (once[before] + model.mu)
     return {

@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lm_bloom import _A, LogFrequencyFilter, assemble, build_segment, chunks, mix, numbered, segment_of
+from .lm_bloom import LogFrequencyFilter, assemble, build_segment, chunks, numbered, segment_of
 from .shared import arrow_map, give_back, materialise, partitions, texts
+from .words import _A, mix, word_stream
 from .wu_manber import merged
 
 
@@ -155,45 +156,6 @@ def search_shard(bodies: list[bytes], counts: list[int], length: int, depth: int
     return [merged(x) for x in out]
 
 
-_SPACE = np.array([b in (9, 10, 11, 12, 13, 32) for b in range(256)])
-#: An odd number whose powers weigh the bytes of a word, and its inverse modulo 2^64.
-_RADIX = 0xA24BAED4963EE407
-_INVERSE = pow(_RADIX, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-STRETCH = 1 << 19
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64, kept for the next call."""
-    if len(_powers.get(base, ())) < n:
-        full = np.full(max(n, 1), base, dtype=np.uint64)
-        full[0] = 1
-        _powers[base] = np.multiply.accumulate(full)
-    return _powers[base][:n]
-
-
-def word_stream(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of all words, one text after another; words of each text), without an object for each word: a word's
-    hash is a difference of the bytes' running weighted sum."""
-    raw = np.frombuffer(b" ".join([*bodies, b""]), dtype=np.uint8)
-    space = _SPACE[raw]
-    before = np.concatenate([[True], space[:-1]])
-    starts, ends = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
-    hashes = np.empty(len(starts), dtype=np.uint64)
-    at = 0
-    while at < len(starts):  # a stretch of whole words at a time, so that memory does not follow the longest text
-        first = int(starts[at])
-        upto = max(at + 1, int(np.searchsorted(ends, first + STRETCH, side="right")))
-        own, stop = starts[at:upto] - first, ends[at:upto] - first
-        part = raw[first : first + int(stop[-1])]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * powers(_RADIX, len(part)), dtype=np.uint64)])
-        value = (total[stop] - total[own]) * powers(_INVERSE, len(part))[own]
-        hashes[at:upto] = mix(value * _A + (stop - own).astype(np.uint64))
-        at = upto
-    stops = np.cumsum(np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies)) + 1)
-    return hashes, np.diff(np.searchsorted(starts, np.concatenate([[0], stops])))
-
-
 def anchors(bodies: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words of each text, all word hashes in one stream, then for each context its anchor's hash, text, first word and words)."""
     hashes, sizes = word_stream(bodies)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import brute
 from brute import SCHEMA, prose, rows_of
-from ravelin.llm import line_dedup, lm_bloom, piece_codec, quality_gbdt, simhash, substring_fm, wu_manber
+from ravelin.llm import line_dedup, lm_bloom, piece_codec, quality_gbdt, simhash, substring_fm, words, wu_manber
 from ravelin.llm.queries import tokenizer_path
 from ravelin.llm.shared import components, held_out
 
@@ -283,12 +283,12 @@ def test_an_empty_benchmark_hits_nothing(spark, hard_docs):
 def test_word_hashes_do_not_depend_on_where_words_stand(monkeypatch):
     rng = random.Random(9)
     bodies = [" \t".join("".join(rng.choice("abé漢") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 40))).encode() for _ in range(30)] + [b"", b" \n ", b" a", b"a "]
-    words = [w for b in bodies for w in b.split()]
+    every = [w for b in bodies for w in b.split()]
     for stretch in (1 << 19, 7):
-        monkeypatch.setattr(substring_fm, "STRETCH", stretch)
-        hashes, sizes = substring_fm.word_stream(bodies)
+        monkeypatch.setattr(words, "STRETCH", stretch)
+        hashes, sizes = words.word_stream(bodies)
         assert sizes.tolist() == [len(b.split()) for b in bodies]
         by_word = {}
-        for w, h in zip(words, hashes.tolist(), strict=True):
+        for w, h in zip(every, hashes.tolist(), strict=True):
             assert by_word.setdefault(w, h) == h
         assert len(set(by_word.values())) == len(by_word)
