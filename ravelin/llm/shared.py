@@ -1,4 +1,4 @@
-"""What the text operators share: shared storage, word rules, Arrow maps, components."""
+"""What the text operators share: Arrow maps, texts as bytes, held-out rows, connected components."""
 
 from __future__ import annotations
 
@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from ..sources.movements import table
 from ..sources.storage import materialise, release
 
-__all__ = ["arrow_map", "components", "held_out", "materialise", "partitions", "release", "table", "texts"]
+__all__ = ["arrow_map", "components", "give_back", "held_out", "materialise", "partitions", "release", "table", "texts"]
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -66,8 +67,8 @@ def held_out(column: str, modulus: int, remainder: int):
 def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges of longs, by alternating large and small stars.
 
-    Every node of an edge gets a row. Each round is written to the shared folder. A hub with many neighbours is only
-    ever aggregated by min, and joined on through a join that adaptive execution may split.
+    Every node of an edge gets a row. Each round is written to the shared folder. A hub with many neighbours is aggregated by
+    min before the shuffle; its rows in a round's joins are pairs of numbers, which stream through.
     """
     now = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).distinct()
     now, first = materialise(now, "edges"), None
