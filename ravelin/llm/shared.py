@@ -16,6 +16,10 @@ from ..sources.storage import materialise, release
 __all__ = ["arrow_map", "components", "give_back", "held_out", "materialise", "partitions", "release", "table", "texts"]
 
 
+#: Rows that a worker turns into Python objects at a time.
+SLICE = 1000
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -32,14 +36,15 @@ def arrow_map(
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = fn(batch)
-            columns = [batch.column(c) for c in keep]
-            for field in kinds:
-                got = new[field.name]
-                columns.append(got if isinstance(got, (pa.Array, pa.ChunkedArray)) else pa.array(got, type=field.type))
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f.name for f in kinds)])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                new = fn(part)
+                columns = [part.column(c) for c in keep]
+                for field in kinds:
+                    got = new[field.name]
+                    columns.append(got if isinstance(got, (pa.Array, pa.ChunkedArray)) else pa.array(got, type=field.type))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f.name for f in kinds)])
+        give_back()
 
     return df.mapInArrow(run, out)
 
