@@ -6,8 +6,11 @@ segment's part of the filter. An n-gram of count c is entered under the levels 1
 reader finds its quantised count by probing level after level until one is missing. Quantised counts never fall short
 of their level; a false positive, with probability 2^-hashes for a level, can only raise one.
 
-The filter is broadcast. Its size is bounded by `max_bytes`: every n-gram is entered at any input size, and where the
-bound binds, a segment uses fewer hashes for each level, so errors become likelier but nothing is left out.
+The filter's size follows the n-grams: each level of each n-gram has the same bits and hashes at any input size, and so
+the same errors. A filter of up to `max_bytes` is broadcast. A larger one stays in the shared folder: each chunk of texts
+sends its distinct n-grams, by ranges of segments, to the task that holds a range (of `slice_bytes` or so) and gets their
+levels back, in `rounds` over a share of the texts each, so that questions and answers never lie on disk all at once. Scores
+are the same either way.
 
 p(w | v) = (min(c(vw), c(v)) + mu * p(w)) / (c(v) + mu), p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), all c from the filter;
 the history of a text's first word is the end token.
@@ -24,18 +27,20 @@ empty table; other columns pass through.
 
 from __future__ import annotations
 
+import gc
 from dataclasses import dataclass
 from itertools import chain
 from math import log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import give_back, materialise, partitions, texts
+from .shared import give_back, materialise, partitions, release, texts
 from .words import _A, mix, word_stream
 
 END = np.uint64(0x5E7D1C0FFEE01234)
@@ -139,11 +144,14 @@ class LogFrequencyFilter:
     hashes: np.ndarray
     data: np.ndarray
     base: float
+    #: The first segment held, and how many there are in all (0: those held).
+    low: int = 0
+    segments: int = 0
 
     def levels(self, keys: np.ndarray, most: int = 120) -> np.ndarray:
         """The quantised count of each key, by probing level after level."""
         found = np.zeros(len(keys), dtype=np.int64)
-        seg = segment_of(keys, len(self.bits))
+        seg = segment_of(keys, self.segments or len(self.bits)) - self.low
         start, bits = (self.starts * 8).astype(np.uint64)[seg], self.bits.astype(np.uint64)[seg]
         top, same = int(self.hashes.max(initial=1)), self.hashes.min(initial=1 << 30) == self.hashes.max(initial=1)
         k = None if same else self.hashes[seg]
@@ -184,19 +192,20 @@ def assemble(rows: DataFrame, segments: int, base: float) -> LogFrequencyFilter:
 
 @dataclass
 class Model:
-    filter: LogFrequencyFilter
+    filter: LogFrequencyFilter | None  # None if it is too large to broadcast
     total: int
     distinct: int
     hot_keys: np.ndarray
     hot_counts: np.ndarray
     mu: float
+    base: float
+    segments: int
 
 
-def gather(docs: DataFrame, text_col: str, segments: int, chunk: int, hashes: int, base: float, max_bytes: int) -> DataFrame:
+def gather(docs: DataFrame, text_col: str, segments: int, chunk: int, hashes: int, base: float) -> DataFrame:
     """Rows of kind 1: (key, n) of words; of kind 2: (segment, hashes, bits, data) of the filter."""
     packed = T.StructType([T.StructField("seg", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
     out = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("bits", T.LongType()), T.StructField("data", T.BinaryType())])
-    most_bits = max(64, max_bytes * 8 // segments)
 
     def count(batches):
         for held in chunks(batches, chunk, text_col):
@@ -232,18 +241,20 @@ def gather(docs: DataFrame, text_col: str, segments: int, chunk: int, hashes: in
                 summed[kind] = keys, np.bincount(where, weights=n, minlength=len(keys))
             keys, n = summed[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64)), *(pa.nulls(len(keys), kinds.field(i).type) for i in (3, 4, 5))], names=kinds.names)
-            k, bits, data = build_segment(np.concatenate([mix(keys ^ UNIGRAM), summed[2][0]]), np.concatenate([n, summed[2][1]]), hashes, base, most_bits)
+            k, bits, data = build_segment(np.concatenate([mix(keys ^ UNIGRAM), summed[2][0]]), np.concatenate([n, summed[2][1]]), hashes, base, 1 << 32)
+            if k < hashes and bits > 64:
+                raise ValueError(f"segment {seg} has over 2^32 bits: more shuffle partitions are needed")
             yield pa.RecordBatch.from_arrays([pa.array([x], type=kinds.field(i).type) for i, x in enumerate((2, seg, None, k, bits, data))], names=kinds.names)
         give_back()
 
     return docs.select(text_col).mapInArrow(count, packed).repartition(max(segments // 4, 1), "seg").mapInArrow(merge, out)
 
 
-def fit(docs: DataFrame, text_col: str = "text", hashes: int = 6, base: float = 1.5, max_bytes: int = 128 << 20, hot_words: int = 400_000, mu: float = 4.0, chunk: int = 2 << 20) -> tuple[Model, DataFrame]:
-    """The model, and all words' (key, n), learned from docs."""
+def fit(docs: DataFrame, text_col: str = "text", hashes: int = 6, base: float = 1.5, max_bytes: int = 128 << 20, hot_words: int = 400_000, mu: float = 4.0, chunk: int = 2 << 20) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, all words' (key, n), and the filter's segments (seg, k, bits, data), learned from docs."""
     spark = docs.sparkSession
     segments = 4 * partitions(spark)
-    gathered = materialise(gather(docs, text_col, segments, chunk, hashes, base, max_bytes), "counts")
+    gathered = materialise(gather(docs, text_col, segments, chunk, hashes, base), "counts")
     words = gathered.filter("kind = 1").select("key", "n")
     # How many words there are of each size of count; a size's words are all hot or none.
     size = F.floor(F.log2("n") * 8).cast("int")
@@ -256,12 +267,77 @@ def fit(docs: DataFrame, text_col: str = "text", hashes: int = 6, base: float =
         least = r["size"]
     hot = (words.filter(size >= least) if least is not None else words.limit(0)).toPandas()  # hot_words rows at most
     order = np.argsort(hot["key"].to_numpy().view(np.uint64))
-    filt = assemble(gathered.filter("kind = 2").select(F.col("key").alias("seg"), "k", "bits", "data"), segments, base)
-    return Model(filt, total, distinct, hot["key"].to_numpy().view(np.uint64)[order], hot["n"].to_numpy()[order], mu), words
+    parts = gathered.filter("kind = 2").select(F.col("key").alias("seg"), "k", "bits", "data")
+    fits = (parts.agg(F.sum("bits")).first()[0] or 0) <= 8 * max_bytes
+    filt = assemble(parts, segments, base) if fits else None
+    return Model(filt, total, distinct, hot["key"].to_numpy().view(np.uint64)[order], hot["n"].to_numpy()[order], mu, base, segments), words, parts
+
+
+def asked(bodies: list[bytes]) -> np.ndarray:
+    """The distinct keys that texts' scores look up, in order and so by segment."""
+    numbers, names, _ = stream(bodies)
+    return np.unique(np.concatenate([mix(names ^ UNIGRAM), pair_keys(names[histories(numbers, names)], names[numbers])]))
+
+
+def probe_slices(numbered: DataFrame, parts: DataFrame, model: Model, text_col: str, chunk: int, slice_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The questions as written, and (chunk, slice, body): for each chunk of texts its rows as Arrow bytes (slice -1), and the levels of its keys
+    from each slice of the filter, one after another."""
+    size = parts.agg(F.sum("bits")).first()[0] // 8
+    slices = int(min(model.segments, max(1, -(-size // slice_bytes))))
+    segments, base = model.segments, model.base
+    sent = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("slice", T.IntegerType()), T.StructField("seg", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("bits", T.LongType()), T.StructField("body", T.BinaryType())])
+    back = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("slice", T.IntegerType()), T.StructField("body", T.BinaryType())])
+
+    def batch(schema, *rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(to_arrow_schema(schema))], names=schema.names)
+
+    def ask(batches):
+        first = TaskContext.get().partitionId() << 32
+        for n, held in enumerate(chunks(batches, chunk, text_col)):
+            rows = pa.Table.from_batches([b for b, _ in held])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as writer:
+                writer.write_table(rows)
+            keys = asked([b for _, bodies in held for b in bodies])
+            where = segment_of(keys, segments) * slices // segments
+            cut = np.searchsorted(where, np.arange(slices + 1))
+            yield batch(sent, (first + n, -1, None, None, None, sink.getvalue().to_pybytes()))
+            yield batch(sent, *[(first + n, i, None, None, None, keys[a:b].astype("<u8").tobytes()) for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a])
+        give_back()
+
+    def answer(batches):
+        """A slice's segments come before its questions."""
+        now, own, filt, low = None, [], None, 0
+        for got in batches:
+            for c, i, seg, k, bits, body in zip(*(got.column(x).to_pylist() for x in sent.names[:-1]), got.column("body"), strict=True):
+                body = body.as_py()
+                if i != now:
+                    now, own, filt = i, [], None
+                if c is None:
+                    own.append((seg, k, bits, body))
+                    continue
+                if filt is None:
+                    low, high = -(-i * segments // slices), -(-(i + 1) * segments // slices)
+                    held = {x[0]: x for x in own}
+                    own = [held.get(s, (s, 1, 64, bytes(8))) for s in range(low, high)]
+                    ends = np.cumsum([0, *(len(x[3]) for x in own)])
+                    filt = LogFrequencyFilter(ends[:-1].astype(np.int64), np.array([x[2] for x in own]), np.array([x[1] for x in own]), np.frombuffer(b"".join(x[3] for x in own), np.uint8), base, low, segments)
+                    own, held = [], None
+                yield batch(back, (c, i, filt.levels(np.frombuffer(body, "<u8")).astype(np.uint8).tobytes()))
+        give_back()
 
+    questions = materialise(numbered.mapInArrow(ask, sent), "questions")
+    blank = F.lit(None)
+    mine = parts.select(blank.cast("long").alias("chunk"), F.floor(F.col("seg") * slices / segments).cast("int").alias("slice"), "seg", "k", "bits", F.col("data").alias("body"))
+    both = questions.filter("slice >= 0").unionByName(mine)
+    n = partitions(numbered.sparkSession)
+    answers = both.repartition(n, "slice").sortWithinPartitions("slice", F.col("chunk").asc_nulls_first()).mapInArrow(answer, back)
+    return questions, questions.filter("slice < 0").select(*back.names).unionByName(answers).repartition(n, "chunk").sortWithinPartitions("chunk", "slice")
 
-def score_texts(bodies: list[bytes], model: Model) -> dict[str, list | np.ndarray]:
-    """For each text: tokens, hot known tokens, their base score, the model's score, and the keys of its other tokens."""
+
+def score_texts(bodies: list[bytes], model: Model, levels=None) -> dict[str, list | np.ndarray]:
+    """For each text: tokens, hot known tokens, their base score, the model's score, and the keys of its other tokens. levels
+    tells keys' levels, if the model holds no filter."""
     numbers, names, sizes = stream(bodies)
     space = model.total + 0.5 * (model.distinct + 1)
     at = np.minimum(np.searchsorted(model.hot_keys, names), max(len(model.hot_keys) - 1, 0))
@@ -270,40 +346,83 @@ def score_texts(bodies: list[bytes], model: Model) -> dict[str, list | np.ndarra
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     rare = np.flatnonzero(~hot[numbers])
     tails = np.split(names[numbers[rare]].view(np.int64), np.searchsorted(rare, begin[1:]))
-    filt = model.filter
-    once = count_of(filt.levels(mix(names ^ UNIGRAM)), filt.base)
+    levels = levels or model.filter.levels
+    once = count_of(levels(mix(names ^ UNIGRAM)), model.base)
     unigram = (once + 0.5) / space
     before = histories(numbers, names)
-    twice = count_of(filt.levels(pair_keys(names[before], names[numbers])), filt.base)
+    twice = count_of(levels(pair_keys(names[before], names[numbers])), model.base)
     p = (np.minimum(twice, once[before]) + model.mu * unigram[numbers]) / (once[before] + model.mu)
     return {
         "n_tokens": sizes, "hot_known": np.add.reduceat(hot[numbers].astype(np.int64), begin), "hot_base": np.add.reduceat(base[numbers], begin), "score": np.add.reduceat(np.log10(p), begin), "tail": tails,
     }
 
 
-def lm_score(docs: DataFrame, may_learn, text_col: str = "text", chunk: int = 1 << 20, **how) -> DataFrame:
+def _free_shuffles(spark) -> None:
+    """Shuffle files of frames that are gone are deleted when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def lm_score(docs: DataFrame, may_learn, text_col: str = "text", chunk: int = 1 << 20, slice_bytes: int = 4 << 20, rounds: int = 8, **how) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score, learned from the rows where may_learn holds."""
     spark = docs.sparkSession
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     docs = docs.select(*[c for c in docs.columns if c not in made])
-    model, words = fit(docs.filter(may_learn), text_col, **how)
+    model, words, parts = fit(docs.filter(may_learn), text_col, **how)
     sent = spark.sparkContext.broadcast(model)
     keep = [c for c in docs.columns]
     new = T.StructType([T.StructField("__rv_n", T.LongType()), T.StructField("__rv_known", T.LongType()), T.StructField("__rv_base", T.DoubleType()), T.StructField("__rv_score", T.DoubleType()), T.StructField("__rv_tail", T.ArrayType(T.LongType()))])
     numbered = docs.withColumn("__rv_row", F.monotonically_increasing_id())
     schema = T.StructType([numbered.schema[c] for c in keep if c != text_col] + [numbered.schema["__rv_row"], *new.fields])
 
+    def scored(rows: pa.Table, bodies: list[bytes], levels=None) -> pa.RecordBatch:
+        got = score_texts(bodies, sent.value, levels)
+        passed = [rows.column(c).combine_chunks() for c in schema.names[: len(schema.names) - 5]]
+        tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(t) for t in got["tail"]])]).astype(np.int32)), pa.array(np.concatenate(got["tail"])))
+        return pa.RecordBatch.from_arrays([*passed, pa.array(got["n_tokens"]), pa.array(got["hot_known"]), pa.array(got["hot_base"]), pa.array(got["score"]), tail], names=schema.names)
+
     def run(batches):
         for held in chunks(batches, chunk, text_col):
-            got = score_texts([b for _, bodies in held for b in bodies], sent.value)
-            rows = pa.Table.from_batches([b for b, _ in held])
-            passed = [rows.column(c).combine_chunks() for c in schema.names[: len(schema.names) - 5]]
-            tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(t) for t in got["tail"]])]).astype(np.int32)), pa.array(np.concatenate(got["tail"])))
-            yield pa.RecordBatch.from_arrays([*passed, pa.array(got["n_tokens"]), pa.array(got["hot_known"]), pa.array(got["hot_base"]), pa.array(got["score"]), tail], names=schema.names)
+            yield scored(pa.Table.from_batches([b for b, _ in held]), [b for _, bodies in held for b in bodies])
+        give_back()
+
+    def run_answered(batches):
+        """A chunk's rows come before its levels."""
+
+        def one(body: bytes, parts: list[bytes]) -> pa.RecordBatch:
+            rows = pa.ipc.open_stream(body).read_all()
+            bodies = [t for b in rows.to_batches() for t in texts(b, text_col)]
+            keys, found = asked(bodies), np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+            return scored(rows, bodies, lambda k: found[np.searchsorted(keys, k)])
+
+        body, parts = None, []
+        for batch in batches:
+            for i, part in zip(batch.column("slice").to_pylist(), batch.column("body"), strict=True):
+                part = part.as_py()
+                if i >= 0:
+                    parts.append(part)
+                    continue
+                if body is not None:
+                    yield one(body, parts)
+                body, parts = part, []
+        if body is not None:
+            yield one(body, parts)
         give_back()
 
     # Written once: the rows' numbers must not change between the two uses.
-    done = materialise(numbered.mapInArrow(run, schema), "scores")
+    if model.filter is not None:
+        done = materialise(numbered.mapInArrow(run, schema), "scores")
+    else:
+        done, row = None, F.col("__rv_row")
+        for g in range(rounds):
+            mine = numbered.filter(F.pmod(F.xxhash64(text_col), F.lit(rounds)) == g).withColumn("__rv_row", row * rounds + g)
+            _free_shuffles(spark)
+            questions, answered = probe_slices(mine, parts, model, text_col, chunk, slice_bytes)
+            part = materialise(answered.mapInArrow(run_answered, schema), "scores")
+            release(questions)
+            del questions, answered
+            done = part if done is None else done.unionByName(part)
+        _free_shuffles(spark)
     sent.destroy()
     space = float(model.total + 0.5 * (model.distinct + 1))
     tails = done.select("__rv_row", F.explode("__rv_tail").alias("key")).join(words, "key", "left")

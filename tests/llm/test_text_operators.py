@@ -157,6 +157,18 @@ def test_lm_filter_never_falls_short():
     assert (f.levels(rng.integers(0, 2**63, 20_000).astype(np.uint64)) > 0).mean() < 0.02
 
 
+def test_lm_filter_keeps_its_bits_at_any_size(spark, hard_docs):
+    """A filter that is too large to broadcast is probed where it lies, and scores stay the same."""
+    may_learn = ~held_out("doc_id", 5, 1)
+    want = lm_bloom.lm_score(hard_docs, may_learn, chunk=2000).collect()
+    got = lm_bloom.lm_score(hard_docs, may_learn, chunk=2000, max_bytes=64, slice_bytes=100).collect()
+    made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    rounded = lambda rows: by_text([type(r)(**(r.asDict() | {c: round(r[c], 9) for c in made})) for r in rows], *made)
+    assert len(got) == hard_docs.count() and rounded(got) == rounded(want)
+    model, _, parts = lm_bloom.fit(hard_docs, max_bytes=64)
+    assert model.filter is None and {r.k for r in parts.collect() if r.bits > 64} == {6}
+
+
 def test_lm_prefers_the_language_it_learned(spark):
     rng = random.Random(2)
     chain = lambda n: " ".join(f"w{i % 50} v{i % 50}" for i in (rng.randrange(50) for _ in range(n)))
