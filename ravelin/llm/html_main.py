@@ -4,7 +4,9 @@ First pass: each page is parsed, every container's subtree is hashed (tag, class
 different main elements a hash occurs; copies of a page therefore count once. A subtree that at least `min_pages`
 different pages of a host hold, and at least `share` of them, is template. Second pass: template subtrees and what is
 boilerplate by its nature (nav, footer, aside, form, script, adverts, comments and so on, by element, role, class or id)
-go; the text of the main element that is left is returned in blocks.
+go; the text of the main element that is left is returned in blocks. Inside the main element, and for an article, ids say
+nothing (they are slugs of headings), and a class counts only as a whole: all its words must be of that kind, one of them
+beyond doubt. Headings and paragraphs stay whatever their class is.
 
 The list of a host's templates is bounded by its own rule (a page holds so many subtrees, and each template must be in
 `share` of the pages), so it is joined to the pages as an array; Spark broadcasts it if its written size allows.
@@ -56,6 +58,10 @@ DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle adslot adbox banner promo promos promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup "
     "sidebar side sidenav aside rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar toolbar footer share sharing social related recommended recommendations comment comments disqus replies reply respond pagination pager paywall login search skip tags hidden".split()
 )
+#: Words that may name a part of an article as well: alone they drop nothing inside it.
+DOUBTFUL_WORDS = frozenset("related search notice notices alert alerts tags side skip menu menus login reply respond consent banner recommended recommendations subscription promotion overlay rail social hidden".split())
+#: Words that say nothing in a class of several words.
+PLAIN_WORDS = frozenset("area bar block box button buttons container icons inner item items link links list section slot unit wrap wrapper".split())
 MAIN_WORDS = frozenset({"articlebody", "article-body", "post-content", "entry-content", "main-content"})
 
 
@@ -120,6 +126,15 @@ def _words(node: Element) -> set[str]:
     return set(re.split(r"[^a-z0-9]+", f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower()))
 
 
+def _dropped_class(node: Element) -> bool:
+    """Whether one of the classes, as a whole, names what is no part of an article."""
+    for token in node.attrs.get("class", "").lower().split():
+        words = set(re.split(r"[^a-z0-9]+", token)) - {""}
+        if words & (DROP_WORDS - DOUBTFUL_WORDS) and words <= DROP_WORDS | PLAIN_WORDS:
+            return True
+    return False
+
+
 def has_heading(node: Element) -> bool:
     stack = [node]
     while stack:
@@ -143,8 +158,10 @@ def boilerplate(node: Element, inside: bool) -> bool:
         return True
     if a.get("role", "").lower() in DROP_ROLES:
         return True
-    if node.tag in ("html", "body", "main") or node.tag in HEADINGS and inside and node.tag == "h1":
+    if node.tag in ("html", "body", "main") or inside and (node.tag in HEADINGS or node.tag == "p"):
         return False
+    if inside or node.tag == "article":
+        return _dropped_class(node) or "header" in a.get("class", "").lower().split() and not (inside and has_heading(node))
     if "class" in a or "id" in a:
         words = _words(node)
         if words & DROP_WORDS:

@@ -94,6 +94,13 @@ def test_copies_of_a_page_make_no_template(spark):
     assert len(got) == 1 and "Head same & more" in got.pop()
 
 
+def test_slugs_and_doubtful_words_drop_nothing_of_an_article():
+    text = lambda s: html_main.blocks_of(html_main.main_element(html_main.parse(s)), frozenset(), None)
+    kept = '<section id="related-work"><h2 id="search">One</h2><p id="comment-on-method" class="notice">two</p></section><div class="search">three</div><div class="related-work">four</div>'
+    gone = '<div class="ad">x</div><div class="share-buttons">y</div><div class="cookie-notice">z</div><ul class="comments"><li>w</ul>'
+    assert text(f'<article id="login-and-search" class="post tag-social"><h1>T</h1>{kept}{gone}</article>') == ["T", "One", "two", "three", "four"]
+
+
 def test_parsing_odd_markup():
     text = lambda s: html_main.blocks_of(html_main.main_element(html_main.parse(s)), frozenset(), None)
     assert text("<p>a<p>b<p>c") == ["a", "b", "c"]
