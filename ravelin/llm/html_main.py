@@ -2,14 +2,15 @@
 
 First pass: each page is parsed, every container's subtree is hashed (tag, class, id, text, children), and the page sends the distinct hashes with its host and a hash of its main element. Spark counts, for each host, under how many
 different main elements a hash occurs; copies of a page therefore count once. A subtree that at least `min_pages`
-different pages of a host hold, and at least `share` of them, is template. Second pass: template subtrees and what is
+different pages of a host hold, and at least `share` of them, is template; `many` different pages suffice by themselves, so
+that a large host's rotating variants and the menus of its sections are found. Second pass: template subtrees and what is
 boilerplate by its nature (nav, footer, aside, form, script, adverts, comments and so on, by element, role, class or id)
 go; the text of the main element that is left is returned in blocks. Inside the main element, and for an article, ids say
 nothing (they are slugs of headings), and a class counts only as a whole: all its words must be of that kind, one of them
 beyond doubt. Headings and paragraphs stay whatever their class is.
 
-The list of a host's templates is bounded by its own rule (a page holds so many subtrees, and each template must be in
-`share` of the pages), so it is joined to the pages as an array; Spark broadcasts it if its written size allows.
+Each page gets the hashes of its own templates only, by a join on host and hash and one on host and page, so no list grows
+with a host. A page is told by the hash of its html.
 
 Defined cases: null html is an empty page with an empty text; a null url is the host ''; a page without an article or
 main element yields its body; cut-off markup is read as far as it goes; repeated rows give repeated results; an empty
@@ -269,11 +270,12 @@ def _strings(batch: pa.RecordBatch, name: str) -> list[str]:
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 5, share: float = 0.5, out: str = "text") -> DataFrame:
+def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 5, share: float = 0.5, many: int = 50, out: str = "text") -> DataFrame:
     """pages with their main text under the name in out."""
     pages = pages.select(*[c for c in pages.columns if c != out])
     host = F.lower(F.coalesce(F.regexp_extract(url_col, HOST, 1), F.lit("")))
-    hosted = pages.select(html_col, host.alias("__rv_host"))
+    page = F.xxhash64(F.coalesce(F.col(html_col), F.lit("")))
+    hosted = pages.select(html_col, host.alias("__rv_host"), page.alias("__rv_page"))
 
     def survey(batch: pa.RecordBatch) -> dict:
         mains, found = [], []
@@ -290,11 +292,15 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
         return {"__rv_main": mains, "__rv_found": found}
 
     kinds = T.StructType([T.StructField("__rv_main", T.LongType()), T.StructField("__rv_found", T.ArrayType(T.LongType()))])
-    seen = arrow_map(hosted, survey, kinds, ["__rv_host"]).select("__rv_host", "__rv_main", F.explode(F.concat("__rv_found", F.array(F.lit(None).cast("long")))).alias("h"))
+    # Written once; copies of a page on a host are one.
+    found = materialise(arrow_map(hosted, survey, kinds, ["__rv_host", "__rv_page"]).dropDuplicates(["__rv_host", "__rv_page"]), "surveyed")
+    seen = found.select("__rv_host", "__rv_main", F.explode(F.concat("__rv_found", F.array(F.lit(None).cast("long")))).alias("h"))
     counts = seen.distinct().groupBy("__rv_host", "h").count()
     total = counts.filter("h is null").select("__rv_host", F.col("count").alias("pages"))
-    template = counts.filter("h is not null").join(total, "__rv_host").filter((F.col("count") >= min_pages) & (F.col("count") >= share * F.col("pages")))
-    lists = materialise(template.groupBy("__rv_host").agg(F.collect_set("h").alias("__rv_gone")), "templates")
+    often = (F.col("count") >= min_pages) & ((F.col("count") >= share * F.col("pages")) | (F.col("count") >= many))
+    template = materialise(counts.filter("h is not null").join(total, "__rv_host").filter(often).select("__rv_host", "h"), "templates")
+    held = found.select("__rv_host", "__rv_page", F.explode("__rv_found").alias("h")).join(template, ["__rv_host", "h"])
+    lists = materialise(held.groupBy("__rv_host", "__rv_page").agg(F.collect_set("h").alias("__rv_gone")), "lists")
 
     def extract(batch: pa.RecordBatch) -> dict:
         got = []
@@ -304,5 +310,5 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
             got.append("\n".join(blocks_of(main_element(root), frozenset(gone or ()), hashes)))
         return {out: got}
 
-    joined = pages.withColumn("__rv_host", host).join(lists, "__rv_host", "left")
+    joined = pages.withColumns({"__rv_host": host, "__rv_page": page}).join(lists, ["__rv_host", "__rv_page"], "left")
     return arrow_map(joined, extract, T.StructType([T.StructField(out, T.StringType())]), pages.columns)

@@ -94,6 +94,16 @@ def test_copies_of_a_page_make_no_template(spark):
     assert len(got) == 1 and "Head same & more" in got.pop()
 
 
+def test_a_large_hosts_variants_are_templates(spark):
+    """Blocks on a third and a fifth of a large host's pages go; one on a few pages stays, as does all of a small host."""
+    body = lambda n: f"<article><h1>Head {n}</h1><p>words {n}</p><div>variant {n % 3}</div>" + "<div>section</div>" * (n % 5 == 0) + "<div>quote</div>" * (n < 9) + "</article>"
+    pages = [(n, f"http://a.org/{n}", body(n)) for n in range(300)] + [(1000 + n, f"http://b.org/{n}", body(n)) for n in range(30)]
+    got = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for n in range(300):
+        assert got[n] == f"Head {n}\nwords {n}" + "\nquote" * (n < 9)
+    assert got[1015] == "Head 15\nwords 15\nvariant 0\nsection"
+
+
 def test_slugs_and_doubtful_words_drop_nothing_of_an_article():
     text = lambda s: html_main.blocks_of(html_main.main_element(html_main.parse(s)), frozenset(), None)
     kept = '<section id="related-work"><h2 id="search">One</h2><p id="comment-on-method" class="notice">two</p></section><div class="search">three</div><div class="related-work">four</div>'
