@@ -19,7 +19,7 @@ from .catalogue import query
 
 NUMERIC = ("hour", "ms", "plan_s", "event_no")
 CATEGORICAL = ("airport", "runway")
-SMALL = base.Config(numeric=NUMERIC, categorical=CATEGORICAL, rounds=5, depth=3, key_rows=10**9, target="y")
+CONFIG = base.Config(numeric=NUMERIC, categorical=CATEGORICAL, target="y")
 
 
 def modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def _scored(df: DataFrame, pred: str) -> DataFrame:
 def model_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A single regressor: error in sample against that of the mean."""
     rows = modelled(spark, sf_dir)
-    return _scored(base.fit(rows, SMALL)(rows, "pred"), "pred")
+    return _scored(base.fit(rows, CONFIG)(rows, "pred"), "pred")
 
 
 @query()
@@ -50,21 +50,21 @@ def model_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dataclasses import replace
 
     rows = materialise(modelled(spark, sf_dir), "modelled")
-    return _scored(base.fit(rows, replace(SMALL, model="two_stage_lines", seeds=(1, 2), window=True, weighting="abs"))(rows, "pred"), "pred")
+    return _scored(base.fit(rows, replace(CONFIG, model="two_stage_lines", seeds=(1, 2), window=True, weighting="abs"))(rows, "pred"), "pred")
 
 
 @query()
 def model_crossfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold base by blocks of days, and the residual corrector on it."""
     rows = materialise(modelled(spark, sf_dir), "modelled")
-    return _scored(crossfit.simulate(rows.filter("day % 30 < 20"), rows.filter("day % 30 >= 20"), "block", SMALL, SMALL, materialise), "pred")
+    return _scored(crossfit.simulate(rows.filter("day % 30 < 20"), rows.filter("day % 30 >= 20"), "block", CONFIG, CONFIG, materialise), "pred")
 
 
 @query()
 def model_adversarial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well a classifier tells the last third of the days from the rest, and the weights that follow."""
     rows = materialise(modelled(spark, sf_dir), "modelled")
-    weights, auc = crossfit.adversarial(rows.filter("day % 30 < 20"), rows.filter("day % 30 >= 20"), "mvt_id", SMALL, materialise)
+    weights, auc = crossfit.adversarial(rows.filter("day % 30 < 20"), rows.filter("day % 30 >= 20"), "mvt_id", CONFIG, materialise)
     return weights.agg(F.count("*").alias("n"), F.round(F.avg("w"), 6).alias("mean_w")).crossJoin(F.broadcast(auc))  # one row
 
 

@@ -75,3 +75,10 @@ def test_drift_and_last_fit(rows):
     assert best[0][0] == "x"
     rest = crossfit.rest_model(rows.withColumn("g", F.lit(100.0)), "y", "g", CFG, "pred")(rows.withColumn("g", F.lit(100.0)), "pred")
     assert error(rest) < rows.agg(F.stddev_pop("y")).first()[0]
+
+
+def test_queries_use_the_operators_defaults():
+    from ravelin.plans.model_queries import CONFIG
+
+    plain = base.Config(numeric=CONFIG.numeric, categorical=CONFIG.categorical, target="y")
+    assert plain == CONFIG and CONFIG.key_rows == 20_000
