@@ -6,16 +6,51 @@ import gzip
 import io
 import json
 import tarfile
-from collections.abc import Sequence
-
+import zlib
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
+from datetime import datetime, timedelta
+from itertools import islice
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_months(spark: SparkSession, paths: Sequence[str], times: Sequence[str] = ()) -> DataFrame:
-    """Several parquet files or folders as one table; the time columns become timestamps, null where they are none."""
+    """Several parquet files or folders as one table; the time columns become timestamps, null where they are none. Columns that
+    are times already stay as they are, so filters on them reach the scan."""
     df = spark.read.parquet(*paths)
-    return df.withColumns({c: F.try_to_timestamp(F.col(c).cast("string")) for c in times if c in df.columns})
+    other = [c for c in times if c in df.columns and not isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType))]
+    return df.withColumns({c: F.try_to_timestamp(F.col(c).cast("string")) for c in other}) if other else df
+
+
+@dataclass(frozen=True)
+class FileCatalogue:
+    """What time each file covers: (first, last, path), on one clock. Files out of a range aren't even listed."""
+
+    entries: tuple[tuple[datetime, datetime, str], ...]
+
+    def paths(self, low: datetime, high: datetime, before: timedelta = timedelta(hours=6), after: timedelta = timedelta(hours=6)) -> list[str]:
+        return [p for first, last, p in sorted(self.entries) if last >= low - before and first <= high + after]
+
+    def read(self, spark: SparkSession, at: str, low: datetime, high: datetime, before: timedelta = timedelta(hours=6), after: timedelta = timedelta(hours=6), columns: Sequence[str] | None = None) -> DataFrame:
+        """Rows with `at` in [low - before, high + after], of the files that can hold any; an error if none can."""
+        paths = self.paths(low, high, before, after)
+        if not paths:
+            raise FileNotFoundError(f"no file covers {low} to {high}")
+        df = spark.read.parquet(*paths).filter(F.col(at).between(F.lit(low - before), F.lit(high + after)))
+        return df.select(*columns) if columns else df
+
+
+def read_available(spark: SparkSession, paths: Sequence[str], wanted: Sequence[str], prefixes: Sequence[str] = ()) -> DataFrame:
+    """The wanted columns that the files have, then those that begin with a prefix; what they lack is left out."""
+    df = spark.read.parquet(*paths)
+    chosen = [c for c in wanted if c in df.columns] + [c for c in df.columns if c not in wanted and c.startswith(tuple(prefixes))]
+    return df.select(*[F.col(f"`{c}`") for c in chosen])
 
 
 def month_files(names: Sequence[str], months: Sequence[int]) -> list[str]:
@@ -53,48 +88,107 @@ def read_observations(spark: SparkSession, paths: Sequence[str], numbers: Sequen
 
 
 def read_typed_lines(spark: SparkSession, paths: Sequence[str], kinds: Sequence[str]) -> DataFrame:
-    """(path, line, kind, words) of the lines whose first word is one of the kinds. Lines keep their order in a file."""
-    lines = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
-    words = F.split(F.trim("text"), r"\s+")
-    return lines.select("path", "line", words[0].alias("kind"), words.alias("words")).filter(F.col("kind").isin(list(kinds)))
+    """(path, line, kind, words) of the lines whose first word is one of the kinds. Lines are numbered in their file from 0; a
+    file is read in splits, and only its lines' places are brought into order."""
+    lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("no"))
+    inside = F.row_number().over(W.partitionBy("path", "block").orderBy("no"))
+    blocks = lines.groupBy("path", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbered = lines.withColumn("inside", inside).join(blocks.select("path", "block", before.alias("before")), ["path", "block"])
+    words = F.split(F.trim("value"), r"\s+")
+    out = numbered.select("path", (F.col("before") + F.col("inside") - 1).cast("int").alias("line"), words[0].alias("kind"), words.alias("words"))
+    return out.filter(F.col("kind").isin(list(kinds)))
 
 
 TRACE = "icao string, reg string, type string, start double, points array<struct<dt:double,lat:double,lon:double,ground:boolean,alt:double,gs:double,source:string,callsign:string>>"
 
 
-def _member(raw: bytes) -> dict | None:
-    """A trace file's content; None where it is broken."""
+def _number(value) -> float | None:
+    return float(value) if type(value) in (int, float) else None
+
+
+def _point(values: list) -> dict:
+    """A point's places 0 to 8: time, latitude, longitude, altitude or `ground`, speed, then details, and further on its source."""
+    full = dict(enumerate(values))
+    details = full.get(8)
+    flight = details.get("flight") if isinstance(details, dict) else None
+    return {
+        "dt": _number(full.get(0)), "lat": _number(full.get(1)), "lon": _number(full.get(2)), "ground": full.get(3) == "ground", "alt": _number(full.get(3)),
+        "gs": _number(full.get(4)), "source": full.get(9), "callsign": (flight or "").strip() or None,
+    }
+
+
+def parse_trace(raw: bytes) -> dict | None:
+    """A trace file's content, plain or gzipped; None where it is broken."""
     try:
-        data = json.loads(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
-        points = []
-        for p in data.get("trace", []):
-            at = lambda i, p=p: p[i] if len(p) > i else None
-            number = lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
-            extra = at(8) if isinstance(at(8), dict) else {}
-            points.append({"dt": number(at(0)), "lat": number(at(1)), "lon": number(at(2)), "ground": at(3) == "ground", "alt": number(at(3)), "gs": number(at(4)), "source": at(9), "callsign": (extra.get("flight") or "").strip() or None})
-        return {"icao": data["icao"], "reg": data.get("r"), "type": data.get("t"), "start": number(data["timestamp"]), "points": points}
-    except (ValueError, KeyError, TypeError, OSError, EOFError):
+        with io.BytesIO(raw) as plain, gzip.open(plain) if raw.startswith(GZIP) else plain as text:
+            held = json.load(text)
+        return {"icao": held["icao"], "reg": held.get("r"), "type": held.get("t"), "start": _number(held["timestamp"]), "points": [_point(p) for p in held.get("trace", ())]}
+    except (AttributeError, EOFError, KeyError, OSError, TypeError, ValueError, zlib.error):
         return None
 
 
-def read_trace_archives(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+GZIP = bytes([31, 139])
+#: An archive's parts: name.tar.aa, name.tar.ab and so on, or name.tar.0, name.tar.1.
+PART = r"\.(?:[a-z]{2}|\d+)$"
+
+
+class _Parts(io.RawIOBase):
+    """The parts of an archive as one stream, each opened when the one before has ended."""
+
+    def __init__(self, paths: Iterable[str]) -> None:
+        self.paths, self.now = iter(paths), None
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, room) -> int:
+        while True:
+            if self.now is None:
+                path = next(self.paths, None)
+                if path is None:
+                    return 0
+                store, inside = pa.fs.FileSystem.from_uri(path)
+                self.now = store.open_input_stream(inside)
+            if n := self.now.readinto(room):
+                return n
+            self.now.close()
+            self.now = None
+
+
+def _members(stream) -> Iterator[dict]:
+    """Readable traces of a tar stream, in one pass; an archive that breaks off gives what came before."""
+    try:
+        with tarfile.open(fileobj=stream, mode="r|*") as tar:
+            for m in tar:
+                if m.isfile() and (row := parse_trace(tar.extractfile(m).read())):
+                    yield row
+    except (tarfile.TarError, EOFError):
+        return
+
+
+def read_trace_archives(spark: SparkSession, paths: Sequence[str], held: int = 1 << 30) -> DataFrame:
     """One row for each readable trace in tar archives of (gzipped) JSON members; broken members are passed over.
 
-    An archive is read by one task, as a tar has no index."""
+    An archive is read by one task, as a tar has no index, a member at a time. Archives of one file of up to `held` bytes come
+    through Spark's reader; larger ones and those in parts are streamed, from any store that Arrow's file systems open."""
     import pandas as pd
 
-    def run(frames):
-        for pdf in frames:
+    def frames(rows: Iterator[dict]):
+        while part := list(islice(rows, 256)):
+            yield pd.DataFrame(part)
+
+    def whole(batches):
+        for pdf in batches:
             for content in pdf["content"]:
-                rows = []
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                    for m in tar:
-                        if m.isfile() and (row := _member(tar.extractfile(m).read())):
-                            rows.append(row)
-                        if len(rows) >= 256:
-                            yield pd.DataFrame(rows)
-                            rows = []
-                if rows:
-                    yield pd.DataFrame(rows)
-
-    return spark.read.format("binaryFile").load(list(paths)).select("content").mapInPandas(run, TRACE)
+                yield from frames(_members(io.BytesIO(content)))
+
+    def streamed(batches):
+        for pdf in batches:
+            for parts in pdf["parts"]:
+                yield from frames(_members(io.BufferedReader(_Parts(parts), 1 << 20)))
+
+    files = spark.read.format("binaryFile").load(list(paths))
+    single = ~F.col("path").rlike(PART) & (F.col("length") <= held)
+    archives = files.filter(~single).groupBy(F.regexp_replace("path", PART, "").alias("archive")).agg(F.array_sort(F.collect_list("path")).alias("parts"))  # a few names each
+    return files.filter(single).select("content").mapInPandas(whole, TRACE).unionByName(archives.select("parts").mapInPandas(streamed, TRACE))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,18 @@ def cached(spark: SparkSession, root: str, config: dict, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def evict(spark: SparkSession, root: str, keep: list[dict]) -> list[str]:
+    """Deletes what cached() holds under root for other configurations than those to keep; the keys that went."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    kept = {content_key(c) for c in keep}
+    gone = [s.getPath().getName() for s in (store.listStatus(where) if store.exists(where) else []) if re.fullmatch("[0-9a-f]{16}", s.getPath().getName())]
+    gone = sorted(k for k in gone if k not in kept)
+    for k in gone:
+        store.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where, k), True)
+    return gone
+
+
 def load_champion(path: str) -> dict:
     return json.loads(Path(path).read_text(encoding="utf-8"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or the context's checkpoint folder; where both are unset, as in tests, a temporary one."""
+    """The folder in spark.checkpoint.dir, or the context's checkpoint folder. Where both are unset a temporary folder serves a
+    local master, as in tests; on a cluster that is an error, as executors and driver would each see another folder."""
     context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir() or getattr(spark, "_ravelin_dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or getattr(spark, "_ravelin_dir", None)
     if not root:
+        if not re.match(r"local(\[[^,]*(,\s*\d+)?\])?$", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = spark._ravelin_dir = f"file://{tempfile.mkdtemp(prefix='ravelin-')}"
     return root
 
@@ -33,12 +37,16 @@ def _sweep() -> None:
             return
 
 
+_sweeping: list[bool] = []
+
+
 def materialise(df: DataFrame, name: str = "frame") -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors, gives real sizes."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/ravelin/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    if not _written:
+    if not _sweeping:  # registered after Spark's own exit work, and so done before it
+        _sweeping.append(True)
         atexit.register(_sweep)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
@@ -49,3 +57,4 @@ def materialise(df: DataFrame, name: str = "frame") -> DataFrame:
 def release(df: DataFrame) -> None:
     """Delete what materialise() wrote, once nothing reads it any more."""
     remove(df.sparkSession, df._ravelin_path)
+    _written[:] = [x for x in _written if x[1] != df._ravelin_path]

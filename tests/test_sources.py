@@ -1,17 +1,17 @@
 import gzip
 import io
 import json
-import sqlite3
 import tarfile
+from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from ravelin import functions as fn
-from ravelin.jobs import JobQueue, family_of, monte_carlo, neighbours, report, step
 from ravelin.operators import autofeatures as fe
 from ravelin.operators import graph, traces
-from ravelin.sources import readers, registry, sinks
+from ravelin.sources import readers, registry, sinks, storage
 
 
 def test_observations(spark, tmp_path):
@@ -56,6 +56,54 @@ def test_trace_archives_skip_broken_members(spark, tmp_path):
     assert [(r.t, r.ground, r.callsign, r.apt) for r in near] == [(1000.0, True, "AZA1", "LIRF"), (1060.0, False, "AZA1", "LIRF")]
 
 
+def test_catalogue_reads_only_files_in_range(spark, tmp_path):
+    day = lambda d, h=0: datetime(2025, 1, d, h)
+    files = []
+    for d in (1, 3, 5):
+        path = str(tmp_path / f"d{d}")
+        spark.createDataFrame([(day(d, h), h) for h in range(0, 24, 4)], "at timestamp, h int").coalesce(1).write.parquet(path)
+        files.append((day(d), day(d, 23), path))
+    known = readers.FileCatalogue(tuple(files))
+    assert known.paths(day(3, 2), day(3, 4)) == [files[1][2]] and known.paths(day(3, 2), day(3, 4), timedelta(days=2)) == [files[0][2], files[1][2]]
+    assert {r.h for r in known.read(spark, "at", day(3, 10), day(3, 11), timedelta(hours=2), timedelta(hours=2), ["h"]).collect()} == {8, 12}
+    with pytest.raises(FileNotFoundError):
+        known.read(spark, "at", day(20), day(21))
+    df = readers.read_available(spark, [files[0][2]], ["h", "none"], ["a"])
+    assert df.columns == ["h", "at"]
+    assert readers.read_months(spark, [files[0][2]], ["at"]).filter("at > '2025-01-01 10:00'").count() == 3
+
+
+def test_archives_in_parts(spark, tmp_path):
+    whole = io.BytesIO()
+    with tarfile.open(fileobj=whole, mode="w") as tar:
+        for i in range(50):
+            body = gzip.compress(json.dumps({"icao": f"a{i}", "timestamp": 100.0 + i, "trace": [[0, 1.0, 2.0, "ground", 3, 0, 0, 0, {"flight": "AB1 "}, "src"], [5, 1, 2]]}).encode())
+            body = body[:9] if i == 7 else body
+            info = tarfile.TarInfo(f"{i}.json")
+            info.size = len(body)
+            tar.addfile(info, io.BytesIO(body))
+    raw = whole.getvalue()
+    cut = len(raw) // 3
+    for n, part in enumerate((raw[:cut], raw[cut : 2 * cut], raw[2 * cut :])):
+        (tmp_path / f"day.tar.a{'abc'[n]}").write_bytes(part)
+    (tmp_path / "other.tar").write_bytes(raw)
+    for held in (1 << 30, 10):  # through Spark's reader, and streamed
+        got = readers.read_trace_archives(spark, [str(tmp_path)], held=held).collect()
+        assert sorted(r.icao for r in got) == sorted(2 * [f"a{i}" for i in range(50) if i != 7])
+    first = next(r for r in got if r.icao == "a0")
+    assert first.points[0].ground and first.points[0].alt is None and first.points[0].callsign == "AB1" and first.points[1].alt is None and first.start == 100.0
+
+
+def test_cached_frames_of_other_settings_are_evicted(spark, tmp_path):
+    root = str(tmp_path / "cache")
+    for x in (1, 2, 3):
+        registry.cached(spark, root, {"x": x}, lambda: spark.range(1))
+    (tmp_path / "cache" / "notes").mkdir()
+    assert registry.evict(spark, root, [{"x": 2}]) == sorted(registry.content_key({"x": x}) for x in (1, 3))
+    assert sorted(p.name for p in (tmp_path / "cache").iterdir()) == sorted([registry.content_key({"x": 2}), "notes"])
+    assert registry.evict(spark, str(tmp_path / "none"), []) == []
+
+
 def test_registry_and_cache(spark, tmp_path):
     path = str(tmp_path / "r.jsonl")
     for e in ({"id": "a", "v": 1}, {"id": "b", "v": 2}, {"id": "a", "v": 3}):
@@ -78,31 +126,6 @@ def test_registry_and_cache(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "preds")).select("run_id").distinct().collect()[0].run_id == "r1"
 
 
-def test_job_queue(tmp_path):
-    q = JobQueue(str(tmp_path / "q.db"))
-    assert q.add("c", {"a": 1}, priority=1, family="a") and not q.add("c", {"a": 1})
-    q.add("c", {"a": 2}, priority=5, family="a")
-    q.add("c", {"b": 2}, priority=1, family="b")
-    assert q.next().recipe == {"a": 2}
-    done = step(q, lambda j: j, lambda j, r: (2.0, True))
-    assert done.recipe == {"a": 2} and q.count("promoted") == 1
-    with pytest.raises(ZeroDivisionError):
-        step(q, lambda j: 1 / 0, None)
-    assert q.count("failed") == 1
-    q.mark(q.next().id, "running")
-    assert q.next() is None and q.recover() == 1 and q.next().recipe == {"b": 2}
-    q.add("c", {"a": 9}, family="a")
-    q.reprioritise()
-    assert q.next().recipe == {"a": 9}
-    assert q.meta("k") is None and q.meta("k", "v") == "v" and len(q.last(5)) == 2
-    assert "| a | 1 | 2.000 |" in report(q)
-    assert family_of({"a": 1, "b": 2}, {"a": 0, "b": 2}) == "a"
-    assert neighbours({"a": 1}, {"a": [1, 2], "b": [3]}, {"b"}) == [{"a": 2}]
-    mid, low, high = monte_carlo(300.0, [(0.5, 10.0)], 5)
-    assert low <= mid <= high <= 300
-    assert isinstance(q.db, sqlite3.Connection)
-
-
 def test_graph(spark):
     edges = spark.createDataFrame([("X", "S1", "n", 1.0), ("X", "n", "R", 2.0), ("X", "S2", "n", 5.0), ("X", "S2", "R", 9.0), ("X", "lone", "lone2", 1.0)], "apt string, a string, b string, w double")
     stands = spark.createDataFrame([("X", "S1"), ("X", "S2"), ("X", "lone")], "apt string, node string")
@@ -117,6 +140,34 @@ def test_graph(spark):
     assert graph.nearest_nodes(points, nodes, "apt", "id").first().node == "b"
 
 
+class Elsewhere:
+    """A session whose master is no local one and that names no shared folder."""
+
+    class conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class sparkContext:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+
+def test_storage_needs_a_shared_folder_on_a_cluster(spark):
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        Elsewhere.sparkContext.master = master
+        with pytest.raises(RuntimeError):
+            storage.shared_root(Elsewhere())
+    Elsewhere.sparkContext.master = "local[4]"
+    assert storage.shared_root(Elsewhere()).startswith("file:")
+
+
+def test_released_frames_are_gone(spark):
+    frame = storage.materialise(spark.range(5), "five")
+    assert frame.count() == 5 and any(p == frame._ravelin_path for _, p in storage._written)
+    storage.release(frame)
+    assert not any(p == frame._ravelin_path for _, p in storage._written)
+    assert not Path(frame._ravelin_path.removeprefix("file://")).exists()
+
+
 def test_scalar_functions(spark):
     df = spark.createDataFrame([("AZA12", "b12-(A)", "FG")], "flight string, stand string, wx string")
     r = df.select(fn.airline(F.col("flight")).alias("a"), fn.stand_prefix(F.col("stand")).alias("s"), fn.plain_name(F.col("stand")).alias("p"), fn.weather_flags(F.col("wx"))["fog"].alias("f")).first()
