@@ -17,19 +17,20 @@ the history of a text's first word is the end token.
 
 The exact unigram base score needs exact counts of every word. Counts of the most frequent words (at most `hot_words`,
 by count) are broadcast as sorted arrays; a text's remaining words, which are rare and therefore not skewed, are joined
-to the counts by their 64-bit hash. Words are told apart by that hash (a collision is expected once in 2^64 / V^2 * 2
-vocabularies).
+to the counts. Words are told apart by 128 bits of keyed hash (`words`); pairs are filed under 64 bits, where a collision
+does what a false positive of the filter does. Scores are the same in every run with the same `key`.
 
-Defined cases: null text is empty and has one token, its end; a row without an id is held out; repeated rows train and
-score each; with nothing to train on N = V = 0 and every probability is that of an unseen word; an empty table gives an
+Defined cases: null text is empty and has one token, its end; a very long text is scored whole, by the task that reads it;
+a row without an id is held out; repeated rows train and score each; ties between words at the edge of the hot ones go
+together; with nothing to train on N = V = 0 and every probability is that of an unseen word; an empty table gives an
 empty table; other columns pass through.
 """
 
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 from math import log
 
 import numpy as np
@@ -40,8 +41,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import give_back, materialise, partitions, release, texts
-from .words import _A, mix, word_stream
+from .shared import give_back, materialise, partitions, pieces, release, texts
+from .words import _A, KEY, mix, word_stream
 
 END = np.uint64(0x5E7D1C0FFEE01234)
 UNIGRAM = np.uint64(0xD6E8FEB86659FD93)
@@ -51,27 +52,44 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * _A + second)
 
 
-def numbered(lists: list[list[bytes]]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """(numbers of all words, one list after another; the words, numbered from 1; words of each list)."""
-    words = list(dict.fromkeys(chain.from_iterable(lists)))
-    number = dict(zip(words, range(1, len(words) + 1), strict=True))
-    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    return np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), dtype=np.int32, count=int(sizes.sum())), words, sizes
+def distinct_words(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct pair, ordered by first; the number of each place's pair)."""
+    _, at, number = np.unique(first, return_index=True, return_inverse=True)
+    if (second != second[at][number]).any():  # two words share their first hash
+        order = np.lexsort((second, first))
+        new = np.concatenate([[True], (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)])
+        at, number = order[new], np.empty(len(first), dtype=np.int64)
+        number[order] = np.cumsum(new) - 1
+    return at, number
 
 
-def stream(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(numbers, hashes by number, tokens of each text): the texts' tokens one after another, each text with its end. A-Z are
-    lower-cased."""
-    found, sizes = word_stream([b.lower() for b in bodies])
-    tokens = np.full(len(found) + len(sizes), END, dtype=np.uint64)
-    tokens[np.arange(len(found)) + np.repeat(np.arange(len(sizes)), sizes)] = found
-    names, numbers = np.unique(tokens, return_inverse=True)
-    return numbers, names, sizes + 1
+@dataclass
+class Stream:
+    """The tokens of several texts, one after another, each text with its end; A-Z are lower-cased."""
+
+    numbers: np.ndarray
+    names: np.ndarray  # hashes of the words by number, in order, and below the second half of their identity
+    twins: np.ndarray
+    sizes: np.ndarray  # tokens of each text
+
+    @classmethod
+    def of(cls, bodies: list[bytes], key: bytes) -> Stream:
+        lanes, sizes = word_stream([b.lower() for b in bodies], key, 2)
+        where = np.arange(len(lanes[0])) + np.repeat(np.arange(len(sizes)), sizes)
+        first, second = np.full((2, len(where) + len(sizes)), END)
+        first[where], second[where] = lanes
+        at, numbers = distinct_words(first, second)
+        return cls(numbers, first[at], second[at], sizes + 1)
 
+    def before(self) -> np.ndarray:
+        """The number before each token; a text's first word follows the end token, as the text before it ended."""
+        return np.concatenate([np.flatnonzero((self.names == END) & (self.twins == END))[:1], self.numbers[:-1]])
 
-def histories(numbers: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """The number before each token; a text's first word follows the end token, as the text before it ended."""
-    return np.concatenate([np.searchsorted(names, [END]), numbers[:-1]])
+    def word_keys(self) -> np.ndarray:
+        return mix(self.names ^ UNIGRAM)
+
+    def pair_keys(self) -> np.ndarray:
+        return pair_keys(self.names[self.before()], self.names[self.numbers])
 
 
 def chunks(batches, size: int, text_col: str):
@@ -119,14 +137,17 @@ def place(first: np.ndarray, second: np.ndarray, i: int, bits: np.ndarray | np.u
     return (((first + np.uint64(i) * second) & _LOW) * bits) >> _HALF
 
 
-def build_segment(keys: np.ndarray, counts: np.ndarray, hashes: int, base: float, most_bits: int) -> tuple[int, int, bytes]:
-    """(hashes, bits, the filter's bytes) for a segment's n-grams."""
+def build_segment(keys: np.ndarray, counts: np.ndarray, hashes: int, base: float, most_bits: int | None = None) -> tuple[int, int, bytes]:
+    """(hashes, bits, the filter's bytes) for a segment's n-grams: `hashes` of them, at the same bits for each level whatever the
+    size. Only with most_bits, for filters whose false positives cost nothing but work, are there fewer if room is short."""
     levels = level_of(counts, base)
     entries = int(levels.sum())
     if not entries:
         return 1, 64, bytes(8)
-    k = max(1, min(hashes, int(most_bits * log(2) / entries)))
-    bits = max(64, min(most_bits, int(entries * k / log(2)), 1 << 32) // 64 * 64)
+    k = hashes if most_bits is None else max(1, min(hashes, int(most_bits * log(2) / entries)))
+    bits = max(64, min(int(entries * k / log(2)), most_bits or 1 << 62) // 64 * 64)
+    if bits > 1 << 32:
+        raise ValueError("a segment has over 2^32 bits: more shuffle partitions are needed")
     marks = np.zeros(bits, dtype=np.uint8)
     for level in range(1, int(levels.max()) + 1):
         a, b = places(keys[levels >= level], level)
@@ -196,66 +217,77 @@ class Model:
     total: int
     distinct: int
     hot_keys: np.ndarray
+    hot_twins: np.ndarray
     hot_counts: np.ndarray
     mu: float
     base: float
     segments: int
+    key: bytes
+
 
+PACKED = "seg int, kind int, keys binary, twins binary, counts binary"
+GATHERED = "kind int, key long, twin long, n long, k int, bits long, data binary"
 
-def gather(docs: DataFrame, text_col: str, segments: int, chunk: int, hashes: int, base: float) -> DataFrame:
-    """Rows of kind 1: (key, n) of words; of kind 2: (segment, hashes, bits, data) of the filter."""
-    packed = T.StructType([T.StructField("seg", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-    out = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("bits", T.LongType()), T.StructField("data", T.BinaryType())])
+
+def gather(docs: DataFrame, text_col: str, segments: int, chunk: int, hashes: int, base: float, key: bytes) -> DataFrame:
+    """Rows of kind 1: (key, twin, n) of words; of kind 2: (segment, hashes, bits, data) of the filter."""
+    packed, out = (to_arrow_schema(T._parse_datatype_string(x)) for x in (PACKED, GATHERED))
 
     def count(batches):
         for held in chunks(batches, chunk, text_col):
-            numbers, names, _ = stream([b for _, bodies in held for b in bodies])
-            rows = []
-            once = np.bincount(numbers, minlength=len(names)).astype(np.uint64)
+            got = Stream.of([b for _, bodies in held for b in bodies], key)
+            once = np.bincount(got.numbers, minlength=len(got.names)).astype(np.uint64)
             known = once > 0
-            pairs, pair_counts = np.unique(pair_keys(names[histories(numbers, names)], names[numbers]), return_counts=True)
-            for kind, keys, n in ((1, names[known], once[known]), (2, pairs, pair_counts.astype(np.uint64))):
+            pairs, pair_counts = np.unique(got.pair_keys(), return_counts=True)
+            rows = []
+            for kind, keys, twins, n in ((1, got.names[known], got.twins[known], once[known]), (2, pairs, None, pair_counts)):
                 seg = segment_of(keys if kind == 2 else mix(keys ^ UNIGRAM), segments)
                 order = np.argsort(seg, kind="stable")
-                keys, n, seg = keys[order], n[order], seg[order]
+                keys, n, seg = keys[order].astype("<u8"), n[order].astype("<u4"), seg[order]
+                twins = None if twins is None else twins[order].astype("<u8")
                 cut = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1], [True]]))
-                rows += [(int(seg[a]), kind, keys[a:b].astype("<u8").tobytes(), n[a:b].astype("<u4").tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    rows.append((int(seg[a]), kind, keys[a:b].tobytes(), None if twins is None else twins[a:b].tobytes(), n[a:b].tobytes()))
             for at in range(0, len(rows), 4096):
-                part = rows[at : at + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], type=f.type) for i, f in enumerate(to_arrow_schema(packed))], names=packed.names)
+                yield pa.RecordBatch.from_pylist([dict(zip(packed.names, r, strict=True)) for r in rows[at : at + 4096]], schema=packed)
         give_back()
 
+    def of_segment(seg: int, own: dict[int, list[tuple]]) -> Iterator[pa.RecordBatch]:
+        joined = lambda kind, i, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(p[i], t) for p in own.get(kind, ()))])
+        keys, twins, n = joined(1, 0, "<u8"), joined(1, 1, "<u8"), joined(1, 2, "<u4")
+        at, number = distinct_words(keys, twins)
+        keys, twins, n = keys[at], twins[at], np.bincount(number, weights=n, minlength=len(at))
+        columns = {"kind": np.ones(len(keys), np.int32), "key": keys.view(np.int64), "twin": twins.view(np.int64), "n": n.astype(np.int64)}
+        yield pa.RecordBatch.from_arrays([pa.array(columns[f.name]) if f.name in columns else pa.nulls(len(keys), f.type) for f in out], schema=out)
+        pairs, number = np.unique(joined(2, 0, "<u8"), return_inverse=True)
+        twice = np.bincount(number, weights=joined(2, 2, "<u4"), minlength=len(pairs))
+        k, bits, data = build_segment(np.concatenate([mix(keys ^ UNIGRAM), pairs]), np.concatenate([n, twice]), hashes, base)
+        yield pa.RecordBatch.from_pylist([{"kind": 2, "key": seg, "k": k, "bits": bits, "data": data}], schema=out)
+
     def merge(batches):
-        own: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        """Rows come by segment; one segment's are held at a time."""
+        now, own = None, {}
         for batch in batches:
-            for seg, kind, keys, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                own.setdefault((seg, kind), []).append((np.frombuffer(keys, "<u8"), np.frombuffer(n, "<u4")))
-        kinds = to_arrow_schema(out)
-        for seg in sorted({s for s, _ in own}):
-            summed = {}
-            for kind in (1, 2):
-                parts = own.pop((seg, kind), [])
-                keys = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
-                n = np.concatenate([p[1] for p in parts]).astype(np.float64) if parts else np.zeros(0)
-                keys, where = np.unique(keys, return_inverse=True)
-                summed[kind] = keys, np.bincount(where, weights=n, minlength=len(keys))
-            keys, n = summed[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64)), *(pa.nulls(len(keys), kinds.field(i).type) for i in (3, 4, 5))], names=kinds.names)
-            k, bits, data = build_segment(np.concatenate([mix(keys ^ UNIGRAM), summed[2][0]]), np.concatenate([n, summed[2][1]]), hashes, base, 1 << 32)
-            if k < hashes and bits > 64:
-                raise ValueError(f"segment {seg} has over 2^32 bits: more shuffle partitions are needed")
-            yield pa.RecordBatch.from_arrays([pa.array([x], type=kinds.field(i).type) for i, x in enumerate((2, seg, None, k, bits, data))], names=kinds.names)
+            for seg, kind, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if seg != now:
+                    if now is not None:
+                        yield from of_segment(now, own)
+                    now, own = seg, {}
+                own.setdefault(kind, []).append(parts)
+        if now is not None:
+            yield from of_segment(now, own)
         give_back()
 
-    return docs.select(text_col).mapInArrow(count, packed).repartition(max(segments // 4, 1), "seg").mapInArrow(merge, out)
+    sent = docs.select(text_col).mapInArrow(count, PACKED)
+    return sent.repartition(max(segments // 4, 1), "seg").sortWithinPartitions("seg").mapInArrow(merge, GATHERED)
 
 
-def fit(docs: DataFrame, text_col: str = "text", hashes: int = 6, base: float = 1.5, max_bytes: int = 128 << 20, hot_words: int = 400_000, mu: float = 4.0, chunk: int = 2 << 20) -> tuple[Model, DataFrame, DataFrame]:
-    """The model, all words' (key, n), and the filter's segments (seg, k, bits, data), learned from docs."""
+def fit(docs: DataFrame, text_col: str = "text", hashes: int = 6, base: float = 1.5, max_bytes: int = 128 << 20, hot_words: int = 400_000, mu: float = 4.0, chunk: int = 2 << 20, key: bytes = KEY) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, all words' (key, twin, n), and the filter's segments (seg, k, bits, data), learned from docs."""
     spark = docs.sparkSession
-    segments = 4 * partitions(spark)
-    gathered = materialise(gather(docs, text_col, segments, chunk, hashes, base), "counts")
-    words = gathered.filter("kind = 1").select("key", "n")
+    segments = 4 * pieces(docs)
+    gathered = materialise(gather(docs, text_col, segments, chunk, hashes, base, key), "counts")
+    words = gathered.filter("kind = 1").select("key", "twin", "n")
     # How many words there are of each size of count; a size's words are all hot or none.
     size = F.floor(F.log2("n") * 8).cast("int")
     steps = sorted(words.groupBy(size.alias("size")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).collect(), reverse=True)
@@ -266,17 +298,21 @@ def fit(docs: DataFrame, text_col: str = "text", hashes: int = 6, base: float =
             break
         least = r["size"]
     hot = (words.filter(size >= least) if least is not None else words.limit(0)).toPandas()  # hot_words rows at most
-    order = np.argsort(hot["key"].to_numpy().view(np.uint64))
+    keys = hot["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    same = np.diff(keys[order]) == 0  # words that share their first hash are looked up by the join
+    order = order[~(np.append(same, False) | np.append(False, same))[: len(order)]]
     parts = gathered.filter("kind = 2").select(F.col("key").alias("seg"), "k", "bits", "data")
     fits = (parts.agg(F.sum("bits")).first()[0] or 0) <= 8 * max_bytes
     filt = assemble(parts, segments, base) if fits else None
-    return Model(filt, total, distinct, hot["key"].to_numpy().view(np.uint64)[order], hot["n"].to_numpy()[order], mu, base, segments), words, parts
+    twins, counts = hot["twin"].to_numpy().view(np.uint64)[order], hot["n"].to_numpy()[order]
+    return Model(filt, total, distinct, keys[order], twins, counts, mu, base, segments, key), words, parts
 
 
-def asked(bodies: list[bytes]) -> np.ndarray:
+def asked(bodies: list[bytes], key: bytes) -> np.ndarray:
     """The distinct keys that texts' scores look up, in order and so by segment."""
-    numbers, names, _ = stream(bodies)
-    return np.unique(np.concatenate([mix(names ^ UNIGRAM), pair_keys(names[histories(numbers, names)], names[numbers])]))
+    got = Stream.of(bodies, key)
+    return np.unique(np.concatenate([got.word_keys(), got.pair_keys()]))
 
 
 def probe_slices(numbered: DataFrame, parts: DataFrame, model: Model, text_col: str, chunk: int, slice_bytes: int) -> tuple[DataFrame, DataFrame]:
@@ -284,7 +320,7 @@ def probe_slices(numbered: DataFrame, parts: DataFrame, model: Model, text_col:
     from each slice of the filter, one after another."""
     size = parts.agg(F.sum("bits")).first()[0] // 8
     slices = int(min(model.segments, max(1, -(-size // slice_bytes))))
-    segments, base = model.segments, model.base
+    segments, base, hash_key = model.segments, model.base, model.key
     sent = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("slice", T.IntegerType()), T.StructField("seg", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("bits", T.LongType()), T.StructField("body", T.BinaryType())])
     back = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("slice", T.IntegerType()), T.StructField("body", T.BinaryType())])
 
@@ -298,7 +334,7 @@ def probe_slices(numbered: DataFrame, parts: DataFrame, model: Model, text_col:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema) as writer:
                 writer.write_table(rows)
-            keys = asked([b for _, bodies in held for b in bodies])
+            keys = asked([b for _, bodies in held for b in bodies], hash_key)
             where = segment_of(keys, segments) * slices // segments
             cut = np.searchsorted(where, np.arange(slices + 1))
             yield batch(sent, (first + n, -1, None, None, None, sink.getvalue().to_pybytes()))
@@ -336,25 +372,33 @@ def probe_slices(numbered: DataFrame, parts: DataFrame, model: Model, text_col:
 
 
 def score_texts(bodies: list[bytes], model: Model, levels=None) -> dict[str, list | np.ndarray]:
-    """For each text: tokens, hot known tokens, their base score, the model's score, and the keys of its other tokens. levels
-    tells keys' levels, if the model holds no filter."""
-    numbers, names, sizes = stream(bodies)
+    """For each text: tokens, hot known tokens, their base score, the model's score, and the identities of its other tokens.
+    levels tells keys' levels, if the model holds no filter."""
+    got = Stream.of(bodies, model.key)
+    numbers, sizes = got.numbers, got.sizes
     space = model.total + 0.5 * (model.distinct + 1)
-    at = np.minimum(np.searchsorted(model.hot_keys, names), max(len(model.hot_keys) - 1, 0))
-    hot = model.hot_keys[at] == names if len(model.hot_keys) else np.zeros(len(names), dtype=bool)
-    base = np.where(hot, np.log10(((model.hot_counts[at] if len(model.hot_keys) else np.zeros(len(names))) + 0.5) / space), 0.0)
+    hot, base = np.zeros(len(got.names), dtype=bool), np.zeros(len(got.names))
+    if len(model.hot_keys):
+        at = np.minimum(np.searchsorted(model.hot_keys, got.names), len(model.hot_keys) - 1)
+        hot = (model.hot_keys[at] == got.names) & (model.hot_twins[at] == got.twins)
+        base = np.where(hot, np.log10((model.hot_counts[at] + 0.5) / space), 0.0)
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     rare = np.flatnonzero(~hot[numbers])
-    tails = np.split(names[numbers[rare]].view(np.int64), np.searchsorted(rare, begin[1:]))
     levels = levels or model.filter.levels
-    once = count_of(levels(mix(names ^ UNIGRAM)), model.base)
+    once = count_of(levels(got.word_keys()), model.base)
     unigram = (once + 0.5) / space
-    before = histories(numbers, names)
-    twice = count_of(levels(pair_keys(names[before], names[numbers])), model.base)
+    before = got.before()
+    twice = count_of(levels(got.pair_keys()), model.base)
     p = (np.minimum(twice, once[before]) + model.mu * unigram[numbers]) / (once[before] + model.mu)
     return {
-        "n_tokens": sizes, "hot_known": np.add.reduceat(hot[numbers].astype(np.int64), begin), "hot_base": np.add.reduceat(base[numbers], begin), "score": np.add.reduceat(np.log10(p), begin), "tail": tails,
-    }
+        "n_tokens": sizes,
+        "hot_known": np.add.reduceat(hot[numbers].astype(np.int64), begin),
+        "hot_base": np.add.reduceat(base[numbers], begin),
+        "score": np.add.reduceat(np.log10(p), begin),
+        "tail_ends": np.append(np.searchsorted(rare, begin), len(rare)).astype(np.int32),
+        "tail": got.names[numbers[rare]].view(np.int64),
+        "twins": got.twins[numbers[rare]].view(np.int64),
+    }
 
 
 def _free_shuffles(spark) -> None:
@@ -371,15 +415,15 @@ def lm_score(docs: DataFrame, may_learn, text_col: str = "text", chunk: int = 1
     model, words, parts = fit(docs.filter(may_learn), text_col, **how)
     sent = spark.sparkContext.broadcast(model)
     keep = [c for c in docs.columns]
-    new = T.StructType([T.StructField("__rv_n", T.LongType()), T.StructField("__rv_known", T.LongType()), T.StructField("__rv_base", T.DoubleType()), T.StructField("__rv_score", T.DoubleType()), T.StructField("__rv_tail", T.ArrayType(T.LongType()))])
+    new = T._parse_datatype_string("__rv_n long, __rv_known long, __rv_base double, __rv_score double, __rv_tail array<long>, __rv_twins array<long>")
     numbered = docs.withColumn("__rv_row", F.monotonically_increasing_id())
     schema = T.StructType([numbered.schema[c] for c in keep if c != text_col] + [numbered.schema["__rv_row"], *new.fields])
 
     def scored(rows: pa.Table, bodies: list[bytes], levels=None) -> pa.RecordBatch:
         got = score_texts(bodies, sent.value, levels)
-        passed = [rows.column(c).combine_chunks() for c in schema.names[: len(schema.names) - 5]]
-        tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(t) for t in got["tail"]])]).astype(np.int32)), pa.array(np.concatenate(got["tail"])))
-        return pa.RecordBatch.from_arrays([*passed, pa.array(got["n_tokens"]), pa.array(got["hot_known"]), pa.array(got["hot_base"]), pa.array(got["score"]), tail], names=schema.names)
+        passed = [rows.column(c).combine_chunks() for c in schema.names[: len(schema.names) - len(new)]]
+        tails = [pa.ListArray.from_arrays(pa.array(got["tail_ends"]), pa.array(got[x])) for x in ("tail", "twins")]
+        return pa.RecordBatch.from_arrays([*passed, *(pa.array(got[x]) for x in ("n_tokens", "hot_known", "hot_base", "score")), *tails], names=schema.names)
 
     def run(batches):
         for held in chunks(batches, chunk, text_col):
@@ -392,7 +436,7 @@ def lm_score(docs: DataFrame, may_learn, text_col: str = "text", chunk: int = 1
         def one(body: bytes, parts: list[bytes]) -> pa.RecordBatch:
             rows = pa.ipc.open_stream(body).read_all()
             bodies = [t for b in rows.to_batches() for t in texts(b, text_col)]
-            keys, found = asked(bodies), np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+            keys, found = asked(bodies, sent.value.key), np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
             return scored(rows, bodies, lambda k: found[np.searchsorted(keys, k)])
 
         body, parts = None, []
@@ -425,7 +469,8 @@ def lm_score(docs: DataFrame, may_learn, text_col: str = "text", chunk: int = 1
         _free_shuffles(spark)
     sent.destroy()
     space = float(model.total + 0.5 * (model.distinct + 1))
-    tails = done.select("__rv_row", F.explode("__rv_tail").alias("key")).join(words, "key", "left")
+    tails = done.select("__rv_row", F.explode(F.arrays_zip("__rv_tail", "__rv_twins")).alias("w"))
+    tails = tails.select("__rv_row", F.col("w.__rv_tail").alias("key"), F.col("w.__rv_twins").alias("twin")).join(words, ["key", "twin"], "left")
     tails = tails.groupBy(F.col("__rv_row").alias("__rv_at")).agg(F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / space)).alias("__rv_more"), F.count("n").alias("__rv_found"))
     out = done.join(tails, F.col("__rv_row") == F.col("__rv_at"), "left")
     passed = [F.col(f"`{c}`") for c in keep if c != text_col]

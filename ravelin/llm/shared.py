@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..sources.movements import table
 from ..sources.storage import materialise, release
 
-__all__ = ["arrow_map", "components", "give_back", "held_out", "materialise", "partitions", "release", "table", "texts"]
+__all__ = ["arrow_map", "components", "give_back", "held_out", "input_bytes", "materialise", "partitions", "pieces", "release", "table", "texts"]
 
 
 #: Rows that a worker turns into Python objects at a time.
@@ -24,6 +24,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """What Spark's statistics say that a frame's sources hold; 0 where they don't know."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 50)
+
+
+def pieces(df: DataFrame, each: int = 512 << 20) -> int:
+    """How many parts a hash space is cut into: the shuffle partitions, or more where a frame is that large."""
+    return max(partitions(df.sparkSession), input_bytes(df) // each)
+
+
 def arrow_map(
     df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, list | pa.Array]] | dict[str, list | pa.Array]], schema: T.StructType, keep: list[str] | None = None
 ) -> DataFrame:
@@ -69,31 +81,30 @@ def held_out(column: str, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus == remainder, F.lit(True))
 
 
-def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges of longs, by alternating large and small stars.
 
-    Every node of an edge gets a row. Each round is written to the shared folder. A hub with many neighbours is aggregated by
-    min before the shuffle; its rows in a round's joins are pairs of numbers, which stream through.
+    Every node of an edge gets a row. Each round is written to the shared folder, the one before deleted. It ends when every
+    node hangs on one smaller node that itself hangs on none; rounds grow with the logarithm of the nodes. A hub with many
+    neighbours is aggregated by min before the shuffle; its rows in a round's joins are pairs of numbers, which stream through.
     """
     now = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).distinct()
-    now, first = materialise(now, "edges"), None
+    now = materialise(now, "edges")
     nodes = materialise(now.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    seen = None
-    for _ in range(rounds):
+    settled = False
+    while not settled:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         after = materialise(small, "edges")
-        sums = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if first is not None:
-            release(now)
-        first, now = True, after
-        if tuple(sums) == seen:
-            break
-        seen = tuple(sums)
-    else:
-        raise RuntimeError("components did not settle")
-    root = now.groupBy("a").agg(F.min("b").alias("m"))
-    return nodes.join(root, nodes["node"] == root["a"], "left").select("node", F.coalesce("m", "node").alias("component"))
+        release(now)
+        now = after
+        up = now.groupBy("a").agg(F.count("*").alias("n"))
+        settled = up.filter("n > 1").isEmpty() and now.select(F.col("b").alias("a")).distinct().join(up, "a", "left_semi").isEmpty()
+    root = now.select("a", F.col("b").alias("m"))
+    out = materialise(nodes.join(root, nodes["node"] == root["a"], "left").select("node", F.coalesce("m", "node").alias("component")), "components")
+    release(now)
+    release(nodes)
+    return out

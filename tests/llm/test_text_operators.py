@@ -1,7 +1,10 @@
 """Text operators against brute force, on texts with every case that their docstrings define."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -292,15 +295,85 @@ def test_an_empty_benchmark_hits_nothing(spark, hard_docs):
     assert got.filter("contaminated OR n_hit > 0 OR size(items) > 0").count() == 0
 
 
-def test_word_hashes_do_not_depend_on_where_words_stand(monkeypatch):
+def test_word_hashes_do_not_depend_on_where_words_stand():
     rng = random.Random(9)
-    bodies = [" \t".join("".join(rng.choice("abé漢") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 40))).encode() for _ in range(30)] + [b"", b" \n ", b" a", b"a "]
+    one = lambda: "".join(rng.choice("abé漢") for _ in range(rng.choice([1, 3, 6, 8, 9, 16, 30, 64, 65, 200])))
+    bodies = [" \t".join(one() for _ in range(rng.randint(0, 40))).encode() for _ in range(30)] + [b"", b" \n ", b" a", b"a ", b"b" * 5000]
     every = [w for b in bodies for w in b.split()]
-    for stretch in (1 << 19, 7):
-        monkeypatch.setattr(words, "STRETCH", stretch)
-        hashes, sizes = words.word_stream(bodies)
-        assert sizes.tolist() == [len(b.split()) for b in bodies]
-        by_word = {}
-        for w, h in zip(every, hashes.tolist(), strict=True):
-            assert by_word.setdefault(w, h) == h
-        assert len(set(by_word.values())) == len(by_word)
+    lanes, sizes = words.word_stream(bodies, words.new_key(), 2)
+    assert sizes.tolist() == [len(b.split()) for b in bodies]
+    by_word = {}
+    for w, *h in zip(every, *(x.tolist() for x in lanes), strict=True):
+        assert by_word.setdefault(w, h) == h
+    for i in range(2):
+        assert len({h[i] for h in by_word.values()}) == len(by_word)
+    assert words.word_stream(bodies, words.KEY)[0][0].tolist() == words.word_stream(bodies, words.KEY, 2)[0][0].tolist()
+
+
+def thue_morse(n, a, b):
+    """Two words of n letters that every polynomial hash modulo 2^64 takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_words_that_simple_hashes_confuse(spark):
+    """Such words are two in the counts, and windows that differ in one of them are no repeats."""
+    rng = random.Random(4)
+    texts = []
+    for n in (1024, 2048, 4096):
+        for one in thue_morse(n, "a", "b"):
+            texts.append((len(texts), f"{prose(random.Random(n), 20)} {one} {prose(random.Random(n + 1), 20)}"))
+    texts.append((len(texts), prose(rng, 50)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = substring_fm.remove_repeats(df).withColumn("removed", F.expr("aggregate(stretches, 0, (n, s) -> n + s.end - s.begin)")).collect()
+    assert by_text(rows, "n_words", "removed", "kept_words") == want_rows(texts, brute.without_repeats([t for _, t in texts], 35))
+    got = {r.doc_id: r for r in lm_bloom.lm_score(df, F.col("doc_id") % 2 == 0).collect()}
+    want, n = brute.base_scores(texts, lambda i: i % 2 == 0)
+    for (i, _), (tokens, known, score) in zip(texts, want, strict=True):
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (tokens, known, n) and got[i].base_score == pytest.approx(score)
+
+
+def test_words_of_one_first_hash_are_told_apart(monkeypatch, spark):
+    """All words share their first hash: the second half of the identity still gives exact counts."""
+    import numpy as np
+
+    plain = words.word_stream
+
+    def same_first(bodies, key, lanes=1):
+        found, sizes = plain(bodies, key, lanes)
+        return [found[0] % np.uint64(3), *found[1:]], sizes
+
+    monkeypatch.setattr(lm_bloom, "word_stream", same_first)
+    rng = random.Random(5)
+    texts = [(i, prose(rng, 30)) for i in range(10)]
+    at, number = lm_bloom.distinct_words(np.array([5, 5, 1, 5], np.uint64), np.array([2, 1, 7, 2], np.uint64))
+    assert at.tolist() == [2, 1, 0] and number.tolist() == [2, 1, 0, 2]
+    got = lm_bloom.Stream.of([t.encode() for _, t in texts], words.KEY)
+    assert len(got.names) == len({w for _, t in texts for w in brute.ascii_lower(t).split()}) + 1
+
+
+def exact_bigrams(rows, learns, mu=4.0):
+    """Scores by the smoothed formula with exact counts."""
+    tokens = [[*re.findall(brute.SPACE, brute.ascii_lower(t or "")), None] for _, t in rows]
+    trained = [ts for (i, _), ts in zip(rows, tokens, strict=True) if learns(i)]
+    one, two = Counter(w for ts in trained for w in ts), Counter(p for ts in trained for p in zip([None, *ts], ts, strict=False))
+    space = sum(one.values()) + 0.5 * (len(one) + 1)
+    p1 = lambda w: (one[w] + 0.5) / space
+    p2 = lambda v, w: (min(two[v, w], one[v]) + mu * p1(w)) / (one[v] + mu)
+    return [sum(math.log10(p2(v, w)) for v, w in zip([None, *ts], ts, strict=False)) for ts in tokens]
+
+
+def test_lm_scores_stay_near_exact_bigrams(spark):
+    """Counts are quantised by steps of 1.5, so a count is off by a factor of sqrt(1.5) at most and a token's log10 probability
+    by less than twice its logarithm (0.18); false positives of six hashes add little. Broadcast or not."""
+    rng = random.Random(6)
+    chain = lambda n: " ".join(f"w{i}" for i in (int(rng.paretovariate(0.6)) % 200 for _ in range(n)))
+    texts = [(i, chain(rng.randint(5, 200))) for i in range(150)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    learns = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
+    want = exact_bigrams(texts, learns)
+    need = lm_bloom.fit(df.filter(~held_out("doc_id", 5, 1)))[2].agg(F.sum("bits")).first()[0] // 8
+    for most in (128 << 20, need // 50):
+        got = {r.doc_id: r for r in lm_bloom.lm_score(df, ~held_out("doc_id", 5, 1), max_bytes=most, slice_bytes=need // 20).collect()}
+        off = [abs(got[i].score - w) / got[i].n_tokens for (i, _), w in zip(texts, want, strict=True)]
+        assert max(off) < 0.18 and sum(off) / len(off) < 0.06
