@@ -89,26 +89,34 @@ WITH RECURSIVE rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), sized AS (
-  SELECT *, len(regexp_split_to_array(body, '[\x20\x09-\x0D]+')) + 4 AS tokens,
+  SELECT *, len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) + 4 AS tokens,
     22 + length(role) + length(body) + length(regexp_replace(role || body, '[^\\<\[]', '', 'g')) AS chars,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, body) AS i
   FROM rows
+), led AS (
+  SELECT conv_id, tokens AS lead FROM sized WHERE i = 1 AND role = 'system'
 ), t AS (
-  SELECT *, (sum(tokens) OVER (PARTITION BY conv_id ORDER BY i))::BIGINT AS upto, (first(role) OVER (PARTITION BY conv_id ORDER BY i) = 'system')::INTEGER AS system FROM sized
+  SELECT s.*, (sum(tokens) OVER (PARTITION BY s.conv_id ORDER BY i))::BIGINT AS upto, coalesce(lead, 0) AS lead FROM sized s LEFT JOIN led ON s.conv_id IS NOT DISTINCT FROM led.conv_id
 ), walk AS (
-  SELECT conv_id, 1::BIGINT AS i, 1::BIGINT AS start, 0::BIGINT AS since FROM t WHERE i = 1
+  -- A window's new turns: the first one always, others while system turn, 256 tokens of history and they stay within 1024.
+  SELECT conv_id, 1::BIGINT AS i, 1::BIGINT AS start, tokens::BIGINT AS new FROM t WHERE i = 1
   UNION ALL
-  SELECT t.conv_id, t.i, CASE WHEN t.upto - w.since > 768 THEN t.i ELSE w.start END, CASE WHEN t.upto - w.since > 768 THEN t.upto - t.tokens ELSE w.since END
-  FROM walk w JOIN t ON t.conv_id = w.conv_id AND t.i = w.i + 1
-), starts AS (SELECT DISTINCT conv_id, start FROM walk),
-again AS (
-  SELECT s.conv_id, sum(CASE WHEN t.i = 1 AND t.system = 1 OR t.i > t.system AND b.upto - t.upto + t.tokens <= 256 THEN t.chars ELSE 0 END) AS chars
-  FROM starts s JOIN t b ON b.conv_id = s.conv_id AND b.i = s.start - 1 JOIN t ON t.conv_id = s.conv_id AND t.i < s.start GROUP BY s.conv_id
-)
+  SELECT conv_id, i, CASE WHEN fits THEN start ELSE i END, CASE WHEN fits THEN new ELSE 0 END + tokens
+  FROM (
+    SELECT t.conv_id, t.i, t.tokens, w.start, w.new, (CASE WHEN w.start > 1 THEN t.lead ELSE 0 END) + 256 + w.new + t.tokens <= 1024 AS fits
+    FROM walk w JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1
+  )
+), windows AS (
+  SELECT conv_id, start, max(new) AS new FROM walk GROUP BY conv_id, start
+), again AS (
+  -- What a later window repeats: the system turn, and turns before it in what the budget leaves, 256 tokens at most.
+  SELECT w.conv_id, sum(CASE WHEN t.lead > 0 AND t.i = 1 OR NOT (t.lead > 0 AND t.i = 1) AND b.upto - t.upto + t.tokens <= least(256, 1024 - t.lead - w.new) THEN t.chars ELSE 0 END) AS chars
+  FROM windows w JOIN t b ON b.conv_id IS NOT DISTINCT FROM w.conv_id AND b.i = w.start - 1 JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i < w.start GROUP BY w.conv_id
+), counted AS (SELECT conv_id, count(*)::BIGINT AS n FROM windows GROUP BY conv_id)
 SELECT t.conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY i)) AS turns_sha256,
   coalesce(sum(length(body)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(body, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  (sum(t.chars) + coalesce(any_value(again.chars), 0))::BIGINT AS formatted_chars, (SELECT count(*) FROM starts s WHERE s.conv_id = t.conv_id)::BIGINT AS n_windows
-FROM t LEFT JOIN again ON again.conv_id = t.conv_id GROUP BY t.conv_id
+  (sum(t.chars) + coalesce(any_value(again.chars), 0))::BIGINT AS formatted_chars, any_value(counted.n) AS n_windows
+FROM t LEFT JOIN again ON again.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN counted ON counted.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY t.conv_id
 """
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..sources.movements import table
 from ..sources.storage import materialise, release
 
-__all__ = ["arrow_map", "components", "give_back", "held_out", "input_bytes", "materialise", "partitions", "pieces", "release", "table", "texts"]
+__all__ = ["arrow_map", "components", "free", "give_back", "held_out", "input_bytes", "materialise", "partitions", "pieces", "release", "table", "texts"]
 
 
 #: Rows that a worker turns into Python objects at a time.
@@ -36,6 +36,16 @@ def pieces(df: DataFrame, each: int = 512 << 20) -> int:
     return max(partitions(df.sparkSession), input_bytes(df) // each)
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores after it as it takes to be no column's."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def arrow_map(
     df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, list | pa.Array]] | dict[str, list | pa.Array]], schema: T.StructType, keep: list[str] | None = None
 ) -> DataFrame:

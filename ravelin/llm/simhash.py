@@ -1,32 +1,47 @@
 """SimHash near-dedup with pigeonring filtering.
 
-A fingerprint bit is 1 if it is set in over half of a text's word-shingle hashes (XXH64, seed 42, repeats included).
-Two fingerprints link at `budget` or fewer differing bits. The 64 bits lie on a ring of budget + 1 segments. If two
-fingerprints link, then from some segment on every chain of consecutive segments stays within its proportional share of
-the budget: the first segment differs in none, the first two in no more than 2*budget/(budget+1), which is one, and so on.
-One differing bit leaves a half of the second segment whole, so fingerprints meet under a segment and a half of the next
-one, and in each meeting the chain from that segment on is tested at growing length; only survivors get the full Hamming
-check.
-
-Work is on distinct fingerprints, each standing for the smallest id that has it. Meetings of up to `block` fingerprints
-are worked off many in a task. Larger ones are cut into blocks, and each pair of blocks is a meeting of its own, so no
-task holds an unbounded group. A task returns a spanning forest of the links that it found, never all pairs; components
-come from the forests' edges by alternating stars, so no link between fingerprints is lost.
-
-Defined cases: null or empty text has fingerprint zero; rows without an id get their fingerprint and no component (null);
-repeated rows are one document; an empty table gives an empty table; other columns are not read.
+A fingerprint bit is 1 if it is set in over half of a text's word-shingle hashes (repeats included). The bits lie on a ring
+of segments. If two fingerprints differ in `budget` bits or fewer, then from some segment on every chain of consecutive
+segments stays within its proportional share of the budget. In each meeting the chain from its segment on is tested at
+growing length; only survivors get the full Hamming check.
+
+Narrow fingerprints, of 64 bits (XXH64, seed 42), link at `budget` or fewer differing bits. The ring has budget + 1 segments, so
+the first segment of the good chain differs in none, and the next ones in few (with a budget of 4: two segments in one bit,
+three in two). What follows the first segment is cut into pieces of which so many must be whole, and fingerprints meet under
+the first segment and those pieces. Keys are the longer, and the more, the more fingerprints there are (`meeting_keys`), so
+that chance meetings don't grow with their square. No link is missed.
+
+Wide fingerprints are for similar texts, whose shingles overlap in `similarity` (Jaccard) or more: at 0.8 about 15 % of bits differ,
+too many for exact pieces of 64 bits. They have 704 bits or more, in segments of two bytes (three from `WIDER` on), and meet under
+one whole segment. Two texts of similarity s agree in a bit with probability 1 - acos(2s / (1 + s)) / pi, so there are as many
+segments as give all but a fortieth of pairs at the threshold a whole one. The budget is what 97 % of such pairs keep to.
+
+Work is on distinct fingerprints, each standing for the smallest id that has it. Meetings are sorted and streamed through a
+task, some at a time. Meetings of over `block` fingerprints are cut into blocks, and each pair of blocks is a meeting of its own,
+so no task holds an unbounded group. A task returns a spanning forest of the links that it found, never all pairs;
+components come from the forests' edges by alternating stars, so no link that was found is lost.
+
+Defined cases: null or empty text has fingerprint zero; a text of fewer words than a shingle is one shingle; a very long text is
+read whole by one task; rows without an id get their fingerprint and no component (null); repeated rows are one document;
+ties have the smallest id; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+from math import acos, ceil, log, pi, sqrt
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_map, components, materialise, partitions, texts
+from .shared import arrow_map, components, give_back, materialise, partitions, release, texts
+from .words import _A, KEY, mix, word_stream
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -56,6 +71,37 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return arrow_map(docs.select(id_col, text_col), run, T.StructType([T.StructField(out, T.LongType())]), [id_col])
 
 
+def wide_fingerprints(bodies: list[bytes], shingle: int, words: int) -> np.ndarray:
+    """A fingerprint of `words` * 64 bits for each text, for all texts at once."""
+    (hashes,), sizes = word_stream([b.lower() for b in bodies], KEY)
+    first = np.cumsum(sizes) - sizes
+    grams, at = np.zeros(len(hashes), dtype=np.uint64), np.arange(len(hashes))
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    for j in range(shingle):  # a text that ends sooner ends its shingle
+        inside = at + j < (first + sizes)[text]
+        grams[inside] = mix(grams[inside] * _A + hashes[at[inside] + j])
+    count = np.where(sizes > 0, np.maximum(sizes - shingle + 1, 1), 0)
+    grams = grams[at - first[text] < count[text]]
+    out = np.zeros((len(bodies), words), dtype=np.uint64)
+    if not len(grams):
+        return out
+    # Stretches of 255 shingles at most, whose bits are added up in bytes.
+    cuts = -(-count // 255)
+    owner = np.repeat(np.arange(len(sizes)), cuts)
+    begin = np.repeat(np.cumsum(count) - count, cuts) + 255 * (np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+    some = np.flatnonzero(count)
+    ones = np.uint64(0x0101010101010101)
+    for w in range(words):
+        bits = mix(grams ^ mix(np.array([w + 1], dtype=np.uint64) * _A))
+        sums = np.empty((len(begin), 8, 8), dtype=np.uint8)  # stretch, bit of a byte, byte
+        for j in range(8):
+            sums[:, j] = np.add.reduceat(bits >> np.uint64(j) & ones, begin).view(np.uint8).reshape(-1, 8)
+        total = np.add.reduceat(sums.astype(np.int64), np.searchsorted(owner, some))
+        over = (2 * total > count[some, None, None]).transpose(0, 2, 1).reshape(len(some), 64)
+        out[some, w] = np.packbits(over, axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
 def segments(budget: int, bits: int = 64) -> list[tuple[int, int]]:
     """(shift, width) of the ring's budget + 1 segments."""
     m = budget + 1
@@ -74,28 +120,110 @@ def chain_masks(start: int, budget: int) -> list[tuple[np.uint64, int]]:
     return out
 
 
-def meeting_keys(budget: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(start, pieces) for each key under which fingerprints meet: pieces are (shift, width) of bits that must be equal."""
+def meeting_keys(budget: int, n: int = 0, row_cost: float = 100.0) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(start, pieces) for each key under which fingerprints meet: pieces are (shift, width) of bits that must be equal.
+
+    From the start on, the first segment is whole, and the chain of `more` further ones differs in `most` bits at most; of its r
+    equal pieces r - most are whole. Longer chains in more pieces give longer keys, and more of them. For n fingerprints the
+    way is taken that costs least: `row_cost` for each key of a fingerprint, 1 for each chance meeting of two."""
     parts = segments(budget)
-    out = []
-    for i, own in enumerate(parts):
-        shift, width = parts[(i + 1) % len(parts)]
-        halves = [(shift, width // 2), (shift + width // 2, width - width // 2)]
-        out += [(i, [own, h]) for h in halves] if len(parts) > 1 else [(i, [own])]
-    return out
+    m = len(parts)
+    if m == 1:
+        return [(0, [parts[0]])]
+    best, cost = [], float("inf")
+    for more in range(1, m):
+        most = (more + 1) * budget // m
+        for r in range(most + 1, most + 5):
+            ways = [(i, [parts[i], *whole]) for i in range(m) for whole in _pieces(parts, i, more, r, r - most)]
+            bits = min(sum(w for _, w in x) for _, x in ways)
+            now = len(ways) * (n * row_cost + n * n / 2.0 ** (bits + 1))
+            if now < cost:
+                best, cost = ways, now
+    return best
+
+
+def _pieces(parts: list[tuple[int, int]], start: int, more: int, r: int, whole: int) -> Iterator[list[tuple[int, int]]]:
+    """Each choice of `whole` of r pieces of the `more` segments after the start, as (shift, width) of bits that adjoin."""
+    bits = [b for k in range(1, more + 1) for shift, width in [parts[(start + k) % len(parts)]] for b in range(shift, shift + width)]
+    for chosen in combinations(range(r), whole):
+        runs: list[tuple[int, int]] = []
+        for x in chosen:
+            for b in bits[len(bits) * x // r : len(bits) * (x + 1) // r]:
+                if runs and sum(runs[-1]) == b:
+                    runs[-1] = runs[-1][0], runs[-1][1] + 1
+                else:
+                    runs.append((b, 1))
+        yield runs
+
+
+class Narrow:
+    """Links of 64-bit fingerprints at `budget` or fewer bits."""
+
+    #: Meetings of this size or less are worked off all at once, a distance of neighbours at a time.
+    together = 32
+
+    def __init__(self, budget: int) -> None:
+        self.budget, self.masks = budget, [chain_masks(i, budget) for i in range(budget + 1)]
+
+    def read(self, column: pa.ChunkedArray) -> np.ndarray:
+        return column.to_numpy().view(np.uint64)
+
+    def linked(self, a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """For aligned fingerprints and the segments that they met under, whether they stay within every chain's share from there
+        on, the last chain being the whole ring."""
+        x, out = np.bitwise_xor(a, b), np.zeros(len(a), dtype=bool)
+        for s in np.unique(start).tolist():
+            keep = np.flatnonzero(start == s)
+            for mask, most in self.masks[s]:
+                keep = keep[np.bitwise_count(x[keep] & mask) <= most]
+                if not len(keep):
+                    break
+            out[keep] = True
+        return out
 
 
-def linked(a: np.ndarray, b: np.ndarray, start: int, budget: int) -> np.ndarray:
-    """For aligned fingerprints, whether they stay within every chain's share from a segment on, the last chain being the whole ring."""
-    x = np.bitwise_xor(a, b)
-    keep = np.arange(len(x))
-    for mask, most in chain_masks(start, budget):
-        keep = keep[np.bitwise_count(x[keep] & mask) <= most]
-        if not len(keep):
-            break
-    out = np.zeros(len(x), dtype=bool)
-    out[keep] = True
-    return out
+#: So many distinct wide fingerprints take segments of three bytes.
+WIDER = 1 << 27
+
+
+class Wide:
+    """Links of wide fingerprints of texts whose similarity is `similarity` or more."""
+
+    together = 256
+
+    def __init__(self, similarity: float, n: int = 0) -> None:
+        apart = acos(2 * similarity / (1 + similarity)) / pi
+        self.segment = 2 if n < WIDER else 3
+        whole = (1 - apart) ** (8 * self.segment)
+        #: Words that are compared; the rest of a fingerprint only gives keys.
+        self.compared = 11
+        self.segments = ceil(log(40) / -log(1 - whole))
+        self.words = max(self.compared, -(-self.segments * self.segment // 8))
+        bits = 64 * self.compared
+        spread = sqrt(bits * apart * (1 - apart))
+        self.budget = int(bits * apart + 1.9 * spread)
+        #: A chain from a whole segment on may run ahead of its share by what chance does.
+        self.share = [(k + 1) * self.budget / self.compared + 3 * 8 * sqrt((k + 1) * apart * (1 - apart)) for k in range(self.compared)]
+        self.share[-1] = self.budget
+
+    def read(self, column: pa.ChunkedArray) -> np.ndarray:
+        raw = pa.concat_arrays([pc.cast(x, pa.binary()) for x in column.chunks]) if column.num_chunks else pa.array([], pa.binary())
+        return np.frombuffer(b"".join(raw.to_pylist()), "<u8").reshape(-1, self.compared)
+
+    def linked(self, a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """As for narrow ones; chains grow by a word at a time, from that of the segment on."""
+        keep, total = np.arange(len(a)), np.zeros(len(a), dtype=np.int64)
+        word = start * self.segment // 8 % self.compared
+        for k in range(self.compared):
+            w = (word[keep] + k) % self.compared
+            total = total + np.bitwise_count(a[keep, w] ^ b[keep, w])
+            fine = total <= self.share[k]
+            keep, total = keep[fine], total[fine]
+            if not len(keep):
+                break
+        out = np.zeros(len(a), dtype=bool)
+        out[keep] = True
+        return out
 
 
 class Forest:
@@ -117,56 +245,49 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def connect(forest: Forest, fps: np.ndarray, left: np.ndarray, right: np.ndarray, start: int, budget: int) -> None:
+def connect(forest: Forest, fps: np.ndarray, left: np.ndarray, right: np.ndarray, start: int, rule: Narrow | Wide) -> None:
     """Joins what links between two sets of positions (or within one, if they are the same). Every pair is tested once at
     most, a row at a time; positions that already are in one tree with the row need no test."""
     same = left is right
-    tree = np.array([forest.root(i) for i in range(len(forest.up))]) if len(left) > 64 else None
+    tree = np.array([forest.root(i) for i in range(len(forest.up))])
     for k, i in enumerate(left.tolist()):
         others = right[k + 1 :] if same else right
-        if tree is not None:
-            others = others[tree[others] != tree[i]]
+        others = others[tree[others] != tree[i]]
         if not len(others):
             continue
-        hits = others[linked(np.full(len(others), fps[i]), fps[others], start, budget)]
+        hits = others[rule.linked(np.broadcast_to(fps[i], (len(others), *fps.shape[1:])), fps[others], np.full(len(others), start))]
         for j in hits.tolist():
             forest.join(i, j)
-        if tree is not None and len(hits):
+        if len(hits):
             merged = np.isin(tree, np.append(tree[hits], tree[i]))
             tree[merged] = tree[i]
 
 
-def meetings(rows: pa.Table, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) edges of a spanning forest over all links of a partition's meetings."""
-    key = rows.column("meet").to_numpy()
-    side = rows.column("side").to_numpy()
-    order = np.lexsort((side, key, rows.column("seg").to_numpy()))
-    fps = rows.column("fp").to_numpy()[order].view(np.uint64)
-    seg, key, side, node = rows.column("seg").to_numpy()[order], key[order], side[order], rows.column("node").to_numpy()[order]
+def meetings(rows: pa.Table, rule: Narrow | Wide) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) edges of a spanning forest over all links of some whole meetings, whose rows come sorted."""
+    key, seg, side, node = (rows.column(c).to_numpy() for c in ("meet", "seg", "side", "node"))
+    fps = rule.read(rows.column("fp"))
     # One tree for each node, however often it is here.
     names, where = np.unique(node, return_inverse=True)
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])])
-    begin = np.flatnonzero(new)
+    begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])]))
     size = np.diff(np.append(begin, len(key)))
     forest = Forest(len(names))
-    small = np.repeat(size, size) <= 32
-    group = np.repeat(np.arange(len(begin)), size)
-    for gap in range(1, 32):  # pairs of neighbours at a distance, in all small meetings at once
-        a = np.flatnonzero(small[:-gap] & (group[:-gap] == group[gap:])) if gap < len(group) else np.zeros(0, dtype=int)
-        if not len(a):
-            break
-        for s in np.unique(seg[a]).tolist():
-            own = a[seg[a] == s]
-            for i in own[linked(fps[own], fps[own + gap], s, budget)].tolist():
+    group, inner = np.repeat(np.arange(len(begin)), size), np.repeat(size, size)
+    inner = np.where((inner > 1) & (inner <= rule.together), inner, 0)
+    place = np.arange(len(key)) - np.repeat(begin, size)
+    for gap in range(1, int(inner.max(initial=1))):  # pairs of neighbours at a distance, in all small meetings at once
+        for a in np.array_split(own := np.flatnonzero(place + gap < inner), max(1, len(own) // 200_000)):
+            b = a + gap
+            apart = node[a] != node[b]
+            a, b = a[apart], b[apart]
+            for i in a[rule.linked(fps[a], fps[b], seg[a])].tolist():
                 forest.join(int(where[i]), int(where[i + gap]))
-    for b, n in zip(begin[size > 32].tolist(), size[size > 32].tolist(), strict=True):
+    large = size > rule.together
+    for b, n in zip(begin[large].tolist(), size[large].tolist(), strict=True):
         local = Forest(n)
         at = np.arange(n)
         one, two = at[side[b : b + n] == 0], at[side[b : b + n] == 1]
-        if len(two):
-            connect(local, fps[b : b + n], one, two, int(seg[b]), budget)
-        else:
-            connect(local, fps[b : b + n], one, one, int(seg[b]), budget)
+        connect(local, fps[b : b + n], one, two if len(two) else one, int(seg[b]), rule)
         for i in range(n):
             if (r := local.root(i)) != i:
                 forest.join(int(where[b + i]), int(where[b + r]))
@@ -175,38 +296,93 @@ def meetings(rows: pa.Table, budget: int) -> tuple[np.ndarray, np.ndarray]:
     return names[linked_nodes], names[roots[linked_nodes]]
 
 
-def near_components(prints: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", budget: int = 4, block: int = 2048) -> DataFrame:
+def linked_components(keyed: DataFrame, rule: Narrow | Wide, rows: int, block: int, together: int = 200_000) -> DataFrame:
+    """(node, component) from (fp, node, seg, way, key), of about so many rows: those of one way and key meet."""
+    spark = keyed.sparkSession
+    crowded = keyed.groupBy("way", "key").count().filter(F.col("count") > block).select("way", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    crowded = materialise(crowded, "crowded")
+    placed = keyed.join(crowded, ["way", "key"], "left")
+    own = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
+    pairs = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
+    )
+    met = placed.withColumn("own", own).select("fp", "node", "seg", "way", "key", "own", F.explode(pairs).alias("p"))
+    side = F.when((F.col("p.x") != F.col("p.y")) & (F.col("own") == F.col("p.y")), 1).otherwise(0).alias("side")
+    met = met.select("fp", "node", "seg", F.xxhash64("way", "key", "p.x", "p.y").alias("meet"), side)
+
+    def run(batches):
+        """Some meetings at a time; the last one of those read waits for the rest of it."""
+        rest = None
+        for batch in batches:
+            rest = pa.concat_tables([rest, pa.Table.from_batches([batch])]) if rest is not None else pa.Table.from_batches([batch])
+            if len(rest) < together:
+                continue
+            meet, seg = rest.column("meet").to_numpy(), rest.column("seg").to_numpy()
+            edges = np.flatnonzero((meet[1:] != meet[:-1]) | (seg[1:] != seg[:-1]))
+            if not len(edges):
+                continue
+            at = int(edges[-1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in meetings(rest.slice(0, at), rule)], names=["a", "b"])
+            rest = rest.slice(at).combine_chunks()
+        if rest is not None and len(rest):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in meetings(rest, rule)], names=["a", "b"])
+        give_back()
+
+    parts = max(partitions(spark), rows // 1_000_000)
+    edges = met.repartition(parts, "seg", "meet").sortWithinPartitions("seg", "meet", "side").mapInArrow(run, "a long, b long")
+    out = components(edges)
+    release(crowded)
+    return out
+
+
+def near_components(prints: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", budget: int = 4, block: int = 2048, row_cost: float = 100.0) -> DataFrame:
     """(node, component) for the representatives of fingerprints that link to another; node is the smallest id of a fingerprint."""
-    spark = prints.sparkSession
-    starts = [start for start, _ in meeting_keys(budget)]
     distinct = materialise(prints.filter(F.col(id_col).isNotNull()).groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("node")), "distinct")
+    n = distinct.count()
+    keys = meeting_keys(budget, n, row_cost)
 
-    def key(pieces: list[tuple[int, int]]):
+    def key(pieces: list[tuple[int, int]]) -> Column:
         out = F.lit(0).cast("long")
         for shift, width in pieces:
             out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1)) if width < 64 else F.col("fp")
         return out
 
-    keyed = distinct.select("fp", "node", F.posexplode(F.array(*[key(pieces) for _, pieces in meeting_keys(budget)])).alias("way", "key"))
-    keyed = keyed.select("fp", "node", F.get(F.array(*[F.lit(s) for s in starts]), F.col("way")).alias("seg"), "way", "key")
-    crowded = keyed.groupBy("way", "key").count().filter(F.col("count") > block).select("way", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    placed = keyed.join(materialise(crowded, "crowded"), ["way", "key"], "left")
-    own = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int")
-    pairs = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
-    )
-    met = placed.withColumn("own", own).select("fp", "node", "seg", "way", "key", "own", F.explode(pairs).alias("p"))
-    met = met.select("fp", "node", "seg", F.xxhash64("way", "key", "p.x", "p.y").alias("meet"), F.when((F.col("p.x") != F.col("p.y")) & (F.col("own") == F.col("p.y")), 1).otherwise(0).alias("side"))
+    keyed = distinct.select("fp", "node", F.posexplode(F.array(*[key(pieces) for _, pieces in keys])).alias("way", "key"))
+    keyed = keyed.select("fp", "node", F.get(F.array(*[F.lit(s) for s, _ in keys]), F.col("way")).alias("seg"), "way", "key")
+    out = linked_components(keyed, Narrow(budget), n * len(keys), block)
+    release(distinct)
+    return out
 
-    def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if held:
-            a, b = meetings(pa.Table.from_batches(held), budget)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    n = max(partitions(spark), 1)
-    edges = met.repartition(n, "seg", "meet").mapInArrow(run, "a long, b long")
-    return components(edges)
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 2048, chunk: int = 1 << 20) -> DataFrame:
+    """(id, component_id) for ids whose texts are like that of a smaller id, directly or by way of others: whole texts, by
+    shingles of words, at the similarity or more."""
+    docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rule = Wide(similarity, docs.count())
+
+    def run(batch: pa.RecordBatch) -> dict:
+        bodies, out, at = texts(batch, "text"), [], 0
+        while at < len(bodies):
+            upto, held = at, 0
+            while upto < len(bodies) and (upto == at or held + len(bodies[upto]) <= chunk):
+                held += len(bodies[upto])
+                upto += 1
+            out += [x.tobytes() for x in wide_fingerprints(bodies[at:upto], shingle, rule.words)]
+            at = upto
+        return {"fp": out}
+
+    prints = materialise(arrow_map(docs, run, T.StructType([T.StructField("fp", T.BinaryType())]), ["id"]), "wide")
+    distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("node")), "distinct")
+    # A segment's bytes are its key; its place on the ring is its way.
+    each = F.posexplode(F.array(*[F.xxhash64(F.substring("fp", i * rule.segment + 1, rule.segment)) for i in range(rule.segments)]))
+    keyed = distinct.select(F.substring("fp", 1, 8 * rule.compared).alias("fp"), "node", each.alias("way", "key")).withColumn("seg", F.col("way"))
+    found = linked_components(keyed, rule, distinct.count() * rule.segments, block)
+    nodes = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = materialise(nodes, "moved")  # its own input of the join, so that a fingerprint many rows have can be split
+    out = materialise(prints.join(nodes, "fp").filter(F.col("component_id") != F.col("id")).select(F.col("id").alias(id_col), "component_id").distinct(), "similar")
+    for frame in (prints, distinct, found, nodes):
+        release(frame)
+    return out
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:

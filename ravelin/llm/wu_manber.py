@@ -1,28 +1,35 @@
 """Benchmark decontamination by Wu-Manber search over words.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. An item's patterns are its windows of `size`
-consecutive words, or the whole item if it is shorter. Patterns of one length share a matcher: a shift table over
-blocks of two words tells how far a scan may jump, blocks that end a pattern lead to a bucket (split by the first
-block), and the words themselves are compared there, so that a hit is never a guess of a hash.
-
-The patterns are broadcast in groups whose size is bounded by `group_bytes`; a document passes through one matcher set
-for each group, in one plan without a shuffle. Documents are never moved.
-
-Defined cases: null text has no words; an item without words has no pattern; an item without an id counts for hits but
-is not listed; repeated rows are judged each for itself; an empty benchmark hits nothing; other columns pass through.
+consecutive words, or the whole item if it is shorter. Patterns of one length share a matcher: a shift table over hashed
+blocks of two words tells how far a scan may jump, blocks that end a pattern lead to a bucket (told by the first block too),
+and the words themselves are compared there, so that a hit is never a guess of a hash. Many stretches of documents are
+scanned at once, each with its own place, in numpy.
+
+Patterns lie in packed arrays: the words' bytes and hashes, the places where windows begin, sorted by bucket, and one byte
+for each slot of the shift table. Items are taken in groups, by a hash of their text, so that a group's arrays have
+`group_bytes` or so (`PACKED` bytes for each of text). One group is broadcast and searched in a single pass over the documents,
+without a shuffle. Of several, each is searched in a pass of its own that returns only documents with hits; these are joined
+to the documents by a hash of id and text. A benchmark must be small against a corpus: a pass is made for each group.
+
+Defined cases: null text has no words; a very long text is scanned whole, in stretches that overlap by a window; an item
+without words has no pattern; an item without an id counts for hits but is not listed; equal items with different ids are all
+listed; repeated rows are judged each for itself; an empty benchmark hits nothing; other columns pass through.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_map, texts
+from .shared import arrow_map, free, materialise, texts
+from .words import _A, KEY, mix, span_hashes, word_spans
 
 #: Letters, digits and all bytes from 0x80 are kept, A-Z lower-cased, the rest becomes a space.
 WORD_BYTES = bytes(
@@ -34,73 +41,117 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
+#: Bytes of arrays for a byte of items, in a group; measured in the tests.
+PACKED = 12
+
+
+def _block(hashes: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """The key of the block of words that ends at each place."""
+    return mix(hashes[end - 1] * _A + hashes[end]) if width == 2 else hashes[end]
+
+
 class Matcher:
-    """Patterns of one length."""
+    """The windows of m words of some items, in packed arrays."""
 
-    def __init__(self, m: int, patterns: dict[tuple[int, ...], set[int]], base: int) -> None:
-        self.m, self.base, self.block = m, base, min(2, m)
+    def __init__(self, m: int, hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> None:
+        self.m, self.block = m, min(2, m)
         self.jump = m - self.block + 1
-        self.shift: dict[int, int] = {}
-        self.bucket: dict[int, dict[int, list[tuple[list[int], set[int]]]]] = defaultdict(lambda: defaultdict(list))
-        for words, items in patterns.items():
-            for end in range(self.block - 1, m):
-                key = self.key(words, end)
-                self.shift[key] = min(self.shift.get(key, self.jump), m - 1 - end)
-            self.bucket[self.key(words, m - 1)][self.key(words, self.block - 1)].append((list(words), items))
-
-    def key(self, words, end: int) -> int:
-        return words[end] if self.block == 1 else words[end - 1] * self.base + words[end]
-
-    def find(self, ids: list[int]):
-        """(start, items) of each occurrence."""
-        m, base, jump, shift, bucket = self.m, self.base, self.jump, self.shift.get, self.bucket
-        at, n = m - 1, len(ids)
-        if self.block == 1:
-            for i, x in enumerate(ids):
-                if x and x in bucket:
-                    for _, items in bucket[x][x]:
-                        yield i, items
-            return
-        while at < n:
-            key = ids[at - 1] * base + ids[at]
-            step = shift(key, jump)
-            if step:
-                at += step
-                continue
-            start = at - m + 1
-            first = ids[start] * base + ids[start + 1]
-            for words, items in bucket[key].get(first, ()):
-                if ids[start : at + 1] == words:
-                    yield start, items
-            at += 1
+        windows = np.repeat(first, sizes - m + 1) + _ramp(sizes - m + 1)
+        keys = self.bucket(hashes, windows)
+        order = np.argsort(keys)
+        self.keys, self.at = keys[order], windows[order].astype(np.int32)
+        # The q-th word of an item ends a window from the m-th word on; before, windows end m - 1 - q words later.
+        q = _ramp(sizes)
+        q, end = q[inside := q >= self.block - 1], (np.repeat(first, sizes) + q)[inside]
+        self.bits = max(10, int(4 * len(end)).bit_length())
+        self.shift = np.full(1 << self.bits, self.jump, dtype=np.uint8)
+        np.minimum.at(self.shift, self.slot(_block(hashes, end, self.block)), np.maximum(m - 1 - q, 0).astype(np.uint8))
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return key >> np.uint64(64 - self.bits)
+
+    def bucket(self, hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
+        last = _block(hashes, start + self.m - 1, self.block)
+        return last if self.m <= 2 else mix(last * _A + _block(hashes, start + 1, 2))
+
+    def candidates(self, hashes: np.ndarray, begins: np.ndarray, sizes: np.ndarray, stretch: int = 2048) -> np.ndarray:
+        """Where windows may begin: all stretches advance together, each by what the shift table allows."""
+        ends = np.maximum(sizes - self.m + 1, 0)  # places at which a window of the text may end
+        cuts = -(-ends // stretch)
+        at = np.repeat(begins + self.m - 1, cuts) + stretch * _ramp(cuts)
+        stop = np.minimum(at + stretch, np.repeat(begins + sizes, cuts))
+        found = []
+        while len(at):
+            step = self.shift[self.slot(_block(hashes, at, self.block))]
+            if (here := step == 0).any():
+                found.append(at[here])
+            at = at + np.maximum(step, 1)
+            on = at < stop
+            at, stop = at[on], stop[on]
+        return np.concatenate([np.zeros(0, np.int64), *found]) - (self.m - 1)
+
+    def pairs(self, hashes: np.ndarray, start: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(candidate, window) of one bucket, so many at a time."""
+        key = self.bucket(hashes, start)
+        low = np.searchsorted(self.keys, key)
+        n = np.searchsorted(self.keys, key, side="right") - low
+        start, low, n = start[n > 0], low[n > 0], n[n > 0]
+        total = np.cumsum(n)
+        for a in range(0, int(total[-1]) if len(total) else 0, most):
+            each = np.arange(a, min(a + most, int(total[-1])))
+            which = np.searchsorted(total, each, side="right")
+            yield start[which], self.at[low[which] + each - (total[which] - n[which])].astype(np.int64)
+
+
+def _ramp(n: np.ndarray) -> np.ndarray:
+    """0 .. n - 1 for each n, one after another."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
 
 class Patterns:
     """The matchers of a group of items: (number, text) pairs."""
 
     def __init__(self, items: list[tuple[int, bytes]], size: int) -> None:
-        self.ids: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
-        for number, text in items:
-            words = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
-            m = min(size, len(words))
-            for i in range(len(words) - m + 1 if m else 0):
-                by_length[m][tuple(words[i : i + m])].add(number)
-        base = len(self.ids) + 1
-        self.matchers = [Matcher(m, p, base) for m, p in sorted(by_length.items())]
+        self.numbers = np.array([n for n, _ in items], dtype=np.int64)
+        self.raw, starts, ends, sizes = word_spans([b" ".join(words_of(t)) for _, t in items])
+        self.hashes = span_hashes(self.raw, starts, ends, KEY)[0]
+        self.starts, self.ends = starts.astype(np.int32), ends.astype(np.int32)
+        self.first = np.cumsum(sizes) - sizes
+        width = np.minimum(size, sizes)
+        self.matchers = [Matcher(m, self.hashes, self.first[width == m], sizes[width == m]) for m in np.unique(width[width > 0]).tolist()]
+
+    def nbytes(self) -> int:
+        own = (self.numbers, self.raw, self.hashes, self.starts, self.ends, self.first)
+        return sum(x.nbytes for x in (*own, *(y for m in self.matchers for y in (m.keys, m.at, m.shift))))
+
+    def search_all(self, bodies: list[bytes]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[int]]]:
+        """For each text its words, the merged spans of hit words, and the numbers of the items that occur."""
+        raw, starts, ends, sizes = word_spans([b.translate(WORD_BYTES) for b in bodies])
+        hashes = span_hashes(raw, starts, ends, KEY)[0]
+        begins = np.cumsum(sizes) - sizes
+        spans: list[set[tuple[int, int]]] = [set() for _ in bodies]
+        items: list[set[int]] = [set() for _ in bodies]
+        for matcher in self.matchers:
+            m = matcher.m
+            for start, window in matcher.pairs(hashes, matcher.candidates(hashes, begins, sizes)):
+                same = np.ones(len(start), dtype=bool)
+                for j in range(m):
+                    same &= hashes[start + j] == self.hashes[window + j]
+                start, window = start[same], window[same]
+                text = np.searchsorted(begins, start, side="right") - 1
+                item = self.numbers[np.searchsorted(self.first, window, side="right") - 1]
+                for s, w, t, i in zip(start.tolist(), window.tolist(), text.tolist(), item.tolist(), strict=True):
+                    # The words themselves.
+                    if raw[starts[s] : ends[s + m - 1]].tobytes().split() == self.raw[self.starts[w] : self.ends[w + m - 1]].tobytes().split():
+                        own = s - int(begins[t])
+                        spans[t].add((own, own + m))
+                        items[t].add(i)
+        return sizes, [merged(list(x)) for x in spans], items
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Merged spans of hit words, and the numbers of the items that occur."""
-        get = self.ids.get
-        ids = [get(w, 0) for w in words]
-        found, items = [], set()
-        if not any(ids):
-            return found, items
-        for matcher in self.matchers:
-            for start, numbers in matcher.find(ids):
-                found.append((start, start + matcher.m))
-                items |= numbers
-        return merged(found), items
+        """Merged spans of hit words, and the numbers of the items that occur, in one text."""
+        _, spans, items = self.search_all([b" ".join(words)])
+        return spans[0], items[0]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -113,50 +164,78 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+#: The patterns that a worker used last.
 _loaded: dict[str, Patterns] = {}
+SPANS = "array<struct<begin:bigint,end:bigint>>"
+
+
+def _searcher(sent, size: int, chunk: int = 1 << 20):
+    """A function of texts that searches the broadcast group, a bounded chunk of them at a time."""
+    mark = uuid.uuid4().hex
+
+    def search(bodies: list[bytes]) -> tuple[list[int], list[list[dict]], list[list[str]]]:
+        names, items = sent.value
+        if mark not in _loaded:
+            _loaded.clear()
+            _loaded[mark] = Patterns(list(enumerate(items)), size)
+        patterns = _loaded[mark]
+        counts, spans, hits = [], [], []
+        at = 0
+        while at < len(bodies):
+            upto, held = at, 0
+            while upto < len(bodies) and (upto == at or held + len(bodies[upto]) <= chunk):
+                held += len(bodies[upto])
+                upto += 1
+            n, here, numbers = patterns.search_all(bodies[at:upto])
+            counts += n.tolist()
+            spans += [[{"begin": a, "end": b} for a, b in x] for x in here]
+            hits += [sorted({names[i] for i in x if names[i] is not None}) for x in numbers]
+            at = upto
+        return counts, spans, hits
+
+    return search
 
 
 def find_items(
-    docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 13, group_bytes: int = 32 << 20, out: tuple[str, str, str] = ("n_words", "spans", "items")
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 13, group_bytes: int = 256 << 20, out: tuple[str, str, str] = ("n_words", "spans", "items")
 ) -> DataFrame:
     """docs with their number of words, the merged [begin, end) word spans that items cover, and those items' ids as sorted strings."""
     spark = docs.sparkSession
     items = items.select(F.col(item_col).cast("string").alias("id"), F.encode(F.col(item_text), "UTF-8").alias("text")).filter("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
-    groups = -(-total // group_bytes) or 1
+    groups = -(-total * PACKED // group_bytes) or 1
     n_words, spans_col, items_col = out
-    schema = T.StructType([
-        T.StructField(n_words, T.LongType()),
-        T.StructField(spans_col, T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))),
-        T.StructField(items_col, T.ArrayType(T.StringType())),
-    ])
+    schema = T._parse_datatype_string(f"`{n_words}` long, `{spans_col}` {SPANS}, `{items_col}` array<string>")
     df = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in out])
-    keep = df.columns
+
+    def group(g: int):
+        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(groups)) == g).collect()  # a group, hashing evens them out
+        return _searcher(spark.sparkContext.broadcast(([r.id for r in rows], [bytes(r.text) for r in rows])), size)
+
+    if groups == 1:
+        search = group(0)
+        return arrow_map(df, lambda batch: dict(zip(out, search(texts(batch, text_col)), strict=True)), schema, df.columns)
+
+    row = free(df.columns, "__rv_a", "__rv_b")
+    own_spans, own_items = free(df.columns, "__rv_spans", "__rv_items")
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    keyed = df.withColumns({row[0]: F.xxhash64(F.lit(1), whole), row[1]: F.xxhash64(F.lit(2), F.reverse(text_col), whole)})
+    hits = T._parse_datatype_string(f"n long, spans {SPANS}, items array<string>")
+    found = None
     for g in range(groups):
-        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(groups)) == g).collect()  # group_bytes in all, hashing evens the groups out
-        sent = spark.sparkContext.broadcast(([r.id for r in rows], [bytes(r.text) for r in rows]))
-
-        def search(batch: pa.RecordBatch, sent=sent, mark=uuid.uuid4().hex, first=g == 0) -> dict:
-            names, bodies = sent.value
-            patterns = _loaded.get(mark)
-            if patterns is None:
-                if len(_loaded) >= 4:  # what a worker has left from other calls
-                    _loaded.clear()
-                patterns = _loaded[mark] = Patterns(list(enumerate(bodies)), size)
-            counts, spans, hits = [], [], []
-            old = [(None, None)] * batch.num_rows if first else zip(batch.column(spans_col).to_pylist(), batch.column(items_col).to_pylist(), strict=True)
-            for text, (had, were) in zip(texts(batch, text_col), old, strict=True):
-                words = words_of(text)
-                here, numbers = patterns.search(words)
-                if had:
-                    here = merged([*here, *((x["begin"], x["end"]) for x in had)])
-                counts.append(len(words))
-                spans.append([{"begin": a, "end": b} for a, b in here])
-                hits.append(sorted({names[i] for i in numbers if names[i] is not None} | set(were or ())))
-            return {n_words: counts, spans_col: spans, items_col: hits}
-
-        df = arrow_map(df, search, schema, keep)
-    return df
+        search = group(g)
+        got = arrow_map(keyed.select(*row, F.col(f"`{text_col}`").alias("body")), lambda batch, search=search: dict(zip(hits.names, search(texts(batch, "body")), strict=True)), hits, row)
+        part = materialise(got.filter("size(spans) > 0").select(*row, "spans", "items"), "hits")
+        found = part if found is None else found.unionByName(part)
+    # Rows that are wholly equal have equal hits; of each group's one is enough.
+    found = found.groupBy(*row).agg(F.collect_set("spans").alias(own_spans), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias(own_items))
+
+    def finish(batch: pa.RecordBatch) -> dict:
+        spans = [merged([(x["begin"], x["end"]) for own in held or () for x in own]) for held in batch.column(own_spans).to_pylist()]
+        counts = [len(words_of(t)) for t in texts(batch, text_col)]
+        return {n_words: counts, spans_col: [[{"begin": a, "end": b} for a, b in x] for x in spans], items_col: [x or [] for x in batch.column(own_items).to_pylist()]}
+
+    return arrow_map(keyed.join(found, row, "left"), finish, schema, df.columns)
 
 
 def contamination(found: DataFrame, n_words: str = "n_words", spans: str = "spans", share: int = 20) -> DataFrame:

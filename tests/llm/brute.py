@@ -76,6 +76,26 @@ def linked_components(prints, budget=4):
     return {i: root(i) for i in prints}
 
 
+def similar_components(texts, shingle=5, similarity=0.8):
+    """{id: smallest id reachable} for {id: text}, over pairs of texts whose sets of shingles overlap by the similarity or more."""
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(SPACE, ascii_lower(t or ""))
+        sets[i] = {tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else {()}
+    up = {i: i for i in texts}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in combinations(sorted(texts), 2):
+        if min(len(sets[a]), len(sets[b])) >= similarity * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    return {i: root(i) for i in texts}
+
+
 def without_repeats(texts, length):
     """(words, removed, kept) for each text."""
     docs = [re.findall(SPACE, t or "") for t in texts]

@@ -56,7 +56,7 @@ def test_pipeline_is_its_stages_by_brute_force(spark, duck):
     forest = quality_gbdt.fit(frame, spark.read.parquet(f"{DATA}/labels.parquet"), ~held_out("doc_id", 4, 2))
     docs = [(i, t) for i, t in docs if forest.score(quality_gbdt.statistics((t or "").encode())[None])[0] >= 0.7]
     docs = [(i, kept if n else t) for (i, t), (_, n, kept) in zip(docs, brute.deduped_lines(docs), strict=True)]
-    comp = brute.linked_components({i: brute.simhash(t, corpus_pipeline.SHINGLE) for i, t in docs}, corpus_pipeline.BUDGET)
+    comp = brute.similar_components(dict(docs), corpus_pipeline.SHINGLE, corpus_pipeline.SIMILARITY)
     docs = [(i, t) for i, t in docs if comp[i] == i]
     items = duck.execute("SELECT item_id, text FROM benchmark").fetchall()
     docs = [(i, t) for (i, t), (n, hit, _) in zip(docs, brute.contamination([t for _, t in docs], items), strict=True) if not (hit and 20 * hit >= n)]

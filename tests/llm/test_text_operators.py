@@ -3,9 +3,11 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +99,31 @@ def test_wu_manber_is_brute_force(seed):
         assert (sum(b - a for a, b in spans), sorted(map(str, numbers))) == (hit, found) and n == len(t.split())
 
 
+def test_patterns_stay_packed():
+    """A group's arrays have PACKED bytes or less for each of text, and nothing else of the items is kept."""
+    rng = random.Random(1)
+    words_ = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    items = [(i, " ".join(rng.choice(words_) for _ in range(rng.choice([5, 40, 400]))).encode()) for i in range(3000)]
+    size = sum(len(t) + 32 for _, t in items)
+    p = wu_manber.Patterns(items, 13)
+    tracemalloc.start()
+    again = wu_manber.Patterns(items, 13)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert again.nbytes() == p.nbytes() and held < 1.1 * p.nbytes() + 100_000 and p.nbytes() < wu_manber.PACKED * size
+    text = items[7][1]
+    assert 7 in p.search(wu_manber.words_of(b"x " + text + b" y"))[1]
+
+
+def test_one_very_long_text_is_searched_whole():
+    rng = random.Random(2)
+    items = [(i, prose(rng, 20).encode()) for i in range(5)]
+    long = " ".join(prose(rng, 9000) + " " + t.decode() for _, t in items).encode()
+    n, spans, found = wu_manber.Patterns(items, 13).search_all([b"", long, items[3][1]])
+    assert found == [set(), {0, 1, 2, 3, 4}, {3}] and n.tolist() == [0, len(wu_manber.words_of(long)), len(wu_manber.words_of(items[3][1]))]
+    assert sum(b - a for a, b in spans[1]) == sum(len(wu_manber.words_of(t)) for _, t in items)
+
+
 def test_fingerprints_and_components(hard_docs, hard_texts):
     got = simhash.simhash_dedup(hard_docs).collect()
     prints = {i: brute.simhash(t) for i, t in hard_texts if i is not None}
@@ -128,6 +155,84 @@ def test_pigeonring_finds_every_link(spark, seed, block):
     assert all(got.get(i, i) == c for i, c in want.items())
 
 
+@pytest.mark.parametrize("cost", [100.0, 0.01, 1e-6])
+def test_longer_keys_find_every_link_too(spark, cost):
+    """Keys as many fingerprints would have them."""
+    rng = random.Random(8)
+    centres = [rng.getrandbits(64) for _ in range(150)]
+    prints = {i: (c := centres[i % 150]) ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 3))}) for i in range(600)}
+    df = spark.createDataFrame([(i, x - 2**64 if x >> 63 else x) for i, x in prints.items()], "doc_id long, fp long")
+    got = {r.node: r.component for r in simhash.near_components(df, row_cost=cost).collect()}
+    firsts = {}
+    for i, x in prints.items():
+        firsts[x] = min(i, firsts.get(x, i))
+    want = brute.linked_components({i: x for x, i in firsts.items()})
+    assert all(got.get(i, i) == c for i, c in want.items()) and len(set(want.values())) < len(want)
+
+
+def test_longer_keys_come_with_more_fingerprints():
+    shortest = lambda n: min(sum(w for _, w in p) for _, p in simhash.meeting_keys(4, n))
+    assert [shortest(n) for n in (0, 10**6, 10**9, 5 * 10**10)] == sorted(shortest(n) for n in (0, 10**6, 10**9, 5 * 10**10))
+    assert shortest(5 * 10**10) >= 30 > shortest(0) == 18
+    for budget in (0, 1, 3, 4, 7):  # any two numbers that differ in so many bits meet and pass the chain from there
+        rng, rule = random.Random(budget), simhash.Narrow(budget)
+        for n in (0, 10**10):
+            keys = simhash.meeting_keys(budget, n)
+            for _ in range(300):
+                a = rng.getrandbits(64)
+                b = a ^ sum(1 << i for i in rng.sample(range(64), budget))
+                met = [s for s, parts in keys if all((a ^ b) >> shift & ((1 << width) - 1) == 0 for shift, width in parts)]
+                assert rule.linked(*(np.full(len(met), x, np.uint64) for x in (a, b)), np.array(met, dtype=int)).any()
+
+
+def test_wide_fingerprints_are_majorities():
+    texts = [t.encode() for t in ("", " ", "a", "A b", "a b c d e", " ".join(f"w{i % 40}" for i in range(900)), "x y z x y z x y z x y z")]
+    got = simhash.wide_fingerprints(texts, 5, 3)
+    assert not got[:2].any() and all(got[i].any() for i in range(2, 7))
+    again = simhash.wide_fingerprints(texts[5:] + [b"A", b"a  B"], 5, 3)
+    assert (again[:2] == got[5:]).all() and (again[2:] == got[2:4]).all()  # whatever stands beside them
+    (h,), _ = words.word_stream([texts[5]], words.KEY)
+    grams = np.zeros(len(h) - 4, dtype=np.uint64)
+    for j in range(5):
+        grams = words.mix(grams * words._A + h[j : j + len(grams)])
+    for w in range(3):
+        bits = words.mix(grams ^ words.mix(np.array([w + 1], dtype=np.uint64) * words._A))
+        want = sum(1 << b for b in range(64) if 2 * int((bits >> np.uint64(b) & np.uint64(1)).sum()) > len(bits))
+        assert int(got[5, w]) == want
+
+
+@pytest.mark.parametrize("block", [6, 2048])
+def test_similar_texts_are_found(spark, block):
+    """Nearly all pairs at the similarity are, none far below it; clusters of copies are linked whole."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    texts, pairs = {}, []
+
+    def changed(text, n):
+        text = list(text)
+        for i in rng.sample(range(len(text)), n):
+            text[i] = rng.choice(vocabulary)
+        return text
+
+    for _ in range(150):
+        one = [rng.choice(vocabulary) for _ in range(300)]
+        for edits in (rng.randint(1, 6), rng.randint(30, 60)):
+            at = len(texts)
+            pairs.append((at, at + 1, edits))
+            texts |= {at: one, at + 1: changed(one, edits)}
+            one = [rng.choice(vocabulary) for _ in range(200)]
+    base = [rng.choice(vocabulary) for _ in range(400)]
+    cluster = range(10_000, 10_060)
+    texts |= {i: changed(base, i % 3) for i in cluster}
+    rows = [(i, " ".join(t), 1) for i, t in texts.items()] + [(20_000, None, 1), (20_001, "", 1), (None, " ".join(base), 1), (20_002, "two words", 1), (20_003, "two  WORDS", 1)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string, fp int"), block=block).collect()}
+    near = [got.get(a, a) == got.get(b, b) for a, b, edits in pairs if edits <= 6]
+    far = [got.get(a, a) == got.get(b, b) for a, b, edits in pairs if edits >= 30]
+    assert sum(near) >= 0.97 * len(near) and not any(far)
+    assert {got.get(i, i) for i in cluster} == {10_000} and got[20_001] == 20_000 and got[20_003] == 20_002
+    assert simhash.similar_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1000), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
