@@ -2,13 +2,15 @@
 
 quality_classifier   keeps the documents that the classifier predicts to be good
 line_dedup           takes out repeated lines, keeping each in the smallest doc_id that holds it
-simhash_near_dedup   keeps one document, that of the smallest doc_id, of each group of near copies
+simhash_near_dedup   keeps one document, that of the smallest doc_id, of each group of near copies: texts whose shingles of five
+                     words overlap by 0.8 or more, as wide SimHashes tell it, and what they link
 decontaminate        drops documents that benchmark windows cover in a twentieth of their words or more
 sentencepiece        returns token counts and digests of the documents that are left
 
 All but the last return the columns of documents; a stage that changes a text changes n_chars with it. Rows without a
 doc_id can't be told apart, and so are no near copies of each other. Rows of one doc_id are one document: the near-dedup
-stage keeps or drops them together.
+stage keeps or drops them together. In every stage a null text is an empty one, a text of any length is worked on whole, in one
+task, of equal documents the smallest doc_id stays, an empty table gives an empty table, and columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from ravelin.llm import line_dedup, piece_codec, quality_gbdt, simhash, wu_manbe
 from ravelin.llm.queries import tokenizer_path
 from ravelin.llm.shared import held_out, materialise, table
 
-#: The near-dedup stage's word shingles and bits, as the SimHash query has them.
-SHINGLE, BUDGET = 4, 4
+#: The near-dedup stage's word shingles, and the similarity from which on a text is a near copy.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +43,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.simhash_dedup(docs, shingle=SHINGLE, budget=BUDGET)
-    gone = materialise(found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "near_copies")
+    gone = simhash.similar_components(docs, shingle=SHINGLE, similarity=SIMILARITY).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
