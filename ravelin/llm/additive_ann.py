@@ -4,12 +4,17 @@ A vector is approximated by a sum of one codeword from each of several full-dime
 on the driver to the residuals of a bounded sample (`sample` vectors, those with the smallest hash of their id); every
 vector is encoded by beam search, which keeps the best `beam` partial sums at each codebook. A row stores its codes and
 the squared norm of its approximation, so a query's score needs one table of query-codeword products and as many
-look-ups as there are codebooks. Each task scores its vectors for a block of queries, takes a shortlist for each query
-and reranks it with exact distances in double precision on the original vectors; a window then merges the tasks' lists.
+look-ups as there are codebooks.
+
+Encoded vectors are dealt into shards by a hash; a task holds one shard at a time (`shard_rows` vectors at most, as the hash
+spreads them), and the queries, packed in blocks of `query_block`, are streamed past it. For each query it scores the shard,
+takes a shortlist and reranks it with exact distances in double precision on the original vectors; a window then merges the
+shards' lists. Nothing passes through the driver but the codebooks. A query's shortlists have `shortlist` vectors in all,
+and four deviations more for what chance puts into one shard, so results hardly depend on the number of shards.
 
 Equal vectors are one: each distinct vector is encoded once and carries its smallest ids, as many as a list can need,
-so copies cost nothing and hide nobody. Queries are taken in blocks of `query_block` vectors, one pass over the encoded
-table for each block.
+so copies cost nothing and hide nobody. The work is that of all queries against all vectors; where queries are a fixed part
+of the rows, it grows with their square.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold a null or non-finite component take no
 part, as queries or candidates; rows with the same id and vector are one; fewer candidates than asked for are all
@@ -19,6 +24,7 @@ returned; an empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialise
+from .shared import materialise, partitions
 
 
 def squared_sum(x: np.ndarray) -> np.ndarray:
@@ -118,8 +124,9 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def ann_search(
-    df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, sample: int = 20_000, shortlist: int = 128, query_block: int = 4096, books: int = 16, words: int = 256, beam: int = 8
-) -> DataFrame:
+    df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, sample: int = 20_000, shortlist: int = 1024, shard_rows: int = 1 << 18, query_block: int = 256,
+    books: int = 16, words: int = 256, beam: int = 8,
+) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found for the rows where is_query holds, by exact distance, ties to the smaller id."""
     spark = df.sparkSession
     out = "query_id long, rank int, id long, score double"
@@ -151,56 +158,84 @@ def ann_search(
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes.tolist(), type=kinds), pa.array(norms)], names=["node", "ids", "v", "codes", "norm"])
 
     schema = T.StructType([*distinct.schema.fields, T.StructField("codes", T.ArrayType(T.ShortType())), T.StructField("norm", T.DoubleType())])
-    coded = materialise(distinct.repartition("node").mapInArrow(encode, schema), "coded")
-
-    asked = materialise(base.filter(is_query(F.col("id"))).distinct(), "queries")
-    n = asked.count()
-    blocks = -(-n // query_block)
-    found = None
-    for g in range(blocks):
-        mine = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == g).orderBy("id").toPandas()  # query_block vectors, as the hash spreads them
-        if not len(mine):
-            continue
-        block = spark.sparkContext.broadcast((mine["id"].to_numpy(dtype=np.int64), np.array(mine["v"].tolist()).reshape(-1, dim)))
-
-        def search(batches, block=block):
-            names, q = block.value
-            word = sent.value.words
-            tables = np.einsum("mkd,qd->qmk", word, q).astype(np.float32)
-            best: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in names]
-            for b in batches:
-                if not b.num_rows:
+    n = distinct.count()
+    shards = max(min(partitions(spark), n // 512), -(-n // shard_rows), 1)
+    each = shortlist / shards
+    take = max(k + 1, ceil(each + 4 * sqrt(each))) if shards > 1 else shortlist
+    coded = distinct.repartition("node").mapInArrow(encode, schema)
+
+    def pack(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, query_block):
+                part = b.slice(at, query_block)
+                body = np.array(part.column("v").to_pylist(), dtype="<f8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_numpy().astype("<i8").tobytes()]), pa.array([body])], names=["names", "body"])
+
+    asked = base.filter(is_query(F.col("id"))).distinct().mapInArrow(pack, "names binary, body binary")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "names", "body")
+    dealt = coded.withColumns({"shard": F.pmod(F.xxhash64(F.lit("shard"), "node"), F.lit(shards)).cast("int"), "kind": F.lit(0)}).unionByName(asked, allowMissingColumns=True)
+    dealt = dealt.select("shard", "kind", "node", "ids", "v", "codes", "norm", "names", "body")
+
+    def search(batches):
+        now, held, shard = None, [], None
+        for b in batches:
+            for part in _runs(b):
+                which, kind = part.column("shard")[0].as_py(), part.column("kind")[0].as_py()
+                if which != now:
+                    now, held, shard = which, [], None
+                if kind == 0:
+                    held.append(part.select(["ids", "v", "codes", "norm"]))
                     continue
-                ids = b.column("ids").to_pylist()
-                x = np.array(b.column("v").to_pylist()).reshape(-1, dim)
-                codes = np.array(b.column("codes").to_pylist(), dtype=np.int64)
-                norm = b.column("norm").to_numpy().astype(np.float32)
-                node = b.column("node").to_numpy()
-                by_node = np.argsort(node, kind="stable")  # ties to the smaller id
-                codes, norm, x = codes[by_node], norm[by_node], x[by_node]
-                ids = [ids[i] for i in by_node.tolist()]
-                for i in range(len(names)):
-                    t = tables[i]
-                    near = norm.copy()
-                    for m in range(codes.shape[1]):
-                        near -= 2 * t[m][codes[:, m]]
-                    take = min(shortlist, len(near))
-                    if take < len(near):
-                        limit = np.partition(near, take - 1)[take - 1]
-                        short = np.flatnonzero(near <= limit)
-                    else:
-                        short = np.arange(len(near))
-                    exact = np.sqrt(squared_sum(x[short] - q[i]))
-                    order = np.argsort(exact, kind="stable")[: k + 1]
-                    got = [(float(exact[o]), c) for o in order.tolist() for c in ids[short[o]] if c != names[i]]
-                    best[i] = sorted([*best[i], *got])[:k]
-            rows = [(int(names[i]), c, s) for i, own in enumerate(best) for s, c in own]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["query_id", "id", "score"])
-
-        part = coded.mapInArrow(search, "query_id long, id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], out)
+                if shard is None:
+                    shard, held = Shard.of(held, dim), []
+                for names, body in zip(part.column("names").to_pylist(), part.column("body").to_pylist(), strict=True):
+                    yield shard.nearest(sent.value.words, np.frombuffer(names, "<i8"), np.frombuffer(body, "<f8").reshape(-1, dim), k, take)
+
+    found = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "node").mapInArrow(search, "query_id long, id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def _runs(batch: pa.RecordBatch):
+    """A batch's rows by shard and kind, in which they come sorted."""
+    if not batch.num_rows:
+        return
+    shard, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+    cuts = [0, *(np.flatnonzero((shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
+@dataclass
+class Shard:
+    """Some encoded vectors, by their smallest id, so that ties go to it."""
+
+    ids: list[list[int]]
+    x: np.ndarray
+    codes: np.ndarray
+    norm: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[pa.RecordBatch], dim: int) -> Shard:
+        joined = lambda c: [x for p in parts for x in p.column(c).to_pylist()]
+        flat = [p.column("v").flatten().to_numpy() for p in parts]
+        codes = [p.column("codes").flatten().to_numpy().astype(np.int64).reshape(p.num_rows, -1) for p in parts]
+        norm = np.array(joined("norm"), dtype=np.float32)
+        return cls(joined("ids"), np.concatenate([np.zeros(0), *flat]).reshape(-1, dim), np.concatenate(codes) if codes else np.zeros((0, 0), np.int64), norm)
+
+    def nearest(self, words: np.ndarray, names: np.ndarray, queries: np.ndarray, k: int, take: int) -> pa.RecordBatch:
+        """(query_id, id, score) of each query's k nearest on the shortlist of the look-ups."""
+        rows: tuple[list, list, list] = [], [], []
+        tables = np.einsum("mkd,qd->qmk", words, queries).astype(np.float32)
+        for name, q, table in zip(names.tolist(), queries, tables, strict=True):
+            near = self.norm.copy()
+            for m in range(self.codes.shape[1]):
+                near -= 2 * table[m][self.codes[:, m]]
+            short = np.flatnonzero(near <= np.partition(near, take - 1)[take - 1]) if take < len(near) else np.arange(len(near))
+            exact = np.sqrt(squared_sum(self.x[short] - q))
+            order = np.argsort(exact, kind="stable")[: k + 1].tolist()
+            best = sorted((float(exact[o]), c) for o in order for c in self.ids[short[o]] if c != name)[:k]
+            rows[0].extend([name] * len(best))
+            rows[1].extend(c for _, c in best)
+            rows[2].extend(s for s, _ in best)
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64())], names=["query_id", "id", "score"])

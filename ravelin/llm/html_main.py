@@ -1,20 +1,26 @@
 """Main text of web pages: site templates are found by counting element subtrees per host, and deleted.
 
-First pass: each page is parsed, every container's subtree is hashed (tag, class, id, text, children), and the page sends the distinct hashes with its host and a hash of its main element. Spark counts, for each host, under how many
-different main elements a hash occurs; copies of a page therefore count once. A subtree that at least `min_pages`
-different pages of a host hold, and at least `share` of them, is template; `many` different pages suffice by themselves, so
-that a large host's rotating variants and the menus of its sections are found. Second pass: template subtrees and what is
-boilerplate by its nature (nav, footer, aside, form, script, adverts, comments and so on, by element, role, class or id)
-go; the text of the main element that is left is returned in blocks. Inside the main element, and for an article, ids say
-nothing (they are slugs of headings), and a class counts only as a whole: all its words must be of that kind, one of them
-beyond doubt. Headings and paragraphs stay whatever their class is.
+First pass: each page is parsed, and containers' subtrees are hashed in two ways. The content hash covers tag, class, id, text
+and children. The form hash leaves the text out and takes a run of like children for one, so a menu or an advert whose words
+change from page to page has one form. Forms count only where a paragraph can't be meant: outside of the main element, for
+classes that may name furniture (`DOUBTFUL_WORDS` and the like), and, on pages without a main element, for containers whose text
+is mostly links. A page sends its distinct hashes with its host and a hash of its main element's text. Spark counts, for
+each host, under how many different main elements a hash occurs; copies of a page therefore count once. A subtree that at
+least `min_pages` different pages of a host hold, and at least `share` of them, is template; `many` different pages suffice
+by themselves, so that a large host's rotating variants and the menus of its sections are found.
+
+Second pass: template subtrees go, and what is boilerplate beyond doubt on any page (nav, footer, aside, form, script, and
+classes all of whose words say advert, comments and so on); the text of the main element that is left is returned in
+blocks. Inside the main element, and for an article, ids say nothing (they are slugs of headings), and a doubtful class
+drops nothing by itself: it must recur on the host. Headings and paragraphs stay whatever their class is.
 
 Each page gets the hashes of its own templates only, by a join on host and hash and one on host and page, so no list grows
 with a host. A page is told by the hash of its html.
 
 Defined cases: null html is an empty page with an empty text; a null url is the host ''; a page without an article or
-main element yields its body; cut-off markup is read as far as it goes; repeated rows give repeated results; an empty
-table gives an empty table; other columns pass through.
+main element yields its body; cut-off markup is read as far as it goes; a very long page is read whole by one task; of two
+main elements of equal text the first is taken; repeated rows give repeated results; an empty table gives an empty table;
+other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_map, materialise
+from .shared import arrow_map, free, materialise
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
-NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)", re.S)
+#: One attribute, or the end of the tag. A value without quotes ends at white space or `>`, whatever quotes it holds.
+ATTRIBUTE = re.compile(r"[\s/]*(?:(>|\Z)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?)", re.S)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 BLOCKS = frozenset(
@@ -48,11 +54,12 @@ CLOSES = (
     (frozenset({"td", "th"}), frozenset({"td", "th"}), frozenset({"tr", "table"})),
     (frozenset({"option"}), frozenset({"option"}), frozenset({"select"})),
 )
+STARTS = frozenset().union(*(starts for starts, _, _ in CLOSES))
 #: Containers, which a template can be made of. Paragraphs, headings, items and cells recur in articles too.
 TEMPLATE_TAGS = frozenset("address aside center details dialog div dl fieldset figure footer form header hgroup menu nav ol section table ul".split())
 #: What is never main text.
 DROP_TAGS = frozenset(
-    "head nav footer aside form script style noscript template iframe object embed applet canvas svg math audio video picture map button select input textarea label dialog menu title link meta xmp noembed noframes".split()
+    "head nav footer aside form script style noscript template iframe object embed applet canvas svg audio video picture map button select input textarea label dialog menu title link meta xmp noembed noframes".split()
 )
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist status".split())
 DROP_WORDS = frozenset(
@@ -89,28 +96,36 @@ def parse(html: str) -> Element:
             text(rest)
             break
         text(html[at : found.start()])
-        at, token = found.end(), found.group()
-        if token[1] in "!?":
+        at, name = found.end(), found.group(1)
+        if name is None:
             continue
-        name = NAME.match(token).group(1).lower()
-        if token[1] == "/":
+        name = name.lower()
+        attrs: dict[str, str] = {}
+        while True:
+            got = ATTRIBUTE.match(html, at)
+            at = got.end()
+            if got.group(1) is not None:
+                break
+            value = got.group(3) or got.group(4) or got.group(5) or ""
+            attrs.setdefault(got.group(2).lower(), unescape(value) if "&" in value else value)
+        closed = html[got.end() - 2 : got.end()] == "/>"
+        if html.startswith("/", found.start() + 1):
             node = top
             while node is not None and node.tag != name:
                 node = node.parent
             if node is not None and node.parent is not None:
                 top = node.parent
             continue
-        for starts, ends, walls in CLOSES:
-            if name in starts:
-                node = top
-                while node.parent is not None and node.tag not in walls:
-                    if node.tag in ends:
-                        top = node.parent
-                        if name not in ("tr",):
-                            break
-                    node = node.parent
-        body = token[1 + len(name) : -1] if token.endswith(">") else token[1 + len(name) :]
-        attrs = {a.lower(): unescape(v1 or v2 or v3) for a, v1, v2, v3 in ATTRIBUTE.findall(body)} if body.strip(" \t\n\r/") else {}
+        if name in STARTS:
+            for starts, ends, walls in CLOSES:
+                if name in starts:
+                    node = top
+                    while node.parent is not None and node.tag not in walls:
+                        if node.tag in ends:
+                            top = node.parent
+                            if name != "tr":
+                                break
+                        node = node.parent
         node = Element(name, attrs, top)
         top.children.append(node)
         if name in RAW:
@@ -118,7 +133,7 @@ def parse(html: str) -> Element:
             inside = html[at : close.start()] if close else html[at:]
             node.children.append(inside)
             at = close.end() if close else n
-        elif name not in VOID and not (body.endswith("/") and name in ("path", "rect", "circle", "g")):
+        elif name not in VOID and not (closed and name in ("path", "rect", "circle", "g")):
             top = node
     return root
 
@@ -172,8 +187,8 @@ def boilerplate(node: Element, inside: bool) -> bool:
     return False
 
 
-def blocks_of(node: Element, gone: set[int] | frozenset[int], hashes: dict[int, int] | None) -> list[str]:
-    """Texts of the blocks below an element, without boilerplate and without subtrees whose hash is in gone."""
+def blocks_of(node: Element, gone: set[int] | frozenset[int], hashes: dict[int, tuple[int, ...]] | None) -> list[str]:
+    """Texts of the blocks below an element, without boilerplate and without subtrees of which a hash is in gone."""
     out: list[str] = []
     now: list[str] = []
 
@@ -192,7 +207,7 @@ def blocks_of(node: Element, gone: set[int] | frozenset[int], hashes: dict[int,
         if isinstance(item, str):
             now.append(item)
             continue
-        if item is not node and (boilerplate(item, True) or (hashes is not None and hashes.get(id(item)) in gone)):
+        if item is not node and (boilerplate(item, True) or (hashes is not None and not gone.isdisjoint(hashes.get(id(item), ())))):
             now.append(" ")
             continue
         block = item.tag in BLOCKS
@@ -234,32 +249,53 @@ def main_element(root: Element) -> Element:
     return body or root
 
 
-def subtree_hashes(root: Element) -> dict[int, int]:
-    """Signed 64-bit hashes of containers with text, by id of the element."""
-    out: dict[int, int] = {}
-    done: dict[int, bytes] = {}
-    stack: list[tuple[Element, bool]] = [(root, False)]
+def nominated(node: Element, link_share: float, marked: bool) -> bool:
+    """Whether an element inside the main one may be furniture, if its form recurs: by a word of its class, or, where no element
+    is marked as the main one, as mostly links."""
+    words = set(re.split(r"[^a-z0-9]+", node.attrs.get("class", "").lower())) if "class" in node.attrs else ()
+    return bool(words) and not words.isdisjoint(DROP_WORDS) or not marked and link_share >= 0.6
+
+
+def subtree_hashes(root: Element, main: Element) -> dict[int, tuple[int, ...]]:
+    """Signed 64-bit hashes of containers with text, by id of the element: of their content, and of their form where that counts.
+    What holds the main element has none."""
+    out: dict[int, tuple[int, ...]] = {}
+    above, up = set(), main
+    while up is not None:
+        above.add(id(up))
+        up = up.parent
+    marked = main.tag not in ("body", "#page")
+    done: dict[int, tuple[str, str, int, int]] = {}
+    stack: list[tuple[Element, bool, bool]] = [(root, False, False)]
+    digest = xxhash.xxh3_64_hexdigest
     while stack:
-        x, ready = stack.pop()
+        x, ready, inside = stack.pop()
         if not ready:
-            stack.append((x, True))
-            stack.extend((c, False) for c in x.children if isinstance(c, Element))
+            inside = inside or x is main
+            stack.append((x, True, inside))
+            stack.extend((c, False, inside) for c in x.children if isinstance(c, Element))
             continue
-        parts, full = [x.tag, "\1", x.attrs.get("class", ""), "\1", x.attrs.get("id", "")], False
+        name = f"{x.tag}\1{x.attrs.get('class', '')}\1{x.attrs.get('id', '')}"
+        parts, shape, size, linked = [name], [name], 0, 0
         for c in x.children:
             if isinstance(c, str):
                 words = " ".join(c.split())
-                full = full or bool(words)
+                size += len(words)
                 parts.append("\2" + words)
             else:
-                digest, had = done.pop(id(c))
-                full = full or had
-                parts.append("\3" + digest)
-        digest = xxhash.xxh3_64_hexdigest("".join(parts))
-        done[id(x)] = digest, full
-        if full and x.tag in TEMPLATE_TAGS:
-            value = int(digest, 16)
-            out[id(x)] = value - (1 << 64) if value >> 63 else value
+                content, form, n, in_links = done.pop(id(c))
+                size += n
+                linked += in_links
+                parts.append("\3" + content)
+                if shape[-1] != form:
+                    shape.append(form)
+        content, form = digest("".join(parts)), digest("\4".join(shape), 1)
+        done[id(x)] = content, form, size, size if x.tag == "a" else linked
+        if size and x.tag in TEMPLATE_TAGS and id(x) not in above:
+            counts = [content]
+            if not inside or nominated(x, linked / size, marked):
+                counts.append(form)
+            out[id(x)] = tuple((v := int(h, 16)) - ((v >> 63) << 64) for h in counts)
     return out
 
 
@@ -272,43 +308,41 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 5, share: float = 0.5, many: int = 50, out: str = "text") -> DataFrame:
     """pages with their main text under the name in out."""
-    pages = pages.select(*[c for c in pages.columns if c != out])
+    pages = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c != out])
+    name, key, lost = free(pages.columns, "__rv_host", "__rv_page", "__rv_gone")
     host = F.lower(F.coalesce(F.regexp_extract(url_col, HOST, 1), F.lit("")))
     page = F.xxhash64(F.coalesce(F.col(html_col), F.lit("")))
-    hosted = pages.select(html_col, host.alias("__rv_host"), page.alias("__rv_page"))
+    hosted = pages.select(F.col(html_col).alias("html"), host.alias("host"), page.alias("page"))
 
     def survey(batch: pa.RecordBatch) -> dict:
         mains, found = [], []
-        for html in _strings(batch, html_col):
+        for html in _strings(batch, "html"):
             root = parse(html)
-            hashes = subtree_hashes(root)
             main = main_element(root)
-            up, own = main, set()
-            while up is not None:  # what holds the main element is no template
-                own.add(id(up))
-                up = up.parent
-            found.append(list({h for k, h in hashes.items() if k not in own}))
+            found.append(list({h for own in subtree_hashes(root, main).values() for h in own}))
             mains.append(xxhash.xxh3_64_intdigest("\n".join(blocks_of(main, frozenset(), None))) - (1 << 63))
-        return {"__rv_main": mains, "__rv_found": found}
+        return {"main": mains, "found": found}
 
-    kinds = T.StructType([T.StructField("__rv_main", T.LongType()), T.StructField("__rv_found", T.ArrayType(T.LongType()))])
+    kinds = T.StructType([T.StructField("main", T.LongType()), T.StructField("found", T.ArrayType(T.LongType()))])
     # Written once; copies of a page on a host are one.
-    found = materialise(arrow_map(hosted, survey, kinds, ["__rv_host", "__rv_page"]).dropDuplicates(["__rv_host", "__rv_page"]), "surveyed")
-    seen = found.select("__rv_host", "__rv_main", F.explode(F.concat("__rv_found", F.array(F.lit(None).cast("long")))).alias("h"))
-    counts = seen.distinct().groupBy("__rv_host", "h").count()
-    total = counts.filter("h is null").select("__rv_host", F.col("count").alias("pages"))
+    found = materialise(arrow_map(hosted, survey, kinds, ["host", "page"]).dropDuplicates(["host", "page"]), "surveyed")
+    seen = found.select("host", "main", F.explode(F.concat("found", F.array(F.lit(None).cast("long")))).alias("h"))
+    counts = seen.distinct().groupBy("host", "h").count()
+    total = counts.filter("h is null").select("host", F.col("count").alias("pages"))
     often = (F.col("count") >= min_pages) & ((F.col("count") >= share * F.col("pages")) | (F.col("count") >= many))
-    template = materialise(counts.filter("h is not null").join(total, "__rv_host").filter(often).select("__rv_host", "h"), "templates")
-    held = found.select("__rv_host", "__rv_page", F.explode("__rv_found").alias("h")).join(template, ["__rv_host", "h"])
-    lists = materialise(held.groupBy("__rv_host", "__rv_page").agg(F.collect_set("h").alias("__rv_gone")), "lists")
+    template = materialise(counts.filter("h is not null").join(total, "host").filter(often).select("host", "h"), "templates")
+    held = found.select("host", "page", F.explode("found").alias("h")).join(template, ["host", "h"])
+    lists = held.groupBy(F.col("host").alias(name), F.col("page").alias(key)).agg(F.collect_set("h").alias(lost))
+    lists = materialise(lists, "lists")
 
     def extract(batch: pa.RecordBatch) -> dict:
         got = []
-        for html, gone in zip(_strings(batch, html_col), batch.column("__rv_gone").to_pylist(), strict=True):
+        for html, gone in zip(_strings(batch, html_col), batch.column(lost).to_pylist(), strict=True):
             root = parse(html)
-            hashes = subtree_hashes(root) if gone else None
-            got.append("\n".join(blocks_of(main_element(root), frozenset(gone or ()), hashes)))
+            main = main_element(root)
+            hashes = subtree_hashes(root, main) if gone else None
+            got.append("\n".join(blocks_of(main, frozenset(gone or ()), hashes)))
         return {out: got}
 
-    joined = pages.withColumns({"__rv_host": host, "__rv_page": page}).join(lists, ["__rv_host", "__rv_page"], "left")
+    joined = pages.withColumns({name: host, key: page}).join(lists, [name, key], "left")
     return arrow_map(joined, extract, T.StructType([T.StructField(out, T.StringType())]), pages.columns)

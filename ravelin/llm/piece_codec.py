@@ -1,14 +1,15 @@
 """SentencePiece encoding and decoding that keeps offsets.
 
-The text is normalised here: at each place the longest key of the model's compiled character map that starts there is
-replaced (a Darts double array in the model file), other characters pass; then come white-space rules and the dummy
-prefix. Each normalised byte remembers the original byte that it came from, so every piece is projected back to a byte
+The text is normalised here: at each place the longest of the model's own symbols (user-defined pieces) passes as it is, else
+the longest key of its compiled character map that starts there is replaced (a Darts double array in the model file), other
+characters pass; then come white-space rules and the dummy prefix. Where a model has neither symbols, map nor rules that
+remove white space, as the query's has not, no prefix can match anywhere and only spaces are marked. Each normalised byte remembers the original byte that it came from, so every piece is projected back to a byte
 span of the text. The normalised text is cut where no piece can lie across, each distinct segment is split into pieces
 by the sentencepiece library (with a copy of the model whose own normalisation is switched off), and the pieces of
 segments seen before come from a bounded cache. Decoding joins the pieces' surfaces as the library's decode(ids) does.
 
-Defined cases: null text is empty text (begin and end ids only); the longest texts are encoded whole; repeated rows are
-encoded each; an empty table gives an empty table; other columns pass through.
+Defined cases: null text is empty text (begin and end ids only); the longest texts are encoded whole, by the task that reads
+them; of two keys or symbols that start at a place the longer is taken; repeated rows are encoded each; an empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 from .shared import arrow_map, texts
 
 MARK = "▁"
+#: A piece's type in the model file.
+USER_DEFINED = 4
 
 
 def fields(message: bytes) -> Iterator[tuple[int, int, bytes | int, int, int]]:
@@ -102,12 +105,16 @@ class PieceCodec:
     def __init__(self, model: bytes, cache_size: int = 300_000) -> None:
         self.full = sentencepiece.SentencePieceProcessor(model_proto=model)
         spec: dict[int, bytes | int] = {}
-        bare = bytearray()
+        bare, own = bytearray(), []
         for number, _, value, begin, end in fields(model):
             if number == 3:
                 spec = {k: v for k, _, v, _, _ in fields(value)}
-            else:
-                bare += model[begin:end]
+                continue
+            if number == 1 and (piece := {k: v for k, _, v, _, _ in fields(value)}).get(3) == USER_DEFINED:
+                own.append(piece[1])
+            bare += model[begin:end]
+        #: Symbols that pass before the map is asked; what a space in one becomes, a space elsewhere becomes too.
+        self.own = re.compile(b"|".join(map(re.escape, sorted(own, key=len, reverse=True)))) if own else None
         bare += encoded_field(3, encoded_field(1, b"identity") + encoded_field(3, 0) + encoded_field(4, 0) + encoded_field(5, 1))
         self.map = CharMap(spec.get(2, b""))
         self.prefix, self.squeeze, self.escape = bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1))
@@ -124,6 +131,7 @@ class PieceCodec:
         self.segment = None if inner else re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if lines else re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
         self.widths = np.array([0 if sp.is_control(i) else 1 if sp.is_byte(i) else len(p.encode()) for i, p in enumerate(pieces)], dtype=np.int64)
         self.surfaces = [b"" if sp.is_control(i) else bytes([int(p[3:5], 16)]) if sp.is_byte(i) else " ⁇ ".encode() if sp.is_unknown(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.marked = [p.startswith(MARK) and not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i)) for i, p in enumerate(pieces)]
         self.bytes_fall_back = any(sp.is_byte(i) for i in range(n))
         self.cache: dict[str, bytes] = {}
         self.cache_size = cache_size
@@ -138,50 +146,41 @@ class PieceCodec:
         out, source = bytearray(), []
         mark = MARK.encode() if self.escape else b" "
         at, n = 0, len(text)
+        while self.squeeze and at < n and (first := self.prefix_at(text, at))[1] == b" ":
+            at += first[0]
+        if at == n:
+            return "", np.array([n], dtype=np.int64)
+        if self.prefix:
+            out += mark
+            source += [at] * len(mark)
         after_space = self.squeeze
-
-        def push(piece: bytes, origin: int) -> None:
-            out.extend(piece)
-            source.extend([origin] * len(piece))
-
-        start = 0
-        parts = []
         while at < n:
-            hit = self.map.longest(text, at)
-            if hit:
-                size, new = hit
-            else:
-                lead = text[at]
-                size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                new = text[at : at + size]
-            parts.append((at, new))
+            size, piece = self.prefix_at(text, at)
+            if after_space:
+                piece = piece.lstrip(b" ")
+            if piece:
+                after_space = self.squeeze and piece.endswith(b" ")
+                piece = piece.replace(b" ", mark)
+                out += piece
+                source += [at] * len(piece)
             at += size
-        if self.squeeze:
-            while parts and not parts[start - len(parts)][1].strip(b" ") and start < len(parts):
-                start += 1
-                if start == len(parts):
-                    break
-        parts = parts[start:]
-        if parts and self.prefix:
-            push(mark, parts[0][0])
-            after_space = True
-        for origin, new in parts:
-            for byte in new:
-                if byte == 32:
-                    if not (self.squeeze and after_space):
-                        push(mark, origin)
-                    after_space = True
-                else:
-                    push(bytes([byte]), origin)
-                    after_space = False
         end = n
-        if self.squeeze:
-            while out.endswith(mark) and len(out) >= len(mark):
-                end = source[-1]
-                del out[len(out) - len(mark) :]
-                del source[len(source) - len(mark) :]
+        while self.squeeze and out.endswith(mark):
+            del out[len(out) - len(mark) :]
+            end = source[len(out)]
+            del source[len(out) :]
         return bytes(out).decode("utf-8", "replace"), np.array([*source, end], dtype=np.int64)
 
+    def prefix_at(self, text: bytes, at: int) -> tuple[int, bytes]:
+        """(bytes taken at a place, what they become)."""
+        if self.own is not None and (symbol := self.own.match(text, at)):
+            return symbol.end() - at, symbol.group()
+        if hit := self.map.longest(text, at):
+            return hit
+        lead = text[at]
+        size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+        return size, text[at : at + size]
+
     def plain_alignment(self, text: bytes) -> np.ndarray:
         """The alignment where each space became a mark of three bytes."""
         raw = np.frombuffer(text, dtype=np.uint8)
@@ -257,11 +256,16 @@ class PieceCodec:
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode(ids)."""
-        surfaces = self.surfaces
-        out = b"".join([surfaces[i] for i in ids.tolist()])
-        if self.prefix and out[:1] == b" ":
-            out = out[1:]
-        return out.decode("utf-8", "replace")
+        ids = ids.tolist()
+        parts = [self.surfaces[i] for i in ids]
+        for at, i in enumerate(ids if self.prefix or self.squeeze else []):
+            if self.marked[i]:  # a mark before any text is no space of it
+                parts[at] = parts[at][1:]
+                if parts[at] or not self.squeeze:
+                    break
+            elif parts[at]:
+                break
+        return b"".join(parts).decode("utf-8", "replace")
 
 
 _codecs: dict[str, PieceCodec] = {}

@@ -158,6 +158,74 @@ def test_slugs_and_doubtful_words_drop_nothing_of_an_article():
     assert text(f'<article id="login-and-search" class="post tag-social"><h1>T</h1>{kept}{gone}</article>') == ["T", "One", "two", "three", "four"]
 
 
+def test_nothing_of_an_article_is_lost():
+    text = lambda s: html_main.blocks_of(html_main.main_element(html_main.parse(s)), frozenset(), None)
+    inside = {
+        "<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold</p>": ["Let x=2 hold"],
+        '<h2 id="search">Search</h2><p>a</p>': ["Search", "a"],
+        '<section id="related-work"><h3>Related work</h3><p>b</p></section>': ["Related work", "b"],
+        '<table class="side-by-side"><tr><td>c<td>d</table>': ["c", "d"],
+        '<p id="alert">Alert systems explained</p>': ["Alert systems explained"],
+        "<p title=it's>Hello</p><p>World</p><p title=it's>again</p>": ["Hello", "World", "again"],
+        '<p title="a" class=x data-a=\'b>c\' data-b>quoted</p>': ["quoted"],
+        "<p a=b/>slash</p>": ["slash"],
+        "<p / =x>odd</p>": ["odd"],
+    }
+    for html, want in inside.items():
+        assert text(f"<article><h1>T</h1>{html}</article>") == ["T", *want], html
+
+
+def plain_templates(pages, min_pages, share, many):
+    """{page: hashes of its templates} by counting anew, page by page."""
+    host = lambda url: re.match(r"https?://([^/]*)", url).group(1)
+    held, mains = {}, {}
+    for i, url, html in pages:
+        root = html_main.parse(html)
+        main = html_main.main_element(root)
+        held[i] = {h for own in html_main.subtree_hashes(root, main).values() for h in own}
+        mains[i] = "\n".join(html_main.blocks_of(main, frozenset(), None))
+    out = {}
+    for i, url, _ in pages:
+        like = [j for j, u, _ in pages if host(u) == host(url)]
+        total = len({mains[j] for j in like})
+        n = {h: len({mains[j] for j in like if h in held[j]}) for h in held[i]}
+        out[i] = {h for h in held[i] if n[h] >= min_pages and (n[h] >= share * total or n[h] >= many)}
+    return out
+
+
+def test_templates_are_those_of_a_recount(spark):
+    """Menus, adverts and link lists whose words change from page to page go by their form, on hosts that have enough pages; one
+    page's block of the same class stays, as do paragraphs and what differs in form."""
+    rng = random.Random(5)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(999))
+
+    def body(i, host):
+        links = "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(rng.randint(2, 6)))
+        related = f'<div class="related"><p>{word()}</p></div>' if host != "b.org" or i == 3 else ""
+        once = f'<div class="notice"><p>only here {i}</p></div>' if i == 4 else ""
+        text = f"<h1>Head {i}</h1><p>{word()} {i}</p>{related}{once}<section><p>{word()} part</p></section>"
+        if host == "c.org":  # nothing is marked as the main element
+            return f"<body><div><ul>{links}</ul></div>{text}<div>{word()} tail {i} <a>x</a></div></body>"
+        return f"<body><nav><ul>{links}</ul></nav><div>{word()}</div><article>{text}</article></body>"
+
+    pages = [(k * 100 + i, f"http://{host}/{i}", body(i, host)) for k, (host, n) in enumerate((("a.org", 20), ("b.org", 20), ("c.org", 20), ("d.org", 3))) for i in range(n)]
+    df = spark.createDataFrame([(*p, 1, "x", 2) for p in pages], "page_id long, url string, html string, __rv_host int, __rv_gone string, __rv_page int")
+    got = {r.page_id: r.text for r in html_main.main_text(df).collect()}
+    templates = plain_templates(pages, 5, 0.5, 50)
+    for i, url, html in pages:
+        root = html_main.parse(html)
+        main = html_main.main_element(root)
+        assert got[i] == "\n".join(html_main.blocks_of(main, frozenset(templates[i]), html_main.subtree_hashes(root, main)))
+        assert bool(templates[i]) == (i < 300) and f"Head {i % 100}" in got[i] and " part" in got[i]
+        assert len(got[i].split("\n")) == {0: 3, 1: 3, 2: 4, 3: 4}[i // 100] + (i % 100 == 4) + (i == 103)
+
+
+def test_a_very_long_page_is_read_whole(spark):
+    html = "<body><article>" + "".join(f"<p class=c{i}>para {i}</p>" for i in range(60_000)) + "</article></body>"
+    got = html_main.main_text(spark.createDataFrame([(1, "http://a.org/", html)], "page_id long, url string, html string")).first().text
+    assert got == "\n".join(f"para {i}" for i in range(60_000))
+
+
 def test_parsing_odd_markup():
     text = lambda s: html_main.blocks_of(html_main.main_element(html_main.parse(s)), frozenset(), None)
     assert text("<p>a<p>b<p>c") == ["a", "b", "c"]
@@ -188,7 +256,7 @@ def test_ann_on_a_small_table_is_exact(spark):
         x[i] = x[0]  # copies, more than a list holds
     rows = [(i, v) for i, v in x.items()] + [(1000, None), (1100, [0.0] * 16), (1200, [float("nan")] * 16), (1300, [None] * 16), (1400, [1.0]), (None, [1.0] * 16), (7, x[7])]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, label int, node int")
-    got = additive_ann.ann_search(df, lambda i: i % 10 == 0, query_block=7).collect()
+    got = additive_ann.ann_search(df, lambda i: i % 10 == 0, query_block=7, shard_rows=60).collect()
     want = neighbours(x, [i for i in x if i % 10 == 0], 10)
     have = {}
     for r in sorted(got, key=lambda r: r.rank):

@@ -366,6 +366,28 @@ def test_normalisation_keeps_alignment():
     assert tool.normalise(b"   ")[0] == "" and tool.normalise(b"")[0] == ""
 
 
+@pytest.mark.parametrize("squeeze", [0, 1])
+@pytest.mark.parametrize("dummy", [0, 1])
+def test_maps_and_own_symbols_are_those_of_the_library(squeeze, dummy):
+    """Random texts through models with a character map, user-defined symbols and white-space rules: ids and decoded text."""
+    with open(tokenizer_path(), "rb") as f:
+        model = f.read()
+    bare = b"".join(model[b:e] for n, _, _, b, e in piece_codec.fields(model) if n != 3)
+    own = ["<sep>", "<sep>>", "ab c", "漢字x"]
+    pieces = b"".join(piece_codec.encoded_field(1, piece_codec.encoded_field(1, x.encode()) + piece_codec.encoded_field(3, 4)) for x in own)
+    blob = double_array([(k.encode(), v.encode()) for k, v in {"ﬁ": "fi", "\t": " ", "A": "a", "AB": "x", "é": "é", "…": " . ", "\u200b": "", "s": "ſ", "<": "[", "漢": "han", "  ": "__"}.items()])
+    spec = piece_codec.encoded_field(2, blob) + piece_codec.encoded_field(3, dummy) + piece_codec.encoded_field(4, squeeze) + piece_codec.encoded_field(5, 1)
+    tool = piece_codec.PieceCodec(bare + pieces + piece_codec.encoded_field(3, spec))
+    rng = random.Random(squeeze * 2 + dummy)
+    bits = [*own, "ﬁ", "\t", "A", "AB", "é", "e\u0301", "…", "\u200b", "s", "<", ">", "漢", "字", " ", "  ", "a", "b c", "the ", "x", "😀", "\n", "▁"]
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        ids, begins, ends = tool.encode(text.encode(), ends=False)
+        assert ids.tolist() == tool.full.encode(text), text
+        assert tool.decode(ids) == tool.full.decode(ids.tolist()), text
+        assert all(text.encode()[a:b].decode() is not None and a <= b for a, b in zip(begins.tolist(), ends.tolist(), strict=True))
+
+
 def test_quality_learns_and_scores_everything(spark, hard_docs, hard_texts):
     rng = random.Random(3)
     good = [(i, prose(rng, 80)) for i in range(0, 400, 2)]
