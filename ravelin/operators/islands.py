@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,16 +18,18 @@ def ground_segments(points: DataFrame, track: str, at: str, ground: str, gap: in
     return points.withColumn("__s", starts.cast("int")).withColumn("segment", F.when(F.col(ground), F.sum("__s").over(w))).drop("__s")
 
 
-def takeoffs(points: DataFrame, track: str, at: str, ground: str, gap: int, within: int, tie: str, slow: str | None = None) -> DataFrame:
+def takeoffs(points: DataFrame, track: str, at: str, ground: str, gap: int, within: int, tie: str, slow: str | None = None, first: Sequence[str] = (), mean: Sequence[str] = ()) -> DataFrame:
     """For each ground point that an air point of its track follows in less than `within`: the segment's first point, its
-    number of points, its widest gap, its first point under the condition of `slow`, and the time of leaving."""
+    number of points, its widest gap, its first point under the condition of `slow`, and the time of leaving; of the columns in
+    `first` the first point's value (first_x), of those in `mean` the mean (mean_x). A track is a sequence, read in one task."""
     w = W.partitionBy(track).orderBy(at, tie)
-    rows = ground_segments(points, track, at, ground, gap, tie).withColumn("__next", F.lead(at).over(w)).withColumn("__next_ground", F.lead(ground).over(w)).withColumn("__gap", F.col(at) - F.lag(at).over(w))
+    rows = ground_segments(points, track, at, ground, gap, tie).withColumns({"__next": F.lead(at).over(w), "__next_ground": F.lead(ground).over(w), "__gap": F.col(at) - F.lag(at).over(w)})
     inner = F.row_number().over(W.partitionBy(track, "segment").orderBy(at, tie))
     rows = rows.filter(ground).withColumn("__i", inner)
     leaves = ~F.col("__next_ground") & (F.col("__next") - F.col(at) < within)
     moving = F.min(F.when(F.expr(slow), F.col(at))) if slow else F.min(at)
     out = rows.groupBy(track, "segment").agg(
-        F.min(at).alias("first_ground"), moving.alias("first_moving"), F.count("*").alias("n"), F.max(F.when(F.col("__i") > 1, F.col("__gap"))).alias("widest_gap"), F.max(F.when(leaves, F.col("__next"))).alias("takeoff")
+        F.min(at).alias("first_ground"), moving.alias("first_moving"), F.count("*").alias("n"), F.max(F.when(F.col("__i") > 1, F.col("__gap"))).alias("widest_gap"), F.max(F.when(leaves, F.col("__next"))).alias("takeoff"),
+        *[F.min(F.when(F.col("__i") == 1, F.col(c))).alias(f"first_{c}") for c in first], *[F.avg(c).alias(f"mean_{c}") for c in mean],
     )
     return out.filter(F.col("takeoff").isNotNull())

@@ -48,11 +48,11 @@ def member_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.member_mean(members, "mvt_id", "pred").select("mvt_id", F.round("pred", 9).alias("pred"))
 
 
-@query(f"WITH {MV}, r AS (SELECT DISTINCT stand FROM mv WHERE stand IS NOT NULL AND event_id % 23 < 15) SELECT mvt_id, CASE WHEN stand IN (SELECT stand FROM r) THEN stand END AS stand, runway FROM mv WHERE day % 2 = 1")
+@query(f"WITH {MV}, r AS (SELECT DISTINCT stand, airport FROM mv WHERE phase = 'ARR') SELECT mvt_id, CASE WHEN stand IN (SELECT stand FROM r WHERE stand IS NOT NULL) THEN stand END AS stand, CASE WHEN airport IN (SELECT airport FROM r) THEN airport END AS airport FROM mv WHERE phase = 'DEP'")
 def aligned_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values that another table lacks become null."""
+    """Values of the departures that the arrivals lack become null."""
     rows = mv.load(spark, sf_dir)
-    return splits.align_categories(rows.filter("day % 2 = 1").select("mvt_id", "stand", "runway"), rows.filter("event_id % 23 < 15"), ["stand", "runway"])
+    return splits.align_categories(rows.filter("phase = 'DEP'").select("mvt_id", "stand", "airport"), rows.filter("phase = 'ARR'"), ["stand", "airport"])
 
 
 @query(_PAIRS + """, d AS (SELECT day, (row_number() OVER (ORDER BY day) - 1) % 2 AS half FROM (SELECT DISTINCT day FROM p))

@@ -89,12 +89,12 @@ def airline_copy_rate_lomo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("mvt_id", F.round("rate", 9).alias("rate"))
 
 
-@query(f"""WITH {MV}, d AS (SELECT *, (mvt_us - sched_us) / 1e6 AS ms FROM mv WHERE phase = 'DEP'), f AS (SELECT airport, regr_slope(taxi_s, ms) AS s, regr_intercept(taxi_s, ms) AS i FROM d WHERE user_id % 7 <> 0 OR airport <> 'A5' GROUP BY airport HAVING count(*) >= 600), g AS (SELECT regr_slope(taxi_s, ms) AS s, regr_intercept(taxi_s, ms) AS i FROM d WHERE user_id % 7 <> 0 OR airport <> 'A5')
+@query(f"""WITH {MV}, d AS (SELECT *, (mvt_us - sched_us) / 1e6 AS ms FROM mv WHERE phase = 'DEP'), f AS (SELECT airport, regr_slope(taxi_s, ms) AS s, regr_intercept(taxi_s, ms) AS i FROM d GROUP BY airport HAVING count(*) >= 600), g AS (SELECT regr_slope(taxi_s, ms) AS s, regr_intercept(taxi_s, ms) AS i FROM d)
 SELECT d.mvt_id, round(greatest(0.0, coalesce(f.i, g.i) + coalesce(f.s, g.s) * d.ms), 4) AS line FROM d LEFT JOIN f USING (airport), g""")
 def ols_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least-squares lines per airport with enough rows, one line for the rest."""
     dep = departures(spark, sf_dir).withColumn("ms", (F.col("mvt_us") - F.col("sched_us")) / SECOND)
-    fitted = cells.lines(dep.filter("user_id % 7 <> 0 OR airport <> 'A5'"), "airport", "ms", "taxi_s", 600)
+    fitted = cells.lines(dep, "airport", "ms", "taxi_s", 600)
     return cells.apply_lines(dep, fitted, "airport", "ms", "line").select("mvt_id", F.round("line", 4).alias("line"))
 
 
@@ -119,11 +119,11 @@ def pct_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Orders and line items
 
 
-@query("""WITH d AS (SELECT o_orderdate AS day, sum(CASE WHEN l_returnflag <> 'N' THEN l_quantity END) AS returned, sum(l_quantity) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 2 = 0 GROUP BY 1)
+@query("""WITH d AS (SELECT o_orderdate AS day, sum(CASE WHEN l_returnflag <> 'N' THEN l_quantity END) AS returned, sum(l_quantity) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
 SELECT day, returned, quantity, round(CASE WHEN quantity > 0 THEN returned / quantity END, 9) AS ratio FROM d""")
 def orders_daily_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily sums, null on days without any value, and their safe ratio."""
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_orderdate").alias("day"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("day"))
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity")
     daily = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("day").agg(F.sum(F.when(F.col("l_returnflag") != "N", F.col("l_quantity"))).alias("returned"), F.sum("l_quantity").alias("quantity"))
     from ..functions import safe_ratio
@@ -353,7 +353,7 @@ SELECT d.airport, round(avg(coalesce(r.ref, q2.ref2)), 6) AS mean_ref, round(avg
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Movements, an hour's congestion, and the reference taxi time with fallback, per airport."""
     dep = departures(spark, sf_dir)
-    before = windows.range_aggregate(dep.select("airport", "sec"), dep, ["airport"], "sec", {"before": (F.count(windows.event(F.lit(1))), -3600, -1)}, "mvt_id")
+    before = windows.range_aggregate(dep.select("airport", "sec"), dep, ["airport"], "sec", {"before": ("count", None, -3600, -1)}, "mvt_id")
     levels = [(k, cells.quantile_cells(dep, k, "taxi_s")) for k in (["airport", "runway"],)]
     levels.append((["airport"], dep.groupBy("airport").agg(F.percentile("taxi_s", 0.1).alias("ref"))))
     ref = cells.fallback(dep.select("mvt_id", "airport", "runway"), levels, ["ref"], "")

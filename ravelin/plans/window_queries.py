@@ -41,16 +41,14 @@ def _w1_sql() -> str:
 @query(_w1_sql())
 def congestion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Movements before and after each departure in frames of 10 to 60 minutes; those of the same second count on neither side."""
-    _, dep, arr = both(spark, sf_dir)
-    one = F.count(windows.event(F.lit(1)))
-    frames = {}
-    for m in (10, 20, 30, 60):
-        frames |= {f"prev{m}": (one, -60 * m, -1), f"next{m}": (one, 1, 60 * m)}
-    out = dep.select("mvt_id")
-    for name, events, by in (("dep", dep, ["airport"]), ("arr", arr, ["airport"]), ("rwy", dep, ["airport", "runway"])):
-        got = windows.range_aggregate(events.select(*by, "sec"), dep, by, "sec", {f"{name}_{n}": f for n, f in frames.items()}, "mvt_id")
-        out = out.join(got, "mvt_id")
-    return out
+    rows, dep, _ = both(spark, sf_dir)
+    is_dep = F.col("phase") == "DEP"
+    moves = rows.select("airport", "runway", "sec", F.when(is_dep, 1).alias("dep"), F.when(~is_dep, 1).alias("arr"))
+    spans = {f"prev{m}": (-60 * m, -1) for m in (10, 20, 30, 60)} | {f"next{m}": (1, 60 * m) for m in (10, 20, 30, 60)}
+    at_airport = {f"{kind}_{n}": ("count", kind, *span) for kind in ("dep", "arr") for n, span in spans.items()}
+    on_runway = {f"rwy_{n}": ("count", None, *span) for n, span in spans.items()}
+    out = windows.range_aggregate(moves, dep, ["airport"], "sec", at_airport, "mvt_id")
+    return dep.select("mvt_id").join(out, "mvt_id", "left").join(windows.range_aggregate(moves.filter("dep = 1"), dep, ["airport", "runway"], "sec", on_runway, "mvt_id"), "mvt_id", "left").na.fill(0)
 
 
 def _taxi_sql(keys: str, p: str) -> str:
@@ -63,15 +61,13 @@ def _taxi_sql(keys: str, p: str) -> str:
 def arrival_taxi_in_ctx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean clipped taxi-in and count of the arrivals of the last 15 and 60 minutes, at the airport and on the runway."""
     _, dep, arr = both(spark, sf_dir)
-    v = windows.event(F.greatest(F.lit(0.0), F.least(F.lit(3600.0), F.col("taxi_s"))))
+    arr = arr.withColumn("v", F.greatest(F.lit(0.0), F.least(F.lit(3600.0), F.col("taxi_s"))))
     out = dep.select("mvt_id")
     for p, by in (("apt", ["airport"]), ("rwy", ["airport", "runway"])):
-        frames = {}
-        for m in (15, 60):
-            frames |= {f"{p}_mean{m}": (F.avg(v), -60 * m + 1, 0), f"{p}_n{m}": (F.count(v), -60 * m + 1, 0)}
-        got = windows.range_aggregate(arr.select(*by, "sec", "taxi_s"), dep, by, "sec", frames, "mvt_id")
-        out = out.join(got.select("mvt_id", *[F.round(c, 6).alias(c) if "mean" in c else F.col(c) for c in frames]), "mvt_id")
-    return out
+        frames = {f"{p}_{short}{m}": (kind, "v", -60 * m + 1, 0) for m in (15, 60) for short, kind in (("mean", "mean"), ("n", "count"))}
+        got = windows.range_aggregate(arr, dep, by, "sec", frames, "mvt_id")
+        out = out.join(got.select("mvt_id", *[F.round(c, 6).alias(c) if "mean" in c else F.col(c) for c in frames]), "mvt_id", "left")
+    return out.na.fill(0, [c for c in out.columns if "_n" in c])
 
 
 _PROXY = "CASE WHEN mvt_us - aobt_us BETWEEN 0 AND 7200000000 THEN (mvt_us - aobt_us) / 1e6 END"
@@ -86,11 +82,10 @@ def neighbour_proxy_ctx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean off-block-to-take-off time of the neighbours in the hour before and after, and the own value against it."""
     _, dep, _ = both(spark, sf_dir)
     dep = dep.withColumn("proxy", F.expr(_PROXY).cast("double"))
-    v = windows.event("proxy")
     out = dep.select("mvt_id", F.col("proxy").alias("own"))
     for p, by in (("apt", ["airport"]), ("rwy", ["airport", "runway"])):
-        frames = {f"{p}_past": (F.avg(v), -3600, -1), f"{p}_future": (F.avg(v), 1, 3600)}
-        out = out.join(windows.range_aggregate(dep.select(*by, "sec", "proxy"), dep, by, "sec", frames, "mvt_id"), "mvt_id")
+        frames = {f"{p}_past": ("mean", "proxy", -3600, -1), f"{p}_future": ("mean", "proxy", 1, 3600)}
+        out = out.join(windows.range_aggregate(dep, dep, by, "sec", frames, "mvt_id"), "mvt_id", "left")
     names = ["apt_past", "apt_future", "rwy_past", "rwy_future"]
     return out.select("mvt_id", *[F.round(c, 6).alias(c) for c in names], F.round(F.col("own") - F.col("apt_past"), 6).alias("own_less_past"), F.round(F.col("own") - F.col("apt_future"), 6).alias("own_less_future"))
 
@@ -99,17 +94,32 @@ def neighbour_proxy_ctx(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dep_rate_30m(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Departures an hour, from the last 30 minutes."""
     _, dep, _ = both(spark, sf_dir)
-    got = windows.range_aggregate(dep.select("airport", "mvt_us"), dep, ["airport"], "mvt_us", {"rate": (F.count(windows.event(F.lit(1))), -1800 * SECOND, -1)}, "mvt_id")
+    got = windows.range_aggregate(dep.select("airport", "mvt_us"), dep, ["airport"], "mvt_us", {"rate": ("count", None, -1800 * SECOND, -1)}, "mvt_id")
     return got.select("mvt_id", (2 * F.col("rate")).alias("rate"))
 
 
-@query(f"WITH {MV} SELECT d.mvt_id, round(avg((e.aobt_us - e.sched_us) / 1e6), 6) AS recent_delay FROM mv d LEFT JOIN mv e ON e.airport = d.airport AND e.aobt_us >= d.aobt_us - 5400000000 AND e.aobt_us < d.aobt_us WHERE d.phase = 'DEP' AND d.aobt_us IS NOT NULL GROUP BY d.mvt_id")
-def recent_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean push delay of the airport in the 90 minutes before each push."""
+def _delay_sql(seconds: int) -> str:
+    return f"""WITH {MV} SELECT d.mvt_id, round(avg((e.aobt_us - e.sched_us) / 1e6), 6) AS recent_delay
+FROM mv d LEFT JOIN mv e ON e.airport = d.airport AND e.aobt_us >= d.aobt_us - {seconds}000000 AND e.aobt_us < d.aobt_us WHERE d.phase = 'DEP' AND d.aobt_us IS NOT NULL GROUP BY d.mvt_id"""
+
+
+def _delay(spark: SparkSession, sf_dir: str, seconds: int) -> DataFrame:
     _, dep, _ = both(spark, sf_dir)
-    pushed = dep.filter("aobt_us IS NOT NULL").withColumn("delay", (F.col("aobt_us") - F.col("sched_us")) / SECOND)
-    got = windows.range_aggregate(pushed.select("airport", "aobt_us", "delay"), pushed, ["airport"], "aobt_us", {"d": (F.avg(windows.event("delay")), -5400 * SECOND, -1)}, "mvt_id")
-    return got.select("mvt_id", F.round("d", 6).alias("recent_delay"))
+    pushed = dep.filter("aobt_us IS NOT NULL").withColumn("delay_us", F.col("aobt_us") - F.col("sched_us"))
+    got = windows.range_aggregate(pushed, pushed, ["airport"], "aobt_us", {"d": ("mean", "delay_us", -seconds * SECOND, -1)}, "mvt_id")
+    return got.select("mvt_id", F.round(F.col("d") / SECOND, 6).alias("recent_delay"))
+
+
+@query(_delay_sql(900))
+def recent_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean push delay of the airport in the 15 minutes before each push."""
+    return _delay(spark, sf_dir, 900)
+
+
+@query(_delay_sql(5400))
+def recent_delay_90m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over 90 minutes, in which the test tables' sparse pushes have more company."""
+    return _delay(spark, sf_dir, 5400)
 
 
 _RATE = 3600 * log(2) / 600
@@ -177,20 +187,25 @@ def active_runway(spark: SparkSession, sf_dir: str) -> DataFrame:
 x AS (SELECT q.mvt_id, q.taxi, greatest(0, (SELECT count(*) FROM d e WHERE e.airport = q.airport AND e.o <= q.o) - (SELECT count(*) FROM d e WHERE e.airport = q.airport AND e.mvt_us <= q.o) - (q.taxi > 0)::INTEGER)::BIGINT AS dep_taxiing,
 (SELECT count(*) FROM d e WHERE e.airport = q.airport AND e.mvt_us > q.o AND e.mvt_us < q.mvt_us)::BIGINT AS off_apt, (SELECT count(*) FROM d e WHERE e.airport = q.airport AND e.runway = q.runway AND e.mvt_us > q.o AND e.mvt_us < q.mvt_us)::BIGINT AS off_rwy,
 (SELECT count(*) FROM a WHERE a.airport = q.airport AND a.l <= q.o AND a.b > q.o)::BIGINT AS arr_taxiing, (SELECT count(*) FROM a WHERE a.airport = q.airport AND a.l > q.o AND a.l < q.mvt_us)::BIGINT AS landings FROM d q)
-SELECT mvt_id, dep_taxiing, off_apt, off_rwy, arr_taxiing, landings, round(CASE WHEN taxi > 0 THEN off_rwy / (taxi / 60.0) END, 6) AS off_rwy_per_min FROM x""")
+SELECT mvt_id, dep_taxiing, off_apt, off_rwy, arr_taxiing, landings, round(CASE WHEN taxi > 0 THEN off_rwy / (taxi / 60.0) END, 6) AS off_rwy_per_min, round(CASE WHEN taxi > 0 THEN off_apt / (taxi / 60.0) END, 6) AS off_apt_per_min, round(CASE WHEN taxi > 0 THEN landings / (taxi / 60.0) END, 6) AS landings_per_min FROM x""")
 def surface_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Surface traffic during a predicted taxi: who taxies at push, who leaves and lands before own take-off."""
+    """Surface traffic during a predicted taxi: who taxies at push, who leaves and lands before own take-off, and how fast."""
     _, dep, arr = both(spark, sf_dir)
-    taxi = F.expr(PRED)
-    dep = dep.withColumn("taxi", taxi).withColumn("o", F.col("mvt_us") - SECOND * taxi).withColumn("one", F.lit(1))
-    arr = arr.filter("block_us >= mvt_us").withColumn("one", F.lit(1))
-    inside = (F.col("o"), F.greatest(F.col("o"), F.col("mvt_us") - 1))
-    out = dep.select("mvt_id", "taxi").join(counts_at(dep, dep, ["airport"], "o", "mvt_us", "o", "n"), "mvt_id").join(counts_at(arr, dep, ["airport"], "mvt_us", "block_us", "o", "arr_taxiing"), "mvt_id")
-    for name, events, by in (("off_apt", dep, ["airport"]), ("off_rwy", dep, ["airport", "runway"]), ("landings", arr, ["airport"])):
-        out = out.join(windows.interval_sums(events, dep, by, "mvt_id", "mvt_us", {name: ("one", *inside)}, DAY), "mvt_id")
-    return out.select(
-        "mvt_id", F.greatest(F.lit(0), F.col("n") - (F.col("taxi") > 0).cast("int")).alias("dep_taxiing"), "off_apt", "off_rwy", "arr_taxiing", "landings", F.round(F.try_divide(F.col("off_rwy"), F.col("taxi") / 60), 6).alias("off_rwy_per_min")
-    )
+    dep = dep.withColumn("taxi", F.expr(PRED)).withColumn("o", F.col("mvt_us") - SECOND * F.col("taxi"))
+    arr = arr.filter("block_us >= mvt_us")
+    one, none = F.lit(1), F.lit(0)
+    event = lambda df, at, out, taxied, off, landed: df.select("airport", "runway", F.col(at).alias("t"), out.alias("taxi_out"), taxied.alias("taxi_in"), off.alias("off"), landed.alias("landed"))
+    # One event stream: who begins and ends to taxi, takes off, lands. One table of instants: at push, and just before take-off.
+    events = event(dep, "o", one, none, none, none).unionByName(event(dep, "mvt_us", -one, none, one, none)).unionByName(event(arr, "mvt_us", none, one, none, one)).unionByName(event(arr, "block_us", none, -one, none, none))
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("o").alias("t")), F.struct(F.lit(1).alias("end"), F.greatest(F.col("o"), F.col("mvt_us") - 1).alias("t"))))
+    probes = dep.select("mvt_id", "airport", "runway", ends.alias("e")).select("mvt_id", "airport", "runway", "e.end", "e.t")
+    at = lambda c, end: F.sum(F.when(F.col("end") == end, F.col(c)))
+    apt = windows.totals_until(events, probes, ["airport"], "t", {c: c for c in ("taxi_out", "taxi_in", "off", "landed")}, ["mvt_id", "end"], DAY)
+    apt = apt.groupBy("mvt_id").agg(at("taxi_out", 0).alias("n"), at("taxi_in", 0).alias("arr_taxiing"), (at("off", 1) - at("off", 0)).alias("off_apt"), (at("landed", 1) - at("landed", 0)).alias("landings"))
+    rwy = windows.totals_until(events.filter("off = 1"), probes, ["airport", "runway"], "t", {"off": "off"}, ["mvt_id", "end"], DAY)
+    out = dep.select("mvt_id", "taxi").join(apt, "mvt_id", "left").join(rwy.groupBy("mvt_id").agg((at("off", 1) - at("off", 0)).alias("off_rwy")), "mvt_id", "left")
+    rate = lambda c: F.round(F.try_divide(F.col(c), F.col("taxi") / 60), 6).alias(f"{c}_per_min")
+    return out.select("mvt_id", F.greatest(F.lit(0), F.col("n") - (F.col("taxi") > 0).cast("int")).alias("dep_taxiing"), "off_apt", "off_rwy", "arr_taxiing", "landings", rate("off_rwy"), rate("off_apt"), rate("landings"))
 
 
 @query(f"WITH {MV} SELECT mvt_id, (mvt_us - lag(mvt_us, 20) OVER (PARTITION BY airport ORDER BY mvt_us)) / 1e6 AS span20 FROM mv WHERE phase = 'DEP'")
@@ -274,31 +289,59 @@ def _nearest_sql(left: str, keys: str, tol: int) -> str:
     return f"SELECT d.mvt_id, d.t, e.t AS et, e.eid, row_number() OVER (PARTITION BY d.mvt_id ORDER BY abs(e.t - d.t), e.t, CASE WHEN e.t <= d.t THEN -e.eid ELSE e.eid END) AS r FROM {left} d JOIN ev e ON {keys} AND abs(e.t - d.t) <= {tol}"
 
 
-_CASCADE = f"""WITH {MV}, dp AS (SELECT mvt_id, airport, user_id % 30 AS callsign, mvt_us AS t FROM mv WHERE phase = 'DEP'), ev AS (SELECT airport, user_id % 30 AS callsign, block_us AS t, mvt_id AS eid FROM mv WHERE phase = 'ARR'),
-one AS ({_nearest_sql("dp", "e.airport = d.airport AND e.callsign = d.callsign", 21_600_000_000)}), rest AS (SELECT * FROM dp WHERE mvt_id NOT IN (SELECT mvt_id FROM one)), two AS ({_nearest_sql("rest", "e.airport = d.airport", 900_000_000)})
-SELECT dp.mvt_id, coalesce(one.et, two.et) AS matched_us, CASE WHEN one.et IS NOT NULL THEN 0 WHEN two.et IS NOT NULL THEN 1 END AS step FROM dp LEFT JOIN one ON one.mvt_id = dp.mvt_id AND one.r = 1 LEFT JOIN two ON two.mvt_id = dp.mvt_id AND two.r = 1"""
+def _cascade_sql(near: int, far: int) -> str:
+    one, two = _nearest_sql("dp", "e.airport = d.airport AND e.callsign = d.callsign", near * SECOND), _nearest_sql("rest", "e.airport = d.airport", far * SECOND)
+    return f"""WITH {MV}, dp AS (SELECT mvt_id, airport, user_id % 30 AS callsign, mvt_us AS t FROM mv WHERE phase = 'DEP'), ev AS (SELECT airport, user_id % 30 AS callsign, block_us AS t, mvt_id AS eid FROM mv WHERE phase = 'ARR'),
+one AS ({one}), rest AS (SELECT * FROM dp WHERE mvt_id NOT IN (SELECT mvt_id FROM one)), two AS ({two})
+SELECT dp.mvt_id, coalesce(one.et, two.et) AS matched_us, CASE WHEN one.et IS NOT NULL THEN 0 WHEN two.et IS NOT NULL THEN 1 END AS step
+FROM dp LEFT JOIN one ON one.mvt_id = dp.mvt_id AND one.r = 1 LEFT JOIN two ON two.mvt_id = dp.mvt_id AND two.r = 1"""
 
 
-@query(_CASCADE)
-def nearest_asof_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest arrival by airport and callsign within six hours, and for the rest by airport within 15 minutes."""
+def _cascade(spark: SparkSession, sf_dir: str, near: int, far: int) -> DataFrame:
     _, dep, arr = both(spark, sf_dir)
     call = (F.col("user_id") % 30).alias("callsign")
     left = dep.select("mvt_id", "airport", call, F.col("mvt_us").alias("t"))
     right = arr.select("airport", call, F.col("block_us").alias("at"), F.col("mvt_id").alias("eid"))
-    got = asof.cascade(left, right, [(["airport", "callsign"], 21_600 * SECOND), (["airport"], 900 * SECOND)], "t", "at", [], "eid")
+    got = asof.cascade(left, right, [(["airport", "callsign"], near * SECOND), (["airport"], far * SECOND)], "t", "at", [], "eid")
     return got.select("mvt_id", F.col("r_at").alias("matched_us"), "step")
 
 
-@query(f"""WITH {MV} SELECT d.mvt_id, e.mvt_id AS event_no, abs(d.mvt_us - e.block_us) / 1e6 AS apart FROM mv d JOIN mv e ON d.phase = 'DEP' AND e.phase = 'ARR' AND e.airport = d.airport AND e.user_id % 30 = d.user_id % 30 AND abs(d.mvt_us - e.block_us) < 21600000000""")
-def band_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of equal airport and callsign less than six hours apart."""
+@query(_cascade_sql(600, 90))
+def nearest_asof_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest arrival by airport and callsign within ten minutes, and for the rest by airport within 90 seconds."""
+    return _cascade(spark, sf_dir, 600, 90)
+
+
+@query(_cascade_sql(21_600, 900))
+def nearest_asof_cascade_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same within six hours and 15 minutes: more matches in the test tables' sparse traffic."""
+    return _cascade(spark, sf_dir, 21_600, 900)
+
+
+def _band_sql(seconds: int) -> str:
+    return f"""WITH {MV} SELECT d.mvt_id, e.mvt_id AS event_no, abs(d.mvt_us - e.block_us) / 1e6 AS apart
+FROM mv d JOIN mv e ON d.phase = 'DEP' AND e.phase = 'ARR' AND e.airport = d.airport AND e.user_id % 30 = d.user_id % 30 AND abs(d.mvt_us - e.block_us) < {seconds}000000"""
+
+
+def _band(spark: SparkSession, sf_dir: str, seconds: int) -> DataFrame:
     _, dep, arr = both(spark, sf_dir)
     call = (F.col("user_id") % 30).alias("callsign")
-    got = asof.band_join(dep.select("mvt_id", "airport", call, "mvt_us"), arr.select("airport", call, "block_us", F.col("mvt_id").alias("no")), ["airport", "callsign"], "mvt_us", "block_us", 21_600 * SECOND, ["no"])
+    got = asof.band_join(dep.select("mvt_id", "airport", call, "mvt_us"), arr.select("airport", call, "block_us", F.col("mvt_id").alias("no")), ["airport", "callsign"], "mvt_us", "block_us", seconds * SECOND, ["no"])
     return got.select("mvt_id", F.col("r_no").alias("event_no"), (F.abs(F.col("mvt_us") - F.col("r_block_us")) / SECOND).alias("apart"))
 
 
+@query(_band_sql(300))
+def band_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of equal airport and callsign less than 300 seconds apart."""
+    return _band(spark, sf_dir, 300)
+
+
+@query(_band_sql(21_600))
+def band_match_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, less than six hours apart: more pairs in the test tables' sparse traffic."""
+    return _band(spark, sf_dir, 21_600)
+
+
 @query()
 def greedy_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Departures and arrivals of an airport matched one to one: callsign pairs first, then by distance."""
@@ -325,12 +368,31 @@ def lag_ground_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("mvt_id", ((F.col("mvt_us") - F.lag("block_us").over(w)) / SECOND).alias("ground_time"), F.when(before.isNotNull(), (before == F.col("airport")).cast("int")).alias("same_airport"))
 
 
-@query(f"""WITH {MV}, p AS (SELECT user_id, sec, mvt_id, event_type <> 'purchase' AS g FROM mv), a AS (SELECT *, lag(sec) OVER w AS ps, lag(g) OVER w AS pg, lead(sec) OVER w AS ns, lead(g) OVER w AS ng FROM p WINDOW w AS (PARTITION BY user_id ORDER BY sec, mvt_id)),
-b AS (SELECT *, sum((g AND (ps IS NULL OR NOT pg OR sec - ps >= 86400))::INTEGER) OVER (PARTITION BY user_id ORDER BY sec, mvt_id) AS seg FROM a),
+def _islands_sql(gap: int, within: int) -> str:
+    return f"""WITH {MV}, p AS (SELECT user_id, sec, mvt_id, event_type <> 'purchase' AS g, value, airport FROM mv),
+a AS (SELECT *, lag(sec) OVER w AS ps, lag(g) OVER w AS pg, lead(sec) OVER w AS ns, lead(g) OVER w AS ng FROM p WINDOW w AS (PARTITION BY user_id ORDER BY sec, mvt_id)),
+b AS (SELECT *, sum((g AND (ps IS NULL OR NOT pg OR sec - ps >= {gap}))::INTEGER) OVER (PARTITION BY user_id ORDER BY sec, mvt_id) AS seg FROM a),
 c AS (SELECT *, row_number() OVER (PARTITION BY user_id, seg ORDER BY sec, mvt_id) AS i FROM b WHERE g)
-SELECT user_id, seg::BIGINT AS segment, min(sec) AS first_ground, min(CASE WHEN mvt_id % 2 = 0 THEN sec END) AS first_moving, count(*)::BIGINT AS n, max(CASE WHEN i > 1 THEN sec - ps END) AS widest_gap, max(CASE WHEN NOT ng AND ns - sec < 43200 THEN ns END) AS takeoff FROM c GROUP BY user_id, seg HAVING takeoff IS NOT NULL""")
-def ground_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of a track on the ground, and the take-offs that end them."""
+SELECT user_id, seg::BIGINT AS segment, min(sec) AS first_ground, min(CASE WHEN mvt_id % 2 = 0 THEN sec END) AS first_moving, count(*)::BIGINT AS n, max(CASE WHEN i > 1 THEN sec - ps END) AS widest_gap,
+max(CASE WHEN NOT ng AND ns - sec < {within} THEN ns END) AS takeoff, min(CASE WHEN i = 1 THEN value END) AS first_value, min(CASE WHEN i = 1 THEN airport END) AS first_airport, round(avg((mvt_id % 2)::DOUBLE), 9) AS mean_odd
+FROM c GROUP BY user_id, seg HAVING takeoff IS NOT NULL"""
+
+
+def _islands(spark: SparkSession, sf_dir: str, gap: int, within: int) -> DataFrame:
     rows, _, _ = both(spark, sf_dir)
-    points = rows.select("user_id", "sec", "mvt_id", (F.col("event_type") != "purchase").alias("ground"))
-    return islands.takeoffs(points, "user_id", "sec", "ground", 86_400, 43_200, "mvt_id", "mvt_id % 2 = 0")
+    points = rows.select("user_id", "sec", "mvt_id", (F.col("event_type") != "purchase").alias("ground"), "value", "airport", (F.col("mvt_id") % 2).alias("odd"))
+    got = islands.takeoffs(points, "user_id", "sec", "ground", gap, within, "mvt_id", "mvt_id % 2 = 0", ["value", "airport"], ["odd"])
+    return got.withColumn("mean_odd", F.round("mean_odd", 9))
+
+
+@query(_islands_sql(600, 120))
+def ground_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of a track on the ground, broken at gaps of ten minutes, and the take-offs that end them within two: with the first
+    point's values and a mean."""
+    return _islands(spark, sf_dir, 600, 120)
+
+
+@query(_islands_sql(86_400, 43_200))
+def ground_segments_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with gaps of a day and take-offs within half of one: longer segments in the test tables' sparse tracks."""
+    return _islands(spark, sf_dir, 86_400, 43_200)

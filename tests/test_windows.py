@@ -1,6 +1,7 @@
 """Window kernels against their definitions, row by row."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ def test_range_aggregate_is_its_definition(spark, bucket):
     ev, q = frame(spark, 1), frame(spark, 2)
     events = spark.createDataFrame(ev, "eid int, k string, t long, v int").drop("eid")
     queries = spark.createDataFrame(q, "id int, k string, t long, v int")
-    frames = {"past": (F.count(windows.event(F.lit(1))), -300, -1), "future": (F.sum(windows.event("v")), 1, 200), "upto": (F.avg(windows.event("v")), -99, 0)}
+    frames = {"past": ("count", None, -300, -1), "future": ("sum", "v", 1, 200), "upto": ("mean", "v", -99, 0), "known": ("count", "v", -99, 0)}
     got = {r.id: r for r in windows.range_aggregate(events, queries.select("id", "k", "t"), ["k"], "t", frames, "id", bucket).collect()}
     for i, k, t, _ in q:
         if k is None:
@@ -31,14 +32,14 @@ def test_range_aggregate_is_its_definition(spark, bucket):
         upto = [v for s, v in near if t - 99 <= s <= t and v is not None]
         assert got[i].past == sum(t - 300 <= s < t for s, _ in near)
         assert got[i].future == (sum(future) if future else None)
+        assert got[i].known == len(upto)
         assert got[i].upto == pytest.approx(sum(upto) / len(upto)) if upto else got[i].upto is None
 
 
 def test_counts_exclude_what_happens_at_the_same_second(spark):
     events = spark.createDataFrame([("a", 100), ("a", 100), ("a", 40), ("a", 160)], "k string, t long")
     q = spark.createDataFrame([(1, "a", 100)], "id int, k string, t long")
-    one = F.count(windows.event(F.lit(1)))
-    r = windows.range_aggregate(events, q, ["k"], "t", {"prev": (one, -60, -1), "next": (one, 1, 60)}, "id").first()
+    r = windows.range_aggregate(events, q, ["k"], "t", {"prev": ("count", None, -60, -1), "next": ("count", None, 1, 60)}, "id").first()
     assert (r.prev, r.next) == (1, 1)
 
 
@@ -93,3 +94,12 @@ def test_an_empty_configuration_is_one(spark):
     rows = moves(spark, [("DEP", "07", 100), ("DEP", "07", 110), ("DEP", "25", 116)])
     got = {r.mvt_id: r.changed for r in runway.configuration(rows, rows, "mvt_id").collect()}
     assert got == {0: None, 1: 1, 2: 1}
+
+
+def test_frames_cost_no_more_where_events_are_dense(spark):
+    """Running sums: no frame of the plan slides, so nothing is added up anew for each row."""
+    events = spark.range(1000).selectExpr("id % 3 AS k", "id AS t", "id AS v")
+    asked = events.withColumnRenamed("v", "q")
+    for got in (windows.range_aggregate(events, asked, ["k"], "t", {"a": ("count", None, -300, -1), "b": ("mean", "v", 1, 200)}, "q"), windows.decayed_sum(events, asked, ["k"], "t", "q", 60.0, 600, 3600, 1, "g")):
+        frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]+),", got._jdf.queryExecution().executedPlan().toString())
+        assert frames and set(frames) == {"unboundedpreceding$()"}
