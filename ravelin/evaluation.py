@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .operators.cells import value_ranks
+from .operators.cells import _null_safe, exact_quantiles, value_counts, value_ranks
 
 
 def rmse(error: Column) -> Column:
@@ -40,21 +41,50 @@ class Gain:
     days: int
 
 
+def hashed_draw(seed: int) -> Callable[[Column, Column, Column], Column]:
+    """Which of k days is the j-th of a draw, by a hash of the seed, the draw and j."""
+    return lambda draw, j, k: F.pmod(F.xxhash64(F.lit(seed), draw, j), k)
+
+
+def bootstrap(df: DataFrame, y: str, base: str, new: str, day: str, by: Sequence[str] = (), mask: Column | None = None, weight: str | None = None, draws: int = 1000, pick: Callable | None = None) -> DataFrame:
+    """(by, gain, low, high, days): the gain in (weighted) RMSE, or the part of it that the rows under the mask make, with a 95 %
+    interval over days drawn with replacement; all groups in one plan.
+
+    Rows are summed up by day first. A draw is a list of day numbers; `pick` tells the j-th of a draw among k."""
+    pick = pick or hashed_draw(0)
+    w = F.col(weight) if weight else F.lit(1.0)
+    rows = contributions(df, y, base, new, weight).withColumn("__d", F.col("gain_sq") if mask is None else F.when(mask, F.col("gain_sq")).otherwise(0.0))
+    sums = rows.groupBy(*by, day).agg(F.sum(w).alias("__w"), F.sum(w * (F.col(base) - F.col(y)) ** 2).alias("__b"), F.sum(w * (F.col(new) - F.col(y)) ** 2).alias("__n"), F.sum("__d").alias("__d"))
+    parts = ("__w", "__b", "__n", "__d")
+    closed = lambda w, b, n, d: d / w / (F.sqrt(b / w) + F.sqrt(n / w))
+    whole = W.partitionBy(*by)
+    numbered = sums.withColumns({"__i": F.row_number().over(whole.orderBy(day)) - 1, "__k": F.count("*").over(whole)})
+    each = numbered.groupBy(*by, "__k").agg(*[F.sum(p).alias(p) for p in parts])
+    drawn = each.select(*by, "__k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("__draw"))
+    drawn = drawn.withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__k") - 1))).withColumn("__i", pick(F.col("__draw"), F.col("__j"), F.col("__k")).cast("int"))
+    got = _null_safe(drawn.drop("__k"), numbered.select(*by, "__i", *parts), [*by, "__i"]).groupBy(*by, "__draw").agg(closed(*[F.sum(p) for p in parts]).alias("__g"))
+    bounds = got.groupBy(*by).agg(F.percentile("__g", 0.025).alias("low"), F.percentile("__g", 0.975).alias("high"))  # `draws` values a group
+    point = each.select(*by, closed(*[F.col(p) for p in parts]).alias("gain"), F.col("__k").alias("days"))
+    if by:
+        return _null_safe(point, bounds, list(by)).select(*by, "gain", "low", "high", "days")
+    both = bounds.select(F.struct("low", "high")).scalar()
+    return point.select("gain", both["low"].alias("low"), both["high"].alias("high"), "days")
+
+
+def as_gain(row) -> Gain:
+    return Gain(row["gain"], row["low"], row["high"], row["days"])
+
+
 def paired_bootstrap(df: DataFrame, y: str, base: str, new: str, day: str, draws: int = 1000, seed: int = 0) -> Gain:
-    """RMSE(base) - RMSE(new) with a 95 % interval, days drawn with replacement. Days are few: their sums come to the driver."""
-    rows = day_sums(df, y, base, new, day).orderBy(day).toPandas()
-    n, b, m = (rows[c].to_numpy(dtype=float) for c in ("n", "sse_base", "sse_new"))
-    gain = lambda n, b, m: np.sqrt(b / n) - np.sqrt(m / n)
-    if not len(n):
-        return Gain(float("nan"), float("nan"), float("nan"), 0)
-    pick = np.random.default_rng(seed).integers(0, len(n), size=(draws, len(n)))
-    got = gain(n[pick].sum(axis=1), b[pick].sum(axis=1), m[pick].sum(axis=1))
-    low, high = np.percentile(got, [2.5, 97.5])
-    return Gain(float(gain(n.sum(), b.sum(), m.sum())), float(low), float(high), len(n))
+    """RMSE(base) - RMSE(new) with a 95 % interval."""
+    rows = bootstrap(df, y, base, new, day, draws=draws, pick=hashed_draw(seed)).collect()
+    return as_gain(rows[0]) if rows else Gain(float("nan"), float("nan"), float("nan"), 0)
 
 
-def bootstrap_by(df: DataFrame, y: str, base: str, new: str, day: str, group: str, **how) -> dict[str, Gain]:
-    return {r[0]: paired_bootstrap(df.filter(F.col(group) == r[0]), y, base, new, day, **how) for r in df.select(group).distinct().orderBy(group).collect()}
+def bootstrap_by(df: DataFrame, y: str, base: str, new: str, day: str, group: str, draws: int = 1000, seed: int = 0) -> dict[str, Gain]:
+    """The same for each value of a column: one job, and a row for each comes back."""
+    rows = bootstrap(df, y, base, new, day, [group], draws=draws, pick=hashed_draw(seed)).orderBy(group).collect()
+    return {r[group]: as_gain(r) for r in rows}
 
 
 def contributions(df: DataFrame, y: str, base: str, new: str, weight: str | None = None) -> DataFrame:
@@ -106,9 +136,9 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
 def importance_weights(df: DataFrame, p: str, q: float = 0.95, out: str = "w") -> DataFrame:
     """p / (1 - p), clipped at its quantile, with mean 1."""
     rows = df.withColumn("__r", F.try_divide(F.col(p), 1 - F.col(p)))
-    top = rows.agg(F.percentile("__r", q).alias("__top"))
-    rows = rows.join(F.broadcast(top)).withColumn("__r", F.least("__r", "__top"))  # one row
-    return rows.join(F.broadcast(rows.agg(F.avg("__r").alias("__mean")))).withColumn(out, F.col("__r") / F.col("__mean")).drop("__r", "__top", "__mean")
+    top = exact_quantiles(value_counts(rows, [], "__r"), [], "__r", {"__top": q}).select("__top").scalar()
+    rows = rows.withColumn("__r", F.least(F.col("__r"), top))
+    return rows.withColumn(out, F.col("__r") / rows.agg(F.avg("__r")).scalar()).drop("__r")
 
 
 def ceiling_gain(df: DataFrame, y: str, base: str, oracle: str, n_total: int, rmse_total: float) -> DataFrame:

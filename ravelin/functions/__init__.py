@@ -13,7 +13,13 @@ def matched(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def airline(flight: Column) -> Column:
-    return matched(flight, "^([A-Z]{2,3})")
+    """The leading code of a flight number, `?` where there is none, so that such rows make a group."""
+    return F.coalesce(matched(flight, "^([A-Z]{2,3})"), F.lit("?"))
+
+
+def numeric_suffixes(name: Column) -> list[Column]:
+    """What a stand's name ends in: a number with a letter before and after it, if any, and one with a letter after it."""
+    return [matched(name, r"([A-Z]?\d+[A-Z]?)$"), matched(name, r"(\d+[A-Z]?)$")]
 
 
 def stand_prefix(stand: Column) -> Column:
@@ -47,10 +53,14 @@ def weekday(us: Column) -> Column:
 
 
 def rounding_score(us: Column) -> Column:
-    """0, 1 or 2: whether the second is zero, and the minute a multiple of five as well."""
+    """0, 1 or 2: one if the second is zero, one if the minute is a multiple of five."""
     seconds = F.pmod(F.floor(us / 1_000_000), F.lit(3600))
-    on_second = (seconds % 60 == 0).cast("int")
-    return F.when(us.isNotNull(), on_second + (on_second == 1).cast("int") * (F.floor(seconds / 60) % 5 == 0).cast("int"))
+    return F.when(us.isNotNull(), (seconds % 60 == 0).cast("int") + (F.floor(seconds / 60) % 5 == 0).cast("int"))
+
+
+def same(a: Column, b: Column) -> Column:
+    """1 if both are there and equal, else 0."""
+    return F.coalesce(a == b, F.lit(False)).cast("int")
 
 
 def celsius(fahrenheit: Column) -> Column:
@@ -77,11 +87,11 @@ def box(lat: Column, lon: Column, lat0: float, lon0: float, km: float) -> Column
     return (F.abs(lat - lat0) <= half) & (F.abs(lon - lon0) <= half / math.cos(math.radians(lat0)))
 
 
-def flat_metres(lat: Column, lon: Column, lat0: float) -> tuple[Column, Column]:
-    """Equirectangular x and y."""
+def flat_metres(lat: Column, lon: Column, lat0: float, radius: float = 6_371_000.0) -> tuple[Column, Column]:
+    """Equirectangular x and y on a globe of that radius."""
     import math
 
-    return lon * (111_320.0 * math.cos(math.radians(lat0))), lat * 111_320.0
+    return F.radians(lon) * radius * math.cos(math.radians(lat0)), F.radians(lat) * radius
 
 
 def wake_weight(wake: Column) -> Column:

@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .cells import EPS, _null_safe, group_stats, value_ranks
+
 Spec = tuple
-PAIRWISE = {"ratio": lambda a, b: F.try_divide(a, b), "diff": lambda a, b: a - b, "prod": lambda a, b: a * b}
-GROUPED = ("mean", "sd", "dev", "z", "pos", "count")
+PAIRWISE = {"ratio": lambda a, b: F.when(F.abs(b) > EPS, a / b), "diff": lambda a, b: a - b, "prod": lambda a, b: a * b}
+#: Group statistics of a column; cmean and rsd are those of the group against those of all, which stay put when a level drifts.
+GROUPED = ("mean", "sd", "dev", "z", "pos", "count", "cmean", "rsd")
 
 
 def name(spec: Spec) -> str:
@@ -20,29 +23,40 @@ def name(spec: Spec) -> str:
 
 
 def column(spec: Spec) -> Column:
-    """The Column of a specification (kind, a, b): a pairwise kind of two columns, or a grouped kind of a column and keys.
-    Columns over the same keys share one window, which Catalyst evaluates in one pass."""
+    """The Column of a specification (kind, a, b) over a frame that with_stats() made: a pairwise kind of two columns, or a grouped
+    kind of a column and keys."""
     kind, a, b = spec
     x = F.col(a)
     if kind in PAIRWISE:
         return PAIRWISE[kind](x, F.col(b))
-    w = W.partitionBy(*b)
-    n, mean = F.count(x).over(w), F.avg(x).over(w)
-    sd = F.when(n > 1, F.stddev_pop(x).over(w))
-    if kind == "mean":
-        return mean
-    if kind == "sd":
-        return sd
-    if kind == "dev":
-        return x - mean
-    if kind == "z":
-        return F.try_divide(x - mean, sd)
-    if kind == "count":
-        return n
+    if kind not in GROUPED:
+        raise KeyError(kind)
+    of = lambda s: F.col(f"__{s}_{a}__{'_'.join(b)}")
+    every = lambda s: F.col(f"__every.__{s}_{a}")
     if kind == "pos":
-        place = F.rank().over(W.partitionBy(*b, x.isNull()).orderBy(x)) + (F.count(F.lit(1)).over(W.partitionBy(*b, x)) - 1) / 2
-        return F.when(x.isNotNull(), F.try_divide(place, n))
-    raise KeyError(kind)
+        return F.when(x.isNotNull(), F.try_divide(of("p"), of("n")))
+    return {
+        "mean": lambda: of("m"), "sd": lambda: of("s"), "count": lambda: of("n"), "dev": lambda: x - of("m"), "z": lambda: F.when(of("s") > EPS, (x - of("m")) / of("s")),
+        "cmean": lambda: of("m") - every("m"), "rsd": lambda: F.when(every("s") > EPS, of("s") / every("s")),
+    }[kind]()
+
+
+def with_stats(df: DataFrame, specs: Sequence[Spec]) -> DataFrame:
+    """df with what its grouped specifications need: one aggregate and one join for each set of keys, ranks by ranges, one row for
+    the whole. No group is gathered in a task."""
+    grouped = [s for s in specs if s[0] not in PAIRWISE]
+    for keys in dict.fromkeys(tuple(b) for _, _, b in grouped):
+        tag = "_".join(keys)
+        xs = list(dict.fromkeys(a for _, a, b in grouped if tuple(b) == keys))
+        stats = group_stats(df, xs, keys).drop("r_")
+        df = _null_safe(df, stats.withColumnsRenamed({f"{s}_{x}": f"__{s}_{x}__{tag}" for x in xs for s in "msn"}), list(keys))
+        for x in dict.fromkeys(a for kind, a, b in grouped if kind == "pos" and tuple(b) == keys):
+            ranks = value_ranks(df.select(*keys, x), keys, x).select(*keys, x, F.col("rank").alias(f"__p_{x}__{tag}"))
+            df = _null_safe(df, ranks, [*keys, x])
+    if whole := list(dict.fromkeys(a for kind, a, _ in grouped if kind in ("cmean", "rsd"))):
+        every = df.agg(F.struct(*[a for x in whole for a in (F.avg(x).alias(f"__m_{x}"), F.stddev_pop(x).alias(f"__s_{x}"))])).scalar()
+        df = df.withColumn("__every", every)
+    return df
 
 
 def candidates(numeric: Sequence[str], keys: Sequence[Sequence[str]], pairs: bool = True) -> list[Spec]:
@@ -58,7 +72,8 @@ def candidates(numeric: Sequence[str], keys: Sequence[Sequence[str]], pairs: boo
 
 
 def add_features(df: DataFrame, specs: Sequence[Spec]) -> DataFrame:
-    return df.withColumns({name(s): column(s) for s in specs})
+    """df with the columns of the specifications."""
+    return with_stats(df, specs).select(*df.columns, *[column(s).alias(name(s)) for s in specs])
 
 
 def correlation_screen(df: DataFrame, specs: Sequence[Spec], target: str) -> DataFrame:

@@ -8,22 +8,85 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Deviations and divisors of this size or less divide nothing.
+EPS = 1e-6
+
+
+def value_counts(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+    """(keys, x, n): how often each value stands in each group; nulls and null keys are left out."""
+    return df.select(*keys, x).dropna().groupBy(*keys, x).agg(F.count("*").alias("n"))
+
+
+def exact_quantiles(counts: DataFrame, keys: Sequence[str], x: str, qs: dict[str, float], n: str = "n") -> DataFrame:
+    """(keys, total, and for each name in qs the quantile, interpolated, and name_rows, how many rows are not above it), from (keys,
+    x, n) with each value of a group once.
+
+    Values are laid into ranges of a sixteenth of an octave; running totals of the ranges tell which of them hold a quantile,
+    and only their values are put in order. So no task holds a group's values, whatever its size."""
+    part = F.floor(F.signum(x) * F.log2(1 + F.abs(x)) * 16)
+    laid = counts.filter(F.col(x).isNotNull()).withColumn("__p", part)
+    ranges = laid.groupBy(*keys, "__p").agg(F.sum(n).alias("__pn"))
+    earlier = W.partitionBy(*keys).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select(*keys, "__p", "__pn", F.coalesce(F.sum("__pn").over(earlier), F.lit(0)).alias("__before"), F.sum("__pn").over(W.partitionBy(*keys)).alias("total"))
+    at = {name: q * (F.col("total") - 1) for name, q in qs.items()}
+    wanted = F.lit(False)
+    for place in at.values():
+        wanted = wanted | (F.col("__before") <= F.ceil(place)) & (F.col("__before") + F.col("__pn") > F.floor(place))
+    held = laid.join(ranges.filter(wanted).drop("__pn"), [*keys, "__p"])
+    inside = F.sum(n).over(W.partitionBy(*keys, "__p").orderBy(x).rowsBetween(W.unboundedPreceding, 0))
+    held = held.withColumn("__end", F.col("__before") + inside)
+    firsts = []
+    for name, place in at.items():
+        for side, index in (("l", F.floor(place)), ("h", F.ceil(place))):
+            beyond = F.col("__end") > index
+            firsts += [F.min(F.when(beyond, F.col(x))).alias(f"__{side}_{name}"), F.min(F.when(beyond, F.col("__end"))).alias(f"__{side}n_{name}")]
+    got = held.groupBy(*keys).agg(F.max("total").alias("total"), *firsts)
+    out = []
+    for name, place in at.items():
+        low, high = F.col(f"__l_{name}"), F.col(f"__h_{name}")
+        value = low + (high - low) * (place - F.floor(place))
+        out += [value.alias(name), F.when(value < high, F.col(f"__ln_{name}")).otherwise(F.col(f"__hn_{name}")).alias(f"{name}_rows")]
+    return got.select(*keys, "total", *out)
+
 
 def quantile_cells(train: DataFrame, keys: Sequence[str], y: str, q: float = 0.1, least: int = 10, out: str = "ref") -> DataFrame:
     """The exact quantile of y per key, for keys with `least` rows at or below it. Rows with a null key are left out."""
-    rows = train.select(*keys, F.col(y).alias("__y")).dropna()
-    cells = rows.groupBy(*keys).agg(F.percentile("__y", q).alias(out))
-    thick = rows.join(cells, list(keys)).filter(F.col("__y") <= F.col(out)).groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") >= least)
-    return cells.join(thick.select(*keys), list(keys), "left_semi")
+    got = exact_quantiles(value_counts(train, keys, y), keys, y, {out: q})
+    return got.filter(F.col(f"{out}_rows") >= least).select(*keys, out)
 
 
 def stat_cells(train: DataFrame, keys: Sequence[str], y: str, least: int = 10, low: float = 0.0, high: float = 7200.0) -> DataFrame:
     """Median, P90, sample deviation and count of y, clipped to [low, high], for keys with `least` rows."""
+    rows = clipped(train, keys, y, low, high)
+    thick = rows.groupBy(*keys).agg(F.stddev_samp("__y").alias("sd"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    middle = exact_quantiles(value_counts(rows, keys, "__y"), keys, "__y", {"median": 0.5, "p90": 0.9})
+    return thick.join(middle, list(keys)).select(*keys, "median", "p90", "sd", "n")
+
+
+def clipped(train: DataFrame, keys: Sequence[str], y: str, low: float, high: float) -> DataFrame:
+    """(keys, __y) without nulls."""
     v = F.when(F.col(y).isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), F.col(y))))
-    agg = train.select(*keys, v.alias("__y")).dropna().groupBy(*keys).agg(
-        F.percentile("__y", 0.5).alias("median"), F.percentile("__y", 0.9).alias("p90"), F.stddev_samp("__y").alias("sd"), F.count("*").alias("n")
-    )
-    return agg.filter(F.col("n") >= least)
+    return train.select(*keys, v.alias("__y")).dropna()
+
+
+def block_stat_cells(train: DataFrame, block: str, keys: Sequence[str], y: str, least: int = 10, low: float = 0.0, high: float = 7200.0) -> DataFrame:
+    """(block, keys, median, p90, n) from all blocks but the own, for cells with `least` rows. Values are counted by block first;
+    what is copied to the other blocks, a dozen at most, are these counts."""
+    counts = value_counts(clipped(train, [block, *keys], y, low, high), [block, *keys], "__y")
+    others = by_block(counts, block, counts).groupBy(block, *keys, "__y").agg(F.sum("n").alias("n"))
+    got = exact_quantiles(others, [block, *keys], "__y", {"median": 0.5, "p90": 0.9}).filter(F.col("total") >= least)
+    return got.select(block, *keys, "median", "p90", F.col("total").alias("n"))
+
+
+def other_block_means(df: DataFrame, block: str, keys: Sequence[str], x: str, out: str = "mean") -> DataFrame:
+    """(block, keys, mean, n) of x over all blocks but the own, for every block and key: the whole less the block."""
+    own = df.groupBy(block, *keys).agg(F.sum(x).alias("__s"), F.count(x).alias("__n"))
+    whole = own.groupBy(*keys).agg(F.sum("__s").alias("__ws"), F.sum("__n").alias("__wn"))
+    blocks = own.agg(F.collect_set(block)).scalar()  # the blocks of a split, a dozen at most
+    every = whole.withColumn(block, F.explode(blocks))
+    got = _null_safe(every, own, [block, *keys])
+    n = F.col("__wn") - F.coalesce("__n", F.lit(0))
+    return got.select(block, *keys, ((F.col("__ws") - F.coalesce("__s", F.lit(0.0))) / n).alias(out), n.alias("n")).filter(F.col("n") > 0)
 
 
 def fallback(df: DataFrame, levels: Sequence[tuple[Sequence[str], DataFrame]], values: Sequence[str], prefix: str = "cel_", level: str | None = None) -> DataFrame:
@@ -40,8 +103,8 @@ def by_block(train: DataFrame, block: str, blocks: DataFrame) -> DataFrame:
     """Each training row once for every other block, under that block's number: aggregates per (block, key) then are what
     the block may know, in one table."""
     held = blocks.select(F.col(block).alias("__held")).distinct()
-    numbers = held.agg(F.array_sort(F.collect_set("__held")).alias("__all"))  # the blocks of a split, a dozen at most
-    return train.join(F.broadcast(numbers)).withColumn("__for", F.explode("__all")).filter(F.col("__for") != F.col(block)).drop("__all", block).withColumnRenamed("__for", block)
+    numbers = held.agg(F.array_sort(F.collect_set("__held"))).scalar()  # the blocks of a split, a dozen at most
+    return train.withColumn("__for", F.explode(numbers)).filter(F.col("__for") != F.col(block)).drop(block).withColumnRenamed("__for", block)
 
 
 def leave_own_block_out(history: DataFrame, queries: DataFrame, keys: Sequence[str], parent: Sequence[str], block: str, n: str, hits: str, strength: float = 20.0, out: str = "rate") -> DataFrame:
@@ -80,15 +143,11 @@ def apply_lines(df: DataFrame, fitted: DataFrame, key: str, x: str, out: str) ->
     return got.select(*df.columns, F.when(F.col(x).isNotNull() & value.isNotNull(), F.greatest(value, F.lit(0.0))).alias(out))
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], x: str, parts: int = 32) -> DataFrame:
-    """(keys, x, n, rank): each distinct value of each group with its count and average rank. Values are numbered in ranges
-    of x, with the ranges' totals added, so that a group of any size is spread over tasks."""
+def value_ranks(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+    """(keys, x, n, rank): each distinct value of each group with its count and average rank. Values are numbered in ranges of a
+    sixteenth of an octave, with the ranges' totals added, so that a group of any size is spread over tasks."""
     counts = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("n"))
-    edges = sorted(set(df.select(F.col(x).cast("double").alias("x")).stat.approxQuantile("x", [i / parts for i in range(1, parts)], 0.01)))
-    part = F.lit(0)
-    for e in edges:
-        part = part + (F.col(x) > e).cast("int")
-    counts = counts.withColumn("__p", part)
+    counts = counts.withColumn("__p", F.floor(F.signum(F.col(x).cast("double")) * F.log2(1 + F.abs(F.col(x).cast("double"))) * 16))
     sums = counts.groupBy(*keys, "__p").agg(F.sum("n").alias("__pn"))
     before = F.coalesce(F.sum("__pn").over(W.partitionBy(*keys).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = sums.withColumn("__before", before).drop("__pn")
@@ -106,17 +165,26 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
     return left.join(r, on, "left").drop(*[f"__r_{k}" for k in keys])
 
 
-def group_features(df: DataFrame, x: str, keys: Sequence[str], prefix: str = "g_") -> DataFrame:
-    """Mean, population deviation (null for one row), difference, z, count, and percentile rank with average ties, in groups
-    where a null key is a group of its own. Groups are aggregated and joined back, never gathered."""
-    stats = df.groupBy(*keys).agg(F.avg(x).alias("__m"), F.stddev_pop(x).alias("__s"), F.count(x).alias("__n"))
-    ranks = value_ranks(df.select(*keys, x), keys, x).select(*keys, x, F.col("rank").alias("__rank"))
-    got = _null_safe(_null_safe(df, stats, list(keys)), ranks, [*keys, x])
-    n, mean, sd = F.col("__n"), F.col("__m"), F.when(F.col("__n") > 1, F.col("__s"))
-    v = F.col(x)
-    return got.withColumns({
-        f"{prefix}mean": mean, f"{prefix}sd": sd, f"{prefix}n": n, f"{prefix}diff": v - mean, f"{prefix}z": F.try_divide(v - mean, sd), f"{prefix}pos": F.when(v.isNotNull(), F.try_divide(F.col("__rank"), n)),
-    }).drop("__m", "__s", "__n", "__rank")
+def group_stats(df: DataFrame, xs: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(keys, and for each x its mean m_x, population deviation s_x, null for one row, and count n_x), with the rows r_."""
+    aggs = [a for x in xs for a in (F.avg(x).alias(f"m_{x}"), F.when(F.count(x) > 1, F.stddev_pop(x)).alias(f"s_{x}"), F.count(x).alias(f"n_{x}"))]
+    return df.groupBy(*keys).agg(*aggs, F.count("*").alias("r_"))
+
+
+def group_features(df: DataFrame, x: str, keys: Sequence[str], prefix: str = "g_", rank: bool = True) -> DataFrame:
+    """Mean, population deviation (null for one row), difference, z, count, mean less the mean of all, deviation in deviations of
+    all, and, if asked for, percentile rank with average ties, in groups where a null key is a group of its own. Groups are
+    aggregated and joined back, never gathered."""
+    stats = group_stats(df, [x], keys).withColumnsRenamed({f"m_{x}": "__m", f"s_{x}": "__s", f"n_{x}": "__n"}).drop("r_")
+    every = df.agg(F.struct(F.avg(x).alias("m"), F.stddev_pop(x).alias("s"))).scalar()
+    got = _null_safe(df, stats, list(keys)).withColumn("__e", every)
+    n, mean, sd, v, all_mean, all_sd = F.col("__n"), F.col("__m"), F.col("__s"), F.col(x), F.col("__e.m"), F.col("__e.s")
+    columns = {"mean": mean, "sd": sd, "n": n, "diff": v - mean, "z": F.when(sd > EPS, (v - mean) / sd), "cmean": mean - all_mean, "rsd": F.when(all_sd > EPS, sd / all_sd)}
+    if rank:
+        ranks = value_ranks(df.select(*keys, x), keys, x).select(*keys, x, F.col("rank").alias("__rank"))
+        got = _null_safe(got, ranks, [*keys, x])
+        columns["pos"] = F.when(v.isNotNull(), F.try_divide(F.col("__rank"), n))
+    return got.withColumns({f"{prefix}{c}": e for c, e in columns.items()}).drop("__m", "__s", "__n", "__rank", "__e")
 
 
 def top_values(df: DataFrame, column: str, n: int) -> DataFrame:

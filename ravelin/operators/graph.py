@@ -9,7 +9,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -80,23 +79,47 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, gro
     return rows.groupBy(group).applyInPandas(run, f"{group} {edges.schema[group].dataType.simpleString()}, source string, target string, dist {weight_type}")
 
 
-def nearest_nodes(points: DataFrame, nodes: DataFrame, group: str, point_id: str) -> DataFrame:
-    """(point_id, node, d2): the nearest node (x, y) of the point's group, ties to the smaller node. Groups are small."""
+def main_nodes(edges: DataFrame, group: str) -> DataFrame:
+    """(group, node) of each group's largest component."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes = sorted(largest_component(adjacency(zip(pdf.a, pdf.b, pdf.w, strict=True))), key=str)
+        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(nodes), "node": nodes})
+
+    return edges.select(group, "a", "b", "w").groupBy(group).applyInPandas(run, f"{group} {edges.schema[group].dataType.simpleString()}, node string")
+
+
+def nearest_nodes(points: DataFrame, nodes: DataFrame, group: str, point_id: str, edges: DataFrame | None = None) -> DataFrame:
+    """(point_id, node, d2): the nearest node (x, y) of the point's group, ties to the smaller node; with edges, of the group's
+    largest component. A group's nodes fit a task, as its graph does."""
+    if edges is not None:
+        nodes = nodes.join(main_nodes(edges, group), [group, "node"], "left_semi")
     d2 = (F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2
     pairs = points.select(group, point_id, F.col("x").alias("px"), F.col("y").alias("py")).join(nodes.select(group, "node", "x", "y"), group)
     return pairs.groupBy(point_id).agg(F.min(F.struct(d2.alias("d2"), "node")).alias("m")).select(point_id, "m.node", "m.d2")
 
 
+def stand_aliases(table: DataFrame, group: str) -> DataFrame:
+    """(group, alias, source): each stand's plain name, and the numbers that names end in where no stand has that name; the first
+    stand in order has it."""
+    from ..functions import numeric_suffixes, plain_name
+
+    plain = plain_name(F.col("source"))
+    names = F.array(F.struct(F.lit(0).alias("rank"), plain.alias("alias")), *[F.struct(F.lit(1).alias("rank"), s.alias("alias")) for s in numeric_suffixes(plain)])
+    each = table.select(group, "source").distinct().select(group, "source", F.explode(names).alias("n")).filter("n.alias IS NOT NULL")
+    best = each.groupBy(group, F.col("n.alias").alias("alias")).agg(F.min(F.struct("n.rank", "source")).alias("b"))
+    return best.select(group, "alias", "b.source")
+
+
 def distance_columns(df: DataFrame, table: DataFrame, group: str, stand: str, runway: str, prefix: str = "map_") -> DataFrame:
-    """df with the distance of its (group, stand, runway), the stand's least distance, and the difference. A stand's name is
-    looked up as it is, then in its plain form."""
+    """df with the distance of its (group, stand, runway), the stand's least distance to any runway, and the difference. Stands are
+    looked up by stand_aliases(), runways by their plain names."""
     from ..functions import plain_name
 
-    least = F.min("dist").over(W.partitionBy(group, "source"))
-    t = table.select(group, "source", "target", "dist", least.alias("least"))
-    exact = t.select(F.col(group).alias("__g"), F.col("source").alias("__s"), F.col("target").alias("__t"), F.struct("dist", "least").alias("__exact"))
-    alias = t.groupBy(F.col(group).alias("__g2"), plain_name(F.col("source")).alias("__s2"), F.col("target").alias("__t2")).agg(F.min_by(F.struct("dist", "least"), "source").alias("__alias"))
-    got = df.join(exact, (F.col(group) == F.col("__g")) & (F.col(stand) == F.col("__s")) & (F.col(runway) == F.col("__t")), "left")
-    got = got.join(alias, (F.col(group) == F.col("__g2")) & (plain_name(F.col(stand)) == F.col("__s2")) & (F.col(runway) == F.col("__t2")), "left")
-    hit = F.coalesce("__exact", "__alias")
-    return got.select(*df.columns, hit["dist"].alias(f"{prefix}dist"), hit["least"].alias(f"{prefix}dmin"), (hit["dist"] - hit["least"]).alias(f"{prefix}extra"))
+    alias = stand_aliases(table, group).select(F.col(group).alias("__g"), F.col("alias").alias("__a"), F.col("source").alias("__s"))
+    least = table.groupBy(F.col(group).alias("__g2"), F.col("source").alias("__s2")).agg(F.min("dist").alias("__least"))
+    exact = table.select(F.col(group).alias("__g3"), F.col("source").alias("__s3"), plain_name(F.col("target")).alias("__t3"), F.col("dist").alias("__dist")).groupBy("__g3", "__s3", "__t3").agg(F.min("__dist").alias("__dist"))
+    got = df.join(alias, (F.col(group) == F.col("__g")) & (plain_name(F.col(stand)) == F.col("__a")), "left")
+    got = got.join(least, (F.col("__g") == F.col("__g2")) & (F.col("__s") == F.col("__s2")), "left")
+    got = got.join(exact, (F.col("__g") == F.col("__g3")) & (F.col("__s") == F.col("__s3")) & (plain_name(F.col(runway)) == F.col("__t3")), "left")
+    return got.select(*df.columns, F.col("__dist").alias(f"{prefix}dist"), F.col("__least").alias(f"{prefix}dmin"), (F.col("__dist") - F.col("__least")).alias(f"{prefix}extra"))

@@ -41,6 +41,24 @@ def join_by_id(left: DataFrame, right: DataFrame, key: str, complete: bool = Fal
     return left.join(right, key)
 
 
+def assemble(base: DataFrame, blocks: Sequence[DataFrame], key: str) -> DataFrame:
+    """The base's rows with the columns of all blocks, joined by a unique id; a column that two of them have is an error."""
+    seen = set(base.columns)
+    for block in blocks:
+        if twice := seen & {c for c in block.columns if c != key}:
+            raise ValueError(f"columns stand in several blocks: {sorted(twice)}")
+        seen |= set(block.columns)
+        base = join_by_id(base, block, key)
+    return base
+
+
+def in_order(df: DataFrame, order: DataFrame, key: str, place: str) -> DataFrame:
+    """df's rows of the ids that a list (key, place) names, with their places; an id that stands twice in either, or that df lacks,
+    is an error. Sorting by the place, if a sink wants it, is the sink's."""
+    require_unique(order, key)
+    return join_by_id(order.select(key, place), df, key, complete=True)
+
+
 def with_prefix(df: DataFrame, *prefixes: str) -> list[str]:
     """The columns of a family, which is named by its prefix."""
     return [c for c in df.columns if c.startswith(prefixes)]

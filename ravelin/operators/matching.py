@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,19 +19,31 @@ def candidates_around(left: DataFrame, right: DataFrame, by: list[str], at: str,
     return parts[0].unionByName(parts[1]).distinct()
 
 
-def greedy_match(pairs: DataFrame, left_id: str, right_id: str, order: list[str], save, rounds: int = 200) -> DataFrame:
+def greedy_match(pairs: DataFrame, left_id: str, right_id: str, order: list[str], save, finish: int = 100_000) -> DataFrame:
     """The pairs that taking them one by one in their order (ties by ids) would take, each id once.
 
     A pair that is the first of all pairs of both its ids would be taken whatever else happens; taking all such pairs and
-    dropping those that share an id with them is one round, and rounds end when no pair is left. `save` writes a frame to
-    storage and returns it read back, so that plans stay short."""
+    dropping those that share an id with them is one round. When `finish` pairs or fewer are left, one task takes them one by
+    one, so long chains of pairs that wait for each other cost no rounds. `save` writes a frame to storage and returns it read
+    back, so that plans stay short."""
     ranks = [*order, left_id, right_id]
     rest, taken = save(pairs.distinct()), None
-    for _ in range(rounds):
+    while rest.count() > finish:
         best = rest.withColumn("__l", F.row_number().over(W.partitionBy(left_id).orderBy(*ranks))).withColumn("__r", F.row_number().over(W.partitionBy(right_id).orderBy(*ranks)))
         now = save(best.filter("__l = 1 AND __r = 1").drop("__l", "__r"))
-        if now.isEmpty():
-            return taken if taken is not None else now
         taken = now if taken is None else taken.unionByName(now)
         rest = save(rest.join(now.select(left_id), left_id, "left_anti").join(now.select(right_id), right_id, "left_anti"))
-    raise RuntimeError("matching did not end")
+
+    def one_by_one(batches):
+        left, right = set(), set()
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(left_id).to_pylist(), batch.column(right_id).to_pylist(), strict=True):
+                keep.append(a not in left and b not in right)
+                if keep[-1]:
+                    left.add(a)
+                    right.add(b)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    last = rest.repartition(1).sortWithinPartitions(*ranks).mapInArrow(one_by_one, rest.schema)  # `finish` pairs at most
+    return last if taken is None else taken.unionByName(last)

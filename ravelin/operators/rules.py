@@ -41,6 +41,11 @@ def project(pred: Column, low: Column, high: Column) -> Column:
     return F.when(pred.isNotNull(), F.greatest(F.lit(0.0), F.least(high, F.greatest(low, pred))))
 
 
+def edge_distances(pred: Column, low: Column, high: Column) -> dict[str, Column]:
+    """How far a prediction lies above the window's lower edge and below its upper one."""
+    return {"dist_low": pred - low, "dist_high": high - pred}
+
+
 def copy_possible(p: Column, ms: Column, low: Column, high: Column) -> Column:
     """p, or 0 where the schedule lies outside of the window."""
     return F.when((ms < low) | (ms > high), F.lit(0.0)).otherwise(p)

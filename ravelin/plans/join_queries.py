@@ -35,7 +35,7 @@ SELECT d.mvt_id, round(c.median, 6) AS cel_median, c.n::BIGINT AS cel_n FROM d L
 def own_block_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each departure with the cell that its own block of days may know."""
     dep = departures(spark, sf_dir).withColumn("block", F.floor(F.col("day") % 30 / 5))
-    table = cells.stat_cells(cells.by_block(dep, "block", dep), ["block", "airport"], "taxi_s")
+    table = cells.block_stat_cells(dep, "block", ["airport"], "taxi_s")
     got = cells.fallback(dep.select("mvt_id", "block", "airport"), [(["block", "airport"], table)], ["median", "n"])
     return got.select("mvt_id", F.round("cel_median", 6).alias("cel_median"), "cel_n")
 

@@ -70,9 +70,7 @@ SELECT b.block::BIGINT AS block, d.airport, round(quantile_cont(d.y, 0.5), 6) AS
 def block_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that each block of days may know: from all other blocks, in one aggregate."""
     dep = departures(spark, sf_dir).withColumn("block", F.floor(F.col("day") % 30 / 5))
-    spread = cells.by_block(dep, "block", dep)
-    got = cells.stat_cells(spread, ["block", "airport"], "taxi_s")
-    return got.select("block", "airport", F.round("median", 6).alias("median"), "n")
+    return cells.block_stat_cells(dep, "block", ["airport"], "taxi_s").select("block", "airport", F.round("median", 6).alias("median"), "n")
 
 
 @query(f"""WITH {MV}, d AS (SELECT *, (day % 30) // 5 AS block, user_id % 12 AS airline, (flight_id IS NULL)::INTEGER AS no_nm FROM mv WHERE phase = 'DEP'),
@@ -100,12 +98,12 @@ def ols_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {MV}, d AS (SELECT mvt_id, airport, day, stand, CASE WHEN aobt_us IS NOT NULL THEN (mvt_us - aobt_us) / 1e6 END AS x FROM mv WHERE phase = 'DEP'),
 s AS (SELECT mvt_id, x, avg(x) OVER w AS m, CASE WHEN count(x) OVER w > 1 THEN stddev_pop(x) OVER w END AS sd, count(x) OVER w AS n FROM d WINDOW w AS (PARTITION BY airport, day))
-SELECT mvt_id, round(m, 6) AS g_mean, round(sd, 6) AS g_sd, n::BIGINT AS g_n, round(x - m, 6) AS g_diff, round(CASE WHEN sd <> 0 THEN (x - m) / sd END, 6) AS g_z FROM s""")
+SELECT mvt_id, round(m, 6) AS g_mean, round(sd, 6) AS g_sd, n::BIGINT AS g_n, round(x - m, 6) AS g_diff, round(CASE WHEN sd > 1e-6 THEN (x - m) / sd END, 6) AS g_z, round(m - (SELECT avg(x) FROM d), 6) AS g_cmean, round(sd / (SELECT stddev_pop(x) FROM d), 6) AS g_rsd FROM s""")
 def group_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Group mean, deviation, count, difference and z in airport and day."""
+    """Group mean, deviation, count, difference and z in airport and day, and mean and deviation against those of all."""
     dep = departures(spark, sf_dir).select("mvt_id", "airport", "day", ((F.col("mvt_us") - F.col("aobt_us")) / SECOND).alias("x"))
-    got = cells.group_features(dep, "x", ["airport", "day"])
-    return got.select("mvt_id", F.round("g_mean", 6).alias("g_mean"), F.round("g_sd", 6).alias("g_sd"), "g_n", F.round("g_diff", 6).alias("g_diff"), F.round("g_z", 6).alias("g_z"))
+    got = cells.group_features(dep, "x", ["airport", "day"], rank=False)
+    return got.select("mvt_id", "g_n", *[F.round(f"g_{c}", 6).alias(f"g_{c}") for c in ("mean", "sd", "diff", "z", "cmean", "rsd")])
 
 
 @query(f"""WITH {MV}, d AS (SELECT mvt_id, stand, CASE WHEN aobt_us IS NOT NULL THEN (mvt_us - aobt_us) // 60000000 END AS x FROM mv WHERE phase = 'DEP'),
@@ -168,7 +166,7 @@ def month_block_crossfit_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means per priority that each two-month block may know."""
     month = F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1
     rows = table(spark, sf_dir, "orders").select("o_totalprice", "o_orderpriority", (F.floor(month / 2) % 6).alias("block"))
-    return cells.by_block(rows, "block", rows).groupBy("block", "o_orderpriority").agg(F.round(F.avg("o_totalprice"), 4).alias("mean_price"), F.count("*").alias("n"))
+    return cells.other_block_means(rows, "block", ["o_orderpriority"], "o_totalprice", "mean_price").withColumn("mean_price", F.round("mean_price", 4))
 
 
 # Evaluation
@@ -231,14 +229,48 @@ def bootstrap_day_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("day", "n", F.round("sse_base", 0).alias("sse_base"), F.round("sse_new", 0).alias("sse_new"))
 
 
-@query()
+#: Which of k days is the j-th of a draw, by a rule that both engines can follow.
+_DRAW = "((draw * 7919 + j * 104729 + draw * j * 15485863 + (draw * draw * 32452843) % 49979687) % 982451653) % k"
+
+
+def _drawn(draw: Column, j: Column, k: Column) -> Column:
+    draw = draw.cast("long")
+    return (draw * 7919 + j * 104_729 + draw * j * 15_485_863 + draw * draw * 32_452_843 % 49_979_687) % 982_451_653 % k
+
+
+def _bootstrap_sql(by: str, mask: str, weight: str = "1") -> str:
+    """Sums by day, days drawn by _DRAW, the gain's closed form for each draw, and its quantiles."""
+    closed = "sum(d) / sum(w) / (sqrt(sum(b) / sum(w)) + sqrt(sum(n) / sum(w)))"
+    return _PAIRS + f""", g AS (SELECT *, {by} AS part FROM p), s AS (SELECT part, day, sum({weight}) AS w, sum({weight} * (base - y) ** 2) AS b, sum({weight} * (new - y) ** 2) AS n, sum(CASE WHEN {mask} THEN {weight} * ((base - y) ** 2 - (new - y) ** 2) ELSE 0 END) AS d FROM g GROUP BY part, day),
+i AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY part) AS k FROM s),
+draws AS (SELECT part, draw, {_DRAW} AS i FROM (SELECT part, max(k) AS k FROM i GROUP BY part), range(200) r(draw), LATERAL (SELECT unnest(range(k)) AS j)),
+x AS (SELECT part, draw, {closed} AS g FROM draws JOIN i USING (part, i) GROUP BY part, draw)
+SELECT part, round({closed}, 6) AS gain, (SELECT round(quantile_cont(g, 0.025), 6) FROM x WHERE x.part = i.part) AS low, (SELECT round(quantile_cont(g, 0.975), 6) FROM x WHERE x.part = i.part) AS high, count(*)::BIGINT AS days FROM i GROUP BY part"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in ("gain", "low", "high")})
+
+
+@query(_bootstrap_sql("'all'", "true"))
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gain with its interval from days drawn with replacement, and the verdict."""
-    rows = pairs(spark, sf_dir)
-    whole = ev.paired_bootstrap(rows, "y", "base", "new", "day")
-    top = ev.gain_without_top(rows, "y", "base", "new", 10, "mvt_id").first()["gain"]
-    weeks = ev.bootstrap_by(rows.withColumn("week", F.floor(F.col("day") / 7)), "y", "base", "new", "day", "week", draws=200)
-    return spark.createDataFrame([(whole.gain, whole.low, whole.high, whole.days, ev.verdict(whole, top, list(weeks.values())))], "gain double, low double, high double, days int, verdict string")
+    """The gain with its interval from days drawn with replacement."""
+    rows = pairs(spark, sf_dir).withColumn("part", F.lit("all"))
+    return _rounded(ev.bootstrap(rows, "y", "base", "new", "day", ["part"], draws=200, pick=_drawn))
+
+
+@query(_bootstrap_sql("'week ' || (day // 7)", "true"))
+def bootstrap_by_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for each week, all in one plan."""
+    rows = pairs(spark, sf_dir).withColumn("part", F.concat(F.lit("week "), F.floor(F.col("day") / 7)))
+    return _rounded(ev.bootstrap(rows, "y", "base", "new", "day", ["part"], draws=200, pick=_drawn))
+
+
+@query(_bootstrap_sql("'no_plan'", "flight_id IS NULL", "(1 + mvt_id % 3)"))
+def gain_part_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of a weighted gain that rows without a plan make, with its interval."""
+    rows = pairs(spark, sf_dir).withColumn("part", F.lit("no_plan")).withColumn("w", 1 + F.col("mvt_id") % 3)
+    return _rounded(ev.bootstrap(rows, "y", "base", "new", "day", ["part"], F.col("flight_id").isNull(), "w", 200, _drawn))
 
 
 @query(_PAIRS + ", s AS (SELECT (y > 1200)::INTEGER AS label, (mvt_id * 31 % 50) + CASE WHEN y > 1200 THEN 10 ELSE 0 END AS s FROM p), r AS (SELECT label, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS rk FROM s) SELECT round((sum(rk) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))::DOUBLE), 9) AS auc FROM r")
@@ -355,6 +387,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     dep = departures(spark, sf_dir)
     before = windows.range_aggregate(dep.select("airport", "sec"), dep, ["airport"], "sec", {"before": ("count", None, -3600, -1)}, "mvt_id")
     levels = [(k, cells.quantile_cells(dep, k, "taxi_s")) for k in (["airport", "runway"],)]
-    levels.append((["airport"], dep.groupBy("airport").agg(F.percentile("taxi_s", 0.1).alias("ref"))))
+    levels.append((["airport"], cells.quantile_cells(dep, ["airport"], "taxi_s", least=0)))
     ref = cells.fallback(dep.select("mvt_id", "airport", "runway"), levels, ["ref"], "")
     return ref.join(before, "mvt_id").groupBy("airport").agg(F.round(F.avg("ref"), 6).alias("mean_ref"), F.round(F.avg("before"), 6).alias("mean_before"), F.count("*").alias("n"))

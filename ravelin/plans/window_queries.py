@@ -342,17 +342,35 @@ def band_match_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _band(spark, sf_dir, 21_600)
 
 
-@query()
+_GREEDY = f"""WITH RECURSIVE {MV}, dp AS (SELECT mvt_id, airport, user_id % 30 AS c, mvt_us AS t FROM mv WHERE phase = 'DEP'), ev AS (SELECT airport, user_id % 30 AS c, block_us AS t, mvt_id AS eid FROM mv WHERE phase = 'ARR'),
+near AS (SELECT dp.mvt_id, e.eid, abs(e.t - dp.t) AS d, row_number() OVER (PARTITION BY dp.mvt_id ORDER BY CASE WHEN e.t <= dp.t THEN e.t END DESC NULLS LAST, e.eid DESC) AS back,
+  row_number() OVER (PARTITION BY dp.mvt_id ORDER BY CASE WHEN e.t >= dp.t THEN e.t END NULLS LAST, e.eid) AS ahead, e.t <= dp.t AS before, e.t >= dp.t AS after FROM dp JOIN ev e ON e.airport = dp.airport AND abs(e.t - dp.t) <= 3600000000),
+every AS (SELECT dp.mvt_id, e.eid, abs(e.t - dp.t) AS d, 0 AS p FROM dp JOIN ev e ON e.airport = dp.airport AND e.c = dp.c AND abs(e.t - dp.t) < 7200000000
+  UNION ALL SELECT mvt_id, eid, d, 1 FROM near WHERE back = 1 AND before OR ahead = 1 AND after),
+pairs AS (SELECT mvt_id, eid, min(p) AS p, min(d) AS d FROM every GROUP BY 1, 2),
+-- A round takes the pairs that are first of all that are left for both their ids, and drops those that share an id with them.
+walk AS (
+  SELECT mvt_id, eid, p, d, false AS hit FROM pairs
+  UNION ALL
+  SELECT mvt_id, eid, p, d, hit FROM (SELECT *, bool_or(hit) OVER (PARTITION BY mvt_id) AS l, bool_or(hit) OVER (PARTITION BY eid) AS r FROM (
+    SELECT mvt_id, eid, p, d, row_number() OVER (PARTITION BY mvt_id ORDER BY p, d, eid) = 1 AND row_number() OVER (PARTITION BY eid ORDER BY p, d, mvt_id) = 1 AS hit FROM walk WHERE NOT hit))
+  WHERE hit OR NOT l AND NOT r
+)
+SELECT mvt_id, eid AS event_no, p AS priority, d AS distance FROM walk WHERE hit"""
+
+
+@query(_GREEDY)
 def greedy_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Departures and arrivals of an airport matched one to one: callsign pairs first, then by distance."""
     _, dep, arr = both(spark, sf_dir)
     call = (F.col("user_id") % 30).alias("callsign")
     left = dep.select("mvt_id", "airport", call, "mvt_us")
     right = arr.select("airport", call, "block_us", F.col("mvt_id").alias("event_no"))
-    same = asof.band_join(left, right, ["airport", "callsign"], "mvt_us", "block_us", 7200 * SECOND, ["event_no"]).select("mvt_id", F.col("r_event_no").alias("event_no"), F.abs(F.col("mvt_us") - F.col("r_block_us")).alias("distance"), F.lit(0).alias("priority"))
+    same = asof.band_join(left, right, ["airport", "callsign"], "mvt_us", "block_us", 7200 * SECOND, ["event_no"])
+    same = same.select("mvt_id", F.col("r_event_no").alias("event_no"), F.abs(F.col("mvt_us") - F.col("r_block_us")).alias("distance"), F.lit(0).alias("priority"))
     near = matching.candidates_around(left, right, ["airport"], "mvt_us", "block_us", "mvt_id", "event_no", 3600 * SECOND).withColumn("priority", F.lit(1))
     pairs = same.unionByName(near).groupBy("mvt_id", "event_no").agg(F.min("priority").alias("priority"), F.min("distance").alias("distance"))
-    return matching.greedy_match(pairs, "mvt_id", "event_no", ["priority", "distance"], materialise)
+    return matching.greedy_match(pairs, "mvt_id", "event_no", ["priority", "distance"], materialise).select("mvt_id", "event_no", "priority", "distance")
 
 
 # Islands

@@ -35,7 +35,8 @@ def movements(events: DataFrame) -> DataFrame:
     block = F.when(~departs, us + SECOND * F.col("span")).when(e % 10 == 3, sched).otherwise(us - SECOND * F.col("span"))
     aobt = F.when(departs & F.col("flight_id").isNotNull(), us - SECOND * (e * 31 % 2400))
     out = base.withColumns({"sched_us": sched, "block_us": block, "aobt_us": aobt})
-    out = out.withColumn("eobt_us", F.col("aobt_us") - SECOND * (e * 17 % 3600)).withColumn("lobt_us", F.col("eobt_us") + 60 * SECOND * (e % 3))
+    out = out.withColumn("eobt_us", F.col("aobt_us") - SECOND * (e * 17 % 3600))
+    out = out.withColumns({"lobt_us": F.col("eobt_us") + 60 * SECOND * (e % 3), "iobt_us": F.col("eobt_us") - 30 * SECOND * (e % 7)})
     taxi = F.when(F.col("phase") == "DEP", us - F.col("block_us")).otherwise(F.col("block_us") - us) / SECOND
     return out.withColumn("taxi_s", taxi.cast("double")).withColumn("sec", F.floor(us / SECOND)).withColumn("day", F.floor(us / 86_400_000_000)).drop("span")
 
@@ -55,6 +56,7 @@ base AS (
     CASE WHEN phase = 'DEP' AND flight_id IS NOT NULL THEN mvt_us - 1000000 * ((event_id * 31) % 2400) END AS aobt_us FROM base
 ), mv AS (
   SELECT *, aobt_us - 1000000 * ((event_id * 17) % 3600) AS eobt_us, aobt_us - 1000000 * ((event_id * 17) % 3600) + 60000000 * (event_id % 3) AS lobt_us,
+    aobt_us - 1000000 * ((event_id * 17) % 3600) - 30000000 * (event_id % 7) AS iobt_us,
     CASE WHEN phase = 'DEP' THEN mvt_us - block_us ELSE block_us - mvt_us END / 1000000.0::DOUBLE AS taxi_s, mvt_us // 1000000 AS sec, mvt_us // 86400000000 AS day
   FROM (SELECT *, CASE WHEN phase = 'ARR' THEN mvt_us + 1000000 * span WHEN event_id % 10 = 3 THEN sched_us ELSE mvt_us - 1000000 * span END AS block_us FROM timed)
 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.cells import exact_quantiles, value_counts
 from ..operators.keys import require_unique
 
 
@@ -20,5 +21,5 @@ def on_template(template: DataFrame, predictions: DataFrame, key: str, pred: str
     missing, n = joined.agg(F.count(F.when(F.col(pred).isNull(), 1)), F.count("*")).first()
     if missing > most_missing * n:
         raise ValueError(f"{missing} of {n} rows have no prediction")
-    median = predictions.agg(F.percentile(pred, 0.5).alias("__median"))
-    return joined.join(F.broadcast(median)).select(key, F.coalesce(pred, "__median").alias(pred))  # one row
+    median = exact_quantiles(value_counts(predictions, [], pred), [], pred, {"__median": 0.5}).select("__median").scalar()
+    return joined.select(key, F.coalesce(F.col(pred), median).alias(pred))

@@ -104,3 +104,48 @@ def test_weights_have_mean_one(spark):
     df = spark.createDataFrame([(900.0,), (1900.0,), (None,)], "ms double")
     got = [r.weight for r in rules.classifier_weight(df, "ms").collect()]
     assert got[2] == 0 and sum(got) / 2 == pytest.approx(1) and got[1] / got[0] == pytest.approx(1000 / 60)
+
+
+def test_exact_quantiles_are_those_of_all_values(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    groups = {"few": [5.0], "ties": [1.0] * 30 + [2.0] * 10, "signed": [rng.gauss(0, 1e3) for _ in range(400)], "whole": [float(rng.randrange(50)) for _ in range(301)], "wide": [rng.choice([-1, 1]) * 10 ** rng.uniform(-9, 12) for _ in range(200)], "zero": [0.0] * 7}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [(None, 1.0), ("few", None)], "k string, y double")
+    qs = {"low": 0.0, "p10": 0.1, "mid": 0.5, "p90": 0.9, "high": 1.0}
+    got = {r.k: r for r in cells.exact_quantiles(cells.value_counts(df, ["k"], "y"), ["k"], "y", qs).collect()}
+    assert got.keys() == groups.keys()
+    for k, vs in groups.items():
+        assert got[k].total == len(vs)
+        for name, q in qs.items():
+            assert got[k][name] == pytest.approx(np.quantile(vs, q), rel=1e-12, abs=1e-9)
+            assert got[k][f"{name}_rows"] == sum(v <= got[k][name] for v in vs)
+    whole = cells.exact_quantiles(cells.value_counts(df.filter("k IS NOT NULL"), [], "y"), [], "y", {"mid": 0.5}).first()
+    assert whole.mid == pytest.approx(np.quantile([v for vs in groups.values() for v in vs], 0.5))
+    assert cells.exact_quantiles(cells.value_counts(df.limit(0), ["k"], "y"), ["k"], "y", qs).count() == 0
+
+
+def test_quantiles_hold_no_group_in_a_task(spark):
+    df = spark.createDataFrame([("a", 1.0)], "k string, y double")
+    for got in (cells.quantile_cells(df, ["k"], "y"), cells.stat_cells(df, ["k"], "y"), cells.block_stat_cells(df, "y", ["k"], "y")):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "percentile" not in plan and "collect_list" not in plan
+
+
+def test_means_and_cells_of_the_other_blocks(spark):
+    rows = spark.createDataFrame([(1, "a", 10.0), (1, "a", 20.0), (2, "a", 30.0), (3, "b", 40.0), (2, "b", None)], "block int, k string, y double")
+    got = {(r.block, r.k): (r["mean"], r.n) for r in cells.other_block_means(rows, "block", ["k"], "y").collect()}
+    assert got == {(1, "a"): (30.0, 1), (2, "a"): (15.0, 2), (3, "a"): (20.0, 3), (1, "b"): (40.0, 1), (2, "b"): (40.0, 1)}
+    got = {(r.block, r.k): (r.median, r.n) for r in cells.block_stat_cells(rows, "block", ["k"], "y", least=1).collect()}
+    assert got == {(1, "a"): (30.0, 1), (2, "a"): (15.0, 2), (3, "a"): (20.0, 3), (1, "b"): (40.0, 1), (2, "b"): (40.0, 1)}
+
+
+def test_features_against_the_whole(spark):
+    df = spark.createDataFrame([("a", 10.0), ("a", 20.0), ("b", 40.0), ("b", None), (None, 50.0)], "k string, x double")
+    got = {(r.k, r.x): r for r in cells.group_features(df, "x", ["k"]).collect()}
+    assert got["a", 10.0].g_cmean == pytest.approx(-15.0) and got["b", None].g_cmean == pytest.approx(10.0)
+    assert got["a", 20.0].g_rsd == pytest.approx(5 / 250**0.5) and got["b", 40.0].g_rsd is None and got[None, 50.0].g_pos == 1.0
+    same = cells.group_features(spark.createDataFrame([("a", 1.0), ("a", 1.0)], "k string, x double"), "x", ["k"]).first()
+    assert same.g_z is None and same.g_rsd is None

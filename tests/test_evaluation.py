@@ -77,3 +77,22 @@ def test_template_is_filled_or_refused(spark):
     assert on_template(template, preds, "k", "p").filter("k = 0").first().p == 1000.0
     with pytest.raises(ValueError):
         on_template(template, preds.filter("k > 100"), "k", "p")
+
+
+def test_bootstrap_of_groups_and_parts(spark):
+    """All groups in one frame, the same as each by itself; parts under masks add up to the whole."""
+    import random
+
+    rng = random.Random(7)
+    rows = [(d % 2, d, float(y := rng.gauss(600, 200)), y + rng.gauss(0, 60), y + rng.gauss(0, 50), 1 + rng.randrange(3)) for d in range(20) for _ in range(40)]
+    df = spark.createDataFrame(rows, "g int, day int, y double, base double, new double, w int")
+    got = ev.bootstrap_by(df, "y", "base", "new", "day", "g", draws=300, seed=3)
+    for g in (0, 1):
+        alone = ev.paired_bootstrap(df.filter(f"g = {g}"), "y", "base", "new", "day", draws=300, seed=3)
+        assert (got[g].gain, got[g].low, got[g].high, got[g].days) == (pytest.approx(alone.gain), pytest.approx(alone.low), pytest.approx(alone.high), alone.days)
+    assert all(x.low < x.gain < x.high and x.days == 10 for x in got.values())
+    part = lambda mask: ev.bootstrap(df, "y", "base", "new", "day", mask=mask, weight="w", draws=50).first()
+    whole, even, odd = part(None), part(F.col("day") % 3 == 0), part(F.col("day") % 3 != 0)
+    assert even.gain + odd.gain == pytest.approx(whole.gain, rel=1e-9)
+    plain = ev.paired_bootstrap(spark.createDataFrame(rows[:0], df.schema), "y", "base", "new", "day")
+    assert plain.days == 0

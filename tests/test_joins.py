@@ -89,3 +89,35 @@ def test_families_of_columns(spark):
     assert keys.select_features(df, ["apt_"], drop=["apt_a"]) == ["apt_b"]
     with pytest.raises(KeyError):
         keys.select_features(df, ["apt_"], drop=["nope"])
+
+
+def test_long_chains_of_pairs_need_no_rounds(spark):
+    """Pairs that wait for each other in a line, by rounds and at once; nothing is capped."""
+    greedy_match = matching.greedy_match
+    chain = [(i // 2 + i % 2, i // 2, 1000 - i) for i in range(1000)]  # (left, right, order): each shares an id with the next
+    df = spark.createDataFrame(chain, "l long, r long, d long")
+    want, left, right = set(), set(), set()
+    for a, b, _ in sorted(chain, key=lambda p: (p[2], p[0], p[1])):
+        if a not in left and b not in right:
+            want.add((a, b))
+            left.add(a)
+            right.add(b)
+    got = greedy_match(df, "l", "r", ["d"], materialise)
+    assert {(x.l, x.r) for x in got.collect()} == want and got.count() == len(want)
+    some = df.filter("d > 994")
+    assert {(x.l, x.r) for x in greedy_match(some, "l", "r", ["d"], materialise, finish=0).collect()} == {(x.l, x.r) for x in greedy_match(some, "l", "r", ["d"], materialise).collect()}
+    assert greedy_match(df.limit(0), "l", "r", ["d"], materialise, finish=0).count() == 0
+
+
+def test_blocks_are_put_together_by_id(spark):
+    base = spark.createDataFrame([(1, 1.0), (2, 2.0)], "id int, a double")
+    one, two = spark.createDataFrame([(2, "x")], "id int, b string"), spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "id int, c int")
+    assert sorted(tuple(r) for r in keys.assemble(base, [one, two], "id").collect()) == [(1, 1.0, None, 5), (2, 2.0, "x", 6)]
+    for bad in (base, two.union(two)):
+        with pytest.raises(ValueError):
+            keys.assemble(base, [bad], "id").count()
+    order = spark.createDataFrame([(2, 0), (1, 1)], "id int, place int")
+    assert sorted((r.place, r.a) for r in keys.in_order(base, order, "id", "place").collect()) == [(0, 2.0), (1, 1.0)]
+    for bad in (order.union(order), spark.createDataFrame([(9, 0)], "id int, place int")):
+        with pytest.raises(ValueError):
+            keys.in_order(base, bad, "id", "place").count()

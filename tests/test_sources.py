@@ -135,11 +135,37 @@ def test_graph(spark):
     df = spark.createDataFrame([(1, "X", "s-1", "R"), (2, "X", "S2", "R"), (3, "X", "S9", "R")], "id int, apt string, stand string, rwy string")
     got = {r.id: (r.map_dist, r.map_extra) for r in graph.distance_columns(df, table, "apt", "stand", "rwy").collect()}
     assert got == {1: (3.0, 0.0), 2: (7.0, 0.0), 3: (None, None)}
+    assert {r.id: r.map_dmin for r in graph.distance_columns(df, table, "apt", "stand", "rwy").collect()} == {1: 3.0, 2: 7.0, 3: None}
     points = spark.createDataFrame([(1, "X", 0.0, 0.0)], "id int, apt string, x double, y double")
     nodes = spark.createDataFrame([("X", "a", 1.0, 1.0), ("X", "b", -1.0, 0.5)], "apt string, node string, x double, y double")
     assert graph.nearest_nodes(points, nodes, "apt", "id").first().node == "b"
 
 
+def test_nearest_nodes_of_the_main_component(spark):
+    edges = spark.createDataFrame([("X", "a", "b", 1.0), ("X", "b", "c", 1.0), ("X", "far", "off", 1.0)], "apt string, a string, b string, w double")
+    nodes = spark.createDataFrame([("X", "a", 5.0, 0.0), ("X", "b", 6.0, 0.0), ("X", "c", 9.0, 9.0), ("X", "far", 0.1, 0.0), ("X", "off", 3.0, 0.0)], "apt string, node string, x double, y double")
+    points = spark.createDataFrame([(1, "X", 0.0, 0.0)], "id int, apt string, x double, y double")
+    assert graph.nearest_nodes(points, nodes, "apt", "id").first().node == "far"
+    assert graph.nearest_nodes(points, nodes, "apt", "id", edges).first().node == "a"
+
+
+def test_stands_by_the_numbers_they_end_in(spark):
+    """An exact name comes first; of stands that end alike the first in order; a letter before the number counts."""
+    rows = [("X", s, "R1", d) for s, d in (("T1A23", 1.0), ("T2B23", 2.0), ("B23", 3.0), ("GATE7L", 4.0), ("Z9", 5.0))] + [("X", "Z9", "R2", 4.5)]
+    table = spark.createDataFrame(rows, "apt string, source string, target string, dist double")
+    names = {(r.alias): r.source for r in graph.stand_aliases(table, "apt").collect()}
+    assert (names["B23"], names["A23"], names["23"], names["7L"], names["Z9"], names["9"]) == ("B23", "T1A23", "B23", "GATE7L", "Z9", "Z9")
+    df = spark.createDataFrame([(1, "X", "a-23", "r1"), (2, "X", "7L", "R1"), (3, "X", "z9", "R2"), (4, "X", "z9", "none"), (5, "Y", "Z9", "R1")], "id int, apt string, stand string, rwy string")
+    got = {r.id: (r.map_dist, r.map_dmin, r.map_extra) for r in graph.distance_columns(df, table, "apt", "stand", "rwy").collect()}
+    assert got == {1: (1.0, 1.0, 0.0), 2: (4.0, 4.0, 0.0), 3: (4.5, 4.5, 0.0), 4: (None, 4.5, None), 5: (None, None, None)}
+
+
+def test_metres_on_the_globe(spark):
+    x, y = fn.flat_metres(F.lit(60.0), F.lit(1.0), 60.0)
+    r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    assert r.y == pytest.approx(60 * 111_194.9266, rel=1e-8) and r.x == pytest.approx(111_194.9266 / 2, rel=1e-8)
+
+
 class Elsewhere:
     """A session whose master is no local one and that names no shared folder."""
 
@@ -174,12 +200,12 @@ def test_scalar_functions(spark):
     assert tuple(r) == ("AZA", "b", "B12", 1)
     us = F.lit(1_736_000_100_000_000)  # 2025-01-04 14:15:00, a Saturday
     r = df.select(fn.hour_of_day(us).alias("h"), fn.weekday(us).alias("d"), fn.rounding_score(us).alias("r"), fn.rounding_score(us + 60_000_000).alias("r1"), fn.rounding_score(us + 1_000_000).alias("r0")).first()
-    assert tuple(r) == (14.25, 5, 2, 1, 0)
+    assert tuple(r) == (14.25, 5, 2, 1, 1)  # second and minute count by themselves
 
 
 def test_auto_features(spark):
     specs = fe.candidates(["x", "y"], [["k"]])
-    assert len({fe.name(s) for s in specs}) == len(specs) == 3 + 2 * 5 + 1
+    assert len({fe.name(s) for s in specs}) == len(specs) == 3 + 2 * (len(fe.GROUPED) - 1) + 1
     df = spark.createDataFrame([(i, "ab"[i % 2], float(i), float(i * i % 7)) for i in range(20)], "id int, k string, x double, y double")
     assert fe.add_features(df, specs).count() == 20
     assert fe.sample_by_hash(df, "id", 5, 1).collect() == fe.sample_by_hash(df, "id", 5, 1).collect()
