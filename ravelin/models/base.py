@@ -42,29 +42,63 @@ class Config:
     seeds: Sequence[int] = ()
     window: bool = False
     bins: int = 64
+    #: Levels of keys, finest first, whose low quantile of the target is a feature, learned from the training table.
+    reference: Sequence[Sequence[str]] = ()
+
+
+REFERENCE = "__ref"
 
 
 @dataclass
 class Prepared:
-    """Features as a vector: vocabularies are those of the training table, unseen values are a value of their own."""
+    """Features as a vector: vocabularies are fixed, unseen values are a value of their own, and reference cells are those of the
+    training table, whatever table is prepared."""
 
     stages: PipelineModel
     config: Config
+    levels: Sequence[tuple[Sequence[str], DataFrame]] = ()
+
+    def with_reference(self, df: DataFrame) -> DataFrame:
+        return cells.fallback(df, self.levels, [REFERENCE], "") if self.levels else df
 
     def __call__(self, df: DataFrame) -> DataFrame:
         c = self.config
-        filled = df.withColumns({f"__n_{x}": F.coalesce(F.col(x).cast("double"), F.lit(MISSING)) for x in c.numeric} | {f"__c_{x}": F.coalesce(F.col(x).cast("string"), F.lit("?")) for x in c.categorical})
-        made = [f"__n_{x}" for x in c.numeric] + [f"__c_{x}" for x in c.categorical] + [f"__i_{x}" for x in c.categorical]
-        return self.stages.transform(filled).drop(*made)
+        filled = filled_in(self.with_reference(df), c)
+        made = [f"__n_{x}" for x in _numeric(c)] + [f"__c_{x}" for x in c.categorical] + [f"__i_{x}" for x in c.categorical]
+        return self.stages.transform(filled).drop(*made, REFERENCE)
+
+
+def _numeric(c: Config) -> list[str]:
+    return [*c.numeric, *([REFERENCE] if c.reference else [])]
+
+
+def filled_in(df: DataFrame, c: Config) -> DataFrame:
+    numbers = {f"__n_{x}": F.coalesce(F.col(x).cast("double"), F.lit(MISSING)) for x in _numeric(c)}
+    return df.withColumns(numbers | {f"__c_{x}": F.coalesce(F.col(x).cast("string"), F.lit("?")) for x in c.categorical})
 
 
-def prepare(train: DataFrame, c: Config) -> Prepared:
+def vocabulary(frames: Sequence[DataFrame], column: str) -> DataFrame:
+    """(column): every value that any of the frames has, each once."""
+    out = frames[0].select(column)
+    for f in frames[1:]:
+        out = out.unionByName(f.select(column))
+    return out.filter(F.col(column).isNotNull()).distinct()
+
+
+def prepare(train: DataFrame, c: Config, others: Sequence[DataFrame] = ()) -> Prepared:
+    """Reference cells and scales from the training table; vocabularies from it and the other frames that are to be predicted."""
+    levels = [(list(k), cells.quantile_cells(train.filter(F.col(c.target).isNotNull()), list(k), c.target, out=REFERENCE)) for k in c.reference]
     stages = []
     if c.categorical:
         stages.append(StringIndexer(inputCols=[f"__c_{x}" for x in c.categorical], outputCols=[f"__i_{x}" for x in c.categorical], stringOrderType="alphabetAsc", handleInvalid="keep"))
-    stages.append(VectorAssembler(inputCols=[f"__n_{x}" for x in c.numeric] + [f"__i_{x}" for x in c.categorical], outputCol="features"))
-    filled = train.select(*[F.coalesce(F.col(x).cast("double"), F.lit(MISSING)).alias(f"__n_{x}") for x in c.numeric], *[F.coalesce(F.col(x).cast("string"), F.lit("?")).alias(f"__c_{x}") for x in c.categorical])
-    return Prepared(Pipeline(stages=stages).fit(filled), c)
+    stages.append(VectorAssembler(inputCols=[f"__n_{x}" for x in _numeric(c)] + [f"__i_{x}" for x in c.categorical], outputCol="features"))
+    ready = Prepared(None, c, levels)
+    needed = list(dict.fromkeys([*c.numeric, *c.categorical, *(k for level in c.reference for k in level)]))
+    rows = train.select(*needed)
+    for other in others:
+        rows = rows.unionByName(other.select(*needed))
+    ready.stages = Pipeline(stages=stages).fit(filled_in(ready.with_reference(rows), c))
+    return ready
 
 
 Predictor = Callable[[DataFrame, str], DataFrame]
@@ -88,6 +122,14 @@ def fit_single(train: DataFrame, c: Config) -> Predictor:
     return lambda df, out: _without(model.transform(prepared(df)).withColumn(out, F.col("prediction")))
 
 
+def learning_curve(train: DataFrame, test: DataFrame, c: Config) -> list[tuple[int, float]]:
+    """(rounds, squared error on the test rows) after each round of a single model: what a fit in progress would report."""
+    prepared = prepare(train, c)
+    ready = prepared(train.filter(F.col(c.target).isNotNull()))
+    model = GBTRegressor(labelCol=c.target, maxIter=c.rounds, maxDepth=c.depth, stepSize=c.rate, seed=c.seed, maxBins=_bins(c, ready)).fit(ready)
+    return list(enumerate(model.evaluateEachIteration(prepared(test.filter(F.col(c.target).isNotNull())), "squared"), 1))
+
+
 def fit_two_stage(train: DataFrame, c: Config) -> Predictor:
     """P(copy of the schedule) and a regressor on the rest, mixed; airports with many rows also have regressors of their
     own, which count half."""

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import evaluation
-from ..operators import cells, rules
+from ..operators import autofeatures, cells, rules
 from .base import Config, Ensemble, Predictor, _bins, averaged, fit, prepare, scaled
 
 
@@ -92,9 +92,13 @@ def adversarial(old: DataFrame, new: DataFrame, key: str, c: Config, save) -> tu
     return evaluation.importance_weights(scored.filter("__new = 0"), "p").select(key, "w"), evaluation.auc(scored, "__new", "p")
 
 
-def last_fit(df: DataFrame, configs: Sequence[Config]) -> Predictor:
-    """Each base on all rows with more rounds, averaged; equal bases are fitted once."""
-    return averaged([fit(df, scaled(c)) for c in dict.fromkeys(configs)])
+def last_fit(df: DataFrame, configs: Sequence[Config], post_rules: Sequence[str] = (), rule_rows: Column | None = None, ms: str = "ms") -> Predictor:
+    """Each base on all rows with more rounds, averaged; equal bases are fitted once. Post-rules then decide the rows that are
+    theirs, in their order."""
+    mean = averaged([fit(df, scaled(c)) for c in dict.fromkeys(configs)])
+    if not post_rules:
+        return mean
+    return lambda rows, out: mean(rows, out).withColumn(out, rules.apply_rules(F.col(out), post_rules, rule_rows, F.col(ms)))
 
 
 def rest_model(df: DataFrame, total: str, known: str, c: Config, out: str) -> Predictor:
@@ -109,7 +113,34 @@ def screen(df: DataFrame, features: Sequence[str], base: Config, residual: str,
     train, test = df.filter(F.col(block) != held), df.filter(F.col(block) == held)
     out = []
     for f in features:
-        model = fit(train, replace(base, model="single", numeric=(f,), categorical=(), target=residual))
+        model = fit(train, replace(base, model="single", numeric=(f,), categorical=(), reference=(), target=residual))
         rows = model(test, "__g").withColumn("__zero", F.lit(0.0))
         out.append((f, evaluation.paired_bootstrap(rows, residual, "__zero", "__g", day, draws=50).gain))
     return sorted(out, key=lambda x: (-x[1], x[0]))
+
+
+@dataclass(frozen=True)
+class Screened:
+    feature: str
+    gain: float
+    drift: float  # how well the feature alone tells the new rows from the old, 0.5 if not at all
+    chosen: bool
+
+
+def screen_with_gates(df: DataFrame, new: DataFrame, features: Sequence[str], base: Config, residual: str, block: str, day: str, key: str, save, placebos: int = 2, most_drift: float = 0.9) -> list[Screened]:
+    """screen(), with two gates: a feature must gain more than any of some placebos (its values dealt to other rows), and must
+    not tell the new rows from the old ones better than most_drift."""
+    fakes = []
+    for n in range(placebos):
+        f = features[n % len(features)]
+        df = save(autofeatures.placebo(df, f, key, n, f"__placebo{n}"))
+        fakes.append(f"__placebo{n}")
+    gains = dict(screen(df, [*features, *fakes], base, residual, block, day))
+    band = max([0.0, *(gains[f] for f in fakes)])
+    both = df.select(*features).withColumn("__new", F.lit(0)).unionByName(new.select(*features).withColumn("__new", F.lit(1)))
+    out = []
+    for f in sorted(features, key=lambda f: (-gains[f], f)):
+        area = evaluation.auc(both, "__new", f).first()["auc"]
+        drift = max(area, 1 - area) if area is not None else 0.5
+        out.append(Screened(f, gains[f], drift, gains[f] > band and drift <= most_drift))
+    return out

@@ -82,3 +82,55 @@ def test_queries_use_the_operators_defaults():
 
     plain = base.Config(numeric=CONFIG.numeric, categorical=CONFIG.categorical, target="y")
     assert plain == CONFIG and CONFIG.key_rows == 20_000
+
+
+def test_reference_cells_are_those_of_training(rows):
+    c = replace(CFG, reference=(("airport", "block"), ("airport",)))
+    half = rows.filter("id < 500")
+    ready = base.prepare(half, c)
+    both = [{r.id: tuple(r.features) for r in ready(df).select("id", "features").collect()} for df in (rows, rows.withColumn("y", F.col("y") + 1000))]
+    assert both[0] == both[1] and len(both[0]) == 600
+    got = base.fit(half, c)(rows, "pred")
+    assert got.count() == 600 and set(got.columns) == {*rows.columns, "pred"}
+
+
+def test_vocabularies_over_frames(rows):
+    new = rows.limit(5).withColumn("airport", F.lit("new"))
+    assert {r.airport for r in base.vocabulary([rows, new], "airport").collect()} == {"A0", "A1", "A2", "new"}
+    alone, joint = base.prepare(rows, CFG), base.prepare(rows, CFG, [new])
+    code = lambda p: {tuple(r.features)[-1] for r in p(new).select("features").collect()}
+    assert code(alone) == {3.0} == code(joint)  # the value after all others, and the last in order
+    assert code(base.prepare(rows, CFG, [new.withColumn("airport", F.lit("A00"))])) == {4.0}
+
+
+def test_progress_and_post_rules(rows):
+    curve = base.learning_curve(rows, rows, replace(CFG, rounds=5))
+    assert [n for n, _ in curve] == [1, 2, 3, 4, 5] and curve[-1][1] < curve[0][1]
+    got = crossfit.last_fit(rows, [CFG], ["late_line"], F.col("no_plan") & (F.col("ms") > 3000))(rows, "pred")
+    assert got.filter("no_plan AND ms > 3000 AND abs(pred - (54310.76 + 0.38 * ms)) > 1e-6").count() == 0
+    assert got.filter("NOT no_plan AND pred > 20000").count() == 0
+
+
+def test_screening_has_a_placebo_band_and_a_drift_gate(rows):
+    df = rows.select("id", "x", "ms", "block", "day", (F.col("x") - 50).alias("res"), F.col("x").alias("x2"))
+    new = df.withColumn("x2", F.col("x2") + 500)
+    got = {s.feature: s for s in crossfit.screen_with_gates(df, new, ["x", "x2", "ms"], CFG, "res", "block", "day", "id", materialise)}
+    assert got["x"].chosen and not got["x2"].chosen and not got["ms"].chosen
+    assert got["x2"].drift == 1.0 and got["x"].drift == pytest.approx(0.5) and got["x"].gain > got["ms"].gain
+
+
+def test_body_leaves_out_rules_and_far_moves(rows):
+    df = rows.withColumn("base", F.lit(500.0)).withColumn("p", F.lit(500.0) + F.col("x")).withColumn("rule", F.col("id") % 2 == 0)
+    got = crossfit.body(df, "p", "base", "rule", 30.0)
+    assert got.count() > 0 and got.filter("no_plan OR rule OR x > 30").count() == 0
+    assert got.count() == df.filter("NOT no_plan AND NOT rule AND x <= 30").count()
+
+
+def test_out_of_fold_correction_does_not_see_its_fold(rows):
+    df = rows.withColumn("base", F.lit(900.0))
+    one = crossfit.out_of_fold_correction(df, "day", "base", replace(CFG, key_rows=10**9), 2, "pred", materialise)
+    first = {r.day for r in df.select("day").distinct().orderBy("day").collect()[::2]}  # the days of one fold
+    moved = df.withColumn("y", F.when(F.col("day").isin(first), F.col("y") + 4000).otherwise(F.col("y")))
+    two = crossfit.out_of_fold_correction(moved, "day", "base", replace(CFG, key_rows=10**9), 2, "pred", materialise)
+    both = one.filter(F.col("day").isin(first)).select("id", "pred").join(two.select("id", F.col("pred").alias("p2")), "id")
+    assert one.count() == 600 and both.count() > 0 and both.filter("abs(pred - p2) > 1e-9").count() == 0
