@@ -5,7 +5,8 @@ points or more that `min_documents` different ids hold loses all its lines excep
 Other lines stay in their order. Keys travel as 128-bit hashes; a document sends each of its keys once, and Spark adds
 up before the shuffle, so a line that most documents share costs a row for each task.
 
-Defined cases: a null text is one empty line; rows with the same id count as one document, each row being cut on its
+Defined cases: a null text is one empty line; a very long text is cut whole, by one task, and its lines spread by their keys;
+equal lines of one document stay or go together; rows with the same id count as one document, each row being cut on its
 own; a row with a null id is left whole and counts for no key; an empty table gives an empty table; other columns pass
 through, whatever their names.
 """

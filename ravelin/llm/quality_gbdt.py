@@ -5,7 +5,8 @@ labelled rows, the rows with the smallest hash of their id: a documented, fixed
 covers every row. A fitted model is a few flat arrays (feature, threshold, children, value), which workers walk for
 a whole batch at a time with numpy.
 
-Defined cases: a null text is empty and has a score; several labels of one id all count; a label without an id or a
+Defined cases: a null text is empty and has a score; a very long text is measured whole, by the task that reads it; of splits
+that gain the same the first statistic and bin is taken, so equal inputs give equal forests; several labels of one id all count; a label without an id or a
 value counts for nothing; without any label every score is the prior 0.5; an empty table gives an empty table; other
 columns pass through.
 """

@@ -405,6 +405,66 @@ def test_quality_learns_and_scores_everything(spark, hard_docs, hard_texts):
     assert {r.score for r in none} == {0.5}
 
 
+def walk(forest, x):
+    """A forest's probability for one row of statistics, node by node."""
+    total = forest.base
+    for at in forest.roots.tolist():
+        while forest.left[at] != at:
+            at = int(forest.left[at] if x[forest.feature[at]] <= forest.threshold[at] else forest.right[at])
+        total += forest.value[at]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_flat_trees_are_walked_as_trees():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 5))
+    y = (x[:, 0] + x[:, 1] ** 2 + rng.normal(size=400) > 1).astype(float)
+    forest = quality_gbdt.fit_forest(x, y, trees=12, depth=3, least=10)
+    asked = np.concatenate([x, rng.normal(size=(100, 5)) * 3, np.zeros((1, 5))])
+    assert forest.score(asked).tolist() == pytest.approx([walk(forest, r) for r in asked])
+
+
+def plain_tree(x, g, h, depth, least, l2, rate):
+    """(feature, cut, left, right) or a value, by trying every feature and every cut between distinct values."""
+    gain, best = 1e-9, None
+    if depth and len(g) >= 2 * least:
+        for f in range(x.shape[1]):
+            for cut in np.unique(x[:, f])[:-1]:
+                left = x[:, f] <= cut
+                n = int(left.sum())
+                if min(n, len(g) - n) < least:
+                    continue
+                now = sum(g[s].sum() ** 2 / (h[s].sum() + l2) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + l2)
+                if now > gain * (1 + 1e-9):
+                    gain, best = now, (f, cut, left)
+    if best is None:
+        return rate * g.sum() / (h.sum() + l2)
+    f, cut, left = best
+    return f, cut, *(plain_tree(x[s], g[s], h[s], depth - 1, least, l2, rate) for s in (left, ~left))
+
+
+def plain_value(tree, row):
+    while isinstance(tree, tuple):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_boosting_is_that_of_an_exhaustive_search(seed):
+    """With a bin for each value, histograms find the splits that trying every cut finds."""
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 12, size=(150, 4)).astype(float)
+    y = (x[:, 0] + x[:, 2] * x[:, 3] / 6 + rng.normal(size=150) * 3 > 12).astype(float)
+    depth, least, l2, rate, trees = 3, 8, 1.0, 0.3, 5
+    forest = quality_gbdt.fit_forest(x, y, trees=trees, depth=depth, least=least, l2=l2, rate=rate, bins=4096)
+    margin = np.full(len(y), forest.base)
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        tree = plain_tree(x, y - p, p * (1 - p), depth, least, l2, rate)
+        margin += [plain_value(tree, r) for r in x]
+    assert forest.score(x).tolist() == pytest.approx((1 / (1 + np.exp(-margin))).tolist(), rel=1e-9)
+
+
 def test_empty_tables(spark, no_docs):
     nothing = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
