@@ -385,10 +385,13 @@ def score_texts(bodies: list[bytes], model: Model, levels=None) -> dict[str, lis
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     rare = np.flatnonzero(~hot[numbers])
     levels = levels or model.filter.levels
-    once = count_of(levels(got.word_keys()), model.base)
+    # Each key once, in order, so that neighbouring probes fall into one segment.
+    keys, at = np.unique(got.word_keys(), return_inverse=True)
+    once = count_of(levels(keys), model.base)[at]
     unigram = (once + 0.5) / space
     before = got.before()
-    twice = count_of(levels(got.pair_keys()), model.base)
+    keys, at = np.unique(got.pair_keys(), return_inverse=True)
+    twice = count_of(levels(keys), model.base)[at]
     p = (np.minimum(twice, once[before]) + model.mu * unigram[numbers]) / (once[before] + model.mu)
     return {
         "n_tokens": sizes,
