@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_map, free, materialise
+from .shared import arrow_map, free, materialise, release
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)", re.S)
 #: One attribute, or the end of the tag. A value without quotes ends at white space or `>`, whatever quotes it holds.
@@ -334,6 +334,8 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
     held = found.select("host", "page", F.explode("found").alias("h")).join(template, ["host", "h"])
     lists = held.groupBy(F.col("host").alias(name), F.col("page").alias(key)).agg(F.collect_set("h").alias(lost))
     lists = materialise(lists, "lists")
+    release(found)
+    release(template)
 
     def extract(batch: pa.RecordBatch) -> dict:
         got = []

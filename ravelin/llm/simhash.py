@@ -388,11 +388,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:
     """(id, fp, component_id): component_id is the smallest id reachable over links, the row's own included."""
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    found = materialise(near_components(prints, id_col, "fp", budget), "components")
+    found = near_components(prints, id_col, "fp", budget)
     # By fingerprint: its representative's component, or that representative.
     rep = prints.filter(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("node"), F.count("*").alias("n"))
     moved = rep.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"), "n", "node")
     moved = moved.filter((F.col("n") > 1) | (F.col("component") != F.col("node"))).select(F.col("fp").alias("__rv_fp"), "component")
     moved = materialise(moved, "moved")  # its own input of the join, so that a fingerprint many rows have can be split
+    release(found)
     out = prints.join(moved, F.col("fp") == F.col("__rv_fp"), "left")
     return out.select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.coalesce("component", F.col(id_col))).alias("component_id"))
