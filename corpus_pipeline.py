@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ravelin.llm import line_dedup, piece_codec, quality_gbdt, simhash, wu_manber
 from ravelin.llm.queries import tokenizer_path
-from ravelin.llm.shared import held_out, materialise, table
+from ravelin.llm.shared import held_out, materialise, release, table
 
 #: The near-dedup stage's word shingles, and the similarity from which on a text is a near copy.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -68,7 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        if before is not None:  # what the stage before wrote has been read
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
