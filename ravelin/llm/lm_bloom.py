@@ -309,9 +309,8 @@ def fit(docs: DataFrame, text_col: str = "text", hashes: int = 6, base: float =
     return Model(filt, total, distinct, keys[order], twins, counts, mu, base, segments, key), words, parts
 
 
-def asked(bodies: list[bytes], key: bytes) -> np.ndarray:
+def asked(got: Stream) -> np.ndarray:
     """The distinct keys that texts' scores look up, in order and so by segment."""
-    got = Stream.of(bodies, key)
     return np.unique(np.concatenate([got.word_keys(), got.pair_keys()]))
 
 
@@ -334,7 +333,7 @@ def probe_slices(numbered: DataFrame, parts: DataFrame, model: Model, text_col:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema) as writer:
                 writer.write_table(rows)
-            keys = asked([b for _, bodies in held for b in bodies], hash_key)
+            keys = asked(Stream.of([b for _, bodies in held for b in bodies], hash_key))
             where = segment_of(keys, segments) * slices // segments
             cut = np.searchsorted(where, np.arange(slices + 1))
             yield batch(sent, (first + n, -1, None, None, None, sink.getvalue().to_pybytes()))
@@ -371,10 +370,9 @@ def probe_slices(numbered: DataFrame, parts: DataFrame, model: Model, text_col:
     return questions, questions.filter("slice < 0").select(*back.names).unionByName(answers).repartition(n, "chunk").sortWithinPartitions("chunk", "slice")
 
 
-def score_texts(bodies: list[bytes], model: Model, levels=None) -> dict[str, list | np.ndarray]:
+def score_texts(got: Stream, model: Model, levels=None) -> dict[str, list | np.ndarray]:
     """For each text: tokens, hot known tokens, their base score, the model's score, and the identities of its other tokens.
     levels tells keys' levels, if the model holds no filter."""
-    got = Stream.of(bodies, model.key)
     numbers, sizes = got.numbers, got.sizes
     space = model.total + 0.5 * (model.distinct + 1)
     hot, base = np.zeros(len(got.names), dtype=bool), np.zeros(len(got.names))
@@ -422,15 +420,15 @@ def lm_score(docs: DataFrame, may_learn, text_col: str = "text", chunk: int = 1
     numbered = docs.withColumn("__rv_row", F.monotonically_increasing_id())
     schema = T.StructType([numbered.schema[c] for c in keep if c != text_col] + [numbered.schema["__rv_row"], *new.fields])
 
-    def scored(rows: pa.Table, bodies: list[bytes], levels=None) -> pa.RecordBatch:
-        got = score_texts(bodies, sent.value, levels)
+    def scored(rows: pa.Table, tokens: Stream, levels=None) -> pa.RecordBatch:
+        got = score_texts(tokens, sent.value, levels)
         passed = [rows.column(c).combine_chunks() for c in schema.names[: len(schema.names) - len(new)]]
         tails = [pa.ListArray.from_arrays(pa.array(got["tail_ends"]), pa.array(got[x])) for x in ("tail", "twins")]
         return pa.RecordBatch.from_arrays([*passed, *(pa.array(got[x]) for x in ("n_tokens", "hot_known", "hot_base", "score")), *tails], names=schema.names)
 
     def run(batches):
         for held in chunks(batches, chunk, text_col):
-            yield scored(pa.Table.from_batches([b for b, _ in held]), [b for _, bodies in held for b in bodies])
+            yield scored(pa.Table.from_batches([b for b, _ in held]), Stream.of([b for _, bodies in held for b in bodies], sent.value.key))
         give_back()
 
     def run_answered(batches):
@@ -439,8 +437,9 @@ def lm_score(docs: DataFrame, may_learn, text_col: str = "text", chunk: int = 1
         def one(body: bytes, parts: list[bytes]) -> pa.RecordBatch:
             rows = pa.ipc.open_stream(body).read_all()
             bodies = [t for b in rows.to_batches() for t in texts(b, text_col)]
-            keys, found = asked(bodies, sent.value.key), np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
-            return scored(rows, bodies, lambda k: found[np.searchsorted(keys, k)])
+            tokens = Stream.of(bodies, sent.value.key)
+            keys, found = asked(tokens), np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+            return scored(rows, tokens, lambda k: found[np.searchsorted(keys, k)])
 
         body, parts = None, []
         for batch in batches:
