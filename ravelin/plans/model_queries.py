@@ -71,10 +71,15 @@ def model_adversarial(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPECS = [("ratio", "ms", "plan_s"), ("diff", "ms", "plan_s"), ("mean", "plan_s", ("airport", "runway")), ("dev", "plan_s", ("airport", "runway")), ("sd", "ms", ("airport",)), ("pos", "ms", ("airport",)), ("count", "plan_s", ("airport", "runway")), ("cmean", "plan_s", ("airport",)), ("rsd", "ms", ("airport",)), ("z", "ms", ("airport",))]
 
 
-@query(f"""WITH {MV}, d AS (SELECT mvt_id, airport, runway, (mvt_us - sched_us) / 1e6 AS ms, (mvt_us - aobt_us) / 1e6 AS p FROM mv WHERE phase = 'DEP')
-SELECT mvt_id, round(CASE WHEN abs(p) > 1e-6 THEN ms / p END, 6) AS fe_ratio__ms__plan_s, round(ms - p, 6) AS fe_diff__ms__plan_s, round(avg(p) OVER r, 6) AS fe_mean__plan_s__airport_runway, round(p - avg(p) OVER r, 6) AS fe_dev__plan_s__airport_runway,
-round(stddev_pop(ms) OVER a, 6) AS fe_sd__ms__airport, round((rank() OVER (PARTITION BY airport ORDER BY ms) + (count(*) OVER (PARTITION BY airport, ms) - 1) / 2.0::DOUBLE) / count(ms) OVER a, 9) AS fe_pos__ms__airport, (count(p) OVER r)::BIGINT AS fe_count__plan_s__airport_runway,
-round(avg(p) OVER a - (SELECT avg(p) FROM d), 6) AS fe_cmean__plan_s__airport, round(stddev_pop(ms) OVER a / (SELECT stddev_pop(ms) FROM d), 6) AS fe_rsd__ms__airport, round((ms - avg(ms) OVER a) / stddev_pop(ms) OVER a, 6) AS fe_z__ms__airport
+@query(f"""WITH {MV}, d AS (SELECT mvt_id, airport, runway, (mvt_us - sched_us) / 1e6 AS ms, (mvt_us - aobt_us) / 1e6 AS p FROM mv
+WHERE phase = 'DEP')
+SELECT mvt_id, round(CASE WHEN abs(p) > 1e-6 THEN ms / p END, 6) AS fe_ratio__ms__plan_s, round(ms - p, 6) AS fe_diff__ms__plan_s,
+round(avg(p) OVER r, 6) AS fe_mean__plan_s__airport_runway, round(p - avg(p) OVER r, 6) AS fe_dev__plan_s__airport_runway,
+round(stddev_pop(ms) OVER a, 6) AS fe_sd__ms__airport, round((rank() OVER (PARTITION BY airport
+ORDER BY ms) + (count(*) OVER (PARTITION BY airport, ms) - 1) / 2.0::DOUBLE) / count(ms) OVER a, 9) AS fe_pos__ms__airport,
+(count(p) OVER r)::BIGINT AS fe_count__plan_s__airport_runway,
+round(avg(p) OVER a - (SELECT avg(p) FROM d), 6) AS fe_cmean__plan_s__airport, round(stddev_pop(ms) OVER a / (SELECT stddev_pop(ms)
+FROM d), 6) AS fe_rsd__ms__airport, round((ms - avg(ms) OVER a) / stddev_pop(ms) OVER a, 6) AS fe_z__ms__airport
 FROM d WINDOW r AS (PARTITION BY airport, runway), a AS (PARTITION BY airport)""")
 def auto_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A handful of automatic features: ratios, differences and group statistics."""
@@ -82,8 +87,10 @@ def auto_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("mvt_id", *[F.col(n) if s[0] == "count" else F.round(n, 9 if s[0] == "pos" else 6).alias(n) for s in _SPECS for n in [fe.name(s)]])
 
 
-@query(f"""WITH {MV}, d AS (SELECT airport, taxi_s AS y, (mvt_us - sched_us) / 1e6 AS ms, (mvt_us - aobt_us) / 1e6 AS p FROM mv WHERE phase = 'DEP'), f AS (SELECT y, ms - p AS a, p - avg(p) OVER (PARTITION BY airport) AS b FROM d)
-SELECT 'fe_diff__ms__plan_s' AS feature, round(corr(y, a), 6) AS r, count(a)::BIGINT AS n FROM f UNION ALL SELECT 'fe_dev__plan_s__airport', round(corr(y, b), 6), count(b)::BIGINT FROM f""")
+@query(f"""WITH {MV}, d AS (SELECT airport, taxi_s AS y, (mvt_us - sched_us) / 1e6 AS ms, (mvt_us - aobt_us) / 1e6 AS p FROM mv WHERE phase = 'DEP'),
+f AS (SELECT y, ms - p AS a, p - avg(p) OVER (PARTITION BY airport) AS b FROM d)
+SELECT 'fe_diff__ms__plan_s' AS feature, round(corr(y, a), 6) AS r, count(a)::BIGINT AS n FROM f UNION ALL
+SELECT 'fe_dev__plan_s__airport', round(corr(y, b), 6), count(b)::BIGINT FROM f""")
 def auto_feature_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates' correlation with the target, in one pass."""
     specs = [("diff", "ms", "plan_s"), ("dev", "plan_s", ("airport",))]
@@ -104,13 +111,16 @@ def taxi_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 
 #: The walk keeps the least distance found for each (airport, target, node), and goes on from what a round made less.
-_WALK = f"""WITH RECURSIVE {MV}, d AS (SELECT *, substr(stand, 2)::BIGINT AS k FROM mv WHERE phase = 'DEP' AND stand IS NOT NULL), u AS (SELECT DISTINCT airport, stand, k FROM d),
-e AS (SELECT airport, stand AS a, 'S' || ((k + 1) % 23) AS b, 1 + (k * 7) % 5 AS w FROM u UNION ALL SELECT airport, stand, runway, 1 + floor(min(taxi_s) / 60)::BIGINT FROM d WHERE k % 4 = substr(runway, 2)::BIGINT GROUP BY 1, 2, 3),
+_WALK = f"""WITH RECURSIVE {MV}, d AS (SELECT *, substr(stand, 2)::BIGINT AS k FROM mv WHERE phase = 'DEP' AND stand IS NOT NULL),
+u AS (SELECT DISTINCT airport, stand, k FROM d),
+e AS (SELECT airport, stand AS a, 'S' || ((k + 1) % 23) AS b, 1 + (k * 7) % 5 AS w FROM u UNION ALL
+SELECT airport, stand, runway, 1 + floor(min(taxi_s) / 60)::BIGINT FROM d WHERE k % 4 = substr(runway, 2)::BIGINT GROUP BY 1, 2, 3),
 g AS (SELECT airport, a, b, min(w) AS w FROM (SELECT * FROM e UNION ALL SELECT airport, b, a, w FROM e) GROUP BY ALL),
 walk(airport, target, node, dist) USING KEY (airport, target, node) AS (
   SELECT DISTINCT airport, runway, runway, 0::BIGINT FROM d
   UNION
-  SELECT n.airport, n.target, n.node, n.dist FROM (SELECT walk.airport, walk.target, g.b AS node, min(walk.dist + g.w) AS dist FROM walk JOIN g ON g.airport = walk.airport AND g.a = walk.node GROUP BY ALL) n
+  SELECT n.airport, n.target, n.node, n.dist FROM (SELECT walk.airport, walk.target, g.b AS node, min(walk.dist + g.w) AS dist FROM walk
+JOIN g ON g.airport = walk.airport AND g.a = walk.node GROUP BY ALL) n
   LEFT JOIN recurring.walk r ON r.airport = n.airport AND r.target = n.target AND r.node = n.node WHERE r.dist IS NULL OR n.dist < r.dist
 )"""
 
@@ -125,12 +135,17 @@ def stand_runway_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_WALK + """, reach(airport, node, root) USING KEY (airport, node) AS (
   SELECT DISTINCT airport, a, a FROM g
   UNION
-  SELECT n.airport, n.node, n.root FROM (SELECT reach.airport, g.b AS node, min(reach.root) AS root FROM reach JOIN g ON g.airport = reach.airport AND g.a = reach.node GROUP BY ALL) n JOIN recurring.reach r ON r.airport = n.airport AND r.node = n.node WHERE n.root < r.root
+  SELECT n.airport, n.node, n.root FROM (SELECT reach.airport, g.b AS node, min(reach.root) AS root FROM reach
+JOIN g ON g.airport = reach.airport AND g.a = reach.node GROUP BY ALL) n JOIN recurring.reach r ON r.airport = n.airport AND r.node = n.node
+WHERE n.root < r.root
 ), sizes AS (SELECT airport, root, row_number() OVER (PARTITION BY airport ORDER BY count(*) DESC, root) AS place FROM reach GROUP BY airport, root),
 main AS (SELECT reach.airport, node FROM reach JOIN sizes USING (airport, root) WHERE place = 1),
-t AS (SELECT walk.airport, node AS source, target, dist FROM walk JOIN u ON u.airport = walk.airport AND u.stand = node WHERE (walk.airport, node) IN (SELECT airport, node FROM main) AND (walk.airport, target) IN (SELECT airport, node FROM main)),
+t AS (SELECT walk.airport, node AS source, target, dist FROM walk JOIN u ON u.airport = walk.airport AND u.stand = node
+WHERE (walk.airport, node) IN (SELECT airport, node FROM main) AND (walk.airport, target) IN (SELECT airport, node FROM main)),
 m AS (SELECT airport, source, min(dist) AS dmin FROM t GROUP BY 1, 2)
-SELECT mv.mvt_id, t.dist AS map_dist, m.dmin AS map_dmin, t.dist - m.dmin AS map_extra FROM mv LEFT JOIN m ON m.airport = mv.airport AND m.source = mv.stand LEFT JOIN t ON t.airport = mv.airport AND t.source = mv.stand AND t.target = mv.runway WHERE mv.phase = 'DEP'""")
+SELECT mv.mvt_id, t.dist AS map_dist, m.dmin AS map_dmin, t.dist - m.dmin AS map_extra FROM mv LEFT
+JOIN m ON m.airport = mv.airport AND m.source = mv.stand LEFT JOIN t ON t.airport = mv.airport AND t.source = mv.stand AND t.target = mv.runway
+WHERE mv.phase = 'DEP'""")
 def map_distance_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each departure's distance on the ground, its stand's least one, and what lies between."""
     edges, stands, runways = taxi_edges(spark, sf_dir)

@@ -21,7 +21,8 @@ def departures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mv.load(spark, sf_dir).filter("phase = 'DEP'")
 
 
-@query("SELECT o_orderkey, epoch_us(o_orderdate) AS at_us, o_orderstatus = 'F' AS closed FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' OR o_orderdate IS NULL")
+@query("""SELECT o_orderkey, epoch_us(o_orderdate) AS at_us, o_orderstatus = 'F' AS closed FROM orders
+WHERE o_orderdate >= TIMESTAMP '1998-01-01' OR o_orderdate IS NULL""")
 def month_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several files as one table with its times as times; a filter on them reaches the scan."""
     rows = readers.read_months(spark, [f"{sf_dir}/orders.parquet"], ["o_orderdate", "none"])
@@ -29,7 +30,8 @@ def month_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", mv.epoch_us(F.col("o_orderdate")).alias("at_us"), (F.col("o_orderstatus") == "F").alias("closed"))
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1996-05-01' - INTERVAL 6 HOUR AND TIMESTAMP '1996-06-01' + INTERVAL 1 DAY")
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem
+WHERE l_shipdate BETWEEN TIMESTAMP '1996-05-01' - INTERVAL 6 HOUR AND TIMESTAMP '1996-06-01' + INTERVAL 1 DAY""")
 def catalogue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A time range out of a catalogue of files; those that cover other times aren't listed."""
     known = readers.FileCatalogue((
@@ -47,7 +49,8 @@ def available_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {MV}, t AS (SELECT user_id, count(*)::BIGINT AS moves, max(taxi_s) AS longest FROM mv GROUP BY user_id HAVING count(*) % 2 = 1)
-SELECT mvt_id, moves, longest, (SELECT count(*) FROM mv e WHERE e.user_id = mv.user_id AND e.phase = 'DEP')::BIGINT AS departures FROM mv LEFT JOIN t USING (user_id) WHERE phase = 'DEP'""")
+SELECT mvt_id, moves, longest, (SELECT count(*) FROM mv e WHERE e.user_id = mv.user_id AND e.phase = 'DEP')::BIGINT AS departures FROM mv LEFT
+JOIN t USING (user_id) WHERE phase = 'DEP'""")
 def joined_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns looked up by a unique id: from a table that lacks some ids, and from one that must have them all."""
     rows = mv.load(spark, sf_dir)
@@ -57,7 +60,8 @@ def joined_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.join_by_id(keys.join_by_id(dep, some, "user_id"), every, "user_id", complete=True).drop("user_id")
 
 
-@query(f"""WITH {MV}, v AS (SELECT stand FROM mv WHERE phase = 'DEP' AND day % 30 < 3 UNION SELECT stand FROM mv WHERE phase = 'ARR' AND day % 30 >= 3), c AS (SELECT stand, row_number() OVER (ORDER BY stand) - 1 AS code FROM v WHERE stand IS NOT NULL)
+@query(f"""WITH {MV}, v AS (SELECT stand FROM mv WHERE phase = 'DEP' AND day % 30 < 3 UNION SELECT stand FROM mv
+WHERE phase = 'ARR' AND day % 30 >= 3), c AS (SELECT stand, row_number() OVER (ORDER BY stand) - 1 AS code FROM v WHERE stand IS NOT NULL)
 SELECT mvt_id, code FROM mv LEFT JOIN c USING (stand)""")
 def category_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of categories in the order of their names, over the values of several frames."""
@@ -67,7 +71,8 @@ def category_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("mvt_id", "stand").join(codes, "stand", "left").select("mvt_id", F.col("code").cast("long").alias("code"))
 
 
-@query("SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k, ((props::JSON ->> '$.k')::BIGINT % 10)::INTEGER AS last_digit, sha256(event_type || '|' || coalesce(props, '?')) AS digest FROM events")
+@query("""SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k, ((props::JSON ->> '$.k')::BIGINT % 10)::INTEGER AS last_digit,
+sha256(event_type || '|' || coalesce(props, '?')) AS digest FROM events""")
 def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of a JSON column, and a digest of a composite key."""
     rows = mv.table(spark, sf_dir, "events").select("event_id", "event_type", "props", F.from_json("props", "k long")["k"].alias("k"))
@@ -88,9 +93,11 @@ def _inside(name: str) -> str:
     return f"abs(lat - {lat}) <= {half!r} AND abs(lon - {lon}) <= {half / cos(radians(lat))!r}"
 
 
-@query(f"""WITH p AS (SELECT event_id, user_id, {_LAT} AS lat, {_LON} AS lon, event_id % 5 = 0 AS ground, (event_id * 37 % 6000)::DOUBLE AS alt, CASE WHEN event_id % 4 = 0 THEN 'C' || (event_id % 9) END AS callsign FROM events),
+@query(f"""WITH p AS (SELECT event_id, user_id, {_LAT} AS lat, {_LON} AS lon, event_id % 5 = 0 AS ground, (event_id * 37 % 6000)::DOUBLE AS alt,
+CASE WHEN event_id % 4 = 0 THEN 'C' || (event_id % 9) END AS callsign FROM events),
 q AS (SELECT *, last_value(callsign IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS known FROM p)
-SELECT event_id::DOUBLE AS t, known AS callsign, CASE WHEN {_inside("AAA")} THEN 'AAA' ELSE 'BBB' END AS apt FROM q WHERE (({_inside("AAA")}) OR ({_inside("BBB")})) AND (ground OR alt <= 3000)""")
+SELECT event_id::DOUBLE AS t, known AS callsign, CASE WHEN {_inside("AAA")} THEN 'AAA' ELSE 'BBB' END AS apt FROM q
+WHERE (({_inside("AAA")}) OR ({_inside("BBB")})) AND (ground OR alt <= 3000)""")
 def trace_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of tracks that are low and near an airport, with the last callsign that was heard."""
     e = F.col("event_id")
@@ -106,8 +113,10 @@ def trace_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FINAL = "(event_id * 13) % 5400"
 
 
-@query(f"""WITH {MV}, x AS (SELECT mvt_id, {_FINAL} AS base, CASE WHEN event_id % 8 > 0 THEN (event_id * 29) % 4000 - 2000 END AS correction, event_id % 11 = 0 AS ruled, (mvt_us - lobt_us) / 1e6 AS m FROM mv WHERE phase = 'DEP')
-SELECT mvt_id, CASE WHEN ruled THEN base ELSE greatest(0.0, least(m + 3606, greatest(m - 3606, base + coalesce(correction, 0)))) END::DOUBLE AS final FROM x""")
+@query(f"""WITH {MV}, x AS (SELECT mvt_id, {_FINAL} AS base, CASE WHEN event_id % 8 > 0 THEN (event_id * 29) % 4000 - 2000 END AS correction,
+event_id % 11 = 0 AS ruled, (mvt_us - lobt_us) / 1e6 AS m FROM mv WHERE phase = 'DEP')
+SELECT mvt_id, CASE WHEN ruled THEN base ELSE greatest(0.0, least(m + 3606, greatest(m - 3606, base + coalesce(correction, 0)))) END::DOUBLE AS final
+FROM x""")
 def final_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base plus correction in the window, the base alone on rows that a rule decides."""
     e = F.col("event_id")
@@ -116,7 +125,9 @@ def final_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return departures(spark, sf_dir).select("mvt_id", rules.final_value(F.expr(_FINAL).cast("double"), correction, e % 11 == 0, low, high).alias("final"))
 
 
-@query(f"""WITH {MV} SELECT mvt_id FROM mv WHERE phase = 'DEP' AND flight_id IS NOT NULL AND NOT coalesce(flight_id IS NULL AND (mvt_us - sched_us) / 1e6 > 7200, false) AND abs((mvt_us - aobt_us) / 1e6 - {_FINAL}) <= 900""")
+@query(f"""WITH {MV} SELECT mvt_id FROM mv
+WHERE phase = 'DEP' AND flight_id IS NOT NULL AND NOT coalesce(flight_id IS NULL AND (mvt_us - sched_us) / 1e6 > 7200,
+false) AND abs((mvt_us - aobt_us) / 1e6 - {_FINAL}) <= 900""")
 def body_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose pseudo-label may teach: with a plan, decided by no rule, and near the base."""
     dep = departures(spark, sf_dir).select(
@@ -128,7 +139,8 @@ def body_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {MV}, d AS (SELECT taxi_s AS y, (mvt_us - sched_us) / 1e6 AS ms, (mvt_us - aobt_us) / 1e6 AS p FROM mv WHERE phase = 'DEP'),
 f AS (SELECT y, ms - p AS a, ms * p AS b, CASE WHEN abs(p) > 1e-6 THEN ms / p END AS c FROM d),
-s AS (SELECT 'fe_diff__ms__plan_s' AS feature, corr(y, a) AS r, count(a) AS n FROM f UNION ALL SELECT 'fe_prod__ms__plan_s', corr(y, b), count(b) FROM f UNION ALL SELECT 'fe_ratio__ms__plan_s', corr(y, c), count(c) FROM f)
+s AS (SELECT 'fe_diff__ms__plan_s' AS feature, corr(y, a) AS r, count(a) AS n FROM f UNION ALL SELECT 'fe_prod__ms__plan_s', corr(y, b), count(b)
+FROM f UNION ALL SELECT 'fe_ratio__ms__plan_s', corr(y, c), count(c) FROM f)
 SELECT feature, round(r, 6) AS r, n::BIGINT AS n FROM s WHERE abs(r) > 0.001 ORDER BY abs(r) DESC, feature LIMIT 2""")
 def feature_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two candidates that correlate best with the outcome, if above a band."""

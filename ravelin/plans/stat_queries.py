@@ -29,7 +29,8 @@ def _p10_sql() -> str:
         on = " AND ".join(f"t.{x} = d.{x}" for x in keys)
         ctes.append(f"q{i} AS (SELECT {k}, quantile_cont(taxi_s, 0.1) AS ref FROM d WHERE {known} GROUP BY {k}), r{i} AS (SELECT t.* FROM q{i} t JOIN d ON {on} AND d.taxi_s <= t.ref GROUP BY ALL HAVING count(*) >= 10)")
         joins.append(f"LEFT JOIN r{i} ON " + " AND ".join(f"r{i}.{x} = d.{x}" for x in keys))
-    return f"WITH {MV}, d AS (SELECT * FROM mv WHERE phase = 'DEP'), {', '.join(ctes)} SELECT d.mvt_id, round(coalesce(r0.ref, r1.ref, r2.ref), 6) AS ref FROM d {' '.join(joins)}"
+    return f"""WITH {MV}, d AS (SELECT * FROM mv WHERE phase = 'DEP'), {', '.join(ctes)}
+SELECT d.mvt_id, round(coalesce(r0.ref, r1.ref, r2.ref), 6) AS ref FROM d {' '.join(joins)}"""
 
 
 @query(_p10_sql())
@@ -53,7 +54,9 @@ def _cells_sql() -> str:
         joins.append(f"LEFT JOIN c{i} ON " + " AND ".join(f"c{i}.{x} = d.{x}" for x in keys))
     pick = lambda c: "CASE " + " ".join(f"WHEN c{i}.n IS NOT NULL THEN c{i}.{c}" for i in range(4)) + " END"
     level = "CASE " + " ".join(f"WHEN c{i}.n IS NOT NULL THEN {i}" for i in range(4)) + " END"
-    return f"WITH {MV}, d AS (SELECT *, least(7200.0, greatest(0.0, taxi_s)) AS y FROM mv WHERE phase = 'DEP'), {', '.join(ctes)} SELECT d.mvt_id, round({pick('median')}, 6) AS cel_median, round({pick('p90')}, 6) AS cel_p90, round({pick('sd')}, 6) AS cel_sd, {pick('n')}::BIGINT AS cel_n, ({level})::INTEGER AS level FROM d {' '.join(joins)}"
+    return f"""WITH {MV}, d AS (SELECT *, least(7200.0, greatest(0.0, taxi_s)) AS y FROM mv WHERE phase = 'DEP'), {', '.join(ctes)}
+SELECT d.mvt_id, round({pick('median')}, 6) AS cel_median, round({pick('p90')}, 6) AS cel_p90, round({pick('sd')}, 6) AS cel_sd,
+{pick('n')}::BIGINT AS cel_n, ({level})::INTEGER AS level FROM d {' '.join(joins)}"""
 
 
 @query(_cells_sql())
@@ -66,16 +69,21 @@ def cell_stats_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {MV}, d AS (SELECT *, (day % 30) // 5 AS block, least(7200.0, greatest(0.0, taxi_s)) AS y FROM mv WHERE phase = 'DEP')
-SELECT b.block::BIGINT AS block, d.airport, round(quantile_cont(d.y, 0.5), 6) AS median, count(*)::BIGINT AS n FROM (SELECT DISTINCT block FROM d) b JOIN d ON d.block <> b.block GROUP BY 1, 2 HAVING count(*) >= 10""")
+SELECT b.block::BIGINT AS block, d.airport, round(quantile_cont(d.y, 0.5), 6) AS median, count(*)::BIGINT AS n FROM (SELECT DISTINCT block FROM d) b
+JOIN d ON d.block <> b.block GROUP BY 1, 2 HAVING count(*) >= 10""")
 def block_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that each block of days may know: from all other blocks, in one aggregate."""
     dep = departures(spark, sf_dir).withColumn("block", F.floor(F.col("day") % 30 / 5))
     return cells.block_stat_cells(dep, "block", ["airport"], "taxi_s").select("block", "airport", F.round("median", 6).alias("median"), "n")
 
 
-@query(f"""WITH {MV}, d AS (SELECT *, (day % 30) // 5 AS block, user_id % 12 AS airline, (flight_id IS NULL)::INTEGER AS no_nm FROM mv WHERE phase = 'DEP'),
-h AS (SELECT airport, airline, no_nm, block, count(*) AS n, sum((abs(block_us - sched_us) <= 60000000)::INTEGER) AS c FROM d WHERE mvt_us - sched_us > 3600000000 GROUP BY ALL),
-x AS (SELECT d.mvt_id, (SELECT coalesce(sum(n), 0) FROM h WHERE h.airport = d.airport AND h.airline = d.airline AND h.no_nm = d.no_nm AND h.block <> d.block) AS n, (SELECT coalesce(sum(c), 0) FROM h WHERE h.airport = d.airport AND h.airline = d.airline AND h.no_nm = d.no_nm AND h.block <> d.block) AS c,
+@query(f"""WITH {MV}, d AS (SELECT *, (day % 30) // 5 AS block, user_id % 12 AS airline, (flight_id IS NULL)::INTEGER AS no_nm FROM mv
+WHERE phase = 'DEP'),
+h AS (SELECT airport, airline, no_nm, block, count(*) AS n, sum((abs(block_us - sched_us) <= 60000000)::INTEGER) AS c FROM d
+WHERE mvt_us - sched_us > 3600000000 GROUP BY ALL),
+x AS (SELECT d.mvt_id, (SELECT coalesce(sum(n), 0) FROM h
+WHERE h.airport = d.airport AND h.airline = d.airline AND h.no_nm = d.no_nm AND h.block <> d.block) AS n, (SELECT coalesce(sum(c), 0) FROM h
+WHERE h.airport = d.airport AND h.airline = d.airline AND h.no_nm = d.no_nm AND h.block <> d.block) AS c,
 (SELECT sum(c)::DOUBLE / sum(n) FROM h WHERE h.airport = d.airport AND h.block <> d.block) AS r FROM d)
 SELECT mvt_id, round((c + 20 * r) / (n + 20), 9) AS rate FROM x""")
 def airline_copy_rate_lomo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +95,9 @@ def airline_copy_rate_lomo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("mvt_id", F.round("rate", 9).alias("rate"))
 
 
-@query(f"""WITH {MV}, d AS (SELECT *, (mvt_us - sched_us) / 1e6 AS ms FROM mv WHERE phase = 'DEP'), f AS (SELECT airport, regr_slope(taxi_s, ms) AS s, regr_intercept(taxi_s, ms) AS i FROM d GROUP BY airport HAVING count(*) >= 600), g AS (SELECT regr_slope(taxi_s, ms) AS s, regr_intercept(taxi_s, ms) AS i FROM d)
+@query(f"""WITH {MV}, d AS (SELECT *, (mvt_us - sched_us) / 1e6 AS ms FROM mv WHERE phase = 'DEP'),
+f AS (SELECT airport, regr_slope(taxi_s, ms) AS s, regr_intercept(taxi_s, ms) AS i FROM d GROUP BY airport HAVING count(*) >= 600),
+g AS (SELECT regr_slope(taxi_s, ms) AS s, regr_intercept(taxi_s, ms) AS i FROM d)
 SELECT d.mvt_id, round(greatest(0.0, coalesce(f.i, g.i) + coalesce(f.s, g.s) * d.ms), 4) AS line FROM d LEFT JOIN f USING (airport), g""")
 def ols_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least-squares lines per airport with enough rows, one line for the rest."""
@@ -96,9 +106,13 @@ def ols_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.apply_lines(dep, fitted, "airport", "ms", "line").select("mvt_id", F.round("line", 4).alias("line"))
 
 
-@query(f"""WITH {MV}, d AS (SELECT mvt_id, airport, day, stand, CASE WHEN aobt_us IS NOT NULL THEN (mvt_us - aobt_us) / 1e6 END AS x FROM mv WHERE phase = 'DEP'),
-s AS (SELECT mvt_id, x, avg(x) OVER w AS m, CASE WHEN count(x) OVER w > 1 THEN stddev_pop(x) OVER w END AS sd, count(x) OVER w AS n FROM d WINDOW w AS (PARTITION BY airport, day))
-SELECT mvt_id, round(m, 6) AS g_mean, round(sd, 6) AS g_sd, n::BIGINT AS g_n, round(x - m, 6) AS g_diff, round(CASE WHEN sd > 1e-6 THEN (x - m) / sd END, 6) AS g_z, round(m - (SELECT avg(x) FROM d), 6) AS g_cmean, round(sd / (SELECT stddev_pop(x) FROM d), 6) AS g_rsd FROM s""")
+@query(f"""WITH {MV}, d AS (SELECT mvt_id, airport, day, stand, CASE WHEN aobt_us IS NOT NULL THEN (mvt_us - aobt_us) / 1e6 END AS x FROM mv
+WHERE phase = 'DEP'),
+s AS (SELECT mvt_id, x, avg(x) OVER w AS m, CASE WHEN count(x) OVER w > 1 THEN stddev_pop(x) OVER w END AS sd, count(x) OVER w AS n
+FROM d WINDOW w AS (PARTITION BY airport, day))
+SELECT mvt_id, round(m, 6) AS g_mean, round(sd, 6) AS g_sd, n::BIGINT AS g_n, round(x - m, 6) AS g_diff,
+round(CASE WHEN sd > 1e-6 THEN (x - m) / sd END, 6) AS g_z, round(m - (SELECT avg(x) FROM d), 6) AS g_cmean, round(sd / (SELECT stddev_pop(x)
+FROM d), 6) AS g_rsd FROM s""")
 def group_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group mean, deviation, count, difference and z in airport and day, and mean and deviation against those of all."""
     dep = departures(spark, sf_dir).select("mvt_id", "airport", "day", ((F.col("mvt_us") - F.col("aobt_us")) / SECOND).alias("x"))
@@ -106,8 +120,11 @@ def group_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("mvt_id", "g_n", *[F.round(f"g_{c}", 6).alias(f"g_{c}") for c in ("mean", "sd", "diff", "z", "cmean", "rsd")])
 
 
-@query(f"""WITH {MV}, d AS (SELECT mvt_id, stand, CASE WHEN aobt_us IS NOT NULL THEN (mvt_us - aobt_us) // 60000000 END AS x FROM mv WHERE phase = 'DEP'),
-r AS (SELECT mvt_id, x, rank() OVER (PARTITION BY stand, x IS NULL ORDER BY x) + (count(*) OVER (PARTITION BY stand, x) - 1) / 2.0::DOUBLE AS p, count(x) OVER (PARTITION BY stand) AS n FROM d) SELECT mvt_id, CASE WHEN x IS NOT NULL THEN round(p / n, 9) END AS pos FROM r""")
+@query(f"""WITH {MV}, d AS (SELECT mvt_id, stand, CASE WHEN aobt_us IS NOT NULL THEN (mvt_us - aobt_us) // 60000000 END AS x FROM mv
+WHERE phase = 'DEP'),
+r AS (SELECT mvt_id, x, rank() OVER (PARTITION BY stand, x IS NULL
+ORDER BY x) + (count(*) OVER (PARTITION BY stand, x) - 1) / 2.0::DOUBLE AS p, count(x) OVER (PARTITION BY stand) AS n FROM d)
+SELECT mvt_id, CASE WHEN x IS NOT NULL THEN round(p / n, 9) END AS pos FROM r""")
 def pct_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile rank with average ties among the same stand."""
     dep = departures(spark, sf_dir).select("mvt_id", "stand", F.floor((F.col("mvt_us") - F.col("aobt_us")) / (60 * SECOND)).alias("x"))
@@ -117,7 +134,8 @@ def pct_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Orders and line items
 
 
-@query("""WITH d AS (SELECT o_orderdate AS day, sum(CASE WHEN l_returnflag <> 'N' THEN l_quantity END) AS returned, sum(l_quantity) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+@query("""WITH d AS (SELECT o_orderdate AS day, sum(CASE WHEN l_returnflag <> 'N' THEN l_quantity END) AS returned, sum(l_quantity) AS quantity
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
 SELECT day, returned, quantity, round(CASE WHEN quantity > 0 THEN returned / quantity END, 9) AS ratio FROM d""")
 def orders_daily_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily sums, null on days without any value, and their safe ratio."""
@@ -129,7 +147,9 @@ def orders_daily_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.withColumn("ratio", F.round(safe_ratio(F.col("returned"), F.col("quantity")), 9))
 
 
-@query("""WITH x AS (SELECT p_brand, p_size, l_extendedprice / l_quantity AS y FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT p_brand, round(regr_slope(y, p_size), 6) AS slope, round(regr_intercept(y, p_size), 6) AS intercept FROM x GROUP BY p_brand HAVING count(*) >= 50
+@query("""WITH x AS (SELECT p_brand, p_size, l_extendedprice / l_quantity AS y FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT p_brand, round(regr_slope(y, p_size), 6) AS slope, round(regr_intercept(y, p_size), 6) AS intercept FROM x GROUP BY p_brand
+HAVING count(*) >= 50
 UNION ALL SELECT NULL, round(regr_slope(y, p_size), 6), round(regr_intercept(y, p_size), 6) FROM x""")
 def price_ols_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit price against size: a line per brand and one of all."""
@@ -138,8 +158,13 @@ def price_ols_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.lines(rows, "p_brand", "x", "y").select("p_brand", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
-@query("""WITH x AS (SELECT l_suppkey, s_nationkey, year(l_shipdate) AS block, count(*) AS n, sum((l_shipdate > o_orderdate + INTERVAL 60 DAY)::INTEGER) AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)
-SELECT l_suppkey, block, round((k.c + 20 * p.c::DOUBLE / p.n) / (k.n + 20), 9) AS rate FROM x AS q, LATERAL (SELECT coalesce(sum(n), 0) AS n, coalesce(sum(c), 0) AS c FROM x WHERE x.l_suppkey = q.l_suppkey AND x.block <> q.block) k, LATERAL (SELECT sum(n) AS n, sum(c) AS c FROM x WHERE x.s_nationkey = q.s_nationkey AND x.block <> q.block) p""")
+@query("""WITH x AS (SELECT l_suppkey, s_nationkey, year(l_shipdate) AS block, count(*) AS n,
+sum((l_shipdate > o_orderdate + INTERVAL 60 DAY)::INTEGER) AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)
+SELECT l_suppkey, block, round((k.c + 20 * p.c::DOUBLE / p.n) / (k.n + 20), 9) AS rate
+FROM x AS q, LATERAL (SELECT coalesce(sum(n), 0) AS n, coalesce(sum(c), 0) AS c FROM x
+WHERE x.l_suppkey = q.l_suppkey AND x.block <> q.block) k, LATERAL (SELECT sum(n) AS n, sum(c) AS c FROM x
+WHERE x.s_nationkey = q.s_nationkey AND x.block <> q.block) p""")
 def late_ship_rate_shrunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late-shipping rate of each supplier and year from all other years, shrunk towards the nation's."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
@@ -151,8 +176,11 @@ def late_ship_rate_shrunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("l_suppkey", F.col("block").cast("long").alias("block"), F.round("rate", 9).alias("rate"))
 
 
-@query("""WITH a AS (SELECT l_partkey AS k, l_suppkey AS s, count(*) AS n, avg(l_quantity) AS m FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 3), b AS (SELECT l_partkey AS k, count(*) AS n, avg(l_quantity) AS m FROM lineitem GROUP BY 1 HAVING count(*) >= 10)
-SELECT l_orderkey, l_linenumber, round(coalesce(a.m, b.m), 6) AS mean_quantity, CASE WHEN a.n IS NOT NULL THEN 0 WHEN b.n IS NOT NULL THEN 1 END AS level FROM lineitem LEFT JOIN a ON a.k = l_partkey AND a.s = l_suppkey LEFT JOIN b ON b.k = l_partkey""")
+@query("""WITH a AS (SELECT l_partkey AS k, l_suppkey AS s, count(*) AS n, avg(l_quantity) AS m FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 3),
+b AS (SELECT l_partkey AS k, count(*) AS n, avg(l_quantity) AS m FROM lineitem GROUP BY 1 HAVING count(*) >= 10)
+SELECT l_orderkey, l_linenumber, round(coalesce(a.m, b.m), 6) AS mean_quantity,
+CASE WHEN a.n IS NOT NULL THEN 0 WHEN b.n IS NOT NULL THEN 1 END AS level FROM lineitem LEFT JOIN a ON a.k = l_partkey AND a.s = l_suppkey LEFT
+JOIN b ON b.k = l_partkey""")
 def cells_part_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean quantity of part and supplier, of the part where that cell is thin."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
@@ -161,7 +189,9 @@ def cells_part_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("l_orderkey", "l_linenumber", F.round("m", 6).alias("mean_quantity"), "level")
 
 
-@query("""WITH m AS (SELECT o_orderkey, o_totalprice, o_orderpriority, ((year(o_orderdate) * 12 + month(o_orderdate) - 1) // 2) % 6 AS block FROM orders) SELECT b.block::BIGINT AS block, m.o_orderpriority, round(avg(m.o_totalprice), 4) AS mean_price, count(*)::BIGINT AS n FROM (SELECT DISTINCT block FROM m) b JOIN m ON m.block <> b.block GROUP BY 1, 2""")
+@query("""WITH m AS (SELECT o_orderkey, o_totalprice, o_orderpriority, ((year(o_orderdate) * 12 + month(o_orderdate) - 1) // 2) % 6 AS block
+FROM orders) SELECT b.block::BIGINT AS block, m.o_orderpriority, round(avg(m.o_totalprice), 4) AS mean_price, count(*)::BIGINT AS n
+FROM (SELECT DISTINCT block FROM m) b JOIN m ON m.block <> b.block GROUP BY 1, 2""")
 def month_block_crossfit_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means per priority that each two-month block may know."""
     month = F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1
@@ -171,7 +201,9 @@ def month_block_crossfit_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Evaluation
 
-_PAIRS = f"""WITH {MV}, p AS (SELECT mvt_id, airport, day, flight_id, (mvt_us - sched_us) / 1e6 AS ms, taxi_s AS y, round(avg(taxi_s) OVER (PARTITION BY airport), 3) AS base, round(avg(taxi_s) OVER (PARTITION BY airport, runway), 3) AS new FROM mv WHERE phase = 'DEP')"""
+_PAIRS = f"""WITH {MV}, p AS (SELECT mvt_id, airport, day, flight_id, (mvt_us - sched_us) / 1e6 AS ms, taxi_s AS y,
+round(avg(taxi_s) OVER (PARTITION BY airport), 3) AS base, round(avg(taxi_s) OVER (PARTITION BY airport, runway), 3) AS new FROM mv
+WHERE phase = 'DEP')"""
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,8 +235,12 @@ def worst_airports(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PARTS = {"plan": "flight_id IS NOT NULL", "no_plan": "flight_id IS NULL"}
 
 
-@query(_PAIRS + """, w AS (SELECT *, 1 + mvt_id % 3 AS w FROM p), s AS (SELECT sum(w) AS w, sum(w * (base - y) ** 2) AS b, sum(w * (new - y) ** 2) AS n, sum(CASE WHEN flight_id IS NOT NULL THEN w * ((base - y) ** 2 - (new - y) ** 2) ELSE 0 END) AS plan, sum(CASE WHEN flight_id IS NULL THEN w * ((base - y) ** 2 - (new - y) ** 2) ELSE 0 END) AS no_plan FROM w)
-SELECT part, round(v / (w * (sqrt(b / w) + sqrt(n / w))), 6) AS gain FROM (SELECT unnest(['all', 'plan', 'no_plan']) AS part, unnest([b - n, plan, no_plan]) AS v, w, b, n FROM s)""")
+@query(_PAIRS + """, w AS (SELECT *, 1 + mvt_id % 3 AS w FROM p),
+s AS (SELECT sum(w) AS w, sum(w * (base - y) ** 2) AS b, sum(w * (new - y) ** 2) AS n,
+sum(CASE WHEN flight_id IS NOT NULL THEN w * ((base - y) ** 2 - (new - y) ** 2) ELSE 0 END) AS plan,
+sum(CASE WHEN flight_id IS NULL THEN w * ((base - y) ** 2 - (new - y) ** 2) ELSE 0 END) AS no_plan FROM w)
+SELECT part, round(v / (w * (sqrt(b / w) + sqrt(n / w))), 6) AS gain
+FROM (SELECT unnest(['all', 'plan', 'no_plan']) AS part, unnest([b - n, plan, no_plan]) AS v, w, b, n FROM s)""")
 def gain_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weighted gain and the parts that make it up exactly."""
     rows = pairs(spark, sf_dir).withColumn("w", 1 + F.col("mvt_id") % 3)
@@ -241,11 +277,16 @@ def _drawn(draw: Column, j: Column, k: Column) -> Column:
 def _bootstrap_sql(by: str, mask: str, weight: str = "1") -> str:
     """Sums by day, days drawn by _DRAW, the gain's closed form for each draw, and its quantiles."""
     closed = "sum(d) / sum(w) / (sqrt(sum(b) / sum(w)) + sqrt(sum(n) / sum(w)))"
-    return _PAIRS + f""", g AS (SELECT *, {by} AS part FROM p), s AS (SELECT part, day, sum({weight}) AS w, sum({weight} * (base - y) ** 2) AS b, sum({weight} * (new - y) ** 2) AS n, sum(CASE WHEN {mask} THEN {weight} * ((base - y) ** 2 - (new - y) ** 2) ELSE 0 END) AS d FROM g GROUP BY part, day),
+    return _PAIRS + f""", g AS (SELECT *, {by} AS part FROM p), s AS (SELECT part, day, sum({weight}) AS w, sum({weight} * (base - y) ** 2) AS b,
+sum({weight} * (new - y) ** 2) AS n, sum(CASE WHEN {mask} THEN {weight} * ((base - y) ** 2 - (new - y) ** 2) ELSE 0 END) AS d FROM g
+GROUP BY part, day),
 i AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY part) AS k FROM s),
-draws AS (SELECT part, draw, {_DRAW} AS i FROM (SELECT part, max(k) AS k FROM i GROUP BY part), range(200) r(draw), LATERAL (SELECT unnest(range(k)) AS j)),
+draws AS (SELECT part, draw, {_DRAW} AS i FROM (SELECT part, max(k) AS k FROM i
+GROUP BY part), range(200) r(draw), LATERAL (SELECT unnest(range(k)) AS j)),
 x AS (SELECT part, draw, {closed} AS g FROM draws JOIN i USING (part, i) GROUP BY part, draw)
-SELECT part, round({closed}, 6) AS gain, (SELECT round(quantile_cont(g, 0.025), 6) FROM x WHERE x.part = i.part) AS low, (SELECT round(quantile_cont(g, 0.975), 6) FROM x WHERE x.part = i.part) AS high, count(*)::BIGINT AS days FROM i GROUP BY part"""
+SELECT part, round({closed}, 6) AS gain, (SELECT round(quantile_cont(g, 0.025), 6) FROM x
+WHERE x.part = i.part) AS low, (SELECT round(quantile_cont(g, 0.975), 6) FROM x WHERE x.part = i.part) AS high, count(*)::BIGINT AS days FROM i
+GROUP BY part"""
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -280,7 +321,9 @@ def auc_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.auc(rows, "label", "s").select(F.round("auc", 9).alias("auc"))
 
 
-@query(f"WITH {MV}, r AS (SELECT mvt_id, ((event_id * 17) % 97 + 1) / 100.0::DOUBLE / (1 - ((event_id * 17) % 97 + 1) / 100.0::DOUBLE) AS r FROM mv), c AS (SELECT mvt_id, least(r, (SELECT quantile_cont(r, 0.95) FROM r)) AS r FROM r) SELECT mvt_id, round(r / (SELECT avg(r) FROM c), 6) AS w FROM c")
+@query(f"""WITH {MV}, r AS (SELECT mvt_id, ((event_id * 17) % 97 + 1) / 100.0::DOUBLE / (1 - ((event_id * 17) % 97 + 1) / 100.0::DOUBLE) AS r
+FROM mv), c AS (SELECT mvt_id, least(r, (SELECT quantile_cont(r, 0.95) FROM r)) AS r FROM r) SELECT mvt_id, round(r / (SELECT avg(r) FROM c), 6) AS w
+FROM c""")
 def importance_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odds, clipped at their 95th percentile, with mean 1."""
     rows = mv.load(spark, sf_dir).select("mvt_id", ((F.col("event_id") * 17 % 97 + 1) / 100).alias("p"))
@@ -298,7 +341,9 @@ def ceiling_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEAK = ("mvt_id", "flight_id", "stand", "aobt_us", "wake")
 
 
-@query(f"WITH {MV}, r AS (" + " UNION ALL ".join(f"""SELECT '{c}' AS "column", avg(({c} IS NULL)::INTEGER) FILTER (WHERE phase = 'DEP') AS rate, avg(({c} IS NULL)::INTEGER) FILTER (WHERE phase = 'ARR') AS other_rate FROM mv""" for c in _LEAK) + """) SELECT "column", round(rate, 9) AS rate, round(other_rate, 9) AS other_rate FROM r WHERE rate < 0.5 AND other_rate > 0.95""")
+@query(f"WITH {MV}, r AS (" + " UNION ALL ".join(f"""SELECT '{c}' AS "column", avg(({c} IS NULL)::INTEGER) FILTER (WHERE phase = 'DEP') AS rate,
+avg(({c} IS NULL)::INTEGER) FILTER (WHERE phase = 'ARR') AS other_rate FROM mv""" for c in _LEAK) + """)
+SELECT "column", round(rate, 9) AS rate, round(other_rate, 9) AS other_rate FROM r WHERE rate < 0.5 AND other_rate > 0.95""")
 def leaky_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns mostly present for departures and mostly null for arrivals."""
     rows = mv.load(spark, sf_dir)
@@ -306,28 +351,33 @@ def leaky_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("column", F.round("rate", 9).alias("rate"), F.round("other_rate", 9).alias("other_rate"))
 
 
-@query(f"WITH {MV}, v AS (SELECT stand FROM mv WHERE stand IS NOT NULL GROUP BY stand ORDER BY count(*) DESC, stand LIMIT 8) SELECT mvt_id, CASE WHEN stand IS NULL THEN NULL WHEN stand IN (SELECT stand FROM v) THEN stand ELSE 'other' END AS stand FROM mv")
+@query(f"""WITH {MV}, v AS (SELECT stand FROM mv WHERE stand IS NOT NULL GROUP BY stand ORDER BY count(*) DESC, stand LIMIT 8)
+SELECT mvt_id, CASE WHEN stand IS NULL THEN NULL WHEN stand IN (SELECT stand FROM v) THEN stand ELSE 'other' END AS stand FROM mv""")
 def vocab_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight most frequent values stay, the rest become one."""
     rows = mv.load(spark, sf_dir).select("mvt_id", "stand")
     return cells.cap_values(rows, cells.top_values(rows, "stand", 8), "stand")
 
 
-@query(f"WITH {MV}, d AS (SELECT DISTINCT day FROM mv), f AS (SELECT day, (row_number() OVER (ORDER BY day) - 1) % 5 AS fold FROM d) SELECT mvt_id, fold::INTEGER AS fold, ((day % 30) // 5)::BIGINT AS block FROM mv JOIN f USING (day)")
+@query(f"""WITH {MV}, d AS (SELECT DISTINCT day FROM mv), f AS (SELECT day, (row_number() OVER (ORDER BY day) - 1) % 5 AS fold FROM d)
+SELECT mvt_id, fold::INTEGER AS fold, ((day % 30) // 5)::BIGINT AS block FROM mv JOIN f USING (day)""")
 def fold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days dealt to five folds in turn, and blocks of five days."""
     rows = mv.load(spark, sf_dir).select("mvt_id", "day")
     return cells.day_folds(rows, "day", 5).select("mvt_id", F.col("fold").cast("int").alias("fold"), F.floor(F.col("day") % 30 / 5).alias("block"))
 
 
-@query(f"WITH {MV} SELECT airport, round(regr_slope(taxi_s, sec - 1704067200) * 86400, 6) AS per_day FROM mv WHERE sec >= 1706054400 GROUP BY airport")
+@query(f"""WITH {MV} SELECT airport, round(regr_slope(taxi_s, sec - 1704067200) * 86400, 6) AS per_day FROM mv WHERE sec >= 1706054400
+GROUP BY airport""")
 def velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slope of a score over its last seven days."""
     rows = mv.load(spark, sf_dir).filter("sec >= 1706054400").withColumn("x", F.col("sec") - 1_704_067_200)
     return rows.groupBy("airport").agg(F.round(F.regr_slope("taxi_s", "x") * 86_400, 6).alias("per_day"))
 
 
-@query("WITH b AS (SELECT user_id, max(value) AS best FROM events GROUP BY user_id), r AS (SELECT *, row_number() OVER (ORDER BY best, user_id) AS place FROM b) SELECT (SELECT best FROM r WHERE place = 10) AS cut, (SELECT count(*) + 1 FROM r WHERE best < 90)::BIGINT AS position, count(*)::BIGINT AS teams FROM r")
+@query("""WITH b AS (SELECT user_id, max(value) AS best FROM events GROUP BY user_id),
+r AS (SELECT *, row_number() OVER (ORDER BY best, user_id) AS place FROM b) SELECT (SELECT best FROM r WHERE place = 10) AS cut, (SELECT count(*) + 1
+FROM r WHERE best < 90)::BIGINT AS position, count(*)::BIGINT AS teams FROM r""")
 def leaderboard_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score at the tenth place, and where a score of 90 would stand (smaller is better)."""
     best = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("value").alias("best"))
@@ -335,7 +385,8 @@ def leaderboard_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.agg((F.count(F.when(F.col("best") < 90, 1)) + 1).alias("position"), F.count("*").alias("teams")).join(F.broadcast(tenth)).select("cut", "position", "teams")  # one row
 
 
-@query("SELECT event_type AS family, count(*)::BIGINT AS n, round(avg(value), 6) AS mean, max(value) AS best, sum((value > 95)::INTEGER)::BIGINT AS promoted FROM events GROUP BY 1")
+@query("""SELECT event_type AS family, count(*)::BIGINT AS n, round(avg(value), 6) AS mean, max(value) AS best,
+sum((value > 95)::INTEGER)::BIGINT AS promoted FROM events GROUP BY 1""")
 def job_family_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers, mean, best and promotions of job families."""
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("family")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("best"), F.sum((F.col("value") > 95).cast("long")).alias("promoted"))
@@ -349,7 +400,9 @@ def registry_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("user_id", F.col("event_id").alias("first_id")).join(last.select("user_id", F.col("event_id").alias("last_id")), "user_id")
 
 
-@query(f"""WITH {MV}, t AS (SELECT mvt_id FROM mv WHERE phase = 'DEP'), p AS (SELECT mvt_id, taxi_s AS pred FROM mv WHERE phase = 'DEP' AND mvt_id % 1500 <> 0) SELECT t.mvt_id, coalesce(p.pred, (SELECT quantile_cont(pred, 0.5) FROM p)) AS pred FROM t LEFT JOIN p USING (mvt_id)""")
+@query(f"""WITH {MV}, t AS (SELECT mvt_id FROM mv WHERE phase = 'DEP'), p AS (SELECT mvt_id, taxi_s AS pred FROM mv
+WHERE phase = 'DEP' AND mvt_id % 1500 <> 0) SELECT t.mvt_id, coalesce(p.pred, (SELECT quantile_cont(pred, 0.5) FROM p)) AS pred FROM t LEFT
+JOIN p USING (mvt_id)""")
 def submission_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions on a template's rows; few missing ones take the median."""
     from ..sources.sinks import on_template
@@ -361,10 +414,14 @@ def submission_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sets
 
 
-@query(f"""WITH {MV}, tr AS (SELECT stand, runway, 1.0::DOUBLE AS w FROM mv WHERE day % 2 = 0), ot AS (SELECT stand, runway, 0.3::DOUBLE AS w FROM mv WHERE day % 2 = 1 AND airport = 'A1')
-SELECT 'union_all' AS op, (SELECT count(*) FROM (SELECT * FROM tr UNION ALL SELECT * FROM ot))::BIGINT AS n, (SELECT round(sum(w), 6) FROM (SELECT * FROM tr UNION ALL SELECT * FROM ot)) AS weight UNION ALL
-SELECT 'union', (SELECT count(*) FROM (SELECT stand, runway FROM tr UNION SELECT stand, runway FROM ot)), NULL UNION ALL SELECT 'minus', (SELECT count(*) FROM (SELECT stand, runway FROM tr EXCEPT SELECT stand, runway FROM ot)), NULL UNION ALL
-SELECT 'intersect', (SELECT count(*) FROM (SELECT stand, runway FROM tr INTERSECT SELECT stand, runway FROM ot)), NULL UNION ALL SELECT 'distinct', (SELECT count(DISTINCT runway) FROM tr), NULL""")
+@query(f"""WITH {MV}, tr AS (SELECT stand, runway, 1.0::DOUBLE AS w FROM mv WHERE day % 2 = 0), ot AS (SELECT stand, runway, 0.3::DOUBLE AS w FROM mv
+WHERE day % 2 = 1 AND airport = 'A1')
+SELECT 'union_all' AS op, (SELECT count(*) FROM (SELECT * FROM tr UNION ALL SELECT * FROM ot))::BIGINT AS n, (SELECT round(sum(w), 6) FROM (SELECT *
+FROM tr UNION ALL SELECT * FROM ot)) AS weight UNION ALL
+SELECT 'union', (SELECT count(*) FROM (SELECT stand, runway FROM tr UNION SELECT stand, runway FROM ot)), NULL UNION ALL
+SELECT 'minus', (SELECT count(*) FROM (SELECT stand, runway FROM tr EXCEPT SELECT stand, runway FROM ot)), NULL UNION ALL
+SELECT 'intersect', (SELECT count(*) FROM (SELECT stand, runway FROM tr INTERSECT SELECT stand, runway FROM ot)), NULL UNION ALL
+SELECT 'distinct', (SELECT count(DISTINCT runway) FROM tr), NULL""")
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union with weights, distinct union, difference, intersection and deduplication."""
     rows = mv.load(spark, sf_dir)
@@ -379,9 +436,13 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(f"""WITH {MV}, d AS (SELECT * FROM mv WHERE phase = 'DEP'), q AS (SELECT airport, runway, quantile_cont(taxi_s, 0.1) AS ref FROM d GROUP BY 1, 2), r AS (SELECT q.* FROM q JOIN d ON d.airport = q.airport AND d.runway = q.runway AND d.taxi_s <= q.ref GROUP BY ALL HAVING count(*) >= 10),
-q2 AS (SELECT airport, quantile_cont(taxi_s, 0.1) AS ref2 FROM d GROUP BY 1), c AS (SELECT d.mvt_id, count(e.mvt_id) AS n FROM d LEFT JOIN d e ON e.airport = d.airport AND e.sec >= d.sec - 3600 AND e.sec < d.sec GROUP BY d.mvt_id)
-SELECT d.airport, round(avg(coalesce(r.ref, q2.ref2)), 6) AS mean_ref, round(avg(c.n), 6) AS mean_before, count(*)::BIGINT AS n FROM d JOIN c USING (mvt_id) LEFT JOIN r USING (airport, runway) LEFT JOIN q2 USING (airport) GROUP BY d.airport""")
+@query(f"""WITH {MV}, d AS (SELECT * FROM mv WHERE phase = 'DEP'), q AS (SELECT airport, runway, quantile_cont(taxi_s, 0.1) AS ref FROM d
+GROUP BY 1, 2), r AS (SELECT q.* FROM q JOIN d ON d.airport = q.airport AND d.runway = q.runway AND d.taxi_s <= q.ref GROUP BY ALL
+HAVING count(*) >= 10),
+q2 AS (SELECT airport, quantile_cont(taxi_s, 0.1) AS ref2 FROM d GROUP BY 1), c AS (SELECT d.mvt_id, count(e.mvt_id) AS n FROM d LEFT
+JOIN d e ON e.airport = d.airport AND e.sec >= d.sec - 3600 AND e.sec < d.sec GROUP BY d.mvt_id)
+SELECT d.airport, round(avg(coalesce(r.ref, q2.ref2)), 6) AS mean_ref, round(avg(c.n), 6) AS mean_before, count(*)::BIGINT AS n FROM d
+JOIN c USING (mvt_id) LEFT JOIN r USING (airport, runway) LEFT JOIN q2 USING (airport) GROUP BY d.airport""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Movements, an hour's congestion, and the reference taxi time with fallback, per airport."""
     dep = departures(spark, sf_dir)

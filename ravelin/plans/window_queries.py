@@ -54,10 +54,12 @@ def congestion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _taxi_sql(keys: str, p: str) -> str:
     v = "least(3600.0, greatest(0.0, e.taxi_s))"
     cols = ", ".join(f"round(avg({v}) FILTER (WHERE e.sec > d.sec - {60 * m}), 6) AS {p}_mean{m}, count(e.taxi_s) FILTER (WHERE e.sec > d.sec - {60 * m})::BIGINT AS {p}_n{m}" for m in (15, 60))
-    return f"(SELECT d.mvt_id, {cols} FROM mv d LEFT JOIN mv e ON {keys} AND e.phase = 'ARR' AND e.sec > d.sec - 3600 AND e.sec <= d.sec WHERE d.phase = 'DEP' GROUP BY d.mvt_id)"
+    return f"""(SELECT d.mvt_id, {cols} FROM mv d LEFT JOIN mv e ON {keys} AND e.phase = 'ARR' AND e.sec > d.sec - 3600 AND e.sec <= d.sec
+WHERE d.phase = 'DEP' GROUP BY d.mvt_id)"""
 
 
-@query(f"WITH {MV} SELECT * FROM {_taxi_sql('e.airport = d.airport', 'apt')} JOIN {_taxi_sql('e.airport = d.airport AND e.runway = d.runway', 'rwy')} USING (mvt_id)")
+@query(f"""WITH {MV} SELECT * FROM {_taxi_sql('e.airport = d.airport', 'apt')}
+JOIN {_taxi_sql('e.airport = d.airport AND e.runway = d.runway', 'rwy')} USING (mvt_id)""")
 def arrival_taxi_in_ctx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean clipped taxi-in and count of the arrivals of the last 15 and 60 minutes, at the airport and on the runway."""
     _, dep, arr = both(spark, sf_dir)
@@ -74,10 +76,13 @@ _PROXY = "CASE WHEN mvt_us - aobt_us BETWEEN 0 AND 7200000000 THEN (mvt_us - aob
 
 
 @query(f"""WITH {MV}, p AS (SELECT *, {_PROXY} AS proxy FROM mv WHERE phase = 'DEP'), x AS (
-SELECT d.mvt_id, d.proxy, avg(e.proxy) FILTER (WHERE e.airport = d.airport AND e.sec < d.sec) AS apt_past, avg(e.proxy) FILTER (WHERE e.sec > d.sec) AS apt_future,
-avg(e.proxy) FILTER (WHERE e.runway = d.runway AND e.sec < d.sec) AS rwy_past, avg(e.proxy) FILTER (WHERE e.runway = d.runway AND e.sec > d.sec) AS rwy_future
+SELECT d.mvt_id, d.proxy, avg(e.proxy) FILTER (WHERE e.airport = d.airport AND e.sec < d.sec) AS apt_past,
+avg(e.proxy) FILTER (WHERE e.sec > d.sec) AS apt_future,
+avg(e.proxy) FILTER (WHERE e.runway = d.runway AND e.sec < d.sec) AS rwy_past,
+avg(e.proxy) FILTER (WHERE e.runway = d.runway AND e.sec > d.sec) AS rwy_future
 FROM p d LEFT JOIN p e ON e.airport = d.airport AND e.sec BETWEEN d.sec - 3600 AND d.sec + 3600 GROUP BY d.mvt_id, d.proxy)
-SELECT mvt_id, round(apt_past, 6) AS apt_past, round(apt_future, 6) AS apt_future, round(rwy_past, 6) AS rwy_past, round(rwy_future, 6) AS rwy_future, round(proxy - apt_past, 6) AS own_less_past, round(proxy - apt_future, 6) AS own_less_future FROM x""")
+SELECT mvt_id, round(apt_past, 6) AS apt_past, round(apt_future, 6) AS apt_future, round(rwy_past, 6) AS rwy_past, round(rwy_future, 6) AS rwy_future,
+round(proxy - apt_past, 6) AS own_less_past, round(proxy - apt_future, 6) AS own_less_future FROM x""")
 def neighbour_proxy_ctx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean off-block-to-take-off time of the neighbours in the hour before and after, and the own value against it."""
     _, dep, _ = both(spark, sf_dir)
@@ -90,7 +95,9 @@ def neighbour_proxy_ctx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("mvt_id", *[F.round(c, 6).alias(c) for c in names], F.round(F.col("own") - F.col("apt_past"), 6).alias("own_less_past"), F.round(F.col("own") - F.col("apt_future"), 6).alias("own_less_future"))
 
 
-@query(f"WITH {MV} SELECT d.mvt_id, count(e.mvt_id)::BIGINT * 2 AS rate FROM mv d LEFT JOIN mv e ON e.airport = d.airport AND e.phase = 'DEP' AND e.mvt_us >= d.mvt_us - 1800000000 AND e.mvt_us < d.mvt_us WHERE d.phase = 'DEP' GROUP BY d.mvt_id")
+@query(f"""WITH {MV} SELECT d.mvt_id, count(e.mvt_id)::BIGINT * 2 AS rate FROM mv d LEFT
+JOIN mv e ON e.airport = d.airport AND e.phase = 'DEP' AND e.mvt_us >= d.mvt_us - 1800000000 AND e.mvt_us < d.mvt_us WHERE d.phase = 'DEP'
+GROUP BY d.mvt_id""")
 def dep_rate_30m(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Departures an hour, from the last 30 minutes."""
     _, dep, _ = both(spark, sf_dir)
@@ -100,7 +107,8 @@ def dep_rate_30m(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _delay_sql(seconds: int) -> str:
     return f"""WITH {MV} SELECT d.mvt_id, round(avg((e.aobt_us - e.sched_us) / 1e6), 6) AS recent_delay
-FROM mv d LEFT JOIN mv e ON e.airport = d.airport AND e.aobt_us >= d.aobt_us - {seconds}000000 AND e.aobt_us < d.aobt_us WHERE d.phase = 'DEP' AND d.aobt_us IS NOT NULL GROUP BY d.mvt_id"""
+FROM mv d LEFT JOIN mv e ON e.airport = d.airport AND e.aobt_us >= d.aobt_us - {seconds}000000 AND e.aobt_us < d.aobt_us
+WHERE d.phase = 'DEP' AND d.aobt_us IS NOT NULL GROUP BY d.mvt_id"""
 
 
 def _delay(spark: SparkSession, sf_dir: str, seconds: int) -> DataFrame:
@@ -125,7 +133,8 @@ def recent_delay_90m(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RATE = 3600 * log(2) / 600
 
 
-@query(f"""WITH {MV} SELECT d.mvt_id, round({_RATE!r} * coalesce(sum(pow(2.0, (e.mvt_us - d.aobt_us) / 1e6 / 600)), 0), 6) AS ewma FROM mv d LEFT JOIN mv e ON e.airport = d.airport AND e.phase = 'DEP' AND e.mvt_us >= d.aobt_us - 7200000000 AND e.mvt_us < d.aobt_us
+@query(f"""WITH {MV} SELECT d.mvt_id, round({_RATE!r} * coalesce(sum(pow(2.0, (e.mvt_us - d.aobt_us) / 1e6 / 600)), 0), 6) AS ewma FROM mv d LEFT
+JOIN mv e ON e.airport = d.airport AND e.phase = 'DEP' AND e.mvt_us >= d.aobt_us - 7200000000 AND e.mvt_us < d.aobt_us
 WHERE d.phase = 'DEP' AND d.aobt_us IS NOT NULL GROUP BY d.mvt_id""")
 def ewma_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Departures an hour at each push, with weights halving every 600 seconds and cut at two hours."""
@@ -139,9 +148,12 @@ def ewma_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Bounds that differ from row to row
 
 
-@query(f"""WITH {MV}, w AS (SELECT *, CASE wake WHEN 'J' THEN 20 WHEN 'H' THEN 16 WHEN 'M' THEN 10 WHEN 'L' THEN 7 ELSE 10 END AS weight, (coalesce(wake IN ('J', 'H'), false))::INTEGER AS heavy FROM mv WHERE phase = 'DEP')
-SELECT d.mvt_id, CASE WHEN d.aobt_us IS NOT NULL THEN greatest(0, coalesce(sum(e.weight), 0) - d.weight) / 10.0::DOUBLE END AS queue, CASE WHEN d.aobt_us IS NOT NULL THEN greatest(0, coalesce(sum(e.heavy), 0) - d.heavy)::BIGINT END AS heavies
-FROM w d LEFT JOIN w e ON e.airport = d.airport AND e.runway = d.runway AND e.mvt_us > d.aobt_us AND e.mvt_us <= d.mvt_us GROUP BY d.mvt_id, d.aobt_us, d.weight, d.heavy""")
+@query(f"""WITH {MV}, w AS (SELECT *, CASE wake WHEN 'J' THEN 20 WHEN 'H' THEN 16 WHEN 'M' THEN 10 WHEN 'L' THEN 7 ELSE 10 END AS weight,
+(coalesce(wake IN ('J', 'H'), false))::INTEGER AS heavy FROM mv WHERE phase = 'DEP')
+SELECT d.mvt_id, CASE WHEN d.aobt_us IS NOT NULL THEN greatest(0, coalesce(sum(e.weight), 0) - d.weight) / 10.0::DOUBLE END AS queue,
+CASE WHEN d.aobt_us IS NOT NULL THEN greatest(0, coalesce(sum(e.heavy), 0) - d.heavy)::BIGINT END AS heavies
+FROM w d LEFT JOIN w e ON e.airport = d.airport AND e.runway = d.runway AND e.mvt_us > d.aobt_us AND e.mvt_us <= d.mvt_us
+GROUP BY d.mvt_id, d.aobt_us, d.weight, d.heavy""")
 def queue_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wake-weighted departures of the own runway between own push and own take-off, without oneself."""
     _, dep, _ = both(spark, sf_dir)
@@ -160,10 +172,13 @@ def counts_at(population: DataFrame, queries: DataFrame, by: list[str], plus: st
 
 
 def _overdue(keys: str) -> str:
-    return f"(SELECT count(*) FROM v e WHERE {keys} AND e.eobt_us <= d.aobt_us)::BIGINT - (SELECT count(*) FROM v e WHERE {keys} AND e.aobt_us <= d.aobt_us)::BIGINT"
+    return f"""(SELECT count(*) FROM v e WHERE {keys} AND e.eobt_us <= d.aobt_us)::BIGINT - (SELECT count(*) FROM v e
+WHERE {keys} AND e.aobt_us <= d.aobt_us)::BIGINT"""
 
 
-@query(f"WITH {MV}, v AS (SELECT * FROM mv WHERE phase = 'DEP' AND aobt_us - eobt_us >= 0 AND aobt_us - eobt_us < 7200000000 AND mvt_us >= aobt_us) SELECT d.mvt_id, {_overdue('e.airport = d.airport AND e.runway = d.runway')} AS overdue_rwy, {_overdue('e.airport = d.airport')} AS overdue_apt FROM mv d WHERE d.phase = 'DEP' AND d.aobt_us IS NOT NULL")
+@query(f"""WITH {MV}, v AS (SELECT * FROM mv WHERE phase = 'DEP' AND aobt_us - eobt_us >= 0 AND aobt_us - eobt_us < 7200000000 AND mvt_us >= aobt_us)
+SELECT d.mvt_id, {_overdue('e.airport = d.airport AND e.runway = d.runway')} AS overdue_rwy, {_overdue('e.airport = d.airport')} AS overdue_apt
+FROM mv d WHERE d.phase = 'DEP' AND d.aobt_us IS NOT NULL""")
 def overdue_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Departures that were due to push but had not, at each push."""
     _, dep, _ = both(spark, sf_dir)
@@ -174,7 +189,9 @@ def overdue_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {MV}, v AS (SELECT * FROM mv WHERE phase = 'DEP' AND aobt_us IS NOT NULL AND mvt_us >= aobt_us)
-SELECT d.mvt_id, greatest(0, (SELECT count(*) FROM v e WHERE e.airport = d.airport AND e.runway = d.runway AND e.aobt_us <= d.aobt_us) - (SELECT count(*) FROM v e WHERE e.airport = d.airport AND e.runway = d.runway AND e.mvt_us <= d.aobt_us) - 1)::BIGINT AS active FROM v d""")
+SELECT d.mvt_id, greatest(0, (SELECT count(*) FROM v e
+WHERE e.airport = d.airport AND e.runway = d.runway AND e.aobt_us <= d.aobt_us) - (SELECT count(*) FROM v e
+WHERE e.airport = d.airport AND e.runway = d.runway AND e.mvt_us <= d.aobt_us) - 1)::BIGINT AS active FROM v d""")
 def active_runway(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Departures under way to the own runway at each push, without oneself."""
     _, dep, _ = both(spark, sf_dir)
@@ -183,11 +200,17 @@ def active_runway(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("mvt_id", F.greatest(F.lit(0), F.col("n") - 1).alias("active"))
 
 
-@query(f"""WITH {MV}, d AS (SELECT *, {PRED} AS taxi, mvt_us - 1000000 * ({PRED}) AS o FROM mv WHERE phase = 'DEP'), a AS (SELECT airport, mvt_us AS l, block_us AS b FROM mv WHERE phase = 'ARR' AND block_us >= mvt_us),
-x AS (SELECT q.mvt_id, q.taxi, greatest(0, (SELECT count(*) FROM d e WHERE e.airport = q.airport AND e.o <= q.o) - (SELECT count(*) FROM d e WHERE e.airport = q.airport AND e.mvt_us <= q.o) - (q.taxi > 0)::INTEGER)::BIGINT AS dep_taxiing,
-(SELECT count(*) FROM d e WHERE e.airport = q.airport AND e.mvt_us > q.o AND e.mvt_us < q.mvt_us)::BIGINT AS off_apt, (SELECT count(*) FROM d e WHERE e.airport = q.airport AND e.runway = q.runway AND e.mvt_us > q.o AND e.mvt_us < q.mvt_us)::BIGINT AS off_rwy,
-(SELECT count(*) FROM a WHERE a.airport = q.airport AND a.l <= q.o AND a.b > q.o)::BIGINT AS arr_taxiing, (SELECT count(*) FROM a WHERE a.airport = q.airport AND a.l > q.o AND a.l < q.mvt_us)::BIGINT AS landings FROM d q)
-SELECT mvt_id, dep_taxiing, off_apt, off_rwy, arr_taxiing, landings, round(CASE WHEN taxi > 0 THEN off_rwy / (taxi / 60.0) END, 6) AS off_rwy_per_min, round(CASE WHEN taxi > 0 THEN off_apt / (taxi / 60.0) END, 6) AS off_apt_per_min, round(CASE WHEN taxi > 0 THEN landings / (taxi / 60.0) END, 6) AS landings_per_min FROM x""")
+@query(f"""WITH {MV}, d AS (SELECT *, {PRED} AS taxi, mvt_us - 1000000 * ({PRED}) AS o FROM mv WHERE phase = 'DEP'),
+a AS (SELECT airport, mvt_us AS l, block_us AS b FROM mv WHERE phase = 'ARR' AND block_us >= mvt_us),
+x AS (SELECT q.mvt_id, q.taxi, greatest(0, (SELECT count(*) FROM d e WHERE e.airport = q.airport AND e.o <= q.o) - (SELECT count(*) FROM d e
+WHERE e.airport = q.airport AND e.mvt_us <= q.o) - (q.taxi > 0)::INTEGER)::BIGINT AS dep_taxiing,
+(SELECT count(*) FROM d e WHERE e.airport = q.airport AND e.mvt_us > q.o AND e.mvt_us < q.mvt_us)::BIGINT AS off_apt, (SELECT count(*) FROM d e
+WHERE e.airport = q.airport AND e.runway = q.runway AND e.mvt_us > q.o AND e.mvt_us < q.mvt_us)::BIGINT AS off_rwy,
+(SELECT count(*) FROM a WHERE a.airport = q.airport AND a.l <= q.o AND a.b > q.o)::BIGINT AS arr_taxiing, (SELECT count(*) FROM a
+WHERE a.airport = q.airport AND a.l > q.o AND a.l < q.mvt_us)::BIGINT AS landings FROM d q)
+SELECT mvt_id, dep_taxiing, off_apt, off_rwy, arr_taxiing, landings, round(CASE WHEN taxi > 0 THEN off_rwy / (taxi / 60.0) END, 6) AS off_rwy_per_min,
+round(CASE WHEN taxi > 0 THEN off_apt / (taxi / 60.0) END, 6) AS off_apt_per_min, round(CASE WHEN taxi > 0 THEN landings / (taxi / 60.0) END,
+6) AS landings_per_min FROM x""")
 def surface_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surface traffic during a predicted taxi: who taxies at push, who leaves and lands before own take-off, and how fast."""
     _, dep, arr = both(spark, sf_dir)
@@ -220,9 +243,13 @@ def span20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BINS = f"""WITH {MV}, m AS (SELECT *, mvt_us // 600000000 AS b FROM mv), f AS (SELECT airport, min(b) AS first FROM m GROUP BY airport),
 q AS (SELECT mvt_id, airport, runway, b FROM m WHERE phase = 'DEP'),
-act AS (SELECT q.mvt_id, s.back, e.phase, e.runway, count(*) AS n FROM q CROSS JOIN (VALUES (0), (6)) s(back) JOIN m e ON e.airport = q.airport AND e.b BETWEEN q.b - s.back - 3 AND q.b - s.back + 2 GROUP BY ALL),
-cfg AS (SELECT mvt_id, back, 'D:' || coalesce(string_agg(runway, '+' ORDER BY runway) FILTER (WHERE phase = 'DEP'), '-') || ' A:' || coalesce(string_agg(runway, '+' ORDER BY runway) FILTER (WHERE phase = 'ARR'), '-') AS c FROM act GROUP BY mvt_id, back),
-per AS (SELECT mvt_id, count(*) FILTER (WHERE phase = 'DEP') AS n_dep_rwy, count(*) FILTER (WHERE phase = 'ARR') AS n_arr_rwy, sum(n) FILTER (WHERE phase = 'DEP') AS total, max(n) FILTER (WHERE phase = 'DEP') AS most FROM act WHERE back = 0 GROUP BY mvt_id),
+act AS (SELECT q.mvt_id, s.back, e.phase, e.runway, count(*) AS n FROM q CROSS JOIN (VALUES (0), (6)) s(back)
+JOIN m e ON e.airport = q.airport AND e.b BETWEEN q.b - s.back - 3 AND q.b - s.back + 2 GROUP BY ALL),
+cfg AS (SELECT mvt_id, back, 'D:' || coalesce(string_agg(runway, '+'
+ORDER BY runway) FILTER (WHERE phase = 'DEP'), '-') || ' A:' || coalesce(string_agg(runway, '+'
+ORDER BY runway) FILTER (WHERE phase = 'ARR'), '-') AS c FROM act GROUP BY mvt_id, back),
+per AS (SELECT mvt_id, count(*) FILTER (WHERE phase = 'DEP') AS n_dep_rwy, count(*) FILTER (WHERE phase = 'ARR') AS n_arr_rwy,
+sum(n) FILTER (WHERE phase = 'DEP') AS total, max(n) FILTER (WHERE phase = 'DEP') AS most FROM act WHERE back = 0 GROUP BY mvt_id),
 own AS (SELECT a.mvt_id, a.n FROM act a JOIN q ON q.mvt_id = a.mvt_id AND q.runway = a.runway WHERE a.phase = 'DEP' AND a.back = 0)
 """
 
@@ -252,7 +279,8 @@ def dominant_runway(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {MV}, a AS (SELECT airport, stand, block_us, taxi_s, mvt_id FROM mv WHERE phase = 'ARR' AND stand IS NOT NULL), j AS (
-SELECT d.mvt_id, d.mvt_us, a.block_us, a.taxi_s, row_number() OVER (PARTITION BY d.mvt_id ORDER BY a.block_us DESC, a.mvt_id DESC) AS r FROM mv d LEFT JOIN a ON a.airport = d.airport AND a.stand = d.stand AND a.block_us <= d.mvt_us AND a.block_us >= d.mvt_us - 86400000000 WHERE d.phase = 'DEP')
+SELECT d.mvt_id, d.mvt_us, a.block_us, a.taxi_s, row_number() OVER (PARTITION BY d.mvt_id ORDER BY a.block_us DESC, a.mvt_id DESC) AS r FROM mv d LEFT
+JOIN a ON a.airport = d.airport AND a.stand = d.stand AND a.block_us <= d.mvt_us AND a.block_us >= d.mvt_us - 86400000000 WHERE d.phase = 'DEP')
 SELECT mvt_id, (mvt_us - block_us) / 1e6 AS age, taxi_s AS last_taxi_in FROM j WHERE r = 1""")
 def stand_last_arrival_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Age and taxi-in of the last arrival at the own stand within a day."""
@@ -261,9 +289,13 @@ def stand_last_arrival_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("mvt_id", ((F.col("mvt_us") - F.col("r_block_us")) / SECOND).alias("age"), F.col("r_taxi_s").alias("last_taxi_in"))
 
 
-@query(f"""WITH {MV}, j AS (SELECT d.mvt_id, d.aobt_us, d.user_id AS own, d.wake AS w, a.block_us, a.user_id AS theirs, a.wake AS w2, row_number() OVER (PARTITION BY d.mvt_id ORDER BY a.block_us DESC, a.mvt_id DESC) AS r
-FROM mv d LEFT JOIN mv a ON a.phase = 'ARR' AND a.airport = d.airport AND a.stand = d.stand AND a.block_us <= d.aobt_us AND a.block_us >= d.aobt_us - 86400000000 WHERE d.phase = 'DEP')
-SELECT mvt_id, (aobt_us - block_us) / 1e6 AS age, CASE WHEN block_us IS NOT NULL THEN coalesce(own = theirs, false)::INTEGER END AS same_operator, CASE WHEN block_us IS NOT NULL THEN coalesce(w = w2, false)::INTEGER END AS same_type FROM j WHERE r = 1""")
+@query(f"""WITH {MV}, j AS (SELECT d.mvt_id, d.aobt_us, d.user_id AS own, d.wake AS w, a.block_us, a.user_id AS theirs, a.wake AS w2,
+row_number() OVER (PARTITION BY d.mvt_id ORDER BY a.block_us DESC, a.mvt_id DESC) AS r
+FROM mv d LEFT
+JOIN mv a ON a.phase = 'ARR' AND a.airport = d.airport AND a.stand = d.stand AND a.block_us <= d.aobt_us AND a.block_us >= d.aobt_us - 86400000000
+WHERE d.phase = 'DEP')
+SELECT mvt_id, (aobt_us - block_us) / 1e6 AS age, CASE WHEN block_us IS NOT NULL THEN coalesce(own = theirs, false)::INTEGER END AS same_operator,
+CASE WHEN block_us IS NOT NULL THEN coalesce(w = w2, false)::INTEGER END AS same_type FROM j WHERE r = 1""")
 def rotation_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The arrival that each departure's aircraft may have come with: age, same operator, same type."""
     _, dep, arr = both(spark, sf_dir)
@@ -275,7 +307,9 @@ def rotation_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OBS = "FROM mv WHERE event_type = 'error'"
 
 
-@query(f"""WITH {MV}, o AS (SELECT airport, mvt_us AS t, value, mvt_id AS oid {_OBS}), j AS (SELECT d.mvt_id, d.mvt_us, o.t, o.value, row_number() OVER (PARTITION BY d.mvt_id ORDER BY o.t DESC, o.oid DESC) AS r FROM mv d LEFT JOIN o ON o.airport = d.airport AND o.t <= d.mvt_us AND o.t >= d.mvt_us - 7200000000 WHERE d.phase = 'DEP')
+@query(f"""WITH {MV}, o AS (SELECT airport, mvt_us AS t, value, mvt_id AS oid {_OBS}),
+j AS (SELECT d.mvt_id, d.mvt_us, o.t, o.value, row_number() OVER (PARTITION BY d.mvt_id ORDER BY o.t DESC, o.oid DESC) AS r FROM mv d LEFT
+JOIN o ON o.airport = d.airport AND o.t <= d.mvt_us AND o.t >= d.mvt_us - 7200000000 WHERE d.phase = 'DEP')
 SELECT mvt_id, (mvt_us - t) / 1e6 AS obs_age, value AS obs FROM j WHERE r = 1""")
 def weather_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last observation of the airport, at most two hours old; one of the same instant counts."""
@@ -286,12 +320,14 @@ def weather_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nearest_sql(left: str, keys: str, tol: int) -> str:
-    return f"SELECT d.mvt_id, d.t, e.t AS et, e.eid, row_number() OVER (PARTITION BY d.mvt_id ORDER BY abs(e.t - d.t), e.t, CASE WHEN e.t <= d.t THEN -e.eid ELSE e.eid END) AS r FROM {left} d JOIN ev e ON {keys} AND abs(e.t - d.t) <= {tol}"
+    return f"""SELECT d.mvt_id, d.t, e.t AS et, e.eid, row_number() OVER (PARTITION BY d.mvt_id
+ORDER BY abs(e.t - d.t), e.t, CASE WHEN e.t <= d.t THEN -e.eid ELSE e.eid END) AS r FROM {left} d JOIN ev e ON {keys} AND abs(e.t - d.t) <= {tol}"""
 
 
 def _cascade_sql(near: int, far: int) -> str:
     one, two = _nearest_sql("dp", "e.airport = d.airport AND e.callsign = d.callsign", near * SECOND), _nearest_sql("rest", "e.airport = d.airport", far * SECOND)
-    return f"""WITH {MV}, dp AS (SELECT mvt_id, airport, user_id % 30 AS callsign, mvt_us AS t FROM mv WHERE phase = 'DEP'), ev AS (SELECT airport, user_id % 30 AS callsign, block_us AS t, mvt_id AS eid FROM mv WHERE phase = 'ARR'),
+    return f"""WITH {MV}, dp AS (SELECT mvt_id, airport, user_id % 30 AS callsign, mvt_us AS t FROM mv WHERE phase = 'DEP'),
+ev AS (SELECT airport, user_id % 30 AS callsign, block_us AS t, mvt_id AS eid FROM mv WHERE phase = 'ARR'),
 one AS ({one}), rest AS (SELECT * FROM dp WHERE mvt_id NOT IN (SELECT mvt_id FROM one)), two AS ({two})
 SELECT dp.mvt_id, coalesce(one.et, two.et) AS matched_us, CASE WHEN one.et IS NOT NULL THEN 0 WHEN two.et IS NOT NULL THEN 1 END AS step
 FROM dp LEFT JOIN one ON one.mvt_id = dp.mvt_id AND one.r = 1 LEFT JOIN two ON two.mvt_id = dp.mvt_id AND two.r = 1"""
@@ -320,7 +356,8 @@ def nearest_asof_cascade_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _band_sql(seconds: int) -> str:
     return f"""WITH {MV} SELECT d.mvt_id, e.mvt_id AS event_no, abs(d.mvt_us - e.block_us) / 1e6 AS apart
-FROM mv d JOIN mv e ON d.phase = 'DEP' AND e.phase = 'ARR' AND e.airport = d.airport AND e.user_id % 30 = d.user_id % 30 AND abs(d.mvt_us - e.block_us) < {seconds}000000"""
+FROM mv d
+JOIN mv e ON d.phase = 'DEP' AND e.phase = 'ARR' AND e.airport = d.airport AND e.user_id % 30 = d.user_id % 30 AND abs(d.mvt_us - e.block_us) < {seconds}000000"""
 
 
 def _band(spark: SparkSession, sf_dir: str, seconds: int) -> DataFrame:
@@ -342,10 +379,14 @@ def band_match_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _band(spark, sf_dir, 21_600)
 
 
-_GREEDY = f"""WITH RECURSIVE {MV}, dp AS (SELECT mvt_id, airport, user_id % 30 AS c, mvt_us AS t FROM mv WHERE phase = 'DEP'), ev AS (SELECT airport, user_id % 30 AS c, block_us AS t, mvt_id AS eid FROM mv WHERE phase = 'ARR'),
-near AS (SELECT dp.mvt_id, e.eid, abs(e.t - dp.t) AS d, row_number() OVER (PARTITION BY dp.mvt_id ORDER BY CASE WHEN e.t <= dp.t THEN e.t END DESC NULLS LAST, e.eid DESC) AS back,
-  row_number() OVER (PARTITION BY dp.mvt_id ORDER BY CASE WHEN e.t >= dp.t THEN e.t END NULLS LAST, e.eid) AS ahead, e.t <= dp.t AS before, e.t >= dp.t AS after FROM dp JOIN ev e ON e.airport = dp.airport AND abs(e.t - dp.t) <= 3600000000),
-every AS (SELECT dp.mvt_id, e.eid, abs(e.t - dp.t) AS d, 0 AS p FROM dp JOIN ev e ON e.airport = dp.airport AND e.c = dp.c AND abs(e.t - dp.t) < 7200000000
+_GREEDY = f"""WITH RECURSIVE {MV}, dp AS (SELECT mvt_id, airport, user_id % 30 AS c, mvt_us AS t FROM mv WHERE phase = 'DEP'),
+ev AS (SELECT airport, user_id % 30 AS c, block_us AS t, mvt_id AS eid FROM mv WHERE phase = 'ARR'),
+near AS (SELECT dp.mvt_id, e.eid, abs(e.t - dp.t) AS d, row_number() OVER (PARTITION BY dp.mvt_id
+ORDER BY CASE WHEN e.t <= dp.t THEN e.t END DESC NULLS LAST, e.eid DESC) AS back,
+  row_number() OVER (PARTITION BY dp.mvt_id ORDER BY CASE WHEN e.t >= dp.t THEN e.t END NULLS LAST, e.eid) AS ahead, e.t <= dp.t AS before,
+e.t >= dp.t AS after FROM dp JOIN ev e ON e.airport = dp.airport AND abs(e.t - dp.t) <= 3600000000),
+every AS (SELECT dp.mvt_id, e.eid, abs(e.t - dp.t) AS d, 0 AS p FROM dp
+JOIN ev e ON e.airport = dp.airport AND e.c = dp.c AND abs(e.t - dp.t) < 7200000000
   UNION ALL SELECT mvt_id, eid, d, 1 FROM near WHERE back = 1 AND before OR ahead = 1 AND after),
 pairs AS (SELECT mvt_id, eid, min(p) AS p, min(d) AS d FROM every GROUP BY 1, 2),
 -- A round takes the pairs that are first of all that are left for both their ids, and drops those that share an id with them.
@@ -353,7 +394,8 @@ walk AS (
   SELECT mvt_id, eid, p, d, false AS hit FROM pairs
   UNION ALL
   SELECT mvt_id, eid, p, d, hit FROM (SELECT *, bool_or(hit) OVER (PARTITION BY mvt_id) AS l, bool_or(hit) OVER (PARTITION BY eid) AS r FROM (
-    SELECT mvt_id, eid, p, d, row_number() OVER (PARTITION BY mvt_id ORDER BY p, d, eid) = 1 AND row_number() OVER (PARTITION BY eid ORDER BY p, d, mvt_id) = 1 AS hit FROM walk WHERE NOT hit))
+    SELECT mvt_id, eid, p, d, row_number() OVER (PARTITION BY mvt_id ORDER BY p, d, eid) = 1 AND row_number() OVER (PARTITION BY eid
+ORDER BY p, d, mvt_id) = 1 AS hit FROM walk WHERE NOT hit))
   WHERE hit OR NOT l AND NOT r
 )
 SELECT mvt_id, eid AS event_no, p AS priority, d AS distance FROM walk WHERE hit"""
@@ -376,8 +418,10 @@ def greedy_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Islands
 
 
-@query(f"""WITH {MV}, l AS (SELECT mvt_id, user_id, airport, mvt_us, lag(block_us) OVER w AS before_us, lag(airport) OVER w AS before_apt FROM mv WINDOW w AS (PARTITION BY user_id ORDER BY mvt_us, mvt_id))
-SELECT mvt_id, (mvt_us - before_us) / 1e6 AS ground_time, CASE WHEN before_apt IS NOT NULL THEN (before_apt = airport)::INTEGER END AS same_airport FROM l""")
+@query(f"""WITH {MV}, l AS (SELECT mvt_id, user_id, airport, mvt_us, lag(block_us) OVER w AS before_us, lag(airport) OVER w AS before_apt
+FROM mv WINDOW w AS (PARTITION BY user_id ORDER BY mvt_us, mvt_id))
+SELECT mvt_id, (mvt_us - before_us) / 1e6 AS ground_time, CASE WHEN before_apt IS NOT NULL THEN (before_apt = airport)::INTEGER END AS same_airport
+FROM l""")
 def lag_ground_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time since the previous movement of the same aircraft ended."""
     rows, _, _ = both(spark, sf_dir)
@@ -388,11 +432,14 @@ def lag_ground_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _islands_sql(gap: int, within: int) -> str:
     return f"""WITH {MV}, p AS (SELECT user_id, sec, mvt_id, event_type <> 'purchase' AS g, value, airport FROM mv),
-a AS (SELECT *, lag(sec) OVER w AS ps, lag(g) OVER w AS pg, lead(sec) OVER w AS ns, lead(g) OVER w AS ng FROM p WINDOW w AS (PARTITION BY user_id ORDER BY sec, mvt_id)),
+a AS (SELECT *, lag(sec) OVER w AS ps, lag(g) OVER w AS pg, lead(sec) OVER w AS ns, lead(g) OVER w AS ng FROM p WINDOW w AS (PARTITION BY user_id
+ORDER BY sec, mvt_id)),
 b AS (SELECT *, sum((g AND (ps IS NULL OR NOT pg OR sec - ps >= {gap}))::INTEGER) OVER (PARTITION BY user_id ORDER BY sec, mvt_id) AS seg FROM a),
 c AS (SELECT *, row_number() OVER (PARTITION BY user_id, seg ORDER BY sec, mvt_id) AS i FROM b WHERE g)
-SELECT user_id, seg::BIGINT AS segment, min(sec) AS first_ground, min(CASE WHEN mvt_id % 2 = 0 THEN sec END) AS first_moving, count(*)::BIGINT AS n, max(CASE WHEN i > 1 THEN sec - ps END) AS widest_gap,
-max(CASE WHEN NOT ng AND ns - sec < {within} THEN ns END) AS takeoff, min(CASE WHEN i = 1 THEN value END) AS first_value, min(CASE WHEN i = 1 THEN airport END) AS first_airport, round(avg((mvt_id % 2)::DOUBLE), 9) AS mean_odd
+SELECT user_id, seg::BIGINT AS segment, min(sec) AS first_ground, min(CASE WHEN mvt_id % 2 = 0 THEN sec END) AS first_moving, count(*)::BIGINT AS n,
+max(CASE WHEN i > 1 THEN sec - ps END) AS widest_gap,
+max(CASE WHEN NOT ng AND ns - sec < {within} THEN ns END) AS takeoff, min(CASE WHEN i = 1 THEN value END) AS first_value,
+min(CASE WHEN i = 1 THEN airport END) AS first_airport, round(avg((mvt_id % 2)::DOUBLE), 9) AS mean_odd
 FROM c GROUP BY user_id, seg HAVING takeoff IS NOT NULL"""
 
 
