@@ -17,14 +17,20 @@ def value_counts(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     return df.select(*keys, x).dropna().groupBy(*keys, x).agg(F.count("*").alias("n"))
 
 
+def _octave(x: str) -> Column:
+    """The range of a value, a sixteenth of an octave. Never null, so that a join on it adds no filter that Catalyst would push to
+    the scan, with all that the value is computed from."""
+    v = F.col(x).cast("double")
+    return F.coalesce(F.floor(F.signum(v) * F.log2(1 + F.abs(v)) * 16), F.lit(0).cast("long"))
+
+
 def exact_quantiles(counts: DataFrame, keys: Sequence[str], x: str, qs: dict[str, float], n: str = "n") -> DataFrame:
     """(keys, total, and for each name in qs the quantile, interpolated, and name_rows, how many rows are not above it), from (keys,
     x, n) with each value of a group once.
 
     Values are laid into ranges of a sixteenth of an octave; running totals of the ranges tell which of them hold a quantile,
     and only their values are put in order. So no task holds a group's values, whatever its size."""
-    part = F.floor(F.signum(x) * F.log2(1 + F.abs(x)) * 16)
-    laid = counts.filter(F.col(x).isNotNull()).withColumn("__p", part)
+    laid = counts.filter(F.col(x).isNotNull()).withColumn("__p", _octave(x))
     ranges = laid.groupBy(*keys, "__p").agg(F.sum(n).alias("__pn"))
     earlier = W.partitionBy(*keys).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
     ranges = ranges.select(*keys, "__p", "__pn", F.coalesce(F.sum("__pn").over(earlier), F.lit(0)).alias("__before"), F.sum("__pn").over(W.partitionBy(*keys)).alias("total"))
@@ -147,7 +153,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     """(keys, x, n, rank): each distinct value of each group with its count and average rank. Values are numbered in ranges of a
     sixteenth of an octave, with the ranges' totals added, so that a group of any size is spread over tasks."""
     counts = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("__p", F.floor(F.signum(F.col(x).cast("double")) * F.log2(1 + F.abs(F.col(x).cast("double"))) * 16))
+    counts = counts.withColumn("__p", _octave(x))
     sums = counts.groupBy(*keys, "__p").agg(F.sum("n").alias("__pn"))
     before = F.coalesce(F.sum("__pn").over(W.partitionBy(*keys).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = sums.withColumn("__before", before).drop("__pn")

@@ -18,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def epoch_us(ts: Column) -> Column:
     """Microseconds since the epoch of a timestamp without time zone."""
-    return F.unix_date(ts.cast("date")).cast("long") * 86_400_000_000 + F.hour(ts).cast("long") * 3_600_000_000 + F.minute(ts).cast("long") * 60_000_000 + (F.extract(F.lit("SECOND"), ts) * SECOND).cast("long")
+    since = ts - F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+    return (since.cast("interval second").cast("decimal(18,6)") * SECOND).cast("long")
 
 
 def movements(events: DataFrame) -> DataFrame:
