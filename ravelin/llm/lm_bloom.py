@@ -279,7 +279,7 @@ def gather(docs: DataFrame, text_col: str, segments: int, chunk: int, hashes: in
         give_back()
 
     sent = docs.select(text_col).mapInArrow(count, PACKED)
-    return sent.repartition(max(segments // 4, 1), "seg").sortWithinPartitions("seg").mapInArrow(merge, GATHERED)
+    return sent.repartition(segments, "seg").sortWithinPartitions("seg").mapInArrow(merge, GATHERED)
 
 
 def fit(docs: DataFrame, text_col: str = "text", hashes: int = 6, base: float = 1.5, max_bytes: int = 128 << 20, hot_words: int = 400_000, mu: float = 4.0, chunk: int = 2 << 20, key: bytes = KEY) -> tuple[Model, DataFrame, DataFrame]:
