@@ -12,9 +12,9 @@ the first segment and those pieces. Keys are the longer, and the more, the more
 that chance meetings don't grow with their square. No link is missed.
 
 Wide fingerprints are for similar texts, whose shingles overlap in `similarity` (Jaccard) or more: at 0.8 about 15 % of bits differ,
-too many for exact pieces of 64 bits. They have 704 bits or more, in segments of two bytes (three from `WIDER` on), and meet under
+too many for exact pieces of 64 bits. They have 576 bits or more, in segments of two bytes (three from `WIDER` on), and meet under
 one whole segment. Two texts of similarity s agree in a bit with probability 1 - acos(2s / (1 + s)) / pi, so there are as many
-segments as give all but a fortieth of pairs at the threshold a whole one. The budget is what 97 % of such pairs keep to.
+segments as give all but a twenty-fifth of pairs at the threshold a whole one. The budget is what 97 % of such pairs keep to.
 
 Work is on distinct fingerprints, each standing for the smallest id that has it. Meetings are sorted and streamed through a
 task, some at a time. Meetings of over `block` fingerprints are cut into blocks, and each pair of blocks is a meeting of its own,
@@ -196,8 +196,8 @@ class Wide:
         self.segment = 2 if n < WIDER else 3
         whole = (1 - apart) ** (8 * self.segment)
         #: Words that are compared; the rest of a fingerprint only gives keys.
-        self.compared = 11
-        self.segments = ceil(log(40) / -log(1 - whole))
+        self.compared = 9
+        self.segments = ceil(log(25) / -log(1 - whole))
         self.words = max(self.compared, -(-self.segments * self.segment // 8))
         bits = 64 * self.compared
         spread = sqrt(bits * apart * (1 - apart))
