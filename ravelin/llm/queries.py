@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_ann, chat_windows, html_main, lm_bloom, quality_gbdt
+from . import additive_ann, chat_windows, fill_middle, html_main, lm_bloom, merkle, mixing, quality_gbdt
 from . import line_dedup as lines
 from . import piece_codec as pieces
 from . import simhash, substring_fm, wu_manber
@@ -172,6 +172,78 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hi
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    told = [F.regexp_replace("text", "\n", "") if c == "text" else F.col(c) for c in merkle.FIELDS]
+    tampered = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.col("text").contains("\n")
+    proved = merkle.manifest(docs, claim=F.when(tampered, merkle.leaf(told)))
+    folded = merkle.fold(F.col("claim"), F.col("siblings"), F.col("places"))
+    proved = proved.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("siblings")).alias("proof_sha256"), folded.alias("folded_root"))
+    return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE ids AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 2 = 0 AS tampered FROM documents
+), fields AS (
+  SELECT doc_id, source, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS body, CASE WHEN tampered THEN replace(text, chr(10), '') ELSE text END AS claim FROM ids
+), hashed AS (SELECT doc_id, source, sha256(head || body) AS leaf, sha256(head || coalesce(strlen(claim) || ':' || claim, '-')) AS claim FROM fields),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed),
+nodes AS (
+  SELECT source, 0 AS level, pos, leaf AS h FROM leaves
+  UNION ALL
+  SELECT source, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM nodes) WHERE n > 1 GROUP BY source, level, pos // 3
+), subroots AS (SELECT source, level AS height, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM (SELECT *, max(level) OVER (PARTITION BY source) AS top FROM nodes) WHERE level = top),
+tops AS (
+  SELECT 0 AS level, pos, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS n FROM tops) WHERE n > 1 GROUP BY level, pos // 3
+), root AS (SELECT h AS root, level AS rise FROM tops ORDER BY level DESC LIMIT 1),
+walk AS (
+  SELECT l.source, l.pos AS leaf_pos, 0 AS step, height + rise AS steps, height, l.pos, l.claim AS h, '' AS proof FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source, root
+  UNION ALL
+  SELECT w.source, w.leaf_pos, w.step + 1, w.steps, w.height, w.at // 3, sha256(b.before || w.h || b.after), w.proof || b.before || b.after
+  FROM (SELECT w.*, CASE WHEN w.step = w.height THEN s.pos ELSE w.pos END AS at FROM walk w JOIN subroots s ON w.source IS NOT DISTINCT FROM s.source WHERE w.step < w.steps) w
+  JOIN LATERAL (
+    SELECT coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE pos < w.at), '') AS before, coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE pos > w.at), '') AS after
+    FROM (SELECT pos, h FROM nodes n WHERE w.step < w.height AND n.source IS NOT DISTINCT FROM w.source AND n.level = w.step AND n.pos // 3 = w.at // 3
+      UNION ALL SELECT pos, h FROM tops t WHERE w.step >= w.height AND t.level = w.step - w.height AND t.pos // 3 = w.at // 3)
+  ) b ON true
+)
+SELECT l.doc_id, l.leaf, s.subroot, root.root, sha256(w.proof) AS proof_sha256, w.h AS folded_root, w.h = root.root AS verified
+FROM walk w JOIN leaves l ON w.source IS NOT DISTINCT FROM l.source AND w.leaf_pos = l.pos JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source, root WHERE w.step = w.steps
+"""
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filled = fill_middle.fill_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return filled.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents
+), drawn AS (
+  SELECT doc_id, body, t, len(t)::BIGINT AS n, ('0x' || d[1:8])::BIGINT % (len(t) + 1) AS a, ('0x' || d[9:16])::BIGINT % (len(t) + 1) AS b,
+    CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR ('0x' || d[17:24])::BIGINT % 100 >= 90 THEN 'plain' WHEN ('0x' || d[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM docs
+), cut AS (
+  SELECT doc_id, body, n, form, array_to_string(t[1 : least(a, b)], '') AS prefix, array_to_string(t[least(a, b) + 1 : greatest(a, b)], '') AS middle, array_to_string(t[greatest(a, b) + 1 :], '') AS suffix FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(body) AS restored_sha256
+FROM cut
+"""
+
+
+def op13_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.taken().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
@@ -184,6 +256,9 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_mix_sources": op13_mix_sources,
 }
 
 SQL = {
@@ -192,4 +267,6 @@ SQL = {
     "op9_substring_dedup": OP9_SQL,
     "op3_nearest": OP3_SQL,
     "op2_line_dedup": OP2_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op12_fill_middle": OP12_SQL,
 }

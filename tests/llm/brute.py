@@ -1,8 +1,10 @@
 """The operators' definitions, written out plainly for small inputs."""
 
+import hashlib
 import math
 import re
 from collections import Counter
+from fractions import Fraction
 from itertools import combinations
 
 import xxhash
@@ -127,3 +129,69 @@ def contamination(texts, items, size=13):
                     found |= p
         out.append((len(w), len(hit), sorted(str(x) for x in found if x is not None)))
     return out
+
+
+def manifest(rows, claims, fanout=3):
+    """[(id, leaf, subroot, root, proof digest, folded root)] for rows (id, source, other fields ...) and the leaves claimed of them."""
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    leaf = lambda row: h("".join("-" if x is None else f"{len(str(x).encode())}:{x}" for x in row))
+
+    def tree(nodes):
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            levels.append([h("".join(levels[-1][i : i + fanout])) for i in range(0, len(levels[-1]), fanout)])
+        return levels
+
+    def climb(levels, i, now):
+        beside = []
+        for level in levels[:-1]:
+            run = level[i - i % fanout : i - i % fanout + fanout]
+            beside += run[: i % fanout] + run[i % fanout + 1 :]
+            run[i % fanout] = now
+            now, i = h("".join(run)), i // fanout
+        return beside, now
+
+    order = lambda s: (s is not None, (s or "").encode())
+    groups = {}
+    for row, claim in zip(rows, claims, strict=True):
+        groups.setdefault(row[1], []).append((row[0] is not None, row[0] or 0, leaf(row), leaf(claim), row[0]))
+    names = sorted(groups, key=order)
+    trees = [tree([x[2] for x in sorted(groups[s], key=lambda x: x[:4])]) for s in names]
+    top = tree([t[-1][0] for t in trees])
+    out = []
+    for k, s in enumerate(names):
+        for i, x in enumerate(sorted(groups[s], key=lambda x: x[:4])):
+            beside, now = climb(trees[k], i, x[3])
+            more, now = climb(top, k, now)
+            out.append((x[4], x[2], trees[k][-1][0], top[-1][0], h("".join(beside + more)), now))
+    return out
+
+
+def filled_middle(doc_id, text):
+    """(n, form, prefix chars, middle chars, output)."""
+    text = text or ""
+    tokens = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+    d = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(d[i : i + 8], 16) for i in (0, 8, 16, 24)]
+    n = len(tokens)
+    if not text or "<P>" in text or "<S>" in text or "<M>" in text or h[2] % 100 >= 90:
+        return n, "plain", None, None, text
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    p, m, s = ("".join(x) for x in (tokens[:a], tokens[a:b], tokens[b:]))
+    return (n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}") if h[3] % 100 < 20 else (n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}")
+
+
+def mix_targets(sizes, weights=(5, 2, 1), most=3):
+    """{source: target} for {source: words}, null last."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, open_, left = {}, set(names), Fraction(sum(sizes.values()))
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > most * sizes[s]}
+        if not over:
+            return target | {s: float(x) for s, x in share.items()}
+        target |= {s: float(most * sizes[s]) for s in over}
+        left -= sum(most * sizes[s] for s in over)
+        open_ -= over
+    return target
