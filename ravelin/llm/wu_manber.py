@@ -2,8 +2,9 @@
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. An item's patterns are its windows of `size`
 consecutive words, or the whole item if it is shorter. Patterns of one length share a matcher: a shift table over hashed
-blocks of two words tells how far a scan may jump, blocks that end a pattern lead to a bucket (told by the first block too),
-and the words themselves are compared there, so that a hit is never a guess of a hash. Many stretches of documents are
+blocks of two words tells how far a scan may jump, blocks that end a pattern lead to a bucket (told by the words before, too),
+and the words themselves are compared there, so that a hit is never a guess of a hash. Equal windows, of one item or of many, are
+one pattern with a list of items, so repeated words and shared templates cost no more than others. Many stretches of documents are
 scanned at once, each with its own place, in numpy.
 
 Patterns lie in packed arrays: the words' bytes and hashes, the places where windows begin, sorted by bucket, and one byte
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_map, free, materialise, texts
+from .shared import arrow_map, free, materialise, release, texts
 from .words import _A, KEY, mix, span_hashes, word_spans
 
 #: Letters, digits and all bytes from 0x80 are kept, A-Z lower-cased, the rest becomes a space.
@@ -50,16 +52,45 @@ def _block(hashes: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
     return mix(hashes[end - 1] * _A + hashes[end]) if width == 2 else hashes[end]
 
 
+def same_windows(ids: np.ndarray, m: int) -> np.ndarray:
+    """A number for the m consecutive ids from each place on, equal for equal ones: of stretches twice as long, again and again."""
+    rank, length = ids.astype(np.int64), 1
+    while length < m:
+        step = min(length, m - length)
+        pair = rank[: len(rank) - step] * (int(rank.max(initial=0)) + 1) + rank[step:]
+        rank, length = np.unique(pair, return_inverse=True)[1].astype(np.int64), length + step
+    return rank
+
+
 class Matcher:
-    """The windows of m words of some items, in packed arrays."""
+    """The different windows of m words of some items, in packed arrays; a window of many items is one pattern with a list."""
 
-    def __init__(self, m: int, hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> None:
+    def __init__(self, m: int, hashes: np.ndarray, ids: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> None:
         self.m, self.block = m, min(2, m)
         self.jump = m - self.block + 1
         windows = np.repeat(first, sizes - m + 1) + _ramp(sizes - m + 1)
-        keys = self.bucket(hashes, windows)
+        item = np.repeat(np.arange(len(first), dtype=np.int64), sizes - m + 1)
+        same = same_windows(ids, m)[windows]
+        # Each pattern's items, once; patterns with the same items share a list.
+        order = np.lexsort((item, same))
+        same, item, windows = same[order], item[order], windows[order]
+        fresh = np.concatenate([[True], (same[1:] != same[:-1]) | (item[1:] != item[:-1])]) if len(same) else np.zeros(0, bool)
+        same, item, windows = same[fresh], item[fresh], windows[fresh]
+        begin = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]])) if len(same) else np.zeros(0, np.int64)
+        n = np.diff(np.append(begin, len(same)))
+        lists: dict[bytes, int] = {}
+        self.lists: list[np.ndarray] = []
+        owner = item[begin]
+        for k in np.flatnonzero(n > 1).tolist():
+            own = item[begin[k] : begin[k] + n[k]].astype(np.int32)
+            at = lists.setdefault(own.tobytes(), len(lists))
+            if at == len(self.lists):
+                self.lists.append(own)
+            owner[k] = -1 - at  # of the list
+        at = windows[begin]
+        keys = self.bucket(hashes, at)
         order = np.argsort(keys)
-        self.keys, self.at = keys[order], windows[order].astype(np.int32)
+        self.keys, self.at, self.owner = keys[order], at[order].astype(np.int32), owner[order].astype(np.int32)
         # The q-th word of an item ends a window from the m-th word on; before, windows end m - 1 - q words later.
         q = _ramp(sizes)
         q, end = q[inside := q >= self.block - 1], (np.repeat(first, sizes) + q)[inside]
@@ -67,12 +98,18 @@ class Matcher:
         self.shift = np.full(1 << self.bits, self.jump, dtype=np.uint8)
         np.minimum.at(self.shift, self.slot(_block(hashes, end, self.block)), np.maximum(m - 1 - q, 0).astype(np.uint8))
 
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.at, self.owner, self.shift, *self.lists))
+
     def slot(self, key: np.ndarray) -> np.ndarray:
         return key >> np.uint64(64 - self.bits)
 
     def bucket(self, hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
-        last = _block(hashes, start + self.m - 1, self.block)
-        return last if self.m <= 2 else mix(last * _A + _block(hashes, start + 1, 2))
+        """The suffix block's key, and the words before it mixed in, so that a bucket has one pattern but for chance."""
+        key = _block(hashes, start + self.m - 1, self.block)
+        for j in range(self.m - self.block):
+            key = mix(key * _A + hashes[start + j])
+        return key
 
     def candidates(self, hashes: np.ndarray, begins: np.ndarray, sizes: np.ndarray, stretch: int = 2048) -> np.ndarray:
         """Where windows may begin: all stretches advance together, each by what the shift table allows."""
@@ -91,7 +128,7 @@ class Matcher:
         return np.concatenate([np.zeros(0, np.int64), *found]) - (self.m - 1)
 
     def pairs(self, hashes: np.ndarray, start: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(candidate, window) of one bucket, so many at a time."""
+        """(candidate, pattern) of one bucket, so many at a time."""
         key = self.bucket(hashes, start)
         low = np.searchsorted(self.keys, key)
         n = np.searchsorted(self.keys, key, side="right") - low
@@ -100,7 +137,7 @@ class Matcher:
         for a in range(0, int(total[-1]) if len(total) else 0, most):
             each = np.arange(a, min(a + most, int(total[-1])))
             which = np.searchsorted(total, each, side="right")
-            yield start[which], self.at[low[which] + each - (total[which] - n[which])].astype(np.int64)
+            yield start[which], low[which] + each - (total[which] - n[which])
 
 
 def _ramp(n: np.ndarray) -> np.ndarray:
@@ -113,40 +150,58 @@ class Patterns:
 
     def __init__(self, items: list[tuple[int, bytes]], size: int) -> None:
         self.numbers = np.array([n for n, _ in items], dtype=np.int64)
-        self.raw, starts, ends, sizes = word_spans([b" ".join(words_of(t)) for _, t in items])
-        self.hashes = span_hashes(self.raw, starts, ends, KEY)[0]
+        split = [words_of(t) for _, t in items]
+        named: dict[bytes, int] = {}
+        ids = np.array([named.setdefault(w, len(named)) for x in split for w in x], dtype=np.int64)
+        self.raw, starts, ends, sizes = word_spans([b" ".join(x) for x in split])
+        hashes = span_hashes(self.raw, starts, ends, KEY)[0]
         self.starts, self.ends = starts.astype(np.int32), ends.astype(np.int32)
-        self.first = np.cumsum(sizes) - sizes
-        width = np.minimum(size, sizes)
-        self.matchers = [Matcher(m, self.hashes, self.first[width == m], sizes[width == m]) for m in np.unique(width[width > 0]).tolist()]
+        first, width = np.cumsum(sizes) - sizes, np.minimum(size, sizes)
+        self.matchers = []
+        for m in np.unique(width[width > 0]).tolist():
+            own = np.flatnonzero(width == m)
+            matcher = Matcher(m, hashes, ids, first[own], sizes[own])
+            matcher.numbers = self.numbers[own]
+            self.matchers.append(matcher)
 
     def nbytes(self) -> int:
-        own = (self.numbers, self.raw, self.hashes, self.starts, self.ends, self.first)
-        return sum(x.nbytes for x in (*own, *(y for m in self.matchers for y in (m.keys, m.at, m.shift))))
+        own = (self.numbers, self.raw, self.starts, self.ends, *(m.numbers for m in self.matchers))
+        return sum(x.nbytes for x in own) + sum(m.nbytes() for m in self.matchers)
 
     def search_all(self, bodies: list[bytes]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[int]]]:
-        """For each text its words, the merged spans of hit words, and the numbers of the items that occur."""
+        """For each text its words, the merged spans of hit words, and the numbers of the items that occur. A place is compared once
+        with each pattern of its bucket; hit words are marked in an array, and items are listed once for each pattern and text."""
         raw, starts, ends, sizes = word_spans([b.translate(WORD_BYTES) for b in bodies])
         hashes = span_hashes(raw, starts, ends, KEY)[0]
         begins = np.cumsum(sizes) - sizes
-        spans: list[set[tuple[int, int]]] = [set() for _ in bodies]
+        cover = np.zeros(len(hashes) + 1, dtype=np.int64)
         items: list[set[int]] = [set() for _ in bodies]
         for matcher in self.matchers:
             m = matcher.m
-            for start, window in matcher.pairs(hashes, matcher.candidates(hashes, begins, sizes)):
-                same = np.ones(len(start), dtype=bool)
-                for j in range(m):
-                    same &= hashes[start + j] == self.hashes[window + j]
-                start, window = start[same], window[same]
-                text = np.searchsorted(begins, start, side="right") - 1
-                item = self.numbers[np.searchsorted(self.first, window, side="right") - 1]
-                for s, w, t, i in zip(start.tolist(), window.tolist(), text.tolist(), item.tolist(), strict=True):
-                    # The words themselves.
-                    if raw[starts[s] : ends[s + m - 1]].tobytes().split() == self.raw[self.starts[w] : self.ends[w + m - 1]].tobytes().split():
-                        own = s - int(begins[t])
-                        spans[t].add((own, own + m))
-                        items[t].add(i)
-        return sizes, [merged(list(x)) for x in spans], items
+            for start, pattern in matcher.pairs(hashes, matcher.candidates(hashes, begins, sizes)):
+                window = matcher.at[pattern]
+                # The words themselves.
+                said = (raw[a:b].tobytes().split() for a, b in zip(starts[start].tolist(), ends[start + m - 1].tolist(), strict=True))
+                meant = (self.raw[a:b].tobytes().split() for a, b in zip(self.starts[window].tolist(), self.ends[window + m - 1].tolist(), strict=True))
+                same = np.fromiter(map(eq, said, meant), dtype=bool, count=len(start))
+                start, pattern = start[same], pattern[same]
+                np.add.at(cover, start, 1)
+                np.add.at(cover, start + m, -1)
+                text, owner = np.searchsorted(begins, start, side="right") - 1, matcher.owner[pattern].astype(np.int64)
+                for t, i in np.unique(np.stack([text, owner], axis=1), axis=0).tolist():
+                    items[t].update([int(matcher.numbers[i])] if i >= 0 else matcher.numbers[matcher.lists[-1 - i]].tolist())
+        hit = np.concatenate([[False], np.cumsum(cover[:-1]) > 0, [False]])
+        # Spans end with their text.
+        opens, closes = hit[1:-1] & ~hit[:-2], hit[1:-1] & ~hit[2:]
+        inner = begins[(sizes > 0) & (begins > 0)]
+        both = inner[hit[inner] & hit[inner + 1]]
+        opens[both], closes[both - 1] = True, True
+        opens, closes = np.flatnonzero(opens), np.flatnonzero(closes)
+        text = np.searchsorted(begins, opens, side="right") - 1
+        spans: list[list[tuple[int, int]]] = [[] for _ in bodies]
+        for t, a, b in zip(text.tolist(), (opens - begins[text]).tolist(), (closes + 1 - begins[text]).tolist(), strict=True):
+            spans[t].append((a, b))
+        return sizes, spans, items
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Merged spans of hit words, and the numbers of the items that occur, in one text."""
@@ -208,12 +263,16 @@ def find_items(
     schema = T._parse_datatype_string(f"`{n_words}` long, `{spans_col}` {SPANS}, `{items_col}` array<string>")
     df = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in out])
 
+    if groups > 1:  # each pass reads them
+        items = materialise(items, "items")
+
     def group(g: int):
         rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(groups)) == g).collect()  # a group, hashing evens them out
-        return _searcher(spark.sparkContext.broadcast(([r.id for r in rows], [bytes(r.text) for r in rows])), size)
+        sent = spark.sparkContext.broadcast(([r.id for r in rows], [bytes(r.text) for r in rows]))
+        return sent, _searcher(sent, size)
 
     if groups == 1:
-        search = group(0)
+        _, search = group(0)
         return arrow_map(df, lambda batch: dict(zip(out, search(texts(batch, text_col)), strict=True)), schema, df.columns)
 
     row = free(df.columns, "__rv_a", "__rv_b")
@@ -223,10 +282,12 @@ def find_items(
     hits = T._parse_datatype_string(f"n long, spans {SPANS}, items array<string>")
     found = None
     for g in range(groups):
-        search = group(g)
+        sent, search = group(g)
         got = arrow_map(keyed.select(*row, F.col(f"`{text_col}`").alias("body")), lambda batch, search=search: dict(zip(hits.names, search(texts(batch, "body")), strict=True)), hits, row)
         part = materialise(got.filter("size(spans) > 0").select(*row, "spans", "items"), "hits")
         found = part if found is None else found.unionByName(part)
+        sent.destroy()
+    release(items)
     # Rows that are wholly equal have equal hits; of each group's one is enough.
     found = found.groupBy(*row).agg(F.collect_set("spans").alias(own_spans), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias(own_items))
 
