@@ -11,10 +11,11 @@ three in two). What follows the first segment is cut into pieces of which so man
 the first segment and those pieces. Keys are the longer, and the more, the more fingerprints there are (`meeting_keys`), so
 that chance meetings don't grow with their square. No link is missed.
 
-Wide fingerprints are for similar texts, whose shingles overlap in `similarity` (Jaccard) or more: at 0.8 about 15 % of bits differ,
-too many for exact pieces of 64 bits. They have 576 bits or more, in segments of two bytes (three from `WIDER` on), and meet under
-one whole segment. Two texts of similarity s agree in a bit with probability 1 - acos(2s / (1 + s)) / pi, so there are as many
-segments as give all but a twenty-fifth of pairs at the threshold a whole one. The budget is what 97 % of such pairs keep to.
+Wide fingerprints are for similar texts, whose sets of shingles overlap in `similarity` (Jaccard) or more: at 0.8 about 15 % of bits
+differ, too many for exact pieces of 64 bits. They have 576 bits or more, in segments of two bytes (three from `WIDER` on), and meet
+under one whole segment. Two sets of similarity s agree in a bit with probability 1 - acos(2s / (1 + s)) / pi, so there are as many
+segments as give all but a hundredth of pairs at the threshold a whole one. The budget is what 99.5 % of such pairs keep to. Wide
+fingerprints only propose: each link is confirmed by the sets themselves (`_confirmed`), so nothing below the similarity links.
 
 Work is on distinct fingerprints, each standing for the smallest id that has it. Meetings are sorted and streamed through a
 task, some at a time. Meetings of over `block` fingerprints are cut into blocks, and each pair of blocks is a meeting of its own,
@@ -29,6 +30,7 @@ ties have the smallest id; an empty table gives an empty table; other columns ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import combinations
 from math import acos, ceil, log, pi, sqrt
 
@@ -71,8 +73,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return arrow_map(docs.select(id_col, text_col), run, T.StructType([T.StructField(out, T.LongType())]), [id_col])
 
 
-def wide_fingerprints(bodies: list[bytes], shingle: int, words: int) -> np.ndarray:
-    """A fingerprint of `words` * 64 bits for each text, for all texts at once."""
+def shingle_sets(bodies: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the different shingles' hashes, ascending, one text after another; how many each text has)."""
     (hashes,), sizes = word_stream([b.lower() for b in bodies], KEY)
     first = np.cumsum(sizes) - sizes
     grams, at = np.zeros(len(hashes), dtype=np.uint64), np.arange(len(hashes))
@@ -81,13 +83,23 @@ def wide_fingerprints(bodies: list[bytes], shingle: int, words: int) -> np.ndarr
         inside = at + j < (first + sizes)[text]
         grams[inside] = mix(grams[inside] * _A + hashes[at[inside] + j])
     count = np.where(sizes > 0, np.maximum(sizes - shingle + 1, 1), 0)
-    grams = grams[at - first[text] < count[text]]
-    out = np.zeros((len(bodies), words), dtype=np.uint64)
+    whole = at - first[text] < count[text]
+    grams, text = grams[whole], text[whole]
+    order = np.lexsort((grams, text))
+    grams, text = grams[order], text[order]
+    fresh = np.ones(len(grams), dtype=bool)
+    fresh[1:] = (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])
+    return grams[fresh], np.bincount(text[fresh], minlength=len(bodies))
+
+
+def wide_fingerprints(grams: np.ndarray, count: np.ndarray, words: int) -> np.ndarray:
+    """A fingerprint of `words` * 64 bits for each set of shingles, for all at once."""
+    out = np.zeros((len(count), words), dtype=np.uint64)
     if not len(grams):
         return out
     # Stretches of 255 shingles at most, whose bits are added up in bytes.
     cuts = -(-count // 255)
-    owner = np.repeat(np.arange(len(sizes)), cuts)
+    owner = np.repeat(np.arange(len(count)), cuts)
     begin = np.repeat(np.cumsum(count) - count, cuts) + 255 * (np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts))
     some = np.flatnonzero(count)
     ones = np.uint64(0x0101010101010101)
@@ -102,6 +114,14 @@ def wide_fingerprints(bodies: list[bytes], shingle: int, words: int) -> np.ndarr
     return out
 
 
+def overlap(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two ascending sets have so much in common, by Jaccard; two empty ones have."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return same >= similarity * (len(a) + len(b) - same)
+
+
 def segments(budget: int, bits: int = 64) -> list[tuple[int, int]]:
     """(shift, width) of the ring's budget + 1 segments."""
     m = budget + 1
@@ -191,17 +211,17 @@ class Wide:
 
     together = 256
 
-    def __init__(self, similarity: float, n: int = 0) -> None:
+    def __init__(self, similarity: float, n: int = 0, wider: int = WIDER) -> None:
         apart = acos(2 * similarity / (1 + similarity)) / pi
-        self.segment = 2 if n < WIDER else 3
+        self.segment = 2 if n < wider else 3
         whole = (1 - apart) ** (8 * self.segment)
         #: Words that are compared; the rest of a fingerprint only gives keys.
         self.compared = 9
-        self.segments = ceil(log(25) / -log(1 - whole))
+        self.segments = ceil(log(100) / -log(1 - whole))
         self.words = max(self.compared, -(-self.segments * self.segment // 8))
         bits = 64 * self.compared
         spread = sqrt(bits * apart * (1 - apart))
-        self.budget = int(bits * apart + 1.9 * spread)
+        self.budget = int(bits * apart + 2.6 * spread)
         #: A chain from a whole segment on may run ahead of its share by what chance does.
         self.share = [(k + 1) * self.budget / self.compared + 3 * 8 * sqrt((k + 1) * apart * (1 - apart)) for k in range(self.compared)]
         self.share[-1] = self.budget
@@ -296,8 +316,9 @@ def meetings(rows: pa.Table, rule: Narrow | Wide) -> tuple[np.ndarray, np.ndarra
     return names[linked_nodes], names[roots[linked_nodes]]
 
 
-def linked_components(keyed: DataFrame, rule: Narrow | Wide, rows: int, block: int, together: int = 200_000) -> DataFrame:
-    """(node, component) from (fp, node, seg, way, key), of about so many rows: those of one way and key meet."""
+def linked_edges(keyed: DataFrame, rule: Narrow | Wide, rows: int, block: int, together: int = 200_000) -> DataFrame:
+    """(a, b), written: edges of spanning forests over the links that each meeting holds, from (fp, node, seg, way, key), of about so
+    many rows; those of one way and key meet."""
     spark = keyed.sparkSession
     crowded = keyed.groupBy("way", "key").count().filter(F.col("count") > block).select("way", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     crowded = materialise(crowded, "crowded")
@@ -330,7 +351,7 @@ def linked_components(keyed: DataFrame, rule: Narrow | Wide, rows: int, block: i
 
     parts = max(partitions(spark), rows // 1_000_000)
     edges = met.repartition(parts, "seg", "meet").sortWithinPartitions("seg", "meet", "side").mapInArrow(run, "a long, b long")
-    out = components(edges)
+    out = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     release(crowded)
     return out
 
@@ -349,38 +370,114 @@ def near_components(prints: DataFrame, id_col: str = "doc_id", fp_col: str = "fp
 
     keyed = distinct.select("fp", "node", F.posexplode(F.array(*[key(pieces) for _, pieces in keys])).alias("way", "key"))
     keyed = keyed.select("fp", "node", F.get(F.array(*[F.lit(s) for s, _ in keys]), F.col("way")).alias("seg"), "way", "key")
-    out = linked_components(keyed, Narrow(budget), n * len(keys), block)
+    edges = linked_edges(keyed, Narrow(budget), n * len(keys), block)
+    out = components(edges)
     release(distinct)
+    release(edges)
     return out
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 2048, chunk: int = 1 << 20) -> DataFrame:
-    """(id, component_id) for ids whose texts are like that of a smaller id, directly or by way of others: whole texts, by
-    shingles of words, at the similarity or more."""
-    docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rule = Wide(similarity, docs.count())
+def _chunks(bodies: list[bytes], chunk: int) -> Iterator[list[bytes]]:
+    at = 0
+    while at < len(bodies):
+        upto, held = at, 0
+        while upto < len(bodies) and (upto == at or held + len(bodies[upto]) <= chunk):
+            held += len(bodies[upto])
+            upto += 1
+        yield bodies[at:upto]
+        at = upto
+
+
+def _sets(docs: DataFrame, rule: Wide, shingle: int, words: int, whole: bool, chunk: int) -> DataFrame:
+    """(id, set, fp) for each row: a digest of its text's set of shingles and the fingerprint; with `grams`, the set, if `whole`."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        bodies, out, at = texts(batch, "text"), [], 0
-        while at < len(bodies):
-            upto, held = at, 0
-            while upto < len(bodies) and (upto == at or held + len(bodies[upto]) <= chunk):
-                held += len(bodies[upto])
-                upto += 1
-            out += [x.tobytes() for x in wide_fingerprints(bodies[at:upto], shingle, rule.words)]
-            at = upto
-        return {"fp": out}
-
-    prints = materialise(arrow_map(docs, run, T.StructType([T.StructField("fp", T.BinaryType())]), ["id"]), "wide")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("node")), "distinct")
+        digests, prints, sets = [], [], []
+        for bodies in _chunks(texts(batch, "text"), chunk):
+            grams, count = shingle_sets(bodies, shingle)
+            prints += [x.tobytes() for x in wide_fingerprints(grams, count, words)]
+            each = [x.tobytes() for x in np.split(grams, np.cumsum(count)[:-1])]
+            digests += [blake2b(x, digest_size=16).digest() for x in each]
+            sets += each if whole else []
+        return {"set": digests, "fp": prints, "grams": sets}
+
+    fields = [T.StructField(c, T.BinaryType()) for c in ("set", "fp", "grams")[: 3 if whole else 2]]
+    return arrow_map(docs, run, T.StructType(fields), ["id"])
+
+
+def _confirmed(edges: DataFrame, sets: DataFrame, rule: Wide, similarity: float, block: int) -> DataFrame:
+    """The components of links that are true by the sets of shingles themselves, from edges that the fingerprints propose.
+
+    Each edge is tested. Where all edges of a proposed component hold, it is a component. Where some don't, other links may
+    hold it together: its parts of true edges are tested against each other, all but the largest part against all, in blocks;
+    texts that are in one part by then need no test."""
+    read = lambda column: [np.frombuffer(x, "<u8") for x in column.to_pylist()]
+    own = lambda at: sets.select(F.col("id").alias(at), F.col("grams").alias(f"{at}_grams"))
+
+    def test(batch: pa.RecordBatch) -> dict:
+        return {"ok": [overlap(x, y, similarity) for x, y in zip(read(batch.column("a_grams")), read(batch.column("b_grams")), strict=True)]}
+
+    tested = arrow_map(edges.join(own("a"), "a").join(own("b"), "b"), test, T.StructType([T.StructField("ok", T.BooleanType())]), ["a", "b"])
+    tested = materialise(tested.groupBy("a", "b").agg(F.bool_or("ok").alias("ok")), "tested")
+    true, false = tested.filter("ok").select("a", "b"), tested.filter("NOT ok")
+    parts = components(true)
+    if false.isEmpty():
+        release(tested)
+        return parts
+    proposed = components(edges)
+    open_ = proposed.join(false.select(F.col("a").alias("node")).distinct(), "node").select(F.col("component").alias("whole")).distinct()
+    rows = proposed.withColumnRenamed("component", "whole").join(open_, "whole").join(parts, "node", "left").select("whole", "node", F.coalesce("component", "node").alias("part"))
+    rows = materialise(rows, "open")
+    sizes = rows.groupBy("whole", "part").count().groupBy("whole").agg(F.max(F.struct("count", "part")).alias("top"), F.sum("count").alias("n"))
+    sizes = materialise(sizes.select("whole", F.col("top.part").alias("top"), F.ceil((F.col("n") - F.col("top.count")) / block).cast("int").alias("nx"), F.ceil(F.col("n") / block).cast("int").alias("ny")), "sizes")
+    placed = rows.join(sizes, "whole").join(sets.select(F.col("id").alias("node"), "fp", "grams"), "node")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.filter("part <> top").select("whole", "part", "fp", "grams", F.lit(0).alias("side"), place("nx").alias("x"), every("ny").alias("y"))
+    right = placed.select("whole", "part", "fp", "grams", F.lit(1).alias("side"), every("nx").alias("x"), place("ny").alias("y"))
+
+    def match(rows: pa.Table) -> pa.Table:
+        part, side, fps, grams = rows.column("part").to_numpy(), rows.column("side").to_numpy(), rule.read(rows.column("fp")), read(rows.column("grams"))
+        tree, size, out = part.copy(), np.fromiter(map(len, grams), dtype=np.int64, count=len(grams)), []
+        theirs = np.flatnonzero(side == 1)
+        for i in np.flatnonzero(side == 0).tolist():
+            others = theirs[tree[theirs] != tree[i]]
+            others = others[np.minimum(size[others], size[i]) >= similarity * np.maximum(size[others], size[i])]
+            others = others[np.bitwise_count(fps[others] ^ fps[i]).sum(axis=1) <= rule.budget]
+            for j in others.tolist():
+                if tree[j] != tree[i] and overlap(grams[i], grams[j], similarity):
+                    out.append((part[i], part[j]))
+                    tree[tree == tree[j]] = tree[i]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    more = left.unionByName(right).groupBy("whole", "x", "y").applyInArrow(match, "a long, b long")
+    out = components(true.unionByName(more))
+    for frame in (tested, parts, proposed, rows, sizes):
+        release(frame)
+    return out
+
+
+def similar_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 2048, chunk: int = 1 << 20, wider: int = WIDER
+) -> DataFrame:
+    """(id, component_id) for ids whose texts are like that of a smaller id, directly or by way of others: whole texts, by the
+    sets of their shingles of words, at the similarity or more."""
+    docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rule = Wide(similarity, docs.count(), wider)
+    prints = materialise(_sets(docs, rule, shingle, rule.words, False, chunk), "wide")
+    distinct = materialise(prints.groupBy("set", "fp").agg(F.min("id").alias("node")), "distinct")
     # A segment's bytes are its key; its place on the ring is its way.
     each = F.posexplode(F.array(*[F.xxhash64(F.substring("fp", i * rule.segment + 1, rule.segment)) for i in range(rule.segments)]))
     keyed = distinct.select(F.substring("fp", 1, 8 * rule.compared).alias("fp"), "node", each.alias("way", "key")).withColumn("seg", F.col("way"))
-    found = linked_components(keyed, rule, distinct.count() * rule.segments, block)
-    nodes = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    nodes = materialise(nodes, "moved")  # its own input of the join, so that a fingerprint many rows have can be split
-    out = materialise(prints.join(nodes, "fp").filter(F.col("component_id") != F.col("id")).select(F.col("id").alias(id_col), "component_id").distinct(), "similar")
-    for frame in (prints, distinct, found, nodes):
+    edges = linked_edges(keyed, rule, distinct.count() * rule.segments, block)
+    nodes = materialise(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
+    sets = _sets(docs.join(nodes, "id", "left_semi"), rule, shingle, rule.compared, True, chunk)
+    sets = materialise(sets.dropDuplicates(["id", "set"]), "sets")
+    found = _confirmed(edges, sets, rule, similarity, max(2, block // 4))
+    moved = distinct.join(found, "node", "left").select("set", F.coalesce("component", "node").alias("component_id"))
+    moved = materialise(moved, "moved")  # its own input of the join, so that a set that many rows have can be split
+    out = materialise(prints.select("id", "set").join(moved, "set").filter(F.col("component_id") != F.col("id")).select(F.col("id").alias(id_col), "component_id").distinct(), "similar")
+    for frame in (prints, distinct, edges, nodes, sets, found, moved):
         release(frame)
     return out
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -115,6 +116,36 @@ def test_patterns_stay_packed():
     assert 7 in p.search(wu_manber.words_of(b"x " + text + b" y"))[1]
 
 
+@pytest.mark.parametrize("case", ["one word", "a template", "equal ends"])
+def test_repeated_words_and_shared_templates_cost_no_more(case):
+    """Equal windows are one pattern, and a place is compared with what can be there only."""
+    rng = random.Random(4)
+    if case == "one word":
+        items, texts = [(0, b"la " * 1000), (1, b"la " * 13)], [b"la " * 2000]
+        want = [(2000, [(0, 2000)], {0, 1})]
+    elif case == "a template":
+        lead = prose(rng, 30).encode()
+        items = [(i, lead + b" " + prose(rng, 20).encode()) for i in range(4000)]
+        texts = [b"a b " + lead + b" zz" for _ in range(20)]
+        n = len(wu_manber.words_of(texts[0]))
+        want = [(n, [(2, n - 1)], set(range(4000)))] * 20
+    else:  # the same first and last words, and others between them
+        items = [(i, f"what is the price of thing{i} in town if you pay in coins".encode()) for i in range(4000)]
+        texts = [b" ".join(f"what is the price of thing{i} in town if you pay in coins".encode() for i in range(900, 1000))]
+        want = [(1300, [(0, 1300)], set(range(900, 1000)))]
+    p = wu_manber.Patterns(items, 13)
+    began = time.process_time()
+    sizes, spans, found = p.search_all(texts)
+    assert [*zip(sizes.tolist(), spans, found, strict=True)] == want
+    assert time.process_time() - began < 1 and (case != "one word" or len(p.matchers[0].keys) == 1)
+
+
+def test_spans_end_with_their_text():
+    p = wu_manber.Patterns([(0, b"a b c"), (1, b"x")], 3)
+    sizes, spans, found = p.search_all([b"a b c", b"", b"a b c x", b"q", b"x a b", b"c"])
+    assert sizes.tolist() == [3, 0, 4, 1, 3, 1] and spans == [[(0, 3)], [], [(0, 4)], [], [(0, 1)], []] and found == [{0}, set(), {0, 1}, set(), {1}, set()]
+
+
 def test_one_very_long_text_is_searched_whole():
     rng = random.Random(2)
     items = [(i, prose(rng, 20).encode()) for i in range(5)]
@@ -187,14 +218,16 @@ def test_longer_keys_come_with_more_fingerprints():
 
 def test_wide_fingerprints_are_majorities():
     texts = [t.encode() for t in ("", " ", "a", "A b", "a b c d e", " ".join(f"w{i % 40}" for i in range(900)), "x y z x y z x y z x y z")]
-    got = simhash.wide_fingerprints(texts, 5, 3)
+    wide = lambda texts: simhash.wide_fingerprints(*simhash.shingle_sets(texts, 5), 3)
+    got = wide(texts)
     assert not got[:2].any() and all(got[i].any() for i in range(2, 7))
-    again = simhash.wide_fingerprints(texts[5:] + [b"A", b"a  B"], 5, 3)
+    again = wide(texts[5:] + [b"A", b"a  B"])
     assert (again[:2] == got[5:]).all() and (again[2:] == got[2:4]).all()  # whatever stands beside them
     (h,), _ = words.word_stream([texts[5]], words.KEY)
     grams = np.zeros(len(h) - 4, dtype=np.uint64)
     for j in range(5):
         grams = words.mix(grams * words._A + h[j : j + len(grams)])
+    grams = np.unique(grams)
     for w in range(3):
         bits = words.mix(grams ^ words.mix(np.array([w + 1], dtype=np.uint64) * words._A))
         want = sum(1 << b for b in range(64) if 2 * int((bits >> np.uint64(b) & np.uint64(1)).sum()) > len(bits))
@@ -233,6 +266,51 @@ def test_similar_texts_are_found(spark, block):
     assert simhash.similar_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def jaccard(a, b, shingle=5):
+    a, b = ({tuple(t[i : i + shingle]) for i in range(len(t) - shingle + 1)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("wider", [simhash.WIDER, 0])
+def test_nothing_below_the_similarity_links(spark, wider):
+    """Around 0.8 the fingerprints propose on both sides; the sets decide."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, pairs = [], []
+    for n in range(260):
+        one = [rng.choice(vocabulary) for _ in range(300)]
+        two = list(one)
+        for i in rng.sample(range(300), 4 + n % 14):
+            two[i] = rng.choice(vocabulary)
+        pairs.append((2 * n, 2 * n + 1, jaccard(one, two)))
+        rows += [(2 * n, " ".join(one)), (2 * n + 1, " ".join(two))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), wider=wider).collect()}
+    linked = [got.get(a, a) == got.get(b, b) for a, b, _ in pairs]
+    below = [x for x, (_, _, j) in zip(linked, pairs, strict=True) if 0.65 < j < 0.8]
+    above = [x for x, (_, _, j) in zip(linked, pairs, strict=True) if j >= 0.8]
+    assert len(below) > 50 and not any(below)
+    assert len(above) > 50 and sum(above) >= 0.95 * len(above)
+
+
+def test_true_links_hold_what_false_ones_proposed(spark):
+    """A ring of texts, each like the next two at most, and a heap of texts all a little too far apart: brute force agrees."""
+    rng = random.Random(10)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(400)]
+    texts = {}
+    for i in range(30):  # a window that slides over a long text
+        texts[i] = base[8 * i : 8 * i + 150]
+    heap = [rng.choice(vocabulary) for _ in range(200)]
+    for i in range(100, 140):
+        texts[i] = list(heap)
+        for k in rng.sample(range(200), 3 if i % 4 else 6):
+            texts[i][k] = f"x{i}.{k}"
+    texts = {i: " ".join(t) for i, t in texts.items()}
+    want = brute.similar_components(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame([*texts.items()], "doc_id long, text string"), block=8).collect()}
+    assert {i: got.get(i, i) for i in texts} == want and 1 < len(set(want.values())) < len(texts)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1000), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
