@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_map, materialise, texts
+from .shared import arrow_map, aside, materialise, texts
 
-KEYS, DROPS = "__rv_keys", "__rv_drops"
+KEYS, DROPS = "keys", "drops"
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -50,9 +50,9 @@ def repeated_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_documents: int = 2, out: tuple[str, str, str] = ("kept_text", "n_lines", "n_dropped")) -> DataFrame:
     """docs with the kept text, the lines before and the lines dropped, under the names in out."""
-    drops = repeated_keys(docs, id_col, text_col, min_chars, min_documents)
-    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in out])
-    joined = plain.join(drops.withColumnRenamed(id_col, "__rv_id"), F.col(f"`{id_col}`") == F.col("__rv_id"), "left").drop("__rv_id")
+    plain, (id_col, text_col), passed = aside(docs, id_col, text_col, drop=out)
+    drops = repeated_keys(plain, id_col, text_col, min_chars, min_documents)
+    joined = plain.join(drops, id_col, "left").select(*plain.columns, DROPS)
 
     def rebuild(batch: pa.RecordBatch) -> dict:
         kept, before, gone = [], [], []
@@ -68,4 +68,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return dict(zip(out, (kept, before, gone), strict=True))
 
     schema = T.StructType([T.StructField(out[0], T.StringType()), T.StructField(out[1], T.LongType()), T.StructField(out[2], T.LongType())])
-    return arrow_map(joined, rebuild, schema, plain.columns)
+    return arrow_map(joined, rebuild, schema, plain.columns).select(*passed, *out)

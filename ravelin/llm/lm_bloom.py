@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import give_back, materialise, partitions, pieces, release, texts
+from .shared import aside, give_back, materialise, partitions, pieces, release, texts
 from .words import _A, KEY, mix, word_stream
 
 END = np.uint64(0x5E7D1C0FFEE01234)
@@ -412,9 +412,9 @@ def lm_score(docs: DataFrame, may_learn, text_col: str = "text", chunk: int = 1
     """docs with n_tokens, n_known, train_tokens, base_score and score, learned from the rows where may_learn holds."""
     spark = docs.sparkSession
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    docs = docs.select(*[c for c in docs.columns if c not in made])
     model, words, parts = fit(docs.filter(may_learn), text_col, **how)
     sent = spark.sparkContext.broadcast(model)
+    docs, (text_col,), passed = aside(docs, text_col, drop=(*made, text_col))
     keep = [c for c in docs.columns]
     new = T._parse_datatype_string("__rv_n long, __rv_known long, __rv_base double, __rv_score double, __rv_tail array<long>, __rv_twins array<long>")
     numbered = docs.withColumn("__rv_row", F.monotonically_increasing_id())
@@ -475,7 +475,6 @@ def lm_score(docs: DataFrame, may_learn, text_col: str = "text", chunk: int = 1
     tails = tails.select("__rv_row", F.col("w.__rv_tail").alias("key"), F.col("w.__rv_twins").alias("twin")).join(words, ["key", "twin"], "left")
     tails = tails.groupBy(F.col("__rv_row").alias("__rv_at")).agg(F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / space)).alias("__rv_more"), F.count("n").alias("__rv_found"))
     out = done.join(tails, F.col("__rv_row") == F.col("__rv_at"), "left")
-    passed = [F.col(f"`{c}`") for c in keep if c != text_col]
     return out.select(
         *passed, F.col("__rv_n").alias("n_tokens"), (F.col("__rv_known") + F.coalesce("__rv_found", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("__rv_base") + F.coalesce("__rv_more", F.lit(0.0))).alias("base_score"), F.col("__rv_score").alias("score"),

@@ -134,14 +134,16 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, ra
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000, **how) -> Forest:
     """A forest from at most max_rows labelled rows for which may_learn (a Column over the id) holds."""
-    picked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & may_learn).select(F.col(id_col).alias("__rv_id"), F.col(label_col).cast("double").alias("__rv_y"))
-    picked = picked.orderBy(F.xxhash64(F.lit("sample"), "__rv_id"), "__rv_id", "__rv_y").limit(max_rows)
-    rows = docs.select(id_col, text_col).join(F.broadcast(picked), F.col(id_col) == F.col("__rv_id")).select("__rv_y", text_col)  # max_rows rows of two numbers
+    order = lambda *more: [F.xxhash64(F.lit("sample"), "id"), "id", "y", *more]
+    picked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & may_learn).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
+    picked = picked.orderBy(*order()).limit(max_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # max_rows rows of two numbers
 
     def measure(batch: pa.RecordBatch) -> dict:
-        return {"x": [statistics(t) for t in texts(batch, text_col)]}
+        return {"x": [statistics(t) for t in texts(batch)]}
 
-    got = arrow_map(rows, measure, T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))]), ["__rv_y"]).toPandas()
+    measured = arrow_map(rows, measure, T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))]), ["id", "y"])
+    got = measured.orderBy(*order("x")).limit(max_rows).select(F.col("y").alias("__rv_y"), "x").toPandas()  # an id may stand in many rows
     got = got.assign(key=got["x"].map(tuple)).sort_values(["key", "__rv_y"]) if len(got) else got  # the same forest however rows arrive
     return fit_forest(np.array(got["x"].tolist()).reshape(-1, len(FEATURES)), got["__rv_y"].to_numpy(dtype=np.float64), **how)
 
@@ -153,5 +155,5 @@ def score(docs: DataFrame, forest: Forest, text_col: str = "text", threshold: fl
         found = forest.score(np.stack([statistics(t) for t in texts(batch, text_col)]))
         return {out[0]: pa.array(found), out[1]: pa.array((found >= threshold).astype(np.int32))}
 
-    df = docs.select(*[c for c in docs.columns if c not in out])
+    df = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in out])
     return arrow_map(df, run, T.StructType([T.StructField(out[0], T.DoubleType()), T.StructField(out[1], T.IntegerType())]), df.columns)

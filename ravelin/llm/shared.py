@@ -6,14 +6,14 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.movements import table
 from ..sources.storage import materialise, release
 
-__all__ = ["arrow_map", "components", "free", "give_back", "held_out", "input_bytes", "materialise", "partitions", "pieces", "release", "table", "texts"]
+__all__ = ["arrow_map", "aside", "components", "free", "give_back", "held_out", "input_bytes", "materialise", "partitions", "pieces", "release", "table", "texts"]
 
 
 #: Rows that a worker turns into Python objects at a time.
@@ -46,6 +46,14 @@ def free(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def aside(docs: DataFrame, *used: str, drop: tuple[str, ...] = ()) -> tuple[DataFrame, list[str], list[Column]]:
+    """docs with its columns under names of their own, so that no name of an operator's can clash; the new names of those used;
+    and the columns, less those in drop, under their old names."""
+    new = {c: f"u{i}" for i, c in enumerate(docs.columns)}
+    named = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in new.items()])
+    return named, [new[c] for c in used], [F.col(n).alias(c) for c, n in new.items() if c not in drop]
+
+
 def arrow_map(
     df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, list | pa.Array]] | dict[str, list | pa.Array]], schema: T.StructType, keep: list[str] | None = None
 ) -> DataFrame:
@@ -54,10 +62,11 @@ def arrow_map(
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = T.StructType([df.schema[c] for c in keep] + list(schema.fields))
-    kinds = to_arrow_schema(schema)
+    kinds, names = to_arrow_schema(schema), df.columns
 
     def run(batches):
         for batch in batches:
+            batch = batch.rename_columns(names)
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 new = fn(part)
@@ -68,7 +77,7 @@ def arrow_map(
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f.name for f in kinds)])
         give_back()
 
-    return df.mapInArrow(run, out)
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, out)  # which takes no dots in names
 
 
 def give_back() -> None:

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .lm_bloom import LogFrequencyFilter, assemble, build_segment, chunks, segment_of
-from .shared import arrow_map, give_back, materialise, pieces, release, texts
+from .shared import arrow_map, aside, give_back, materialise, pieces, release, texts
 from .words import _A, mix, new_key, word_stream
 from .wu_manber import merged
 
@@ -312,7 +312,7 @@ def unpacked(batch: pa.RecordBatch) -> list[bytes]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, gram: int = 8, chunk: int = 3 << 20, shard_words: int = 400_000, filter_bytes: int = 64 << 20, crowd: int = 512, out: tuple[str, str, str] = ("kept_words", "n_words", "stretches")) -> DataFrame:
     """docs (without their text) with the words kept, joined by spaces, the words there were, and the removed [begin, end) stretches of words."""
     spark = docs.sparkSession
-    docs = docs.select(*[c for c in docs.columns if c not in out])
+    docs, (id_col, text_col), passed = aside(docs, id_col, text_col, drop=(*out, text_col))
     hash_key = new_key()
     sent = spark.sparkContext.broadcast(anchor_filters(docs, text_col, length, gram, chunk, crowd, filter_bytes, hash_key))
     keyed = with_row_key(docs, id_col, text_col)
@@ -418,4 +418,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return {out[0]: kept, out[1]: before, out[2]: gone}
 
     span = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    return arrow_map(joined, cut, T.StructType([T.StructField(out[0], T.StringType()), T.StructField(out[1], T.LongType()), T.StructField(out[2], T.ArrayType(span))]), keep)
+    return arrow_map(joined, cut, T.StructType([T.StructField(out[0], T.StringType()), T.StructField(out[1], T.LongType()), T.StructField(out[2], T.ArrayType(span))]), keep).select(*passed, *out)

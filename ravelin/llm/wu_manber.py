@@ -299,7 +299,7 @@ def find_items(
     return arrow_map(keyed.join(found, row, "left"), finish, schema, df.columns)
 
 
-def contamination(found: DataFrame, n_words: str = "n_words", spans: str = "spans", share: int = 20) -> DataFrame:
+def contamination(found: DataFrame, n_words: str = "n_words", spans: str = "spans", share: int = 20, out: tuple[str, str] = ("n_hit", "contaminated")) -> DataFrame:
     """Adds n_hit, and contaminated: hit at all, and in at least one word of `share`."""
     hit = F.coalesce(F.aggregate(F.col(spans), F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"]), F.lit(0).cast("long"))
-    return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col(n_words)))
+    return found.withColumn(out[0], hit).withColumn(out[1], (F.col(out[0]) > 0) & (share * F.col(out[0]) >= F.col(n_words)))

@@ -76,6 +76,49 @@ def test_stages_keep_the_columns(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "simhash_near_dedup", "decontaminate", "sentencepiece"]
 
 
+#: Names that operators and stages use themselves, or did.
+INNER = "__rv_id __rv_drops __rv_row __rv_n __rv_at __rv_z __rv_a __rv_b __rv_spans __rv_x __rv_host keys drops u0 u1 u2 id y x fp set grams node seg way key side score predicted kept lines dropped words spans items hit contaminated g n rank digest claim start size block n_words kept_text a.b"
+
+
+def test_columns_of_any_name_pass_through(spark, hard_docs):
+    """Operators that pass columns on, and the stages, with a column of each inner name."""
+    from pyspark.sql import functions as F
+
+    from ravelin.llm import fill_middle, line_dedup, lm_bloom, piece_codec, quality_gbdt, substring_fm, wu_manber
+
+    names = INNER.split()
+    plain = hard_docs.select("doc_id", "text", "n_chars")
+    docs = plain.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    forest = quality_gbdt.fit(docs, spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int"), F.lit(True))
+    out = {
+        "op1": lm_bloom.lm_score(docs, ~held_out("doc_id", 5, 1)), "op2": line_dedup.line_dedup(docs), "op4": quality_gbdt.score(docs, forest), "op9": substring_fm.remove_repeats(docs), "op12": fill_middle.fill_middle(docs),
+        "op10": wu_manber.find_items(docs, items), "op8": piece_codec.encode_digests(docs.drop("text").withColumn("text", F.col("doc_id").cast("string")), tokenizer_path(), keep=["doc_id", *[f"{n}" for n in names if "." not in n]]),
+        **{name: stage(spark, docs, DATA) for name, stage in corpus_pipeline.STAGES[1:-1]},
+    }
+    new = {"op1": {"score"}, "op2": {"kept_text", "n_lines", "n_dropped"}, "op4": {"score", "predicted"}, "op9": {"n_words"}, "op10": {"n_words", "spans", "items"}, "op12": {"n"}}
+    for name, got in out.items():
+        kept = [n for n in names if n in got.columns and n not in new.get(name, ())]
+        assert name == "op8" or set(names) - set(got.columns) <= {"kept_text"}, name
+        rows = got.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(kept)]).distinct().collect()
+        assert [list(r) for r in rows] == [[f"own {n}" for n in kept]], name
+
+
+def test_an_id_in_many_rows_sends_no_more_rows_to_the_driver(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(3000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    seen = []
+    plain = quality_gbdt.fit_forest
+    try:
+        quality_gbdt.fit_forest = lambda x, y, **how: seen.append(len(y)) or plain(x, y, **how)
+        quality_gbdt.fit(docs, labels, F.lit(True), max_rows=50)
+    finally:
+        quality_gbdt.fit_forest = plain
+    assert seen == [50]
+
+
 def test_stages_take_hard_documents(spark, hard_docs, no_docs):
     """Nulls, repeated rows, clashing names and an empty table pass through every stage."""
     for docs, some in ((hard_docs, True), (no_docs, False)):
