@@ -2,8 +2,8 @@
 
 quality_classifier   keeps the documents that the classifier predicts to be good
 line_dedup           takes out repeated lines, keeping each in the smallest doc_id that holds it
-simhash_near_dedup   keeps one document, that of the smallest doc_id, of each group of near copies: texts whose shingles of five
-                     words overlap by 0.8 or more, as wide SimHashes tell it, and what they link
+simhash_near_dedup   keeps one document, that of the smallest doc_id, of each group of near copies: texts whose sets of shingles
+                     of five words overlap by 0.8 or more, and what they link; wide SimHashes propose, the sets decide
 decontaminate        drops documents that benchmark windows cover in a twentieth of their words or more
 sentencepiece        returns token counts and digests of the documents that are left
 
@@ -22,34 +22,41 @@ from pyspark.sql import functions as F
 
 from ravelin.llm import line_dedup, piece_codec, quality_gbdt, simhash, wu_manber
 from ravelin.llm.queries import tokenizer_path
-from ravelin.llm.shared import held_out, materialise, release, table
+from ravelin.llm.shared import free, held_out, materialise, release, table
 
 #: The near-dedup stage's word shingles, and the similarity from which on a text is a near copy.
 SHINGLE, SIMILARITY = 5, 0.8
 
 
+def columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     forest = quality_gbdt.fit(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2))
-    return quality_gbdt.score(docs, forest, out=("__score", "__predicted")).filter("__predicted = 1").select(docs.columns)
+    score, predicted = free(docs.columns, "score", "predicted")
+    return quality_gbdt.score(docs, forest, out=(score, predicted)).filter(F.col(predicted) == 1).select(*columns(docs))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = line_dedup.line_dedup(docs, out=("__kept", "__lines", "__dropped"))
-    changed = F.col("__dropped") > 0
-    new = {"text": F.when(changed, F.col("__kept")).otherwise(F.col("text"))}
+    kept, lines, dropped = free(docs.columns, "kept", "lines", "dropped")
+    cut = line_dedup.line_dedup(docs, out=(kept, lines, dropped))
+    changed = F.col(dropped) > 0
+    new = {"text": F.when(changed, F.col(kept)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("__kept").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumns(new).select(docs.columns)
+        new["n_chars"] = F.when(changed, F.length(kept).cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumns(new).select(*columns(docs))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = simhash.similar_components(docs, shingle=SHINGLE, similarity=SIMILARITY).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*columns(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = wu_manber.find_items(docs, table(spark, sf_dir, "benchmark"), out=("__words", "__spans", "__items"))
-    return wu_manber.contamination(found, "__words", "__spans").filter(~F.col("contaminated")).select(docs.columns)
+    words, spans, items, hit, contaminated = free(docs.columns, "words", "spans", "items", "hit", "contaminated")
+    found = wu_manber.find_items(docs, table(spark, sf_dir, "benchmark"), out=(words, spans, items))
+    return wu_manber.contamination(found, words, spans, out=(hit, contaminated)).filter(~F.col(contaminated)).select(*columns(docs))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
