@@ -74,19 +74,15 @@ def transform(text: str, doc_id: int | None, split, plain_from: int = 90, spm_be
 
 
 def restored(output: Column, form: Column) -> Column:
-    """The text that an output was made from, read back from output and form alone. No text holds a mark, and a mark can't begin
-    in what stands before it, so the first is the one."""
-    after = lambda x, head: F.substring(x, F.length(head) + 4, F.length(x))  # noqa: E731  what follows a head and its mark
-    body = F.substring(output, F.lit(4), F.length(output))
-
-    def parts(second: str) -> tuple[Column, Column, Column]:
-        one = F.substring_index(body, second, 1)
-        rest = after(body, one)
-        two = F.substring_index(rest, MIDDLE, 1)
-        return one, two, after(rest, two)
-
-    (prefix, suffix, middle), (last, first, filled) = parts(SUFFIX), parts(PREFIX)
-    return F.when(form == "plain", output).when(form == "spm", F.concat(first, filled, last)).otherwise(F.concat(prefix, middle, suffix))
+    """The text that an output was made from, read back from output and form alone. No text holds a mark, and neither what stands
+    before a mark nor what follows can make part of it one, so each is found from either side, by bytes."""
+    head, middle = F.substring_index(output, MIDDLE, 1), F.substring_index(output, MIDDLE, -1)
+
+    def parts(first: str, second: str) -> tuple[Column, Column]:
+        return F.substring_index(F.substring_index(head, second, 1), first, -1), F.substring_index(head, second, -1)
+
+    (prefix, suffix), (last, start) = parts(PREFIX, SUFFIX), parts(SUFFIX, PREFIX)
+    return F.when(form == "plain", output).when(form == "spm", F.concat(start, middle, last)).otherwise(F.concat(prefix, middle, suffix))
 
 
 def fill_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: tuple[str, ...] = ("n", "form", "prefix_chars", "middle_chars", "output")) -> DataFrame:
