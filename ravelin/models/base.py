@@ -1,8 +1,9 @@
 """Regressors by name: single trees, the two-stage mixture, lines for rows without a plan, seed averages, windows.
 
-A frame has an id, features, the target, `ms` (seconds from schedule to movement), `copied`, and `no_plan`. Trees know no
-missing values, so nulls become a number far below all others. Fitted models are functions from frame to frame that add
-one column, so predictions stay lazy and are joined by nothing but the row itself.
+A frame has an id, features, the target, `ms` (seconds from schedule to movement), `copied`, and `no_plan`. Trees are those of
+`boosting`: nulls have a learned side, and all of a model's parts (classifier, regressors, seeds) are slots of one fit. Fitted
+models are functions from frame to frame that add one column, so predictions stay lazy and are joined by nothing but the row
+itself.
 """
 
 from __future__ import annotations
@@ -10,17 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cells, rules
-
-MISSING = -1e7
+from ..operators import cells, ordered, rules
+from . import boosting
+from .boosting import Slot
 
 
 @dataclass(frozen=True)
@@ -31,6 +27,11 @@ class Config:
     rounds: int = 20
     depth: int = 4
     rate: float = 0.2
+    leaves: int = 15
+    least_rows: int = 20
+    #: What each tree sees of rows and features, drawn by the seed.
+    row_share: float = 0.8
+    feature_share: float = 0.8
     seed: int = 7
     target: str = "y"
     clip: float = 7200.0
@@ -44,6 +45,8 @@ class Config:
     bins: int = 64
     #: Levels of keys, finest first, whose low quantile of the target is a feature, learned from the training table.
     reference: Sequence[Sequence[str]] = ()
+    #: Called as report(slot, round, loss, valid loss) as rounds end.
+    report: Callable[[int, int, float, float | None], None] | None = None
 
 
 REFERENCE = "__ref"
@@ -51,30 +54,27 @@ REFERENCE = "__ref"
 
 @dataclass
 class Prepared:
-    """Features as a vector: vocabularies are fixed, unseen values are a value of their own, and reference cells are those of the
+    """Features as bins: vocabularies are fixed, unseen values share a bin, null has its own, and reference cells are those of the
     training table, whatever table is prepared."""
 
-    stages: PipelineModel
     config: Config
     levels: Sequence[tuple[Sequence[str], DataFrame]] = ()
+    binner: boosting.Binner | None = None
 
     def with_reference(self, df: DataFrame) -> DataFrame:
         return cells.fallback(df, self.levels, [REFERENCE], "") if self.levels else df
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        c = self.config
-        filled = filled_in(self.with_reference(df), c)
-        made = [f"__n_{x}" for x in _numeric(c)] + [f"__c_{x}" for x in c.categorical] + [f"__i_{x}" for x in c.categorical]
-        return self.stages.transform(filled).drop(*made, REFERENCE)
+        bins = boosting.bin_column(self.binner, boosted(self.config))
+        return self.with_reference(df).withColumn("features", bins).drop(REFERENCE)
 
 
 def _numeric(c: Config) -> list[str]:
     return [*c.numeric, *([REFERENCE] if c.reference else [])]
 
 
-def filled_in(df: DataFrame, c: Config) -> DataFrame:
-    numbers = {f"__n_{x}": F.coalesce(F.col(x).cast("double"), F.lit(MISSING)) for x in _numeric(c)}
-    return df.withColumns(numbers | {f"__c_{x}": F.coalesce(F.col(x).cast("string"), F.lit("?")) for x in c.categorical})
+def boosted(c: Config) -> boosting.Params:
+    return boosting.Params(_numeric(c), c.categorical, c.rounds, c.rate, c.leaves, c.depth, c.bins, least_rows=c.least_rows, row_share=c.row_share, feature_share=c.feature_share)
 
 
 def vocabulary(frames: Sequence[DataFrame], column: str) -> DataFrame:
@@ -86,78 +86,74 @@ def vocabulary(frames: Sequence[DataFrame], column: str) -> DataFrame:
 
 
 def prepare(train: DataFrame, c: Config, others: Sequence[DataFrame] = ()) -> Prepared:
-    """Reference cells and scales from the training table; vocabularies from it and the other frames that are to be predicted."""
+    """Reference cells and edges from the training table; vocabularies from it and the other frames that are to be predicted."""
     levels = [(list(k), cells.quantile_cells(train.filter(F.col(c.target).isNotNull()), list(k), c.target, out=REFERENCE)) for k in c.reference]
-    stages = []
-    if c.categorical:
-        stages.append(StringIndexer(inputCols=[f"__c_{x}" for x in c.categorical], outputCols=[f"__i_{x}" for x in c.categorical], stringOrderType="alphabetAsc", handleInvalid="keep"))
-    stages.append(VectorAssembler(inputCols=[f"__n_{x}" for x in _numeric(c)] + [f"__i_{x}" for x in c.categorical], outputCol="features"))
-    ready = Prepared(None, c, levels)
-    needed = list(dict.fromkeys([*c.numeric, *c.categorical, *(k for level in c.reference for k in level)]))
-    rows = train.select(*needed)
-    for other in others:
-        rows = rows.unionByName(other.select(*needed))
-    ready.stages = Pipeline(stages=stages).fit(filled_in(ready.with_reference(rows), c))
+    ready = Prepared(c, levels)
+    ready.binner = boosting.fit_bins(ready.with_reference(train), boosted(c), others)
     return ready
 
 
 Predictor = Callable[[DataFrame, str], DataFrame]
 
 
-def _without(df: DataFrame, *extra: str) -> DataFrame:
-    return df.drop("features", "rawPrediction", "probability", "prediction", *extra)
+def _seeds(c: Config) -> Sequence[int]:
+    return c.seeds or (c.seed,)
+
 
+def fit_slots(train: DataFrame, c: Config, slots: Sequence[Slot], others: Sequence[DataFrame] = ()) -> Callable[[DataFrame, str], DataFrame]:
+    """The slots' models over one table; they add an array of their predictions."""
+    prepared = prepare(train, c, others)
+    models = boosting.fit(prepared.with_reference(train), boosted(c), slots, c.report, prepared.binner)
+    return lambda df, out: prepared.with_reference(df).withColumn(out, models.column()).drop(REFERENCE)
 
-def _bins(c: Config, ready: DataFrame) -> int:
-    """maxBins must hold every category."""
-    meta = ready.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
-    return max([c.bins, *(len(a.get("vals", ())) + 1 for kind in meta.values() for a in kind)])
+
+def mean_of(array: str, places: Sequence[int]) -> Column:
+    return sum((F.col(array)[i] for i in places[1:]), F.col(array)[places[0]]) / len(places)
 
 
 def fit_single(train: DataFrame, c: Config) -> Predictor:
-    """One gradient-boosted regressor on squared error."""
-    prepared = prepare(train, c)
-    ready = prepared(train.filter(F.col(c.target).isNotNull()))
-    model = GBTRegressor(labelCol=c.target, maxIter=c.rounds, maxDepth=c.depth, stepSize=c.rate, seed=c.seed, maxBins=_bins(c, ready)).fit(ready)
-    return lambda df, out: _without(model.transform(prepared(df)).withColumn(out, F.col("prediction")))
+    """One boosted regressor on squared error, averaged over seeds."""
+    models = fit_slots(train, c, [Slot(c.target, seed=s) for s in _seeds(c)])
+    return lambda df, out: models(df, "__all").withColumn(out, mean_of("__all", range(len(_seeds(c))))).drop("__all")
 
 
 def learning_curve(train: DataFrame, test: DataFrame, c: Config) -> list[tuple[int, float]]:
-    """(rounds, squared error on the test rows) after each round of a single model: what a fit in progress would report."""
+    """(rounds, squared error on the test rows) after each round of a single model, told by the fit as it goes."""
     prepared = prepare(train, c)
-    ready = prepared(train.filter(F.col(c.target).isNotNull()))
-    model = GBTRegressor(labelCol=c.target, maxIter=c.rounds, maxDepth=c.depth, stepSize=c.rate, seed=c.seed, maxBins=_bins(c, ready)).fit(ready)
-    return list(enumerate(model.evaluateEachIteration(prepared(test.filter(F.col(c.target).isNotNull())), "squared"), 1))
+    columns = [*dict.fromkeys([*c.numeric, *c.categorical, *(k for level in c.reference for k in level), c.target])]
+    both = train.select(*columns).withColumn("__test", F.lit(0.0)).unionByName(test.select(*columns).withColumn("__test", F.lit(1.0)))
+    told: list[tuple[int, float]] = []
+    boosting.fit(prepared.with_reference(both), boosted(c), [Slot(c.target, seed=c.seed, valid="__test")], lambda _, n, __, held: told.append((n, held)), prepared.binner)
+    return told[1:]
+
+
+def large_keys(df: DataFrame, c: Config) -> list:
+    """Keys (airports) with rows enough for models of their own."""
+    return sorted(r[0] for r in df.groupBy(c.key).count().filter((F.col("count") >= c.key_rows) & F.col(c.key).isNotNull()).collect())
 
 
 def fit_two_stage(train: DataFrame, c: Config) -> Predictor:
     """P(copy of the schedule) and a regressor on the rest, mixed; airports with many rows also have regressors of their
-    own, which count half."""
-    prepared = prepare(train, c)
+    own, which count half. All of them, for all seeds, are fitted in the same passes."""
     rows = train.filter(F.col(c.target).isNotNull()).withColumn("__label", F.col("copied").cast("double"))
     if c.weighting:
         rows = rules.classifier_weight(rows, "ms", c.weighting, out="__weight")
-    ready = prepared(rows)
-    how = {"maxIter": c.rounds, "maxDepth": c.depth, "stepSize": c.rate, "seed": c.seed, "maxBins": _bins(c, ready)}
-    classes = GBTClassifier(labelCol="__label", **({"weightCol": "__weight"} if c.weighting else {}), **how)
-    both = rows.agg(F.countDistinct("__label")).first()[0] > 1
-    classifier = classes.fit(ready) if both else None
-    constant = 0.0 if both else float(rows.agg(F.coalesce(F.max("__label"), F.lit(0.0))).first()[0])
-    normal = ready.filter("NOT copied").withColumn("__y", F.least(F.lit(c.clip), F.greatest(F.lit(0.0), F.col(c.target))))
-    regressor = GBTRegressor(labelCol="__y", **how).fit(normal)
-    large = [r[0] for r in normal.groupBy(c.key).count().filter((F.col("count") >= c.key_rows) & F.col(c.key).isNotNull()).collect()]  # airports
-    own = {k: GBTRegressor(labelCol="__y", **how).fit(normal.filter(F.col(c.key) == k)) for k in sorted(large)}
+    rows = rows.withColumn("__y", F.when(~F.col("copied"), F.least(F.lit(c.clip), F.greatest(F.lit(0.0), F.col(c.target)))))
+    large = large_keys(rows.filter("__y IS NOT NULL"), c)
+    rows = rows.withColumns({f"__k{i}": (F.col(c.key) == k).cast("double") for i, k in enumerate(large)})
+    seeds = _seeds(c)
+    slots = [Slot("__label", "__weight" if c.weighting else None, "logistic", s) for s in seeds] + [Slot("__y", seed=s) for s in seeds]
+    slots += [Slot("__y", f"__k{i}", seed=s) for i in range(len(large)) for s in seeds]
+    models, n = fit_slots(rows, c, slots), len(seeds)
 
     def predict(df: DataFrame, out: str) -> DataFrame:
-        x = regressor.transform(prepared(df)).withColumn("__reg", F.col("prediction")).drop("prediction")
-        for i, (k, model) in enumerate(own.items()):
-            x = model.transform(x).withColumn(f"__own{i}", F.col("prediction")).drop("prediction")
-            x = x.withColumn("__reg", F.when(F.col(c.key) == k, (F.col("__reg") + F.col(f"__own{i}")) / 2).otherwise(F.col("__reg"))).drop(f"__own{i}")
-        p: Column = F.lit(constant)
-        if classifier is not None:
-            x = classifier.transform(x).withColumn("__p", vector_to_array("probability")[1])
-            p = F.col("__p")
-        return _without(x.withColumn(out, rules.mixture(p, F.col("ms"), F.col("__reg"))), "__reg", "__p")
+        x, parts = models(df, "__all"), []
+        for s in range(n):
+            reg = F.col("__all")[n + s]
+            for i, k in enumerate(large):
+                reg = F.when(F.col(c.key) == k, (F.col("__all")[n + s] + F.col("__all")[2 * n + i * n + s]) / 2).otherwise(reg)
+            parts.append(rules.mixture(F.col("__all")[s], F.col("ms"), reg))
+        return x.withColumn(out, sum(parts[1:], parts[0]) / n).drop("__all")
 
     return predict
 
@@ -204,8 +200,7 @@ def fit(train: DataFrame, c: Config) -> Predictor:
     """The configured model: by name, averaged over seeds if there are several, in a window if asked."""
     if c.model not in MODELS:
         raise KeyError(f"no such model: {c.model}")
-    members = [MODELS[c.model](train, replace(c, seed=s, seeds=())) for s in c.seeds or (c.seed,)]
-    found = members[0] if len(members) == 1 else averaged(members)
+    found = MODELS[c.model](train, c)
     return windowed(found) if c.window else found
 
 
@@ -216,34 +211,36 @@ def scaled(c: Config, factor: float = 1.2) -> Config:
 
 @dataclass
 class Ensemble:
-    """A residual corrector: trees over all rows, trees per key where there are enough rows, and a forest, averaged."""
+    """A residual corrector, the mean of three: trees over all rows; trees per key where there are enough rows, those over all rows
+    elsewhere; and trees that read categories as ordered statistics of the residual."""
 
     config: Config
-    everywhere: Predictor | None = None
-    forest: Predictor | None = None
-    own: dict[str, Predictor] = field(default_factory=dict)
+    trees: Callable[[DataFrame, str], DataFrame] | None = None
+    statistics: Predictor | None = None
+    keys: list = field(default_factory=list)
 
     def fit(self, df: DataFrame, residual: str, weight: str | None = None) -> Ensemble:
         c = replace(self.config, target=residual)
-        self.everywhere = _weighted(df, c, weight, GBTRegressor)
-        self.forest = _weighted(df, c, weight, RandomForestRegressor)
-        keys = [r[0] for r in df.groupBy(c.key).count().filter((F.col("count") >= c.key_rows) & F.col(c.key).isNotNull()).collect()]  # airports
-        self.own = {k: _weighted(df.filter(F.col(c.key) == k), c, weight, GBTRegressor) for k in sorted(keys)}
+        self.keys = large_keys(df, c)
+        own = {f"__k{i}": F.when(F.col(c.key) == k, F.col(weight) if weight else F.lit(1.0)) for i, k in enumerate(self.keys)}
+        self.trees = fit_slots(df.withColumns(own), c, [Slot(residual, weight, seed=c.seed), *(Slot(residual, k, seed=c.seed) for k in own)])
+        self.statistics = fit_ordered(df, c, weight)
         return self
 
     def __call__(self, df: DataFrame, out: str) -> DataFrame:
-        got = self.forest(self.everywhere(df, "__all"), "__forest")
-        mine = F.col("__all")  # a key that was not seen takes the trees over all rows
-        for i, (k, m) in enumerate(self.own.items()):
-            got = m(got, f"__own{i}")
-            mine = F.when(F.col(self.config.key) == k, F.col(f"__own{i}")).otherwise(mine)
-        return got.withColumn(out, (F.col("__all") + mine + F.col("__forest")) / 3).drop("__all", "__forest", *[f"__own{i}" for i in range(len(self.own))])
-
-
-def _weighted(df: DataFrame, c: Config, weight: str | None, kind) -> Predictor:
-    prepared = prepare(df, c)
-    ready = prepared(df.filter(F.col(c.target).isNotNull()))
-    how = {"labelCol": c.target, "maxDepth": c.depth, "seed": c.seed, "maxBins": _bins(c, ready)} | ({"weightCol": weight} if weight else {})
-    how |= {"maxIter": c.rounds, "stepSize": c.rate} if kind is GBTRegressor else {"numTrees": c.rounds}
-    model = kind(**how).fit(ready)
-    return lambda x, out: _without(model.transform(prepared(x)).withColumn(out, F.col("prediction")))
+        got = self.statistics(self.trees(df, "__all"), "__ordered")
+        mine = F.col("__all")[0]  # a key that was not seen takes the trees over all rows
+        for i, k in enumerate(self.keys):
+            mine = F.when(F.col(self.config.key) == k, F.col("__all")[1 + i]).otherwise(mine)
+        return got.withColumn(out, (F.col("__all")[0] + mine + F.col("__ordered")) / 3).drop("__all", "__ordered")
+
+
+def fit_ordered(train: DataFrame, c: Config, weight: str | None = None) -> Predictor:
+    """Trees that read each category as the mean target of the rows before in a random order, and of all rows where they predict."""
+    rows = train.filter(F.col(c.target).isNotNull())
+    draw = F.xxhash64(F.lit(c.seed), *[F.col(x) for x in dict.fromkeys([*c.numeric, *c.categorical, c.target])])
+    encoder = ordered.Encoder.fit(rows, c.categorical, c.target)
+    coded = encoder.earlier(rows.withColumn("__at", F.shiftrightunsigned(draw, 33)), "__at", 1 << 31)
+    plain = replace(c, numeric=(*c.numeric, *encoder.names), categorical=(), seeds=())
+    models = fit_slots(coded, plain, [Slot(c.target, weight, seed=c.seed)])
+    return lambda df, out: models(encoder(df), "__one").withColumn(out, F.col("__one")[0]).drop("__one", *encoder.names)

@@ -87,9 +87,22 @@ class Binner:
         return out
 
 
-def fit_bins(df: DataFrame, p: Params) -> Binner:
+def bin_column(binner: Binner, p: Params) -> Column:
+    """A frame's features as bytes, one for each bin."""
+
+    def put(*columns: pd.Series) -> pd.Series:
+        return pd.Series([x.tobytes() for x in binner(columns)])
+
+    return F.pandas_udf(put, "binary")(*feature_columns(p))
+
+
+def feature_columns(p: Params) -> list[Column]:
+    return [F.col(c).cast("double") for c in p.numeric] + [F.col(c).cast("string") for c in p.categorical]
+
+
+def fit_bins(df: DataFrame, p: Params, others: Sequence[DataFrame] = ()) -> Binner:
     """Edges are values themselves, from quantiles four times as fine as the bins, so that a feature of few values has a bin for
-    each of them."""
+    each of them. Categories are those of df and of the others."""
     if not 2 < p.bins <= BINS:
         raise ValueError(f"bins must lie in 3..{BINS}")
     fine = [i / (4 * p.bins) for i in range(1, 4 * p.bins)]
@@ -105,7 +118,10 @@ def fit_bins(df: DataFrame, p: Params) -> Binner:
     categories = []
     for c in p.categorical:
         v = F.col(c).cast("string")
-        top = df.filter(v.isNotNull()).groupBy(v.alias("v")).count().orderBy(F.desc("count"), "v").limit(p.bins - 2).collect()
+        rows = df.select(v.alias("v"))
+        for other in others:
+            rows = rows.unionByName(other.select(v.alias("v")))
+        top = rows.filter("v IS NOT NULL").groupBy("v").count().orderBy(F.desc("count"), "v").limit(p.bins - 2).collect()
         categories.append({r["v"]: i + 1 for i, r in enumerate(sorted(top, key=lambda r: r["v"]))})
     return Binner(edges, categories)
 
@@ -264,9 +280,6 @@ class Models:
     trees: list[list[Tree]]
     curve: list[list[tuple[int, float, float | None]]]
 
-    def _columns(self) -> list[Column]:
-        return [F.col(c).cast("double") for c in self.params.numeric] + [F.col(c).cast("string") for c in self.params.categorical]
-
     def column(self, slots: Sequence[int] | None = None) -> Column:
         """An array of the slots' predictions (probabilities for a logistic one)."""
         slots = list(range(len(self.slots))) if slots is None else list(slots)
@@ -282,25 +295,19 @@ class Models:
                 out[:, k] = 1 / (1 + np.exp(-score)) if kinds[s] == "logistic" else score
             return pd.Series(list(out))
 
-        return F.pandas_udf(run, "array<double>")(*self._columns())
+        return F.pandas_udf(run, "array<double>")(*feature_columns(self.params))
 
     def predict(self, df: DataFrame, out: str, slot: int = 0) -> DataFrame:
         return df.withColumn(out, self.column([slot])[0])
 
 
-def fit(df: DataFrame, p: Params, slots: Sequence[Slot], report: Callable[[int, int, float, float | None], None] | None = None) -> Models:
+def fit(df: DataFrame, p: Params, slots: Sequence[Slot], report: Callable[[int, int, float, float | None], None] | None = None, binner: Binner | None = None) -> Models:
     """A model for each slot. report(slot, round, loss, valid loss) is called as rounds end, while the fit goes on."""
-    binner, spark, numeric = fit_bins(df, p), df.sparkSession, len(p.numeric)
+    binner, numeric = binner or fit_bins(df, p), len(p.numeric)
     features = numeric + len(p.categorical)
     names = list(dict.fromkeys(x for s in slots for x in (s.target, s.weight, s.valid) if x))
-    bare = Models(binner, p, slots, [], [], [])
-
-    def put(*columns: pd.Series) -> pd.Series:
-        return pd.Series([x.tobytes() for x in binner(columns)])
-
-    binned = F.pandas_udf(put, "binary")(*bare._columns())
-    number = F.xxhash64(*bare._columns())  # rows are drawn by their features
-    rows = df.select(binned.alias("__bins"), number.alias("__u"), *[F.col(x).cast("double").alias(f"s_{x}") for x in names])
+    number = F.xxhash64(*feature_columns(p))  # rows are drawn by their features
+    rows = df.select(bin_column(binner, p).alias("__bins"), number.alias("__u"), *[F.col(x).cast("double").alias(f"s_{x}") for x in names])
     rows = materialise(rows.withColumn("__score", F.lit(None).cast("binary")), "bins")
 
     def used(s: Slot) -> Column:
@@ -442,3 +449,56 @@ def fit(df: DataFrame, p: Params, slots: Sequence[Slot], report: Callable[[int,
             rows, written = after, [len(t) for t in models.trees]
     release(rows)
     return models
+
+
+@dataclass
+class BinSums:
+    """Counts and sums of a target by (part, feature, bin), and by part its squares' sum."""
+
+    n: np.ndarray
+    s: np.ndarray
+    squares: np.ndarray
+
+
+def bin_sums(df: DataFrame, p: Params, target: str, part: str, parts: int, binner: Binner) -> BinSums:
+    """In one aggregate, whatever the number of features. `part` numbers rows 0 .. parts - 1; others, and rows of a null target in
+    the sums, don't count."""
+    features, width = len(p.numeric) + len(p.categorical), p.bins + 1
+    rows = df.select(bin_column(binner, p).alias("bins"), F.col(target).cast("double").alias("y"), F.col(part).cast("int").alias("part")).filter(f"part BETWEEN 0 AND {parts - 1}")
+
+    def run(batches):
+        held, squares = np.zeros((2, parts * features * width)), np.zeros(parts)
+        for batch in batches:
+            bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, features)
+            y, own = batch.column("y").to_numpy(zero_copy_only=False), batch.column("part").to_numpy().astype(np.int64)
+            y = np.nan_to_num(y.astype(np.float64))
+            cell = ((own[:, None] * features + np.arange(features)) * width + bins).ravel()
+            held[0] += np.bincount(cell, minlength=held.shape[1])
+            held[1] += np.bincount(cell, np.repeat(y, features), minlength=held.shape[1])
+            squares += np.bincount(own, y * y, minlength=parts)
+        some = np.flatnonzero(held[0])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[0][some]), pa.array(held[1][some])], names=["cell", "n", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(parts)), pa.array(np.zeros(parts)), pa.array(squares)], names=["cell", "n", "s"])
+
+    got = rows.mapInArrow(run, "cell long, n double, s double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).toPandas()
+    dense, squares = np.zeros((2, parts * features * width)), np.zeros(parts)
+    cells = got[got["cell"] >= 0]
+    dense[:, cells["cell"].to_numpy(dtype=np.int64)] = cells[["n", "s"]].to_numpy().T
+    rest = got[got["cell"] < 0]
+    squares[-1 - rest["cell"].to_numpy(dtype=np.int64)] = rest["s"].to_numpy()
+    dense = dense.reshape(2, parts, features, width)
+    return BinSums(dense[0], dense[1], squares)
+
+
+def boost_on_bins(n: np.ndarray, s: np.ndarray, p: Params, numeric: bool = True) -> np.ndarray:
+    """By bin, what a model of one feature predicts, from the feature's counts and sums alone: trees of one feature send a bin's rows
+    the same way, so sums by bin are all that they need. The trees are those that `fit` grows on the rows."""
+    total = n.sum()
+    score, bins = np.full(len(n), s.sum() / total if total else 0.0), np.arange(len(n), dtype=np.uint8)[:, None]
+    for _ in range(p.rounds if total else 0):
+        g, growth = n * score - s, Growth(p, int(numeric), np.ones(1, dtype=bool))
+        while not growth.done:
+            node = growth.tree.node_of(bins)
+            growth.absorb({k: tuple(np.where(node == k, x, 0.0)[None] for x in (g, n, n)) for k in growth.asked if (n[node == k] > 0).any()})
+        score = score + growth.result().predict(bins)
+    return score

@@ -3,16 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import evaluation
 from ..operators import autofeatures, cells, rules
-from .base import Config, Ensemble, Predictor, _bins, averaged, fit, prepare, scaled
+from . import boosting
+from .base import Config, Ensemble, Predictor, averaged, boosted, fit, fit_slots, scaled
+from .boosting import Slot
+
+#: Fits that run at once. Their jobs share the executors; a fair scheduler (spark.scheduler.mode) gives each its turn.
+AT_ONCE = 4
+
+
+def side_by_side(spark, work: Sequence[Callable[[], object]], at_once: int = AT_ONCE) -> list:
+    """The results of functions that run Spark jobs, some at a time, each in a pool of its own with the caller's local properties."""
+
+    def pooled(i: int, f: Callable[[], object]):
+        def run():
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit{i % at_once}")
+            return f()
+
+        return inheritable_thread_target(spark)(run)
+
+    if len(work) < 2 or at_once < 2:
+        return [f() for f in work]
+    with ThreadPoolExecutor(at_once) as threads:
+        return [t.result() for t in [threads.submit(pooled(i, f)) for i, f in enumerate(work)]]
 
 
 def month_blocks(month: str, size: int = 2):
@@ -27,12 +49,18 @@ def blocks_of(df: DataFrame, block: str) -> list:
 def out_of_fold(df: DataFrame, block: str, c: Config, out: str, save: Callable[[DataFrame], DataFrame], blind: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """Each block's rows, as blind() shows them, predicted by a model of all other blocks. save() keeps the result, since
     as many models stand behind it as there are blocks."""
-    parts = None
-    for b in blocks_of(df, block):
-        model = fit(df.filter(F.col(block) != b), c)
-        got = model(blind(df.filter(F.col(block) == b)), out)
-        parts = got if parts is None else parts.unionByName(got)
-    return save(parts)
+
+    def one(b) -> Callable[[], DataFrame]:
+        return lambda: save(fit(df.filter(F.col(block) != b), c)(blind(df.filter(F.col(block) == b)), out))
+
+    return _union(side_by_side(df.sparkSession, [one(b) for b in blocks_of(df, block)]))
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def correct(df: DataFrame, base: str, c: Config, weight: str | None = None, skip: str | None = None) -> Ensemble:
@@ -52,12 +80,12 @@ def corrected(model: Predictor, df: DataFrame, base: str, out: str, rule: str |
 
 def out_of_fold_correction(df: DataFrame, day: str, base: str, c: Config, k: int, out: str, save) -> DataFrame:
     """Days dealt to k folds; each fold corrected by a corrector of the others."""
-    rows, parts = cells.day_folds(df, day, k, "__fold"), None
-    for f in range(k):
-        model = correct(rows.filter(F.col("__fold") != f), base, c)
-        got = corrected(model, rows.filter(F.col("__fold") == f), base, out)
-        parts = got if parts is None else parts.unionByName(got)
-    return save(parts.drop("__fold"))
+    rows = cells.day_folds(df, day, k, "__fold")
+
+    def one(f: int) -> Callable[[], DataFrame]:
+        return lambda: save(corrected(correct(rows.filter(F.col("__fold") != f), base, c), rows.filter(F.col("__fold") == f), base, out).drop("__fold"))
+
+    return _union(side_by_side(df.sparkSession, [one(f) for f in range(k)]))
 
 
 def simulate(df: DataFrame, holdout: DataFrame, block: str, c: Config, corrector: Config, save) -> DataFrame:
@@ -82,13 +110,9 @@ def with_pseudo(train: DataFrame, extra: DataFrame, vocabularies: Sequence[str],
 def adversarial(old: DataFrame, new: DataFrame, key: str, c: Config, save) -> tuple[DataFrame, DataFrame]:
     """((key, w) for the old rows, one row with the AUC): how far old rows look like new ones, by a classifier in two folds."""
     rows = old.withColumn("__new", F.lit(0.0)).unionByName(new.withColumn("__new", F.lit(1.0)), allowMissingColumns=True).withColumn("__fold", F.pmod(F.xxhash64(key), F.lit(2)))
-    prepared = prepare(rows, c)
-    ready, parts = prepared(rows), None
-    for f in (0, 1):
-        model = GBTClassifier(labelCol="__new", maxIter=c.rounds, maxDepth=c.depth, stepSize=c.rate, seed=c.seed, maxBins=_bins(c, ready)).fit(ready.filter(F.col("__fold") != f))
-        got = model.transform(ready.filter(F.col("__fold") == f)).select(key, "__new", vector_to_array("probability")[1].alias("p"))
-        parts = got if parts is None else parts.unionByName(got)
-    scored = save(parts)
+    rows = rows.withColumns({f"__w{f}": (F.col("__fold") != f).cast("double") for f in (0, 1)})
+    models = fit_slots(rows, c, [Slot("__new", f"__w{f}", "logistic", c.seed) for f in (0, 1)])
+    scored = save(models(rows, "__all").select(key, "__new", F.when(F.col("__fold") == 0, F.col("__all")[0]).otherwise(F.col("__all")[1]).alias("p")))
     return evaluation.importance_weights(scored.filter("__new = 0"), "p").select(key, "w"), evaluation.auc(scored, "__new", "p")
 
 
@@ -107,16 +131,31 @@ def rest_model(df: DataFrame, total: str, known: str, c: Config, out: str) -> Pr
     return lambda rows, name=out: inner(rows, name).withColumn(name, F.col(known) + F.col(name))
 
 
-def screen(df: DataFrame, features: Sequence[str], base: Config, residual: str, block: str, day: str) -> list[tuple[str, float]]:
-    """What each feature alone gains on the residual of one block, learned from the others; best first."""
+def _screened(df: DataFrame, features: Sequence[str], base: Config, residual: str, block: str, new: DataFrame | None = None) -> tuple[dict[str, float], dict[str, float]]:
+    """({feature: what it alone gains in RMSE on the last block, learned from the others}, {feature: how well it tells new rows from
+    old ones}). Rows are read once, whatever the number of features: models and errors follow from counts and sums by bin."""
     held = blocks_of(df, block)[-1]
-    train, test = df.filter(F.col(block) != held), df.filter(F.col(block) == held)
-    out = []
-    for f in features:
-        model = fit(train, replace(base, model="single", numeric=(f,), categorical=(), reference=(), target=residual))
-        rows = model(test, "__g").withColumn("__zero", F.lit(0.0))
-        out.append((f, evaluation.paired_bootstrap(rows, residual, "__zero", "__g", day, draws=50).gain))
-    return sorted(out, key=lambda x: (-x[1], x[0]))
+    p = replace(boosted(replace(base, numeric=tuple(features), categorical=(), reference=())), row_share=1.0, feature_share=1.0)
+    rows = df.select(*features, F.col(residual).alias("__r"), F.when(F.col(block) == held, 1).when(F.col(block).isNotNull(), 0).alias("__part"))
+    if new is not None:
+        rows = rows.unionByName(new.select(*features, F.lit(None).cast("double").alias("__r"), F.lit(2).alias("__part")))
+    sums = boosting.bin_sums(rows.filter("__r IS NOT NULL OR __part = 2"), p, "__r", "__part", 3, boosting.fit_bins(rows.filter("__part <> 1"), p))
+    gains, drifts, total = {}, {}, sums.n[1, 0].sum() if features else 0.0
+    for i, f in enumerate(features):
+        pred = boosting.boost_on_bins(sums.n[0, i], sums.s[0, i], p)
+        less = float((2 * pred * sums.s[1, i] - pred**2 * sums.n[1, i]).sum())
+        gains[f] = float(np.sqrt(sums.squares[1] / total) - np.sqrt(max(sums.squares[1] - less, 0.0) / total)) if total else 0.0
+        old, fresh = sums.n[:2, i, 1:].sum(axis=0), sums.n[2, i, 1:]  # nulls have no place in the order
+        both = old.sum() * fresh.sum()
+        area = float((fresh * (np.cumsum(old) - old / 2)).sum() / both) if both else 0.5
+        drifts[f] = max(area, 1 - area)
+    return gains, drifts
+
+
+def screen(df: DataFrame, features: Sequence[str], base: Config, residual: str, block: str) -> list[tuple[str, float]]:
+    """What each feature alone gains on the residual of the last block, learned from the others; best first."""
+    gains, _ = _screened(df, features, base, residual, block)
+    return sorted(gains.items(), key=lambda x: (-x[1], x[0]))
 
 
 @dataclass(frozen=True)
@@ -127,20 +166,13 @@ class Screened:
     chosen: bool
 
 
-def screen_with_gates(df: DataFrame, new: DataFrame, features: Sequence[str], base: Config, residual: str, block: str, day: str, key: str, save, placebos: int = 2, most_drift: float = 0.9) -> list[Screened]:
+def screen_with_gates(df: DataFrame, new: DataFrame, features: Sequence[str], base: Config, residual: str, block: str, key: str, save, placebos: int = 2, most_drift: float = 0.9) -> list[Screened]:
     """screen(), with two gates: a feature must gain more than any of some placebos (its values dealt to other rows), and must
-    not tell the new rows from the old ones better than most_drift."""
+    not tell the new rows from the old ones better than most_drift (an area under the curve, with ties in a bin)."""
     fakes = []
     for n in range(placebos):
-        f = features[n % len(features)]
-        df = save(autofeatures.placebo(df, f, key, n, f"__placebo{n}"))
+        df = save(autofeatures.placebo(df, features[n % len(features)], key, n, f"__placebo{n}"))
         fakes.append(f"__placebo{n}")
-    gains = dict(screen(df, [*features, *fakes], base, residual, block, day))
+    gains, drifts = _screened(df, [*features, *fakes], base, residual, block, new.withColumns({f: F.lit(None).cast("double") for f in fakes}))
     band = max([0.0, *(gains[f] for f in fakes)])
-    both = df.select(*features).withColumn("__new", F.lit(0)).unionByName(new.select(*features).withColumn("__new", F.lit(1)))
-    out = []
-    for f in sorted(features, key=lambda f: (-gains[f], f)):
-        area = evaluation.auc(both, "__new", f).first()["auc"]
-        drift = max(area, 1 - area) if area is not None else 0.5
-        out.append(Screened(f, gains[f], drift, gains[f] > band and drift <= most_drift))
-    return out
+    return [Screened(f, gains[f], drifts[f], gains[f] > band and drifts[f] <= most_drift) for f in sorted(features, key=lambda f: (-gains[f], f))]

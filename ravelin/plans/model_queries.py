@@ -3,14 +3,15 @@ queries return rows whose numbers the tests judge."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import evaluation as ev
 from .. import functions as fn
 from ..models import base, crossfit
 from ..operators import autofeatures as fe
-from ..operators import graph, rules
+from ..operators import graph, ordered, rules
 from ..sources import movements as mv
 from ..sources.movements import SECOND
 from ..sources.movements import SQL as MV
@@ -31,41 +32,66 @@ def modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _scored(df: DataFrame, pred: str) -> DataFrame:
-    mean = df.agg(F.avg("y").alias("__mean"))
-    rows = df.crossJoin(F.broadcast(mean))  # one row
-    return rows.agg(F.count("*").alias("n"), ev.rmse(F.col(pred) - F.col("y")).alias("rmse"), ev.rmse(F.col("__mean") - F.col("y")).alias("rmse_mean"))
+def _told(df: DataFrame, *names: str) -> DataFrame:
+    return df.select("mvt_id", "airport", "y", *[F.round(n, 6).alias(n) for n in names])
 
 
 @query()
 def model_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A single regressor: error in sample against that of the mean."""
-    rows = modelled(spark, sf_dir)
-    return _scored(base.fit(rows, CONFIG)(rows, "pred"), "pred")
+    """A single regressor's value for each departure, in sample."""
+    rows = materialise(modelled(spark, sf_dir), "modelled")
+    return _told(base.fit(rows, CONFIG)(rows, "pred"), "pred")
 
 
 @query()
 def model_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two-stage mixture with lines for rows without a plan, two seeds, in its window."""
-    from dataclasses import replace
-
+    """The two-stage mixture with lines for rows without a plan, two seeds, in its window; airports with a twentieth of the rows have
+    regressors of their own."""
     rows = materialise(modelled(spark, sf_dir), "modelled")
-    return _scored(base.fit(rows, replace(CONFIG, model="two_stage_lines", seeds=(1, 2), window=True, weighting="abs"))(rows, "pred"), "pred")
+    own = replace(CONFIG, model="two_stage_lines", seeds=(1, 2), window=True, weighting="abs", key_rows=max(1, rows.count() // 20))
+    return _told(base.fit(rows, own)(rows, "pred"), "pred")
 
 
 @query()
 def model_crossfit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold base by blocks of days, and the residual corrector on it."""
+    """Out-of-fold base by blocks of days, and the residual corrector on it: base and corrected value of the days held out."""
     rows = materialise(modelled(spark, sf_dir), "modelled")
-    return _scored(crossfit.simulate(rows.filter("day % 30 < 20"), rows.filter("day % 30 >= 20"), "block", CONFIG, CONFIG, materialise), "pred")
+    return _told(crossfit.simulate(rows.filter("day % 30 < 20"), rows.filter("day % 30 >= 20"), "block", CONFIG, CONFIG, materialise), "base", "pred")
 
 
 @query()
 def model_adversarial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How well a classifier tells the last third of the days from the rest, and the weights that follow."""
+    """How well a classifier tells the last third of the days from the rest, and each earlier departure's weight that follows."""
     rows = materialise(modelled(spark, sf_dir), "modelled")
     weights, auc = crossfit.adversarial(rows.filter("day % 30 < 20"), rows.filter("day % 30 >= 20"), "mvt_id", CONFIG, materialise)
-    return weights.agg(F.count("*").alias("n"), F.round(F.avg("w"), 6).alias("mean_w")).crossJoin(F.broadcast(auc))  # one row
+    return weights.select("mvt_id", F.round("w", 6).alias("w"), F.round(auc.scalar(), 6).alias("auc"))
+
+
+@query()
+def model_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Automatic features, screened on the residual of the mean: gain alone, drift, and what passes both gates."""
+    rows = materialise(modelled(spark, sf_dir), "modelled")
+    specs = [*_SPECS, *[(kind, x, by) for kind in ("mean", "dev", "z") for x in ("ms", "plan_s", "event_no") for by in (("airport", "runway"), ("stand",), ("airport", "stand")) if (kind, x, by) not in _SPECS]]
+    named = fe.add_features(rows, specs).withColumn("__res", F.col("y") - rows.agg(F.avg("y")).scalar())
+    names = [*NUMERIC, *[fe.name(s) for s in specs]]
+    wide = materialise(named.select("mvt_id", "block", "__res", *names), "wide")
+    found = crossfit.screen_with_gates(wide.filter("block < 2"), wide.filter("block >= 2"), names, CONFIG, "__res", "block", "mvt_id", materialise)
+    return spark.createDataFrame([(s.feature, round(s.gain, 6), round(s.drift, 6), s.chosen) for s in found], "feature string, gain double, drift double, chosen boolean")
+
+
+def _before(category: str) -> str:
+    w = f"(PARTITION BY {category} ORDER BY o, mvt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"round((coalesce(sum(taxi_s) OVER {w}, 0) + 10 * (SELECT avg(taxi_s) FROM d)) / (count(taxi_s) OVER {w} + 10), 6) AS {category}_before"
+
+
+@query(f"""WITH {MV}, d AS (SELECT mvt_id, airport, runway, stand, taxi_s, (mvt_id * 7919) % 1000003 AS o FROM mv WHERE phase = 'DEP')
+SELECT mvt_id, {_before("airport")}, {_before("runway")}, {_before("stand")} FROM d""")
+def ordered_category_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each departure's airport, runway and stand as the mean taxi time of the departures before it in a random order."""
+    rows = mv.load(spark, sf_dir).filter("phase = 'DEP'").select("mvt_id", "airport", "runway", "stand", "taxi_s", (F.col("mvt_id") * 7919 % 1000003).alias("o"))
+    rows = materialise(rows, "departures")
+    coded = ordered.Encoder.fit(rows, ["airport", "runway", "stand"], "taxi_s").earlier(rows, "o", 1000003, ["mvt_id"])
+    return coded.select("mvt_id", *[F.round(f"__o_{c}", 6).alias(f"{c}_before") for c in ("airport", "runway", "stand")])
 
 
 _SPECS = [("ratio", "ms", "plan_s"), ("diff", "ms", "plan_s"), ("mean", "plan_s", ("airport", "runway")), ("dev", "plan_s", ("airport", "runway")), ("sd", "ms", ("airport",)), ("pos", "ms", ("airport",)), ("count", "plan_s", ("airport", "runway")), ("cmean", "plan_s", ("airport",)), ("rsd", "ms", ("airport",)), ("z", "ms", ("airport",))]

@@ -71,7 +71,7 @@ def test_drift_and_last_fit(rows):
     weights, auc = crossfit.adversarial(rows.filter("x < 40"), rows.filter("x >= 40"), "id", CFG, materialise)
     assert auc.first().auc > 0.9 and weights.agg(F.avg("w")).first()[0] == pytest.approx(1)
     assert crossfit.last_fit(rows, [CFG, CFG])(rows, "pred").count() == 600
-    best = crossfit.screen(rows.withColumn("res", F.col("x") - 50), ["x", "ms"], CFG, "res", "block", "day")
+    best = crossfit.screen(rows.withColumn("res", F.col("x") - 50), ["x", "ms"], CFG, "res", "block")
     assert best[0][0] == "x"
     rest = crossfit.rest_model(rows.withColumn("g", F.lit(100.0)), "y", "g", CFG, "pred")(rows.withColumn("g", F.lit(100.0)), "pred")
     assert error(rest) < rows.agg(F.stddev_pop("y")).first()[0]
@@ -99,8 +99,8 @@ def test_vocabularies_over_frames(rows):
     assert {r.airport for r in base.vocabulary([rows, new], "airport").collect()} == {"A0", "A1", "A2", "new"}
     alone, joint = base.prepare(rows, CFG), base.prepare(rows, CFG, [new])
     code = lambda p: {tuple(r.features)[-1] for r in p(new).select("features").collect()}
-    assert code(alone) == {3.0} == code(joint)  # the value after all others, and the last in order
-    assert code(base.prepare(rows, CFG, [new.withColumn("airport", F.lit("A00"))])) == {4.0}
+    assert code(alone) == {4} == code(joint)  # the value after all others, and the last in order
+    assert code(base.prepare(rows, CFG, [new.withColumn("airport", F.lit("A00"))])) == {5}
 
 
 def test_progress_and_post_rules(rows):
@@ -114,11 +114,82 @@ def test_progress_and_post_rules(rows):
 def test_screening_has_a_placebo_band_and_a_drift_gate(rows):
     df = rows.select("id", "x", "ms", "block", "day", (F.col("x") - 50).alias("res"), F.col("x").alias("x2"))
     new = df.withColumn("x2", F.col("x2") + 500)
-    got = {s.feature: s for s in crossfit.screen_with_gates(df, new, ["x", "x2", "ms"], CFG, "res", "block", "day", "id", materialise)}
+    got = {s.feature: s for s in crossfit.screen_with_gates(df, new, ["x", "x2", "ms"], CFG, "res", "block", "id", materialise)}
     assert got["x"].chosen and not got["x2"].chosen and not got["ms"].chosen
     assert got["x2"].drift == 1.0 and got["x"].drift == pytest.approx(0.5) and got["x"].gain > got["ms"].gain
 
 
+def test_screening_reads_rows_once_and_equals_single_fits(rows, spark):
+    """Gains are those of a fit for each feature; forty features take as many jobs as two."""
+    df = materialise(rows.select("id", "block", "x", "ms", F.when(F.col("id") % 6 > 0, F.col("x") % 7).alias("part"), (F.col("id") * 31 % 17).alias("noise"), (F.col("x") - 50 + F.col("id") % 5).alias("res")), "screened")
+    features, last = ["x", "ms", "part", "noise"], df.agg(F.max("block")).first()[0]
+    single = {}
+    for f in features:
+        c = replace(CFG, numeric=(f,), categorical=(), target="res", row_share=1.0, feature_share=1.0)
+        got = base.fit(df.filter(F.col("block") != last), c)(df.filter(F.col("block") == last), "g")
+        single[f] = got.agg(F.sqrt(F.avg(F.col("res") ** 2)) - F.sqrt(F.avg((F.col("res") - F.col("g")) ** 2))).first()[0]
+    found = crossfit.screen(df, features, CFG, "res", "block")
+    assert [f for f, _ in found] == sorted(features, key=lambda f: -single[f])
+    assert all(g == pytest.approx(single[f], abs=1e-6) for f, g in found)
+    jobs = []
+    for n in (2, 40):
+        wide = df.withColumns({f"f{i}": F.col("ms") % (i + 2) for i in range(n)})
+        spark.sparkContext.setJobGroup(f"screen{n}", "")
+        crossfit.screen(wide, [f"f{i}" for i in range(n)], CFG, "res", "block")
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"screen{n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
+def test_fits_run_side_by_side(rows, spark):
+    """Two fits' jobs overlap, and the predictions are those of one after another."""
+    import threading
+
+    both, seen = threading.Barrier(2, timeout=60), []
+
+    def work(n):
+        def run():
+            both.wait()  # neither goes on before the other has begun
+            spark.sparkContext.setJobDescription(f"fit {n}")
+            seen.append(spark.sparkContext.getLocalProperty("spark.scheduler.pool"))
+            return rows.filter(F.col("block") == n).count()
+
+        return run
+
+    spark.sparkContext.setLocalProperty("callers.own", "kept")
+    assert crossfit.side_by_side(spark, [work(0), work(1)]) == [120, 120] and sorted(seen) == ["fit0", "fit1"]
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+    one = crossfit.out_of_fold(rows, "block", CFG, "pred", materialise)
+    old, crossfit.AT_ONCE = crossfit.AT_ONCE, 1
+    try:
+        alone = crossfit._union(crossfit.side_by_side(spark, [lambda b=b: base.fit(rows.filter(F.col("block") != b), CFG)(rows.filter(F.col("block") == b), "pred") for b in crossfit.blocks_of(rows, "block")], 1))
+    finally:
+        crossfit.AT_ONCE = old
+    values = lambda df: {r.id: r.pred for r in df.select("id", "pred").collect()}
+    assert values(one) == values(alone)
+
+
+def test_categories_are_coded_by_rows_before(spark):
+    from ravelin.operators import ordered
+
+    data = [(i, None if i % 11 == 0 else f"c{i % 3 if i % 2 else 0}", None if i % 13 == 0 else float(i % 10), (i * 7919) % 1009) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, c string, y double, at long").repartition(5)
+    for buckets in (1, 7, 1024):
+        got = {r["id"]: (r["__n"], r["__s"]) for r in ordered.earlier_sums(df, "c", "y", "at", 1009, ["id"], buckets).collect()}
+        for i, c, _, at in data:
+            before = [y for j, d, y, b in data if d == c and (b, j) < (at, i) and y is not None]
+            assert got[i] == (len(before), sum(before))
+    code = ordered.Encoder.fit(df, ["c"], "y", strength=5.0)
+    prior = [y for *_, y, _ in data if y is not None]
+    prior = sum(prior) / len(prior)
+    mine = [y for _, c, y, _ in data if c is None and y is not None]
+    new = spark.createDataFrame([(1, None), (2, "unseen")], "id long, c string")
+    got = {r["id"]: r["__o_c"] for r in code(new).collect()}
+    assert got[1] == pytest.approx((sum(mine) + 5 * prior) / (len(mine) + 5)) and got[2] == pytest.approx(prior)
+    early = code.earlier(df, "at", 1009).orderBy("at").first()
+    assert early["__o_c"] == pytest.approx(prior)
+
+
 def test_body_leaves_out_rules_and_far_moves(rows):
     df = rows.withColumn("base", F.lit(500.0)).withColumn("p", F.lit(500.0) + F.col("x")).withColumn("rule", F.col("id") % 2 == 0)
     got = crossfit.body(df, "p", "base", "rule", 30.0)
