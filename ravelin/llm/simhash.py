@@ -471,7 +471,8 @@ def similar_components(
     keyed = distinct.select(F.substring("fp", 1, 8 * rule.compared).alias("fp"), "node", each.alias("way", "key")).withColumn("seg", F.col("way"))
     edges = linked_edges(keyed, rule, distinct.count() * rule.segments, block)
     nodes = materialise(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
-    sets = _sets(docs.join(nodes, "id", "left_semi"), rule, shingle, rule.compared, True, chunk)
+    members = docs.join(nodes.hint("merge"), "id", "left_semi")  # texts are shuffled at every size
+    sets = _sets(members, rule, shingle, rule.compared, True, chunk)
     sets = materialise(sets.dropDuplicates(["id", "set"]), "sets")
     found = _confirmed(edges, sets, rule, similarity, max(2, block // 4))
     moved = distinct.join(found, "node", "left").select("set", F.coalesce("component", "node").alias("component_id"))
