@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialise
+
 #: Deviations and divisors of this size or less divide nothing.
 EPS = 1e-6
 
@@ -40,19 +42,40 @@ def exact_quantiles(counts: DataFrame, keys: Sequence[str], x: str, qs: dict[str
         wanted = wanted | (F.col("__before") <= F.ceil(place)) & (F.col("__before") + F.col("__pn") > F.floor(place))
     held = laid.join(ranges.filter(wanted).drop("__pn"), [*keys, "__p"])
     inside = F.sum(n).over(W.partitionBy(*keys, "__p").orderBy(x).rowsBetween(W.unboundedPreceding, 0))
-    held = held.withColumn("__end", F.col("__before") + inside)
-    firsts = []
+    return _interpolated(held.withColumn("__end", F.col("__before") + inside), keys, x, qs)
+
+
+def _interpolated(held: DataFrame, keys: Sequence[str], x: str, qs: dict[str, float], extra: Sequence[Column] = (), names: Sequence[str] = ()) -> DataFrame:
+    """exact_quantiles' columns from values with their group's total and how many rows end with them; and further aggregates."""
+    firsts, at = [], {name: q * (F.col("total") - 1) for name, q in qs.items()}
     for name, place in at.items():
         for side, index in (("l", F.floor(place)), ("h", F.ceil(place))):
             beyond = F.col("__end") > index
             firsts += [F.min(F.when(beyond, F.col(x))).alias(f"__{side}_{name}"), F.min(F.when(beyond, F.col("__end"))).alias(f"__{side}n_{name}")]
-    got = held.groupBy(*keys).agg(F.max("total").alias("total"), *firsts)
+    got = held.groupBy(*keys).agg(F.max("total").alias("total"), *firsts, *extra)
     out = []
     for name, place in at.items():
         low, high = F.col(f"__l_{name}"), F.col(f"__h_{name}")
         value = low + (high - low) * (place - F.floor(place))
         out += [value.alias(name), F.when(value < high, F.col(f"__ln_{name}")).otherwise(F.col(f"__hn_{name}")).alias(f"{name}_rows")]
-    return got.select(*keys, "total", *out)
+    return got.select(*keys, "total", *out, *names)
+
+
+def cell_quantiles(counts: DataFrame, x: str, qs: dict[str, float], extra: Sequence[Column] = (), names: Sequence[str] = (), most: int = 50_000) -> DataFrame:
+    """exact_quantiles of written counts (cell, x, n), with further aggregates over the cells' counts. Cells of `most` different values
+    or fewer, all as a rule, are put in order as they are, after one shuffle; larger ones by ranges."""
+    large = counts.groupBy("cell").agg(F.count("*").alias("__values")).filter(F.col("__values") > most).select("cell")
+    small, whole = counts, W.partitionBy("cell")
+    some = not large.isEmpty()
+    if some:  # as many as the counts' rows by `most`
+        small = counts.join(large, "cell", "left_anti")
+    held = small.withColumns({"total": F.sum("n").over(whole), "__end": F.sum("n").over(whole.orderBy(x).rowsBetween(W.unboundedPreceding, 0))})
+    out = _interpolated(held, ["cell"], x, qs, extra, names)
+    if some:
+        rest = counts.join(large, "cell", "left_semi")
+        ranged = exact_quantiles(rest, ["cell"], x, qs)
+        out = out.unionByName(ranged.join(rest.groupBy("cell").agg(*extra), "cell") if extra else ranged)
+    return out
 
 
 def quantile_cells(train: DataFrame, keys: Sequence[str], y: str, q: float = 0.1, least: int = 10, out: str = "ref") -> DataFrame:
@@ -75,6 +98,60 @@ def clipped(train: DataFrame, keys: Sequence[str], y: str, low: float, high: flo
     return train.select(*keys, v.alias("__y")).dropna()
 
 
+def _cell(levels: Sequence[Sequence[str]]) -> Column:
+    """An array with a row's cell on each level, null where one of the level's keys is. A cell is its level and all keys, those of
+    other levels null, so that all levels' cells are of one type and can stand in one column."""
+    every = list(dict.fromkeys(k for keys in levels for k in keys))
+
+    def one(i: int, keys: Sequence[str]) -> Column:
+        known = F.lit(True)
+        for k in keys:
+            known = known & F.col(k).isNotNull()
+        # A key that a level lacks is null there, of the key's type.
+        return F.when(known, F.struct(F.lit(i).alias("level"), *[(F.col(k) if k in keys else F.when(F.lit(False), F.col(k))).alias(k) for k in every]))
+
+    return F.array(*[one(i, keys) for i, keys in enumerate(levels)])
+
+
+def level_counts(train: DataFrame, levels: Sequence[Sequence[str]], y: Column) -> DataFrame:
+    """(cell, y, n), written: how often each value stands in each cell of each level. The table is read once, and counted by all keys;
+    the levels' counts are sums of those."""
+    every = list(dict.fromkeys(k for keys in levels for k in keys))
+    finest = train.select(*every, y.alias("y")).filter("y IS NOT NULL").groupBy(*every, "y").agg(F.count("*").alias("n"))
+    each = finest.select(F.explode(_cell(levels)).alias("cell"), "y", "n").filter("cell IS NOT NULL")
+    return materialise(each.groupBy("cell", "y").agg(F.sum("n").alias("n")), "counts")
+
+
+def quantile_levels(train: DataFrame, levels: Sequence[Sequence[str]], y: str, q: float = 0.1, least: int = 10, out: str = "ref", most: int = 50_000) -> DataFrame:
+    """(cell, out): quantile_cells of all levels in one plan."""
+    got = cell_quantiles(level_counts(train, levels, F.col(y)), "y", {out: q}, most=most)
+    return got.filter(F.col(f"{out}_rows") >= least).select("cell", out)
+
+
+def stat_levels(train: DataFrame, levels: Sequence[Sequence[str]], y: str, least: int = 10, low: float = 0.0, high: float = 7200.0, most: int = 50_000) -> DataFrame:
+    """(cell, median, p90, sd, n): stat_cells of all levels in one plan, from one table of counts."""
+    v = F.when(F.col(y).isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), F.col(y))))
+    counts = level_counts(train, levels, v)
+    # Deviations are summed up from a whole number in the middle, so that nothing is lost where a cell's values are alike.
+    d = F.col("y") - F.lit(float(round((low + high) / 2)))
+    sums = [F.sum(d * F.col("n")).alias("__s"), F.sum(d * d * F.col("n")).alias("__ss")]
+    got = cell_quantiles(counts, "y", {"median": 0.5, "p90": 0.9}, sums, ["__s", "__ss"], most).filter(F.col("total") >= least)
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("__ss") - F.col("__s") * F.col("__s") / F.col("total")) / (F.col("total") - 1))
+    return got.select("cell", "median", "p90", F.when(F.col("total") > 1, sd).alias("sd"), F.col("total").alias("n"))
+
+
+def best_level(df: DataFrame, levels: Sequence[Sequence[str]], cells: DataFrame, values: Sequence[str], prefix: str = "cel_", level: str | None = None) -> DataFrame:
+    """df with the values of the first level that has a cell for the row, as fallback() gives them. The level is looked up once for
+    each combination of keys, and rows are joined once."""
+    every = list(dict.fromkeys(k for keys in levels for k in keys))
+    asked = df.select(*every).distinct()
+    found = asked.select(*every, F.explode(_cell(levels)).alias("cell")).join(cells, "cell")
+    best = found.groupBy(*every).agg(F.min(F.struct(F.col("cell.level").alias("__level"), *[F.col(v).alias(f"{prefix}{v}") for v in values])).alias("__best"))
+    got = _null_safe(df, best, every)
+    extra = [F.col("__best.__level").alias(level)] if level else []
+    return got.select(*df.columns, *[F.col(f"__best.{prefix}{v}").alias(f"{prefix}{v}") for v in values], *extra)
+
+
 def block_stat_cells(train: DataFrame, block: str, keys: Sequence[str], y: str, least: int = 10, low: float = 0.0, high: float = 7200.0) -> DataFrame:
     """(block, keys, median, p90, n) from all blocks but the own, for cells with `least` rows. Values are counted by block first;
     what is copied to the other blocks, a dozen at most, are these counts."""

@@ -37,8 +37,8 @@ SELECT d.mvt_id, round(coalesce(r0.ref, r1.ref, r2.ref), 6) AS ref FROM d {' '.j
 def ref_p10_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tenth percentile of taxi time at the finest of three cells that is thick enough."""
     dep = departures(spark, sf_dir)
-    levels = [(k, cells.quantile_cells(dep, k, "taxi_s")) for k in LEVELS]
-    got = cells.fallback(dep.select("mvt_id", "airport", "stand", "runway"), levels, ["ref"], "")
+    found = cells.quantile_levels(dep, LEVELS, "taxi_s")
+    got = cells.best_level(dep.select("mvt_id", "airport", "stand", "runway"), LEVELS, found, ["ref"], "")
     return got.select("mvt_id", F.round("ref", 6).alias("ref"))
 
 
@@ -63,8 +63,8 @@ SELECT d.mvt_id, round({pick('median')}, 6) AS cel_median, round({pick('p90')},
 def cell_stats_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median, P90, deviation and count of the finest of four cells with ten rows, and which it was."""
     dep = departures(spark, sf_dir)
-    levels = [(k, cells.stat_cells(dep, k, "taxi_s")) for k in CELL_LEVELS]
-    got = cells.fallback(dep.select("mvt_id", "airport", "stand", "runway", "wake"), levels, ["median", "p90", "sd", "n"], "cel_", "level")
+    found = cells.stat_levels(dep, CELL_LEVELS, "taxi_s")
+    got = cells.best_level(dep.select("mvt_id", "airport", "stand", "runway", "wake"), CELL_LEVELS, found, ["median", "p90", "sd", "n"], "cel_", "level")
     return got.select("mvt_id", *[F.round(f"cel_{c}", 6).alias(f"cel_{c}") for c in ("median", "p90", "sd")], "cel_n", "level")
 
 

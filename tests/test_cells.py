@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +20,34 @@ def test_thin_cells_fall_back_and_outliers_are_clipped(spark):
     assert got[4].level == 1
 
 
+@pytest.mark.parametrize("most", [50_000, 3])
+def test_levels_in_one_plan_are_the_levels_one_by_one(spark, most):
+    """Also where cells are so large that their values are put in order by ranges."""
+    rng = random.Random(1)
+    rows = [(i, rng.choice(["A", "A", "B", None]), rng.choice(["S1", "S2", None]), rng.choice(["x", "y"]), None if i % 17 == 0 else float(rng.choice([5, 60, 600, 9000, rng.randint(0, 700)]))) for i in range(700)]
+    df = spark.createDataFrame(rows, "id int, airport string, stand string, wake string, y double")
+    for levels in ((["airport", "stand", "wake"], ["airport", "stand"], ["airport"]), (["stand", "wake"], ["airport"])):
+        values = ["median", "p90", "sd", "n"]
+        old = cells.fallback(df, [(k, cells.stat_cells(df, k, "y", 40)) for k in levels], values, "cel_", "level")
+        new = cells.best_level(df, levels, cells.stat_levels(df, levels, "y", 40, most=most), values, "cel_", "level")
+        assert new.columns == old.columns
+        key = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
+        assert {r.id: key(r) for r in new.collect()} == {r.id: key(r) for r in old.collect()}
+        old = cells.fallback(df, [(k, cells.quantile_cells(df, k, "y")) for k in levels], ["ref"], "")
+        new = cells.best_level(df, levels, cells.quantile_levels(df, levels, "y", most=most), ["ref"], "")
+        assert {r.id: r.ref for r in new.collect()} == {r.id: r.ref for r in old.collect()}
+
+
+def test_levels_read_their_table_once(spark, tmp_path):
+    spark.createDataFrame([(i, "A", f"S{i % 3}", float(i)) for i in range(60)], "id int, airport string, stand string, y double").write.parquet(f"{tmp_path}/t")
+    train = spark.read.parquet(f"{tmp_path}/t")
+    levels = (["airport", "stand"], ["airport"])
+    found = cells.stat_levels(train, levels, "y")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert f"{tmp_path}" not in plan and "Join" not in plan  # counts were written; no join while all cells are small
+    assert found.count() == 4
+
+
 def test_p10_needs_rows_at_or_below_it(spark):
     train = spark.createDataFrame([("a", float(i)) for i in range(50)] + [("b", float(i)) for i in range(100)], "k string, y double")
     got = {r.k: r.ref for r in cells.quantile_cells(train, ["k"], "y").collect()}
