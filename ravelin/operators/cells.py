@@ -239,6 +239,21 @@ def value_ranks(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     return got.select(*keys, x, "n", (F.col("__before") + F.col("__in") + (F.col("n") + 1) / 2).alias("rank"))
 
 
+def places(df: DataFrame, x: str, tie: str, out: str = "place", descending: bool = False) -> DataFrame:
+    """df with each row's place, from 0, in order of x, ties by `tie`, a number from 0 up; neither is null. Values are numbered by
+    value_ranks(); rows of one value are laid into ranges of `tie`, whose totals are added up, so that neither many values
+    nor one that most rows have are put in order in one task."""
+    by = F.col(x).cast("double")
+    rows = df.withColumns({"__x": -by if descending else by, "__t": _octave(tie)})
+    values = value_ranks(rows, [], "__x").select(F.col("__x").alias("__vx"), (F.col("rank") - (F.col("n") + 1) / 2).cast("long").alias("__vb"))
+    ranges = rows.groupBy("__x", "__t").agg(F.count("*").alias("__rn"))
+    earlier = F.coalesce(F.sum("__rn").over(W.partitionBy("__x").orderBy("__t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(F.col("__x").alias("__rx"), F.col("__t").alias("__rt"), earlier.alias("__rb")).join(values, F.col("__rx") == F.col("__vx"))
+    inner = F.row_number().over(W.partitionBy("__x", "__t").orderBy(tie)) - 1
+    got = rows.withColumn("__i", inner).join(ranges, (F.col("__x") == F.col("__rx")) & (F.col("__t") == F.col("__rt")))
+    return got.select(*df.columns, (F.col("__vb") + F.col("__rb") + F.col("__i")).alias(out))
+
+
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on keys where null equals null; the right side's keys go."""
     r = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})

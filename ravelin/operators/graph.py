@@ -1,102 +1,112 @@
-"""Small graphs, one per group: largest component, shortest paths, nearest nodes, distance look-ups.
+"""Graphs of many groups at once (airports' taxiways): components, shortest paths, nearest nodes, distance look-ups.
 
-A group's graph (an airport's taxiways) fits a task; groups are spread over tasks."""
+Nodes and edges stay rows. Components and distances come in rounds of joins, of what the round before has changed, each written
+to the shared folder; there are as many rounds as a path has edges, or the logarithm of it for components. Nearest nodes are
+looked up in grids whose cells double. No group stands in one task.
+"""
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def adjacency(edges: Iterator[tuple]) -> dict:
-    """Undirected, the lightest of parallel edges."""
-    out: dict = {}
-    for a, b, w in edges:
-        for x, y in ((a, b), (b, a)):
-            near = out.setdefault(x, {})
-            near[y] = min(w, near.get(y, w))
-    return out
+from ..sources.storage import materialise, release
 
 
-def largest_component(graph: dict) -> set:
-    """The component with most nodes, the one with the smallest node if several have."""
-    best: set = set()
-    left = set(graph)
-    for start in sorted(graph, key=str):
-        if start not in left:
-            continue
-        seen, stack = {start}, [start]
-        while stack:
-            for y in graph[stack.pop()]:
-                if y not in seen:
-                    seen.add(y)
-                    stack.append(y)
-        left -= seen
-        if len(seen) > len(best):
-            best = seen
-    return best
-
-
-def distances(graph: dict, source) -> dict:
-    done: dict = {}
-    heap = [(0, str(source), source)]
-    while heap:
-        d, _, x = heapq.heappop(heap)
-        if x in done:
-            continue
-        done[x] = d
-        for y, w in graph.get(x, {}).items():
-            if y not in done:
-                heapq.heappush(heap, (d + w, str(y), y))
-    return done
+def undirected(edges: DataFrame, group: str) -> DataFrame:
+    """(group, a, b, w) both ways, the lightest of parallel edges."""
+    there = edges.select(group, "a", "b", "w")
+    return there.unionByName(edges.select(group, F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy(group, "a", "b").agg(F.min("w").alias("w"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, group: str, weight_type: str = "double", only_main: bool = False) -> DataFrame:
-    """(group, source, target, dist) over undirected edges (group, a, b, w), from sources (group, node) to targets (group,
-    node); unreachable pairs give no row. With only_main, nodes out of the largest component are no sources or targets."""
-    rows = edges.select(group, F.col("a").alias("x"), F.col("b").alias("y"), F.col("w").alias("w"), F.lit("e").alias("kind"))
-    for kind, df in (("s", sources), ("t", targets)):
-        rows = rows.unionByName(df.select(group, F.col("node").alias("x"), F.lit(None).cast("string").alias("y"), F.lit(None).cast(weight_type).alias("w"), F.lit(kind).alias("kind")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = pdf[pdf.kind == "e"]
-        graph = adjacency(zip(e.x, e.y, e.w, strict=True))
-        allowed = largest_component(graph) if only_main else set(graph)
-        starts = [s for s in dict.fromkeys(pdf[pdf.kind == "s"].x) if s in allowed]
-        ends = [t for t in dict.fromkeys(pdf[pdf.kind == "t"].x) if t in allowed]
-        out = []
-        for t in ends:  # fewer targets than sources, and edges have no direction
-            d = distances(graph, t)
-            out += [(s, t, d[s]) for s in starts if s in d]
-        got = pd.DataFrame(out, columns=["source", "target", "dist"])
-        got.insert(0, group, pdf[group].iloc[0])
-        return got
-
-    return rows.groupBy(group).applyInPandas(run, f"{group} {edges.schema[group].dataType.simpleString()}, source string, target string, dist {weight_type}")
+def components(edges: DataFrame, group: str) -> DataFrame:
+    """(group, node, root): the smallest node that is reachable. A round takes the least root among neighbours, and that root's own
+    root, so a path shrinks by half."""
+    g = materialise(undirected(edges, group), "edges")
+    now = materialise(g.groupBy(group, F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "roots")
+    while True:
+        near = g.join(now.select(group, F.col("node").alias("b"), "root"), [group, "b"]).groupBy(group, F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        best = now.join(near, [group, "node"]).select(group, "node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        jump = now.select(group, F.col("node").alias("root"), F.col("root").alias("far"))
+        after = best.join(jump, [group, "root"], "left").select(group, "node", F.least("root", "far").alias("root"), (F.least("root", "far") < F.col("old")).alias("changed"))
+        after = materialise(after, "roots")
+        release(now)
+        now = after
+        if now.filter("changed").isEmpty():
+            release(g)
+            return now.drop("changed")
 
 
 def main_nodes(edges: DataFrame, group: str) -> DataFrame:
-    """(group, node) of each group's largest component."""
+    """(group, node) of each group's largest component, the one with the smallest node if several are."""
+    roots = components(edges, group)
+    sizes = roots.groupBy(group, "root").agg(F.count("*").alias("n"))
+    first = sizes.groupBy(group).agg(F.min(F.struct(-F.col("n"), "root"))["root"].alias("root"))
+    return roots.join(first, [group, "root"]).select(group, "node")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(largest_component(adjacency(zip(pdf.a, pdf.b, pdf.w, strict=True))), key=str)
-        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(nodes), "node": nodes})
 
-    return edges.select(group, "a", "b", "w").groupBy(group).applyInPandas(run, f"{group} {edges.schema[group].dataType.simpleString()}, node string")
+def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, group: str, weight_type: str = "double", only_main: bool = False) -> DataFrame:
+    """(group, source, target, dist) over undirected edges (group, a, b, w), from sources (group, node) to targets (group,
+    node); unreachable pairs give no row. With only_main, nodes out of the largest component are no sources or targets.
+
+    Distances grow from the targets, which are fewer. A round goes on from the nodes that the last one made nearer."""
+    g = materialise(undirected(edges, group), "edges")
+    allowed = main_nodes(edges, group) if only_main else g.select(group, F.col("a").alias("node")).distinct()
+    ends = targets.select(group, "node").distinct().join(allowed, [group, "node"], "left_semi")
+    now = materialise(ends.select(group, F.col("node").alias("target"), "node", F.lit(0).cast(weight_type).alias("dist"), F.lit(True).alias("fresh")), "distances")
+    while not now.filter("fresh").isEmpty():
+        ahead = now.filter("fresh").select(group, "target", F.col("node").alias("a"), "dist").join(g, [group, "a"])
+        steps = ahead.select(group, "target", F.col("b").alias("node"), (F.col("dist") + F.col("w")).cast(weight_type).alias("dist"), F.lit(True).alias("fresh"))
+        both = now.withColumn("fresh", F.lit(False)).unionByName(steps)
+        # The least distance, and of equal ones the one that was there before.
+        best = both.groupBy(group, "target", "node").agg(F.min(F.struct("dist", "fresh")).alias("m")).select(group, "target", "node", "m.dist", "m.fresh")
+        after = materialise(best, "distances")
+        release(now)
+        now = after
+    starts = sources.select(group, "node").distinct().join(allowed, [group, "node"], "left_semi")
+    found = materialise(now.join(starts, [group, "node"]).select(group, F.col("node").alias("source"), "target", "dist"), "paths")
+    release(g)
+    release(now)
+    return found
 
 
 def nearest_nodes(points: DataFrame, nodes: DataFrame, group: str, point_id: str, edges: DataFrame | None = None) -> DataFrame:
     """(point_id, node, d2): the nearest node (x, y) of the point's group, ties to the smaller node; with edges, of the group's
-    largest component. A group's nodes fit a task, as its graph does."""
+    largest component. Points of a group without nodes give no row.
+
+    Cells of a grid are as wide as nodes lie apart on average. A point looks at the nine cells around it; a node that is no
+    further than a cell's width is the nearest. The other points look again in cells twice as wide, until all have one."""
     if edges is not None:
         nodes = nodes.join(main_nodes(edges, group), [group, "node"], "left_semi")
-    d2 = (F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2
-    pairs = points.select(group, point_id, F.col("x").alias("px"), F.col("y").alias("py")).join(nodes.select(group, "node", "x", "y"), group)
-    return pairs.groupBy(point_id).agg(F.min(F.struct(d2.alias("d2"), "node")).alias("m")).select(point_id, "m.node", "m.d2")
+    nodes = materialise(nodes.select(group, "node", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna(), "nodes")
+    span = nodes.groupBy(group).agg(*[f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("low", F.min), ("high", F.max))], F.count("*").alias("n"))
+    wide = F.greatest(F.col("highx") - F.col("lowx"), F.col("highy") - F.col("lowy"))
+    grids = materialise(span.select(group, F.when(wide > 0, wide / F.ceil(F.sqrt("n"))).otherwise(F.lit(1.0)).alias("h")), "grids")
+    rest = points.select(group, point_id, F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).dropna()
+    rest, done, level = materialise(rest.join(grids, group), "points"), [], 0
+    while True:
+        size = F.col("h") * float(2**level)
+        cell = lambda c: F.floor(F.col(c) / size)
+        homes = nodes.join(grids, group).select(group, "node", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+        around = F.explode(F.array(*[F.struct((cell("px") + i).alias("cx"), (cell("py") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")
+        dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
+        d2 = dx * dx + dy * dy
+        met = rest.select("*", size.alias("s"), around).select("*", "c.cx", "c.cy").join(homes, [group, "cx", "cy"], "left")
+        best = met.groupBy(group, point_id, "px", "py", "h", "s").agg(F.min(F.when(F.col("node").isNotNull(), F.struct(d2.alias("d2"), "node"))).alias("m"))
+        best = materialise(best, "nearest")
+        sure = F.coalesce(F.col("m.d2") <= F.col("s") * F.col("s"), F.lit(False))
+        done.append(best.filter(sure).select(point_id, "m.node", "m.d2"))
+        after = materialise(best.filter(~sure).select(group, point_id, "px", "py", "h"), "points")
+        release(rest)
+        rest, level = after, level + 1
+        if rest.isEmpty():
+            break
+    for frame in (nodes, grids, rest):
+        release(frame)
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def stand_aliases(table: DataFrame, group: str) -> DataFrame:

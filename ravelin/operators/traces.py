@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import tracks
+
 
 def explode_points(traces: DataFrame) -> DataFrame:
     """One row for each point: icao, t, ground, gs, lat, lon, alt, source, callsign (the last one known in the trace)."""
@@ -16,6 +18,11 @@ def explode_points(traces: DataFrame) -> DataFrame:
     return p.select("icao", "reg", "type", (F.col("start") + F.col("p.dt")).alias("t"), F.col("p.ground").alias("ground"), F.col("p.gs").alias("gs"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"), F.col("p.alt").alias("alt"), F.col("p.source").alias("source"), known.alias("callsign"))
 
 
+def with_callsigns(points: DataFrame, track: str, at: str, tie: str, width: int, out: str = "callsign") -> DataFrame:
+    """Points that are rows already, with the last callsign that was heard on their track."""
+    return tracks.last_known(points, track, at, tie, width, "callsign", out)
+
+
 def near_airports(points: DataFrame, airports: dict[str, tuple[float, float]], km: float = 10.0, most_alt: float = 3000.0) -> DataFrame:
     """Points in an airport's square, on the ground or not above `most_alt` feet; `apt` is the first airport, by name, whose square holds the point."""
     half = km / 111.32

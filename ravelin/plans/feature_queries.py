@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import rules
+from ..operators import cells, rules
 from ..operators.cells import consistency
 from ..operators.keys import assemble, in_order, joint_key, strict_key
 from ..operators.splits import blind
@@ -196,7 +195,7 @@ SELECT o.mvt_id, o.place, mv.airport, mv.taxi_s FROM o JOIN mv USING (mvt_id)"""
 def rows_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with the places that a list of ids gives them."""
     rows = mv.load(spark, sf_dir).filter("phase = 'ARR'")
-    places = rows.select("mvt_id", (F.row_number().over(W.orderBy(F.desc("taxi_s"), "mvt_id")) - 1).alias("place"))  # the list, which a sink has in order
+    places = cells.places(rows.select("mvt_id", "taxi_s"), "taxi_s", "mvt_id", descending=True).select("mvt_id", "place")
     return in_order(rows.select("mvt_id", "airport", "taxi_s"), places, "mvt_id", "place")
 
 

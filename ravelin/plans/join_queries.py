@@ -98,12 +98,12 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.candidates_around(left, right, ["airport"], "mvt_us", "block_us", "mvt_id", "event_no", 1800 * SECOND)
 
 
-@query(f"""WITH {MV}, r AS (SELECT DISTINCT airport, runway FROM mv WHERE phase = 'ARR' AND event_id % 3 = 0) SELECT (SELECT count(*) FROM mv
+@query(f"""WITH {MV}, r AS (SELECT DISTINCT airport, runway FROM mv WHERE phase = 'ARR' AND flight_id IS NULL) SELECT (SELECT count(*) FROM mv
 WHERE phase = 'DEP' AND (airport, runway) IN (SELECT airport, runway FROM r))::BIGINT AS n_in, (SELECT count(*) FROM mv
 WHERE phase = 'DEP' AND (airport, runway) NOT IN (SELECT airport, runway FROM r))::BIGINT AS n_out""")
 def semi_and_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with and without a partner."""
-    rows = mv.load(spark, sf_dir).select("event_id", "phase", "airport", "runway")
-    dep, keys = rows.filter("phase = 'DEP'"), rows.filter("phase = 'ARR' AND event_id % 3 = 0").select("airport", "runway")
+    """Departures from places where an arrival had no plan, and from others."""
+    rows = mv.load(spark, sf_dir).select("flight_id", "phase", "airport", "runway")
+    dep, keys = rows.filter("phase = 'DEP'"), rows.filter("phase = 'ARR' AND flight_id IS NULL").select("airport", "runway")
     inside = dep.join(keys, ["airport", "runway"], "left_semi").agg(F.count("*").alias("n_in"))
     return inside.crossJoin(F.broadcast(dep.join(keys, ["airport", "runway"], "left_anti").agg(F.count("*").alias("n_out"))))  # one row each

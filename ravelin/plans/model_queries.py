@@ -178,3 +178,16 @@ def map_distance_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = graph.shortest_paths(edges, stands, runways, "airport", "bigint", only_main=True)
     rows = mv.load(spark, sf_dir).filter("phase = 'DEP'").select("mvt_id", "airport", "stand", "runway")
     return graph.distance_columns(rows, table, "airport", "stand", "runway").select("mvt_id", "map_dist", "map_dmin", "map_extra")
+
+
+@query(f"""WITH {MV}, n AS (SELECT DISTINCT airport, stand AS node, substr(stand, 2)::BIGINT AS k FROM mv WHERE stand IS NOT NULL),
+p AS (SELECT mvt_id, airport, (mvt_id * 7919 % 1009) / 8.0::DOUBLE AS x, (mvt_id * 104729 % 1013) / 8.0::DOUBLE AS y FROM mv),
+d AS (SELECT mvt_id, node, (p.x - k * 37 % 101) * (p.x - k * 37 % 101) + (p.y - k * 53 % 103) * (p.y - k * 53 % 103) AS d2 FROM p JOIN n USING (airport))
+SELECT mvt_id, node, d2 FROM (SELECT *, row_number() OVER (PARTITION BY mvt_id ORDER BY d2, node) AS i FROM d) WHERE i = 1""")
+def nearest_stand_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand next to a point on its airport, by a grid."""
+    rows = mv.load(spark, sf_dir)
+    number = F.substring("stand", 2, 9).cast("long")
+    nodes = rows.filter("stand IS NOT NULL").select("airport", F.col("stand").alias("node"), (number * 37 % 101).cast("double").alias("x"), (number * 53 % 103).cast("double").alias("y")).distinct()
+    points = rows.select("mvt_id", "airport", (F.col("mvt_id") * 7919 % 1009 / 8.0).alias("x"), (F.col("mvt_id") * 104729 % 1013 / 8.0).alias("y"))
+    return graph.nearest_nodes(points, nodes, "airport", "mvt_id")

@@ -48,25 +48,25 @@ def available_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_available(spark, [f"{sf_dir}/supplier.parquet"], ["s_suppkey", "s_name", "s_elsewhere"], ["s_nation", "s_acct"])
 
 
-@query(f"""WITH {MV}, t AS (SELECT user_id, count(*)::BIGINT AS moves, max(taxi_s) AS longest FROM mv GROUP BY user_id HAVING count(*) % 2 = 1)
+@query(f"""WITH {MV}, t AS (SELECT user_id, count(*)::BIGINT AS moves, max(taxi_s) AS longest FROM mv WHERE wake = 'H' GROUP BY user_id)
 SELECT mvt_id, moves, longest, (SELECT count(*) FROM mv e WHERE e.user_id = mv.user_id AND e.phase = 'DEP')::BIGINT AS departures FROM mv LEFT
 JOIN t USING (user_id) WHERE phase = 'DEP'""")
 def joined_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns looked up by a unique id: from a table that lacks some ids, and from one that must have them all."""
+    """Columns looked up by a unique id: heavy movements, which some lack, and departures, which all must have."""
     rows = mv.load(spark, sf_dir)
-    some = rows.groupBy("user_id").agg(F.count("*").alias("moves"), F.max("taxi_s").alias("longest")).filter("moves % 2 = 1")
+    some = rows.filter("wake = 'H'").groupBy("user_id").agg(F.count("*").alias("moves"), F.max("taxi_s").alias("longest"))
     every = rows.groupBy("user_id").agg(F.count(F.when(F.col("phase") == "DEP", 1)).alias("departures"))
     dep = rows.filter("phase = 'DEP'").select("mvt_id", "user_id")
     return keys.join_by_id(keys.join_by_id(dep, some, "user_id"), every, "user_id", complete=True).drop("user_id")
 
 
-@query(f"""WITH {MV}, v AS (SELECT stand FROM mv WHERE phase = 'DEP' AND day % 30 < 3 UNION SELECT stand FROM mv
-WHERE phase = 'ARR' AND day % 30 >= 3), c AS (SELECT stand, row_number() OVER (ORDER BY stand) - 1 AS code FROM v WHERE stand IS NOT NULL)
+@query(f"""WITH {MV}, v AS (SELECT stand FROM mv WHERE phase = 'DEP' UNION SELECT stand FROM mv
+WHERE phase = 'ARR'), c AS (SELECT stand, row_number() OVER (ORDER BY stand) - 1 AS code FROM v WHERE stand IS NOT NULL)
 SELECT mvt_id, code FROM mv LEFT JOIN c USING (stand)""")
 def category_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of categories in the order of their names, over the values of several frames."""
     rows = mv.load(spark, sf_dir)
-    values = base.vocabulary([rows.filter("phase = 'DEP' AND day % 30 < 3"), rows.filter("phase = 'ARR' AND day % 30 >= 3")], "stand")
+    values = base.vocabulary([rows.filter("phase = 'DEP'"), rows.filter("phase = 'ARR'")], "stand")
     codes = values.withColumn("code", F.row_number().over(W.orderBy("stand")) - 1)  # a vocabulary, which a model holds whole
     return rows.select("mvt_id", "stand").join(codes, "stand", "left").select("mvt_id", F.col("code").cast("long").alias("code"))
 
@@ -101,13 +101,12 @@ WHERE (({_inside("AAA")}) OR ({_inside("BBB")})) AND (ground OR alt <= 3000)""")
 def trace_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of tracks that are low and near an airport, with the last callsign that was heard."""
     e = F.col("event_id")
-    point = F.struct(
-        e.cast("double").alias("dt"), (40 + e % 200 / 1000).alias("lat"), (12 + e % 300 / 1000).alias("lon"), (e % 5 == 0).alias("ground"), (e * 37 % 6000).cast("double").alias("alt"),
-        F.lit(0.0).alias("gs"), F.lit("src").alias("source"), F.when(e % 4 == 0, F.concat(F.lit("C"), e % 9)).alias("callsign"),
+    points = mv.table(spark, sf_dir, "events").select(
+        "event_id", F.col("user_id").cast("string").alias("icao"), e.cast("double").alias("t"), (40 + e % 200 / 1000).alias("lat"), (12 + e % 300 / 1000).alias("lon"), (e % 5 == 0).alias("ground"), (e * 37 % 6000).cast("double").alias("alt"),
+        F.when(e % 4 == 0, F.concat(F.lit("C"), e % 9)).alias("callsign"),
     )
-    tracks = mv.table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("icao")).agg(F.array_sort(F.collect_list(point)).alias("points"))  # a track is one record
-    tracks = tracks.select("icao", F.lit(None).cast("string").alias("reg"), F.lit(None).cast("string").alias("type"), F.lit(0.0).alias("start"), "points")
-    return traces.near_airports(traces.explode_points(tracks), PLACES, 4.0, 3000.0).select("t", "callsign", "apt")
+    heard = traces.with_callsigns(points, "icao", "event_id", "event_id", 2000)
+    return traces.near_airports(heard, PLACES, 4.0, 3000.0).select("t", "callsign", "apt")
 
 
 _FINAL = "(event_id * 13) % 5400"

@@ -401,33 +401,34 @@ def registry_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {MV}, t AS (SELECT mvt_id FROM mv WHERE phase = 'DEP'), p AS (SELECT mvt_id, taxi_s AS pred FROM mv
-WHERE phase = 'DEP' AND mvt_id % 1500 <> 0) SELECT t.mvt_id, coalesce(p.pred, (SELECT quantile_cont(pred, 0.5) FROM p)) AS pred FROM t LEFT
+WHERE phase = 'DEP' AND taxi_s > 0) SELECT t.mvt_id, coalesce(p.pred, (SELECT quantile_cont(pred, 0.5) FROM p)) AS pred FROM t LEFT
 JOIN p USING (mvt_id)""")
 def submission_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions on a template's rows; few missing ones take the median."""
+    """Predictions on a template's rows; the few without one above 0 take the median."""
     from ..sources.sinks import on_template
 
     dep = departures(spark, sf_dir)
-    return on_template(dep.select("mvt_id"), dep.filter("mvt_id % 1500 <> 0").select("mvt_id", F.col("taxi_s").alias("pred")), "mvt_id", "pred")
+    return on_template(dep.select("mvt_id"), dep.filter("taxi_s > 0").select("mvt_id", F.col("taxi_s").alias("pred")), "mvt_id", "pred")
 
 
 # Sets
 
 
-@query(f"""WITH {MV}, tr AS (SELECT stand, runway, 1.0::DOUBLE AS w FROM mv WHERE day % 2 = 0), ot AS (SELECT stand, runway, 0.3::DOUBLE AS w FROM mv
-WHERE day % 2 = 1 AND airport = 'A1')
+@query(f"""WITH {MV}, tr AS (SELECT airport, stand, runway, 1.0::DOUBLE AS w FROM mv WHERE phase = 'DEP'),
+ot AS (SELECT airport, stand, runway, 0.3::DOUBLE AS w FROM mv WHERE phase = 'ARR'), a AS (SELECT airport, stand, runway FROM tr), b AS (SELECT airport, stand, runway FROM ot)
 SELECT 'union_all' AS op, (SELECT count(*) FROM (SELECT * FROM tr UNION ALL SELECT * FROM ot))::BIGINT AS n, (SELECT round(sum(w), 6) FROM (SELECT *
 FROM tr UNION ALL SELECT * FROM ot)) AS weight UNION ALL
-SELECT 'union', (SELECT count(*) FROM (SELECT stand, runway FROM tr UNION SELECT stand, runway FROM ot)), NULL UNION ALL
-SELECT 'minus', (SELECT count(*) FROM (SELECT stand, runway FROM tr EXCEPT SELECT stand, runway FROM ot)), NULL UNION ALL
-SELECT 'intersect', (SELECT count(*) FROM (SELECT stand, runway FROM tr INTERSECT SELECT stand, runway FROM ot)), NULL UNION ALL
+SELECT 'union', (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)), NULL UNION ALL
+SELECT 'minus', (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)), NULL UNION ALL
+SELECT 'intersect', (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)), NULL UNION ALL
 SELECT 'distinct', (SELECT count(DISTINCT runway) FROM tr), NULL""")
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union with weights, distinct union, difference, intersection and deduplication."""
+    """Places of departures and of arrivals: union with weights, distinct union, difference, intersection and deduplication."""
     rows = mv.load(spark, sf_dir)
-    a = rows.filter("day % 2 = 0").select("stand", "runway", F.lit(1.0).alias("w"))
-    b = rows.filter("day % 2 = 1 AND airport = 'A1'").select("stand", "runway", F.lit(0.3).alias("w"))
-    every, keys = a.unionByName(b), lambda d: d.select("stand", "runway")
+    place = ["airport", "stand", "runway"]
+    a = rows.filter("phase = 'DEP'").select(*place, F.lit(1.0).alias("w"))
+    b = rows.filter("phase = 'ARR'").select(*place, F.lit(0.3).alias("w"))
+    every, keys = a.unionByName(b), lambda d: d.select(*place)
     none = F.lit(None).cast("double").alias("weight")
     count = lambda name, d, w=none: d.agg(F.lit(name).alias("op"), F.count("*").alias("n"), w)
     out = count("union_all", every, F.round(F.sum("w"), 6).alias("weight")).unionByName(count("union", keys(a).union(keys(b)).distinct()))

@@ -5,11 +5,10 @@ from __future__ import annotations
 from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import asof, islands, matching, runway, windows
+from ..operators import asof, islands, matching, runway, tracks, windows
 from ..sources import movements as mv
 from ..sources.movements import SECOND
 from ..sources.movements import SQL as MV
@@ -412,7 +411,7 @@ def greedy_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = same.select("mvt_id", F.col("r_event_no").alias("event_no"), F.abs(F.col("mvt_us") - F.col("r_block_us")).alias("distance"), F.lit(0).alias("priority"))
     near = matching.candidates_around(left, right, ["airport"], "mvt_us", "block_us", "mvt_id", "event_no", 3600 * SECOND).withColumn("priority", F.lit(1))
     pairs = same.unionByName(near).groupBy("mvt_id", "event_no").agg(F.min("priority").alias("priority"), F.min("distance").alias("distance"))
-    return matching.greedy_match(pairs, "mvt_id", "event_no", ["priority", "distance"], materialise).select("mvt_id", "event_no", "priority", "distance")
+    return matching.greedy_match(pairs, "mvt_id", "event_no", ["priority", "distance"], materialise, finish=1000).select("mvt_id", "event_no", "priority", "distance")
 
 
 # Islands
@@ -425,9 +424,9 @@ FROM l""")
 def lag_ground_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time since the previous movement of the same aircraft ended."""
     rows, _, _ = both(spark, sf_dir)
-    w = W.partitionBy("user_id").orderBy("mvt_us", "mvt_id")
-    before: Column = F.lag("airport").over(w)
-    return rows.select("mvt_id", ((F.col("mvt_us") - F.lag("block_us").over(w)) / SECOND).alias("ground_time"), F.when(before.isNotNull(), (before == F.col("airport")).cast("int")).alias("same_airport"))
+    rows = tracks.neighbours(rows.select("user_id", "mvt_id", "mvt_us", "block_us", "airport"), "user_id", "mvt_us", "mvt_id", 86_400 * SECOND, ["block_us", "airport"])
+    before: Column = F.col("__before.airport")
+    return rows.select("mvt_id", ((F.col("mvt_us") - F.col("__before.block_us")) / SECOND).alias("ground_time"), F.when(before.isNotNull(), (before == F.col("airport")).cast("int")).alias("same_airport"))
 
 
 def _islands_sql(gap: int, within: int) -> str:

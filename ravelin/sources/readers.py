@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import bz2
 import gzip
 import io
 import json
+import lzma
 import tarfile
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
+from contextlib import nullcontext
 from dataclasses import dataclass
 from datetime import datetime, timedelta
-from itertools import islice
+from itertools import accumulate, islice
 
 import pyarrow as pa
 import pyarrow.fs
@@ -133,45 +137,99 @@ GZIP = bytes([31, 139])
 PART = r"\.(?:[a-z]{2}|\d+)$"
 
 
-class _Parts(io.RawIOBase):
-    """The parts of an archive as one stream, each opened when the one before has ended."""
+class _Joined(io.RawIOBase):
+    """Files one after another as one, which can be read anywhere; each is opened when it is needed."""
 
-    def __init__(self, paths: Iterable[str]) -> None:
-        self.paths, self.now = iter(paths), None
+    def __init__(self, paths: Sequence[str], sizes: Sequence[int]) -> None:
+        self.paths, self.begins = paths, list(accumulate(sizes, initial=0))
+        self.at, self.now, self.file = 0, None, None
 
     def readable(self) -> bool:
         return True
 
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self.at = offset + {io.SEEK_SET: 0, io.SEEK_CUR: self.at, io.SEEK_END: self.begins[-1]}[whence]
+        return self.at
+
     def readinto(self, room) -> int:
-        while True:
-            if self.now is None:
-                path = next(self.paths, None)
-                if path is None:
-                    return 0
-                store, inside = pa.fs.FileSystem.from_uri(path)
-                self.now = store.open_input_stream(inside)
-            if n := self.now.readinto(room):
-                return n
-            self.now.close()
-            self.now = None
-
-
-def _members(stream) -> Iterator[dict]:
-    """Readable traces of a tar stream, in one pass; an archive that breaks off gives what came before."""
+        if self.at >= self.begins[-1] or not len(room):
+            return 0
+        which = bisect_right(self.begins, self.at) - 1
+        if which != self.now:
+            if self.file is not None:
+                self.file.close()
+            store, inside = pa.fs.FileSystem.from_uri(self.paths[which])
+            self.now, self.file = which, store.open_input_file(inside)
+        n = min(len(room), self.begins[which + 1] - self.at)
+        self.file.seek(self.at - self.begins[which])
+        got = self.file.read(n)
+        room[: len(got)] = got
+        self.at += len(got)
+        return len(got)
+
+
+class BrokenArchive(ValueError):
+    """An archive that breaks off, or lacks a part."""
+
+
+def _spans(stream, size: int, name: str, keep_broken: bool) -> list[tuple[int, int]] | None:
+    """(offset, length) of an archive's files, by its headers alone; None where it is compressed and so has no places to go to."""
+    out: list[tuple[int, int]] = []
+    head = stream.read(262)
+    stream.seek(0)
+    if len(head) == 262 and head[257:262] != b"ustar" and head[:1] != b"\0":
+        return None
+    try:
+        with tarfile.open(fileobj=stream, mode="r:") as tar:
+            for m in tar:
+                if m.isfile():
+                    if m.offset_data + m.size > size:
+                        raise tarfile.ReadError("a file is cut off")
+                    out.append((m.offset_data, m.size))
+            if tar.offset + 512 > size:  # blocks of zeros end an archive
+                raise tarfile.ReadError("there is no end")
+    except (tarfile.TarError, EOFError) as error:
+        if not keep_broken:
+            raise BrokenArchive(f"{name} breaks off after {len(out)} files: {error}") from error
+    return out
+
+
+def _members(stream, name: str, keep_broken: bool) -> Iterator[dict]:
+    """Readable traces of a compressed tar stream, in one pass."""
+    head, n = stream.read(6), 0
+    stream.seek(0)
+    opener = next((f for mark, f in ((GZIP, gzip.open), (b"BZh", bz2.open), (b"\xfd7zXZ", lzma.open)) if head.startswith(mark)), None)
     try:
-        with tarfile.open(fileobj=stream, mode="r|*") as tar:
+        with (opener or nullcontext)(stream) as plain, tarfile.open(fileobj=plain, mode="r|") as tar:  # which tell a cut-off stream from its end
             for m in tar:
                 if m.isfile() and (row := parse_trace(tar.extractfile(m).read())):
+                    n += 1
                     yield row
-    except (tarfile.TarError, EOFError):
-        return
+    except (tarfile.TarError, EOFError, OSError, lzma.LZMAError, zlib.error) as error:
+        if not keep_broken:
+            raise BrokenArchive(f"{name} breaks off after {n} files: {error}") from error
+
+
+def _numbered(names: Sequence[str]) -> list[int]:
+    """The numbers of an archive's parts: 0, 1 and so on of digits, and of two letters."""
+    ends = [n.rsplit(".", 1)[-1] for n in names]
+    return [int(e) if e.isdigit() else (ord(e[0]) - 97) * 26 + ord(e[1]) - 97 for e in ends]
 
 
-def read_trace_archives(spark: SparkSession, paths: Sequence[str], held: int = 1 << 30) -> DataFrame:
-    """One row for each readable trace in tar archives of (gzipped) JSON members; broken members are passed over.
+def read_trace_archives(spark: SparkSession, paths: Sequence[str], held: int = 64 << 20, piece: int = 64 << 20, keep_broken: bool = False) -> DataFrame:
+    """One row for each readable trace in tar archives of (gzipped) JSON members; broken members are passed over. An archive that breaks
+    off or lacks a part is an error, unless keep_broken asks for what came before.
 
-    An archive is read by one task, as a tar has no index, a member at a time. Archives of one file of up to `held` bytes come
-    through Spark's reader; larger ones and those in parts are streamed, from any store that Arrow's file systems open."""
+    Archives of one file of up to `held` bytes come through Spark's reader. Of others, one task reads the headers, and tasks then
+    read `piece` bytes or so each at the places that the headers gave. Parts (.tar.aa, .tar.ab or .tar.0, .tar.1) are put together
+    in the order of their numbers. A compressed archive has no places and is streamed by one task. Files are opened from any store
+    that Arrow's file systems know."""
     import pandas as pd
 
     def frames(rows: Iterator[dict]):
@@ -180,15 +238,52 @@ def read_trace_archives(spark: SparkSession, paths: Sequence[str], held: int = 1
 
     def whole(batches):
         for pdf in batches:
-            for content in pdf["content"]:
-                yield from frames(_members(io.BytesIO(content)))
-
-    def streamed(batches):
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                spans = _spans(io.BytesIO(content), len(content), path, keep_broken)
+                if spans is None:
+                    yield from frames(_members(io.BytesIO(content), path, keep_broken))
+                else:
+                    yield from frames(row for at, n in spans if (row := parse_trace(content[at : at + n])))
+
+    def index(batches):
+        for pdf in batches:
+            for archive, parts, sizes in zip(pdf["archive"], pdf["parts"], pdf["sizes"], strict=True):
+                order = sorted(range(len(parts)), key=lambda i: _numbered([parts[i]])[0]) if len(parts) > 1 else [0]
+                parts, sizes = [parts[i] for i in order], [int(sizes[i]) for i in order]
+                if len(parts) > 1 and not keep_broken and (numbers := _numbered(parts)) != list(range(numbers[0], numbers[0] + len(parts))):
+                    raise BrokenArchive(f"{archive} lacks a part: {numbers}")
+                spans = _spans(io.BufferedReader(_Joined(parts, sizes), 4096), sum(sizes), archive, keep_broken)
+                base = {"archive": archive, "parts": parts, "sizes": sizes}
+                if spans is None:
+                    yield pd.DataFrame([base | {"offsets": None, "lengths": None}])
+                    continue
+                begin = 0
+                for k, (at, n) in enumerate(spans):  # runs of files that lie together
+                    if k + 1 == len(spans) or at + n - spans[begin][0] >= piece:
+                        run = spans[begin : k + 1]
+                        yield pd.DataFrame([base | {"offsets": [a for a, _ in run], "lengths": [b for _, b in run]}])
+                        begin = k + 1
+
+    def read(batches):
         for pdf in batches:
-            for parts in pdf["parts"]:
-                yield from frames(_members(io.BufferedReader(_Parts(parts), 1 << 20)))
+            for archive, parts, sizes, offsets, lengths in zip(*(pdf[c] for c in ("archive", "parts", "sizes", "offsets", "lengths")), strict=True):
+                stream = io.BufferedReader(_Joined(list(parts), [int(x) for x in sizes]), 1 << 20)
+                if offsets is None:
+                    yield from frames(_members(stream, archive, keep_broken))
+                    continue
+
+                def rows(stream=stream, spans=tuple(zip(offsets, lengths, strict=True))):
+                    for at, n in spans:
+                        stream.seek(int(at))
+                        if row := parse_trace(stream.read(int(n))):
+                            yield row
+
+                yield from frames(rows())
 
     files = spark.read.format("binaryFile").load(list(paths))
     single = ~F.col("path").rlike(PART) & (F.col("length") <= held)
-    archives = files.filter(~single).groupBy(F.regexp_replace("path", PART, "").alias("archive")).agg(F.array_sort(F.collect_list("path")).alias("parts"))  # a few names each
-    return files.filter(single).select("content").mapInPandas(whole, TRACE).unionByName(archives.select("parts").mapInPandas(streamed, TRACE))
+    archives = files.filter(~single).groupBy(F.regexp_replace("path", PART, "").alias("archive")).agg(F.collect_list(F.struct("path", "length")).alias("p"))  # a few names each
+    places = archives.select("archive", F.col("p.path").alias("parts"), F.col("p.length").alias("sizes")).mapInPandas(index, "archive string, parts array<string>, sizes array<long>, offsets array<long>, lengths array<long>")
+    # The places are dealt out one by one: a row is `piece` bytes of an archive.
+    dealt = places.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "archive", F.get("offsets", F.lit(0)))
+    return files.filter(single).select("path", "content").mapInPandas(whole, TRACE).unionByName(dealt.mapInPandas(read, TRACE))

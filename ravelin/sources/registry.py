@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import re
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,12 +42,21 @@ def content_key(config: dict, *parts: str) -> str:
 
 
 def cached(spark: SparkSession, root: str, config: dict, build) -> DataFrame:
-    """The frame that build() makes, kept under the key of its configuration in a folder that all workers share. Spark's
-    success mark tells a whole result from a broken one."""
+    """The frame that build() makes, kept under the key of its configuration in a folder that all workers share. It is written beside
+    and renamed, so the folder is there whole or not at all; of two that build at once, the first one's stays."""
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     path = f"{root}/{content_key(config)}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        build().write.mode("overwrite").parquet(path)
+    where = paths(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        part = f"{root}/_part-{uuid.uuid4().hex}"
+        try:
+            build().write.parquet(part)
+            if store.exists(where) or not store.rename(paths(part), where):
+                if not store.exists(where):
+                    raise OSError(f"{path} could not be written")
+        finally:
+            store.delete(paths(part), True)
     return spark.read.parquet(path)
 
 

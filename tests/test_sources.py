@@ -94,6 +94,89 @@ def test_archives_in_parts(spark, tmp_path):
     assert first.points[0].ground and first.points[0].alt is None and first.points[0].callsign == "AB1" and first.points[1].alt is None and first.start == 100.0
 
 
+def archive(n, broken=()):
+    whole = io.BytesIO()
+    with tarfile.open(fileobj=whole, mode="w") as tar:
+        for i in range(n):
+            body = json.dumps({"icao": f"a{i}", "timestamp": 100.0 + i, "trace": [[0, 1.0, 2.0, "ground", 3]], "r": "x" * (i % 300)}).encode()
+            info = tarfile.TarInfo(f"{'long/' * (30 if i % 9 == 0 else 1)}{i}.json")  # long names have headers of their own
+            info.size = len(body)
+            tar.addfile(info, io.BytesIO(body))
+    return whole.getvalue()
+
+
+@pytest.mark.parametrize("letters", [False, True])
+def test_twelve_parts_are_read_in_the_order_of_their_numbers(spark, tmp_path, letters):
+    raw = archive(200)
+    step = -(-len(raw) // 12)
+    for i in range(12):
+        end = f"{'a'}{'abcdefghijkl'[i]}" if letters else str(i)
+        (tmp_path / f"day.tar.{end}").write_bytes(raw[i * step : (i + 1) * step])
+    got = readers.read_trace_archives(spark, [str(tmp_path)], piece=20_000)
+    assert sorted(r.icao for r in got.collect()) == sorted(f"a{i}" for i in range(200))
+    # Several tasks read one archive.
+    assert got.groupBy(F.spark_partition_id()).count().count() >= 2
+    (tmp_path / ("day.tar.ac" if letters else "day.tar.2")).unlink()
+    with pytest.raises(Exception, match="lacks a part"):
+        readers.read_trace_archives(spark, [str(tmp_path)]).count()
+
+
+@pytest.mark.parametrize("held", [1 << 30, 10])
+def test_an_archive_that_breaks_off_is_an_error(spark, tmp_path, held):
+    raw = archive(60)
+    second = raw.index(b'"a40"') - 200  # within a header or a file
+    for cut in (second, second + 300):
+        (tmp_path / "d.tar").write_bytes(raw[:cut])
+        with pytest.raises(Exception, match="breaks off"):
+            readers.read_trace_archives(spark, [str(tmp_path / "d.tar")], held=held).count()
+        kept = readers.read_trace_archives(spark, [str(tmp_path / "d.tar")], held=held, keep_broken=True).collect()
+        assert 35 <= len(kept) <= 40 and {r.icao for r in kept} == {f"a{i}" for i in range(len(kept))}
+    (tmp_path / "d.tar").write_bytes(gzip.compress(raw))
+    assert readers.read_trace_archives(spark, [str(tmp_path / "d.tar")], held=held).count() == 60
+    (tmp_path / "d.tar").write_bytes(gzip.compress(raw)[:-500])
+    with pytest.raises(Exception, match="breaks off"):
+        readers.read_trace_archives(spark, [str(tmp_path / "d.tar")], held=held).count()
+
+
+def failing(spark):
+    """Rows, of which one fails after others were written."""
+    return spark.range(0, 40, 1, 8).select(F.when(F.col("id") == 35, F.raise_error(F.lit("broken")).cast("long")).otherwise(F.col("id")).alias("id"))
+
+
+def test_a_write_that_breaks_off_leaves_what_was_there(spark, tmp_path):
+    root = str(tmp_path / "preds")
+    sinks.write_predictions(spark.range(3), root, "r1")
+    sinks.write_predictions(spark.range(5), root, "r2")
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_predictions(failing(spark), root, "r1")
+    counts = lambda: {r.run_id: r["count"] for r in spark.read.parquet(root).groupBy("run_id").count().collect()}
+    assert counts() == {"r1": 3, "r2": 5}
+    sinks.write_predictions(spark.range(7), root, "r1")
+    assert counts() == {"r1": 7, "r2": 5}
+
+    path = str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_table(spark, path)
+    sinks.write_table(spark.range(3), path)
+    held = sinks.read_table(spark, path)
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_table(failing(spark), path)
+    assert sinks.read_table(spark, path).count() == 3
+    sinks.write_table(spark.range(9), path)
+    assert (sinks.read_table(spark, path).count(), held.count()) == (9, 3)  # a reader keeps the version that it began with
+    assert len(sinks.drop_versions(spark, path)) == 3 and sinks.read_table(spark, path).count() == 9
+
+    cache = str(tmp_path / "cache")
+    with pytest.raises(Exception, match="broken"):
+        registry.cached(spark, cache, {"x": 1}, lambda: failing(spark))
+    assert [p for p in Path(cache).glob("*") if not p.name.startswith(".")] == []
+    assert registry.cached(spark, cache, {"x": 1}, lambda: spark.range(4)).count() == 4
+    # Another one builds the same and is first: its frame stays.
+    both = lambda: registry.cached(spark, cache, {"x": 2}, lambda: spark.range(6)) and spark.range(1)
+    assert registry.cached(spark, cache, {"x": 2}, both).count() == 6
+    assert len([p for p in Path(cache).glob("*") if not p.name.startswith(".")]) == 2
+
+
 def test_cached_frames_of_other_settings_are_evicted(spark, tmp_path):
     root = str(tmp_path / "cache")
     for x in (1, 2, 3):
