@@ -22,23 +22,30 @@ def strict_key(columns: Sequence[str]) -> Column:
 
 
 def require_unique(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """df, after a check that the key has no duplicate and no null."""
+    """df, with a check in its plan: running it fails where the key has a duplicate or a null. Rows meet by key, as in the join that
+    follows, and no job runs before."""
     keys = [key] if isinstance(key, str) else list(key)
-    bad = df.groupBy(*keys).count().filter((F.col("count") > 1) | F.coalesce(F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) > 0, F.lit(False))).limit(1).collect()
-    if bad:
-        raise ValueError(f"{keys} is not a key: {bad[0].asDict()}")
-    return df
+    rest = [c for c in df.columns if c not in keys]
+    held = df.groupBy(*keys).agg(F.count("*").alias("__n"), F.first(F.struct(F.lit(1).alias("__one"), *rest)).alias("__row"))
+    bad = F.col("__n") > 1
+    for k in keys:
+        bad = bad | F.col(k).isNull()
+    message = F.concat(F.lit(f"{keys} is not a key: "), F.to_json(F.struct(*keys)))
+    row = F.when(bad, F.raise_error(message).cast(held.schema["__row"].dataType)).otherwise(F.col("__row"))
+    # The key carries the check too, so that it holds whichever columns are read.
+    first = F.when(F.isnull(row), F.lit(None)).otherwise(F.col(keys[0])).alias(keys[0])
+    checked = held.select(first, *keys[1:], row.alias("__row"))
+    return checked.select(*[F.col(f"__row.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
 
 
 def join_by_id(left: DataFrame, right: DataFrame, key: str, complete: bool = False) -> DataFrame:
-    """Left join on a unique id; with complete, an inner join that every left row must survive."""
-    require_unique(right, key)
+    """Left join on an id that is unique on the right; with complete, every left row must have a match. What is not so fails as
+    the join runs."""
+    got = left.join(require_unique(right, key).withColumn("__there", F.lit(True)), key, "left")
     if not complete:
-        return left.join(right, key, "left")
-    missing = left.join(right, key, "left_anti").limit(1).count()
-    if missing:
-        raise ValueError(f"rows of the left side have no match on {key}")
-    return left.join(right, key)
+        return got.drop("__there")
+    missing = F.raise_error(F.lit(f"rows of the left side have no match on {key}")).cast(got.schema[key].dataType)
+    return got.withColumn(key, F.when(F.col("__there"), F.col(key)).otherwise(missing)).drop("__there")
 
 
 def assemble(base: DataFrame, blocks: Sequence[DataFrame], key: str) -> DataFrame:
@@ -55,8 +62,7 @@ def assemble(base: DataFrame, blocks: Sequence[DataFrame], key: str) -> DataFram
 def in_order(df: DataFrame, order: DataFrame, key: str, place: str) -> DataFrame:
     """df's rows of the ids that a list (key, place) names, with their places; an id that stands twice in either, or that df lacks,
     is an error. Sorting by the place, if a sink wants it, is the sink's."""
-    require_unique(order, key)
-    return join_by_id(order.select(key, place), df, key, complete=True)
+    return join_by_id(require_unique(order.select(key, place), key), df, key, complete=True)
 
 
 def with_prefix(df: DataFrame, *prefixes: str) -> list[str]:

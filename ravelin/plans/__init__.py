@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from . import feature_queries, join_queries, model_queries, record_queries, stat_queries, window_queries  # noqa: F401
+    from . import feature_queries, frame_queries, join_queries, model_queries, record_queries, stat_queries, window_queries  # noqa: F401
 
 
 def all_queries() -> dict:

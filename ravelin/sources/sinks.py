@@ -67,8 +67,7 @@ def drop_versions(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
 
 def on_template(template: DataFrame, predictions: DataFrame, key: str, pred: str, most_missing: float = 0.001) -> DataFrame:
     """The template's rows with predictions; missing ones take the median if they are at most that share, else it is an error."""
-    require_unique(predictions, key)
-    joined = template.select(key).join(predictions.select(key, pred), key, "left")
+    joined = template.select(key).join(require_unique(predictions.select(key, pred), key), key, "left")
     missing, n = joined.agg(F.count(F.when(F.col(pred).isNull(), 1)), F.count("*")).first()
     if missing > most_missing * n:
         raise ValueError(f"{missing} of {n} rows have no prediction")

@@ -77,11 +77,20 @@ def test_a_gap_breaks_a_segment(spark):
 
 def test_id_joins_refuse_duplicates_and_gaps(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(1, 5), (1, 6)], "id int, v int")
-    with pytest.raises(ValueError):
-        keys.join_by_id(a, b, "id")
-    with pytest.raises(ValueError):
-        keys.join_by_id(a, b.limit(1), "id", complete=True)
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("keys"))
+    spark.sparkContext.setJobGroup("keys", "")
+    twice, gaps = keys.join_by_id(a, b, "id"), keys.join_by_id(a, b.limit(1), "id", complete=True)
+    assert jobs() == 0  # plans are built without running any
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for columns in (["id"], ["v"]):
+        with pytest.raises(Exception, match="not a key"):
+            twice.select(*columns).collect()
+    with pytest.raises(Exception, match="no match on id"):
+        gaps.collect()
+    with pytest.raises(Exception, match="not a key"):
+        keys.require_unique(spark.createDataFrame([(None, 1)], "id int, v int"), "id").collect()
     assert keys.join_by_id(a, b.limit(1), "id").count() == 2
+    assert keys.require_unique(b, ["id", "v"]).count() == 2 and keys.require_unique(b, ["id", "v"]).columns == ["id", "v"]
 
 
 def test_families_of_columns(spark):
@@ -114,10 +123,20 @@ def test_blocks_are_put_together_by_id(spark):
     one, two = spark.createDataFrame([(2, "x")], "id int, b string"), spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "id int, c int")
     assert sorted(tuple(r) for r in keys.assemble(base, [one, two], "id").collect()) == [(1, 1.0, None, 5), (2, 2.0, "x", 6)]
     for bad in (base, two.union(two)):
-        with pytest.raises(ValueError):
-            keys.assemble(base, [bad], "id").count()
+        with pytest.raises(Exception, match="stand in several|not a key"):
+            keys.assemble(base, [bad], "id").collect()
     order = spark.createDataFrame([(2, 0), (1, 1)], "id int, place int")
     assert sorted((r.place, r.a) for r in keys.in_order(base, order, "id", "place").collect()) == [(0, 2.0), (1, 1.0)]
     for bad in (order.union(order), spark.createDataFrame([(9, 0)], "id int, place int")):
-        with pytest.raises(ValueError):
-            keys.in_order(base, bad, "id", "place").count()
+        with pytest.raises(Exception, match="not a key|no match"):
+            keys.in_order(base, bad, "id", "place").collect()
+
+
+def test_a_frame_of_blocks(spark):
+    from ravelin.operators.frame import corrector_frame
+
+    base, one = spark.createDataFrame([(1, 5.0), (2, 7.0)], "id int, pred double"), spark.createDataFrame([(1, 8.0, 1)], "id int, m double, n int")
+    got = corrector_frame(base, {"a": one, "b": one.select("id", "n")}, "id", "pred", ["a_m"], without=["b_n", "elsewhere"], require=["a_n"])
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 5.0, 8.0, 1, 3.0), (2, 7.0, None, None, None)] and got.columns == ["id", "pred", "a_m", "a_n", "a_m_less_pred"]
+    with pytest.raises(KeyError):
+        corrector_frame(base, {}, "id", "pred", require=["nope"])
