@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +33,7 @@ def remove(spark: SparkSession, path: str) -> None:
 def _sweep() -> None:
     for spark, path in _written:
         try:
-            remove(spark, path)
+            remove(spark, path.rsplit("/", 1)[0])
         except Exception:  # the JVM has gone; the folder's owner clears it
             return
 
@@ -56,5 +57,23 @@ def materialise(df: DataFrame, name: str = "frame") -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Delete what materialise() wrote, once nothing reads it any more."""
-    remove(df.sparkSession, df._ravelin_path)
+    remove(df.sparkSession, df._ravelin_path.rsplit("/", 1)[0])
     _written[:] = [x for x in _written if x[1] != df._ravelin_path]
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at its end, what was written to the shared folder inside: for a caller that writes a query's result and then needs
+    none of the frames behind it.
+
+        with scratch(spark):
+            query(spark, folder).write.parquet(out)
+    """
+    before = {p for _, p in _written}
+    try:
+        yield
+    finally:
+        mine = [(s, p) for s, p in _written if p not in before]
+        for session, path in mine:
+            remove(session, path.rsplit("/", 1)[0])
+        _written[:] = [x for x in _written if x[1] in before]
