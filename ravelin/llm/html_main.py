@@ -9,10 +9,11 @@ each host, under how many different main elements a hash occurs; copies of a pag
 least `min_pages` different pages of a host hold, and at least `share` of them, is template; `many` different pages suffice
 by themselves, so that a large host's rotating variants and the menus of its sections are found.
 
-Second pass: template subtrees go, and what is boilerplate beyond doubt on any page (nav, footer, aside, form, script, and
-classes all of whose words say advert, comments and so on); the text of the main element that is left is returned in
-blocks. Inside the main element, and for an article, ids say nothing (they are slugs of headings), and a doubtful class
-drops nothing by itself: it must recur on the host. Headings and paragraphs stay whatever their class is.
+Second pass: template subtrees go, and what is boilerplate by its nature on any page (nav, footer, aside, form, script and the
+like); the text of the main element that is left is returned in blocks. Inside the main element a class only nominates:
+recurrence on the host decides, or what the element holds (an advert's class and no heading, another furniture's class and
+no prose at all), or its place (comments behind all prose). Ids say nothing there, as they are slugs of headings, but for
+comments. Headings and paragraphs stay whatever their class is, and so do buttons, labels, dialogs and the like.
 
 Each page gets the hashes of its own templates only, by a join on host and hash and one on host and page, so no list grows
 with a host. A page is told by the hash of its html.
@@ -57,37 +58,60 @@ CLOSES = (
 STARTS = frozenset().union(*(starts for starts, _, _ in CLOSES))
 #: Containers, which a template can be made of. Paragraphs, headings, items and cells recur in articles too.
 TEMPLATE_TAGS = frozenset("address aside center details dialog div dl fieldset figure footer form header hgroup menu nav ol section table ul".split())
-#: What is never main text.
-DROP_TAGS = frozenset(
-    "head nav footer aside form script style noscript template iframe object embed applet canvas svg audio video picture map button select input textarea label dialog menu title link meta xmp noembed noframes".split()
+#: What is never main text, and what is none outside of the main element.
+DROP_TAGS = frozenset("head nav footer aside form script style noscript template iframe embed applet canvas svg audio video select input textarea menu title link meta xmp noembed noframes".split())
+OUTER_TAGS = frozenset("object picture map button label dialog".split())
+DROP_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar tablist".split())
+OUTER_ROLES = frozenset("dialog alert alertdialog status".split())
+#: Words of classes that name advertisements, and nothing else.
+AD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle adslot adbox sponsored disqus gdpr".split())
+COMMENT_WORDS = frozenset("comment comments disqus replies".split())
+DROP_WORDS = AD_WORDS | COMMENT_WORDS | frozenset(
+    "banner promo promos promotion sponsor sponsors cookie cookies consent notice notices alert alerts popup modal overlay newsletter subscribe subscription signup "
+    "sidebar side sidenav aside rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar toolbar footer share sharing social related recommended recommendations reply respond pagination pager paywall login search skip tags hidden".split()
 )
-DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist status".split())
-DROP_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsbygoogle adslot adbox banner promo promos promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup "
-    "sidebar side sidenav aside rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar toolbar footer share sharing social related recommended recommendations comment comments disqus replies reply respond pagination pager paywall login search skip tags hidden".split()
-)
-#: Words that may name a part of an article as well: alone they drop nothing inside it.
-DOUBTFUL_WORDS = frozenset("related search notice notices alert alerts tags side skip menu menus login reply respond consent banner recommended recommendations subscription promotion overlay rail social hidden".split())
+#: Words that may name a part of an article as well: alone they say nothing inside it.
+DOUBTFUL_WORDS = frozenset("related search notice notices alert alerts tags side skip menu menus login reply respond consent banner recommended recommendations subscription promotion overlay rail social hidden widget widgets".split())
 #: Words that say nothing in a class of several words.
 PLAIN_WORDS = frozenset("area bar block box button buttons container icons inner item items link links list section slot unit wrap wrapper".split())
+#: Elements that hold an article's own text.
+PROSE = HEADINGS | frozenset("p blockquote pre table figure dl".split())
 MAIN_WORDS = frozenset({"articlebody", "article-body", "post-content", "entry-content", "main-content"})
 
 
+#: The rules in which an element counts, as one that may be ended or as a wall.
+_RULES = {tag: [i for i, (_, ends, walls) in enumerate(CLOSES) if tag in ends or tag in walls] for tag in frozenset().union(*(e | w for _, e, w in CLOSES))}
+
+
 class Element:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    """An element, and whether a heading or prose stands somewhere below it."""
+
+    __slots__ = ("attrs", "children", "heading", "parent", "prose", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None) -> None:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.heading = self.prose = False
 
 
 def parse(html: str) -> Element:
-    """A tree of elements and strings; character references are decoded."""
-    root = top = Element("#page", {}, None)
+    """A tree of elements and strings; character references are decoded. Open elements are counted by tag, and each rule knows the
+    nearest ones that it ends at, so that nesting costs no walks: the time follows the page's length."""
+    root = Element("#page", {}, None)
+    open_, counts = [root], {}
+    near: list[list[int]] = [[] for _ in CLOSES]
     at, n = 0, len(html)
 
     def text(piece: str) -> None:
         if piece:
-            top.children.append(unescape(piece) if "&" in piece else piece)
+            open_[-1].children.append(unescape(piece) if "&" in piece else piece)
+
+    def shut(depth: int) -> None:
+        """Closes all elements from a depth on."""
+        while len(open_) > depth:
+            tag = open_.pop().tag
+            counts[tag] -= 1
+            for r in _RULES.get(tag, ()):
+                near[r].pop()
 
     while at < n:
         found = TOKEN.search(html, at)
@@ -110,31 +134,38 @@ def parse(html: str) -> Element:
             attrs.setdefault(got.group(2).lower(), unescape(value) if "&" in value else value)
         closed = html[got.end() - 2 : got.end()] == "/>"
         if html.startswith("/", found.start() + 1):
-            node = top
-            while node is not None and node.tag != name:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                top = node.parent
+            if counts.get(name):
+                depth = len(open_) - 1
+                while open_[depth].tag != name:
+                    depth -= 1
+                shut(depth)
             continue
         if name in STARTS:
-            for starts, ends, walls in CLOSES:
+            for r, (starts, ends, _) in enumerate(CLOSES):
                 if name in starts:
-                    node = top
-                    while node.parent is not None and node.tag not in walls:
-                        if node.tag in ends:
-                            top = node.parent
-                            if name != "tr":
-                                break
-                        node = node.parent
+                    while near[r] and open_[near[r][-1]].tag in ends:  # else a wall, or nothing
+                        shut(near[r][-1])
+                        if name != "tr":
+                            break
+        top = open_[-1]
         node = Element(name, attrs, top)
         top.children.append(node)
+        for mark, tags in (("heading", HEADINGS), ("prose", PROSE)):
+            if name in tags:
+                above = node
+                while above is not None and not getattr(above, mark):
+                    setattr(above, mark, True)
+                    above = above.parent
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
             inside = html[at : close.start()] if close else html[at:]
             node.children.append(inside)
             at = close.end() if close else n
         elif name not in VOID and not (closed and name in ("path", "rect", "circle", "g")):
-            top = node
+            counts[name] = counts.get(name, 0) + 1
+            for r in _RULES.get(name, ()):
+                near[r].append(len(open_))
+            open_.append(node)
     return root
 
 
@@ -143,46 +174,56 @@ def _words(node: Element) -> set[str]:
 
 
 def _dropped_class(node: Element) -> bool:
-    """Whether one of the classes, as a whole, names what is no part of an article."""
+    """Whether a class inside the main element names what is no part of an article, and the element looks like it. Advertisements and
+    classes of two such words (cookie-notice) go if they hold no heading; other words drop only what holds no prose at all.
+    What else a class may name is left to recurrence on the host."""
     for token in node.attrs.get("class", "").lower().split():
         words = set(re.split(r"[^a-z0-9]+", token)) - {""}
         if words & (DROP_WORDS - DOUBTFUL_WORDS) and words <= DROP_WORDS | PLAIN_WORDS:
-            return True
+            if not node.prose or not node.heading and (words & AD_WORDS or len(words & DROP_WORDS) > 1):
+                return True
     return False
 
 
-def has_heading(node: Element) -> bool:
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        if x.tag in HEADINGS:
-            return True
-        stack.extend(c for c in x.children if isinstance(c, Element))
-    return False
+def _reader_comments(node: Element, main: Element) -> bool:
+    """Whether an element inside the main one holds readers' comments: its class or id says so, and no prose of the main element
+    stands behind it."""
+    own = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower().split()
+    if not any((words := set(re.split(r"[^a-z0-9]+", t)) - {""}) & COMMENT_WORDS and words <= COMMENT_WORDS | PLAIN_WORDS | {"reader", "user", "respond", "thread", "form"} for t in own):
+        return False
+    while node is not main and node.parent is not None:
+        after = False
+        for c in node.parent.children:
+            if after and (bool(c.strip()) if isinstance(c, str) else c.prose or c.tag in PROSE) and not (isinstance(c, Element) and boilerplate(c, True)):
+                return False
+            after = after or c is node
+        node = node.parent
+    return True
 
 
 def boilerplate(node: Element, inside: bool) -> bool:
     """Whether an element is none of the main text by its nature; inside: it lies in the main element."""
-    if node.tag in DROP_TAGS:
+    if node.tag in DROP_TAGS or not inside and node.tag in OUTER_TAGS:
         return True
     a = node.attrs
     if not a and node.tag != "header":
         return False
-    if node.tag == "header" and not (inside and has_heading(node)):
+    if node.tag == "header" and not (inside and node.heading):
         return True
     if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
-    if a.get("role", "").lower() in DROP_ROLES:
+    role = a.get("role", "").lower()
+    if role in DROP_ROLES or not inside and role in OUTER_ROLES:
         return True
     if node.tag in ("html", "body", "main") or inside and (node.tag in HEADINGS or node.tag == "p"):
         return False
     if inside or node.tag == "article":
-        return _dropped_class(node) or "header" in a.get("class", "").lower().split() and not (inside and has_heading(node))
+        return _dropped_class(node) or "header" in a.get("class", "").lower().split() and not (inside and node.prose)
     if "class" in a or "id" in a:
         words = _words(node)
         if words & DROP_WORDS:
             return True
-        if "header" in words and not (inside and has_heading(node)):
+        if "header" in words and not (inside and node.heading):
             return True
     return False
 
@@ -207,7 +248,7 @@ def blocks_of(node: Element, gone: set[int] | frozenset[int], hashes: dict[int,
         if isinstance(item, str):
             now.append(item)
             continue
-        if item is not node and (boilerplate(item, True) or (hashes is not None and not gone.isdisjoint(hashes.get(id(item), ())))):
+        if item is not node and (boilerplate(item, True) or item.attrs and _reader_comments(item, node) or (hashes is not None and not gone.isdisjoint(hashes.get(id(item), ())))):
             now.append(" ")
             continue
         block = item.tag in BLOCKS
@@ -226,23 +267,28 @@ def text_size(node: Element) -> int:
 
 
 def main_element(root: Element) -> Element:
-    """The article with most text outside of boilerplate, else the main element, else the body, else the page."""
+    """The article with most text outside of boilerplate, else the main element, else the body, else the page. Of elements in each
+    other the outer one counts."""
     articles, mains, named, body = [], [], [], None
-    stack = [root]
+    stack = [(root, False, False)]
     while stack:
-        x = stack.pop()
+        x, in_main, in_named = stack.pop()
         if x.tag == "body":
             body = body or x
         elif x.tag == "article" and not boilerplate(x, False):
             articles.append(x)
             continue  # one in another is its part
         elif (x.tag == "main" or x.attrs.get("role", "").lower() == "main") and x.tag != "#page":
-            mains.append(x)
+            if not in_main:
+                mains.append(x)
+            in_main = True
         elif x.attrs and (x.attrs.get("itemprop", "").lower() == "articlebody" or MAIN_WORDS & set(x.attrs.get("class", "").lower().split()) or MAIN_WORDS & {x.attrs.get("id", "").lower()}):
-            named.append(x)
+            if not in_named:
+                named.append(x)
+            in_named = True
         if x is not root and x.tag not in ("html", "body") and boilerplate(x, False):
             continue
-        stack.extend(c for c in reversed(x.children) if isinstance(c, Element))
+        stack.extend((c, in_main, in_named) for c in reversed(x.children) if isinstance(c, Element))
     for found in (articles, named, mains):
         if found:
             return found[0] if len(found) == 1 else max(found, key=text_size)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -175,6 +176,59 @@ def test_nothing_of_an_article_is_lost():
         assert text(f"<article><h1>T</h1>{html}</article>") == ["T", *want], html
 
 
+def test_no_class_or_role_alone_drops_prose_inside_an_article():
+    text = lambda s: html_main.blocks_of(html_main.main_element(html_main.parse(s)), frozenset(), None)
+    inside = {
+        "<p>Press <button>Start</button> to begin</p>": ["Press Start to begin"],
+        "<p><label>Name</label> <map>here</map> <picture>seen</picture></p><dialog>said</dialog><object>held</object>": ["Name here seen", "said", "held"],
+        "<section class='cookies'><h2>Cookies</h2><p>Mix flour</p></section>": ["Cookies", "Mix flour"],
+        "<section class='share'><p>Share prices fell</p></section>": ["Share prices fell"],
+        "<div role='status'>Done by noon</div><ul class='widget'><li>one</li></ul>": ["Done by noon", "one"],
+        "<div class='ads'><h2>Ads in print</h2><p>A history</p></div>": ["Ads in print", "A history"],
+        "<section class='comments'><p>What Hume wrote</p></section><p>And more</p>": ["What Hume wrote", "And more"],
+        "<div class='footer'><p>Feet of hills</p></div><div class='sidebar'><p>On sidebars</p></div><p>z</p>": ["Feet of hills", "On sidebars", "z"],
+        # What is furniture by what it holds, or by its place.
+        "<p>a</p><div class='ad'><p>Buy</p></div><div class='share-buttons'>tweet</div><ul class='share'><li><a>x</a></ul>": ["a"],
+        "<p>a</p><section id='comments'><h3>2 comments</h3><article><p>first!</p></article></section><div class='ad'>x</div>": ["a"],
+        "<form><p><label>l</label><button>b</button></p></form><nav>n</nav><aside><p>s</p></aside><p>b</p>": ["b"],
+    }
+    for html, want in inside.items():
+        assert text(f"<article><h1>T</h1>{html}</article>") == ["T", *want], html
+
+
+@pytest.mark.parametrize("tag", ["blockquote", "p><button", "li", "div class=post-content", "main", "header", "td", "section><p"])
+def test_deep_nesting_is_read_in_linear_time(tag):
+    """Eighty thousand elements in each other, with stray ends between them."""
+    began = time.process_time()
+    html = "<body>" + (f"<{tag}></i>" * 80_000) + "<p>deep</p></body>"
+    root = html_main.parse(html)
+    main = html_main.main_element(root)
+    html_main.subtree_hashes(root, main)
+    got = html_main.blocks_of(main, frozenset(), None)
+    assert (got == ["deep"]) == (tag != "header") and time.process_time() - began < 8
+
+
+def test_what_recurs_goes_by_construction(spark):
+    """Pages put together of parts whose fate is known: nothing is parsed for what is expected."""
+    rng = random.Random(12)
+    word = lambda: rng.choice(["alpha", "beta", "gamma"]) + str(rng.randrange(10**6))
+    pages, want = [], {}
+    for host, n in (("big.org", 40), ("tiny.org", 3)):
+        for i in range(n):
+            same, often = "Read our paper daily", f"{word()} {word()}"
+            parts = [
+                (f"<h1>{(h := word())}</h1>", h, True), (f"<p class='notice'>{(a := word())} &amp; more</p>", f"{a} & more", True),
+                (f"<div class='promo'><p>{often}</p></div>", often, host == "tiny.org"),  # its words change, its form recurs
+                (f"<div>{same}</div>", same, host == "tiny.org"), (f"<section><h2>{(b := word())}</h2><p>{often}</p></section>", f"{b}\n{often}", True),
+                (f"<blockquote>{(c := word())}</blockquote>", c, True), ("<ul class='related'><li><a>x</a></ul>" if i < 4 else "", "x", i < 4 and True),
+            ]
+            at = len(pages)
+            pages.append((at, f"http://{host}/{i}", f"<body><header>{host}</header><article>{''.join(x for x, _, _ in parts)}</article><footer>f</footer></body>"))
+            want[at] = "\n".join(t for _, t, stays in parts if stays)
+    got = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def plain_templates(pages, min_pages, share, many):
     """{page: hashes of its templates} by counting anew, page by page."""
     host = lambda url: re.match(r"https?://([^/]*)", url).group(1)
