@@ -420,14 +420,17 @@ def _confirmed(edges: DataFrame, sets: DataFrame, rule: Wide, similarity: float,
     tested = arrow_map(edges.join(own("a"), "a").join(own("b"), "b"), test, T.StructType([T.StructField("ok", T.BooleanType())]), ["a", "b"])
     tested = materialise(tested.groupBy("a", "b").agg(F.bool_or("ok").alias("ok")), "tested")
     true, false = tested.filter("ok").select("a", "b"), tested.filter("NOT ok")
-    parts = components(true)
+    found = components(true)
     if false.isEmpty():
         release(tested)
-        return parts
-    proposed = components(edges)
-    open_ = proposed.join(false.select(F.col("a").alias("node")).distinct(), "node").select(F.col("component").alias("whole")).distinct()
-    rows = proposed.withColumnRenamed("component", "whole").join(open_, "whole").join(parts, "node", "left").select("whole", "node", F.coalesce("component", "node").alias("part"))
-    rows = materialise(rows, "open")
+        return found
+    # Parts are named by their smallest node; those that false edges tie together stand for a proposed component.
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    parts = materialise(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("part")), "parts")
+    end = lambda c: parts.select(F.col("node").alias(c), F.col("part").alias(f"p{c}"))
+    ties = false.join(end("a"), "a").join(end("b"), "b").filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    wholes = components(ties)
+    rows = materialise(parts.join(wholes.select(F.col("node").alias("part"), F.col("component").alias("whole")), "part").select("whole", "node", "part"), "open")
     sizes = rows.groupBy("whole", "part").count().groupBy("whole").agg(F.max(F.struct("count", "part")).alias("top"), F.sum("count").alias("n"))
     sizes = materialise(sizes.select("whole", F.col("top.part").alias("top"), F.ceil((F.col("n") - F.col("top.count")) / block).cast("int").alias("nx"), F.ceil(F.col("n") / block).cast("int").alias("ny")), "sizes")
     placed = rows.join(sizes, "whole").join(sets.select(F.col("id").alias("node"), "fp", "grams"), "node")
@@ -451,8 +454,10 @@ def _confirmed(edges: DataFrame, sets: DataFrame, rule: Wide, similarity: float,
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     more = left.unionByName(right).groupBy("whole", "x", "y").applyInArrow(match, "a long, b long")
-    out = components(true.unionByName(more))
-    for frame in (tested, parts, proposed, rows, sizes):
+    joined = components(more)
+    out = parts.join(joined.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("component", "part").alias("component"))
+    out = materialise(out, "confirmed")
+    for frame in (tested, found, parts, wholes, rows, sizes, joined):
         release(frame)
     return out
 
