@@ -142,29 +142,27 @@ def test_screening_reads_rows_once_and_equals_single_fits(rows, spark):
 
 
 def test_fits_run_side_by_side(rows, spark):
-    """Two fits' jobs overlap, and the predictions are those of one after another."""
-    import threading
-
-    both, seen = threading.Barrier(2, timeout=60), []
+    """Two fits' jobs overlap in time, each in its pool, and the predictions are those of one after another."""
+    import time
 
     def work(n):
         def run():
-            both.wait()  # neither goes on before the other has begun
-            spark.sparkContext.setJobDescription(f"fit {n}")
-            seen.append(spark.sparkContext.getLocalProperty("spark.scheduler.pool"))
-            return rows.filter(F.col("block") == n).count()
+            spark.sparkContext.setJobGroup(f"side{n}", "")
+            slow = F.udf(lambda x: time.sleep(0.5) or x, "long")
+            return spark.range(2, numPartitions=2).select(slow("id").alias("x")).agg(F.sum("x")).first()[0], spark.sparkContext.getLocalProperty("spark.scheduler.pool"), spark.sparkContext.getLocalProperty("callers.own")
 
         return run
 
     spark.sparkContext.setLocalProperty("callers.own", "kept")
-    assert crossfit.side_by_side(spark, [work(0), work(1)]) == [120, 120] and sorted(seen) == ["fit0", "fit1"]
+    assert crossfit.side_by_side(spark, [work(0), work(1)]) == [(1, "fit0", "kept"), (1, "fit1", "kept")]
     assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+    store, spans = spark.sparkContext._jsc.sc().statusStore(), []
+    for n in (0, 1):
+        jobs = [store.job(i) for i in spark.sparkContext.statusTracker().getJobIdsForGroup(f"side{n}")]
+        spans.append((min(j.submissionTime().get().getTime() for j in jobs), max(j.completionTime().get().getTime() for j in jobs)))
+    assert max(a for a, _ in spans) < min(b for _, b in spans)
     one = crossfit.out_of_fold(rows, "block", CFG, "pred", materialise)
-    old, crossfit.AT_ONCE = crossfit.AT_ONCE, 1
-    try:
-        alone = crossfit._union(crossfit.side_by_side(spark, [lambda b=b: base.fit(rows.filter(F.col("block") != b), CFG)(rows.filter(F.col("block") == b), "pred") for b in crossfit.blocks_of(rows, "block")], 1))
-    finally:
-        crossfit.AT_ONCE = old
+    alone = crossfit._union(crossfit.side_by_side(spark, [lambda b=b: base.fit(rows.filter(F.col("block") != b), CFG)(rows.filter(F.col("block") == b), "pred") for b in crossfit.blocks_of(rows, "block")], 1))
     values = lambda df: {r.id: r.pred for r in df.select("id", "pred").collect()}
     assert values(one) == values(alone)
 
