@@ -104,6 +104,20 @@ def test_columns_of_any_name_pass_through(spark, hard_docs):
         assert [list(r) for r in rows] == [[f"own {n}" for n in kept]], name
 
 
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op9_substring_dedup", "op11_merkle_manifest", "op13_mix_sources"])
+def test_the_shared_folder_is_empty_once_a_result_is_written(spark, tmp_path, name):
+    from pathlib import Path
+
+    from ravelin.sources import storage
+
+    root = Path(storage.shared_root(spark).removeprefix("file://")) / "ravelin"
+    before = set(root.glob("*"))
+    with storage.scratch(spark):
+        QUERIES[name](spark, DATA).write.parquet(f"{tmp_path}/out")
+        assert set(root.glob("*")) - before  # frames that the query reads
+    assert set(root.glob("*")) == before and spark.read.parquet(f"{tmp_path}/out").count() > 0
+
+
 def test_an_id_in_many_rows_sends_no_more_rows_to_the_driver(spark):
     from pyspark.sql import functions as F
 
