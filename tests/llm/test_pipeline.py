@@ -4,6 +4,7 @@ import hashlib
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 import sentencepiece
 
@@ -31,7 +32,7 @@ def test_query_equals_sql(spark, duck, name):
     cols = sorted(got.columns)
     want = duck.execute(SQL[name]).df()
     assert sorted(want.columns) == cols
-    key = lambda row: tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in row)
+    key = lambda row: tuple("null" if pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v) for v in row)
     assert sorted(key(r) for r in got.toPandas()[cols].astype(object).itertuples(index=False)) == sorted(key(r) for r in want[cols].astype(object).itertuples(index=False))
 
 
