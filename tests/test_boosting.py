@@ -106,7 +106,7 @@ def test_slots_are_models_of_their_own(table):
     """Fitted together they are the models that fits one by one give; the same trees come out of other partitions."""
     df = table.withColumn("not0", (F.col("block") != 0).cast("double")).withColumn("not1", (F.col("block") != 1).cast("double")).withColumn("half", F.when(F.col("id") % 2 == 0, F.col("y")))
     slots = [Slot("y", "not0"), Slot("y", "not1", seed=3), Slot("half", "w"), Slot("label", loss="logistic")]
-    p = Params(numeric=("a", "b"), categorical=("c",), rounds=4, leaves=6, depth=3, keep=3, row_share=0.8)
+    p = Params(numeric=("a", "b"), categorical=("c",), rounds=3, leaves=6, depth=3, keep=2, row_share=0.8)
     values = lambda m: {r["id"]: list(r["v"]) for r in df.select("id", m.column().alias("v")).collect()}
     first = values(boosting.fit(df, p, slots))
     assert values(boosting.fit(df.repartition(7), p, slots)) == first

@@ -44,9 +44,10 @@ def test_options(rows):
 
 
 def test_out_of_fold_does_not_see_its_block(rows):
-    one = crossfit.out_of_fold(rows, "block", CFG, "pred", materialise)
+    few = replace(CFG, rounds=2, depth=2)
+    one = crossfit.out_of_fold(rows, "block", few, "pred", materialise)
     changed = rows.withColumn("y", F.when(F.col("block") == 2, F.col("y") + 5000).otherwise(F.col("y")))
-    two = crossfit.out_of_fold(changed, "block", CFG, "pred", materialise)
+    two = crossfit.out_of_fold(changed, "block", few, "pred", materialise)
     both = one.filter("block = 2").select("id", "pred").join(two.select("id", F.col("pred").alias("p2")), "id")
     assert both.count() == 120 and both.filter("abs(pred - p2) > 1e-9").count() == 0
 
@@ -161,8 +162,9 @@ def test_fits_run_side_by_side(rows, spark):
         jobs = [store.job(i) for i in spark.sparkContext.statusTracker().getJobIdsForGroup(f"side{n}")]
         spans.append((min(j.submissionTime().get().getTime() for j in jobs), max(j.completionTime().get().getTime() for j in jobs)))
     assert max(a for a, _ in spans) < min(b for _, b in spans)
-    one = crossfit.out_of_fold(rows, "block", CFG, "pred", materialise)
-    alone = crossfit._union(crossfit.side_by_side(spark, [lambda b=b: base.fit(rows.filter(F.col("block") != b), CFG)(rows.filter(F.col("block") == b), "pred") for b in crossfit.blocks_of(rows, "block")], 1))
+    few = replace(CFG, rounds=2, depth=2)
+    one = crossfit.out_of_fold(rows, "block", few, "pred", materialise)
+    alone = crossfit._union(crossfit.side_by_side(spark, [lambda b=b: base.fit(rows.filter(F.col("block") != b), few)(rows.filter(F.col("block") == b), "pred") for b in crossfit.blocks_of(rows, "block")], 1))
     values = lambda df: {r.id: r.pred for r in df.select("id", "pred").collect()}
     assert values(one) == values(alone)
 
@@ -197,9 +199,9 @@ def test_body_leaves_out_rules_and_far_moves(rows):
 
 def test_out_of_fold_correction_does_not_see_its_fold(rows):
     df = rows.withColumn("base", F.lit(900.0))
-    one = crossfit.out_of_fold_correction(df, "day", "base", replace(CFG, key_rows=10**9), 2, "pred", materialise)
+    one = crossfit.out_of_fold_correction(df, "day", "base", replace(CFG, rounds=2, depth=2), 2, "pred", materialise)
     first = {r.day for r in df.select("day").distinct().orderBy("day").collect()[::2]}  # the days of one fold
     moved = df.withColumn("y", F.when(F.col("day").isin(first), F.col("y") + 4000).otherwise(F.col("y")))
-    two = crossfit.out_of_fold_correction(moved, "day", "base", replace(CFG, key_rows=10**9), 2, "pred", materialise)
+    two = crossfit.out_of_fold_correction(moved, "day", "base", replace(CFG, rounds=2, depth=2), 2, "pred", materialise)
     both = one.filter(F.col("day").isin(first)).select("id", "pred").join(two.select("id", F.col("pred").alias("p2")), "id")
     assert one.count() == 600 and both.count() > 0 and both.filter("abs(pred - p2) > 1e-9").count() == 0
