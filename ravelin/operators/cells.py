@@ -122,10 +122,12 @@ def level_counts(train: DataFrame, levels: Sequence[Sequence[str]], y: Column) -
     return materialise(each.groupBy("cell", "y").agg(F.sum("n").alias("n")), "counts")
 
 
-def quantile_levels(train: DataFrame, levels: Sequence[Sequence[str]], y: str, q: float = 0.1, least: int = 10, out: str = "ref", most: int = 50_000) -> DataFrame:
-    """(cell, out): quantile_cells of all levels in one plan."""
+def quantile_levels(train: DataFrame, levels: Sequence[Sequence[str]], y: str, q: float = 0.1, least: int | Sequence[int] = 10, out: str = "ref", most: int = 50_000) -> DataFrame:
+    """(cell, out): quantile_cells of all levels in one plan; `least` is one number or one for each level."""
+    each = [least] * len(levels) if isinstance(least, int) else list(least)
     got = cell_quantiles(level_counts(train, levels, F.col(y)), "y", {out: q}, most=most)
-    return got.filter(F.col(f"{out}_rows") >= least).select("cell", out)
+    enough = F.get(F.array(*[F.lit(n) for n in each]), F.col("cell.level"))
+    return got.filter(F.col(f"{out}_rows") >= enough).select("cell", out)
 
 
 def stat_levels(train: DataFrame, levels: Sequence[Sequence[str]], y: str, least: int = 10, low: float = 0.0, high: float = 7200.0, most: int = 50_000) -> DataFrame:

@@ -448,7 +448,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Movements, an hour's congestion, and the reference taxi time with fallback, per airport."""
     dep = departures(spark, sf_dir)
     before = windows.range_aggregate(dep.select("airport", "sec"), dep, ["airport"], "sec", {"before": ("count", None, -3600, -1)}, "mvt_id")
-    levels = [(k, cells.quantile_cells(dep, k, "taxi_s")) for k in (["airport", "runway"],)]
-    levels.append((["airport"], cells.quantile_cells(dep, ["airport"], "taxi_s", least=0)))
-    ref = cells.fallback(dep.select("mvt_id", "airport", "runway"), levels, ["ref"], "")
+    levels = (["airport", "runway"], ["airport"])
+    ref = cells.best_level(dep.select("mvt_id", "airport", "runway"), levels, cells.quantile_levels(dep, levels, "taxi_s", least=(10, 0)), ["ref"], "")
     return ref.join(before, "mvt_id").groupBy("airport").agg(F.round(F.avg("ref"), 6).alias("mean_ref"), F.round(F.avg("before"), 6).alias("mean_before"), F.count("*").alias("n"))
