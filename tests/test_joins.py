@@ -140,3 +140,45 @@ def test_a_frame_of_blocks(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(1, 5.0, 8.0, 1, 3.0), (2, 7.0, None, None, None)] and got.columns == ["id", "pred", "a_m", "a_n", "a_m_less_pred"]
     with pytest.raises(KeyError):
         corrector_frame(base, {}, "id", "pred", require=["nope"])
+
+
+def test_a_band_is_matched_without_its_pairs(spark):
+    """Ties, equal times, nulls and borders of pieces: what one by one takes of all pairs; no frame is larger than the points."""
+    import random
+
+    rng, written = random.Random(3), []
+
+    def save(df):
+        written.append(materialise(df))
+        return written[-1]
+
+    points = [(i, rng.choice(["x", "x", "y", None]), None if i % 50 == 49 else rng.randint(0, 1000)) for i in range(900)]
+    left = spark.createDataFrame([p for p in points if p[0] % 3], "l long, k string, t long").repartition(3)
+    right = spark.createDataFrame([p for p in points if p[0] % 3 == 0], "r long, k string, u long")
+    for finish in (0, 1000):
+        written.clear()
+        got = matching.greedy_band(left, right, ["k"], "t", "u", "l", "r", 40, save, finish).collect()
+        pairs = [(abs(a[2] - b[2]), a[0], b[0]) for a in points for b in points if a[0] % 3 and b[0] % 3 == 0 and a[1] and a[1] == b[1] and None not in (a[2], b[2]) and abs(a[2] - b[2]) < 40]
+        want, taken = set(), set()
+        for d, a, b in sorted(pairs):
+            if not taken & {a, b}:
+                want.add((a, b, d))
+                taken |= {a, b}
+        assert {tuple(x) for x in got} == want and len(got) == len(want)
+        assert len(pairs) > 3 * len(points) and max(x.count() for x in written) <= len(points)
+    assert matching.greedy_band(left.limit(0), right, ["k"], "t", "u", "l", "r", 40, save).count() == 0
+
+
+def test_the_matching_query_writes_no_pairs(spark, tmp_path, monkeypatch):
+    """300 departures and 200 arrivals of one callsign within an hour: 60,000 pairs that wait for few."""
+    from pyspark.sql import functions as F
+
+    from ravelin.plans import window_queries
+
+    rows = spark.range(500).select(F.col("id").alias("event_id"), F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id * 7919 % 3600)").alias("ts"), F.lit(0).cast("long").alias("user_id"), F.expr("IF(id % 5 < 3, 'view', 'error')").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    written = []
+    monkeypatch.setattr(window_queries, "materialise", lambda df, *a: written.append(materialise(df, *a)) or written[-1])
+    got = window_queries.greedy_one_to_one(spark, str(tmp_path)).collect()
+    assert len(got) == len({x.mvt_id for x in got}) == len({x.event_no for x in got}) == 200
+    assert max(x.count() for x in written) <= 500
