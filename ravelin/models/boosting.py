@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from ..sources.storage import materialise, release
 
 BINS = 255
+#: Rows that a task works on at once.
+CHUNK = 16_384
 
 
 @dataclass(frozen=True)
@@ -145,22 +147,21 @@ class Tree:
             self.value.append(v)
         return a, a + 1
 
+    def _fold(self, bins: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The entry of `own`, one for each node, of each row's leaf: from the leaves up, a choice between two columns at each split."""
+        held: dict[int, np.ndarray] = {}
+        for node in range(len(self.feature) - 1, -1, -1):  # children come after their parents
+            if self.feature[node] >= 0:
+                a, b = self.children[node]
+                held[node] = np.where(self.left[node][bins[:, self.feature[node]]], held.pop(a, own[a]), held.pop(b, own[b]))
+        return held[0] if held else np.full(len(bins), own[0])
+
     def node_of(self, bins: np.ndarray) -> np.ndarray:
         """The leaf of each row, by arrays."""
-        feature, node = np.array(self.feature), np.zeros(len(bins), dtype=np.int64)
-        if len(feature) == 1:
-            return node
-        none = np.zeros(BINS + 1, dtype=bool)
-        table, children = np.stack([none if x is None else x for x in self.left]), np.array(self.children)
-        rows = np.arange(len(bins))
-        while len(rows := rows[feature[node[rows]] >= 0]):
-            now = node[rows]
-            first = table[now, bins[rows, feature[now]]]
-            node[rows] = children[now, np.where(first, 0, 1)]
-        return node
+        return self._fold(bins, np.arange(len(self.feature)))
 
     def predict(self, bins: np.ndarray) -> np.ndarray:
-        return np.array(self.value)[self.node_of(bins)]
+        return self._fold(bins, np.array(self.value))
 
 
 @dataclass
@@ -263,6 +264,14 @@ def _gradients(loss: str, y: np.ndarray, w: np.ndarray, score: np.ndarray, grid:
     return np.rint(g * grid) / grid, np.rint(h * grid) / grid, own
 
 
+def _flat(column: pa.Array) -> np.ndarray:
+    """A binary column's bytes, all rows' one after the other."""
+    if column.null_count or not pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -309,6 +318,11 @@ def fit(df: DataFrame, p: Params, slots: Sequence[Slot], report: Callable[[int,
     number = F.xxhash64(*feature_columns(p))  # rows are drawn by their features
     rows = df.select(bin_column(binner, p).alias("__bins"), number.alias("__u"), *[F.col(x).cast("double").alias(f"s_{x}") for x in names])
     rows = materialise(rows.withColumn("__score", F.lit(None).cast("binary")), "bins")
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # a table of a few MB would be a task or two in every pass
+        dealt = materialise(rows.repartition(cores), "bins")
+        release(rows)
+        rows = dealt
 
     def used(s: Slot) -> Column:
         y, w = F.col(f"s_{s.target}"), F.col(f"s_{s.weight}") if s.weight else F.lit(1.0)
@@ -331,21 +345,22 @@ def fit(df: DataFrame, p: Params, slots: Sequence[Slot], report: Callable[[int,
     open_, best, since = set(range(len(slots))), [np.inf] * len(slots), [0] * len(slots)
     written = [0] * len(slots)  # trees that the written scores hold
 
-    def scores(part: pa.RecordBatch, bins: np.ndarray, trees: list[list[Tree]]) -> np.ndarray:
+    def held_scores(part: pa.RecordBatch) -> np.ndarray:
         held = part.column("__score")
         if held.null_count:
-            out = np.tile(np.array(base), (part.num_rows, 1))
-        else:
-            out = np.frombuffer(b"".join(held.to_pylist()), "<f8").reshape(part.num_rows, len(slots)).copy()
-        for s, own in enumerate(trees):
-            for tree in own:
-                out[:, s] += tree.predict(bins)
-        return out
+            return np.tile(np.array(base), (part.num_rows, 1))
+        return _flat(held).view("<f8").reshape(part.num_rows, len(slots)).copy()
+
+    def add(score: np.ndarray, bins: np.ndarray, trees: list[Tree]) -> np.ndarray:
+        for tree in trees:
+            score = score + tree.predict(bins)
+        return score
 
     def parts(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield batch, np.frombuffer(b"".join(batch.column("__bins").to_pylist()), np.uint8).reshape(batch.num_rows, features)
+            for i in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(i, CHUNK)
+                yield part, np.asfortranarray(_flat(part.column("__bins")).reshape(part.num_rows, features))
 
     def values(batch: pa.RecordBatch, name: str | None, default: float) -> np.ndarray:
         return np.full(batch.num_rows, default) if name is None else batch.column(f"s_{name}").to_numpy(zero_copy_only=False).astype(np.float64)
@@ -358,26 +373,31 @@ def fit(df: DataFrame, p: Params, slots: Sequence[Slot], report: Callable[[int,
             held = {s: np.zeros((3, len(nodes) * features * width)) for s, (_, nodes) in asked.items()}
             losses = {s: np.zeros(4) for s in asked}
             for batch, bins in parts(batches):
-                score = scores(batch, bins, trees)
+                score, columns = held_scores(batch), {}
+                for x in {x for s in asked for x in (slots[s].target, slots[s].weight, slots[s].valid)}:
+                    columns[x] = None if x is None else values(batch, x, 0.0)
                 for s, (tree, nodes) in asked.items():
                     slot = slots[s]
-                    y, w, valid = values(batch, slot.target, 0.0), values(batch, slot.weight, 1.0), values(batch, slot.valid, 0.0)
+                    y, w = columns[slot.target], np.ones(batch.num_rows) if slot.weight is None else columns[slot.weight]
                     with np.errstate(invalid="ignore"):
-                        ok, test = ~np.isnan(y) & (w > 0), valid > 0
-                    y = np.where(ok, y, 0.0)
-                    g, h, own = _gradients(slot.loss, y, np.where(ok, w, 0.0), score[:, s], grids[s])
-                    losses[s] += [own[ok & ~test].sum(), w[ok & ~test].sum(), own[ok & test].sum(), w[ok & test].sum()]
-                    ok &= ~test
+                        own = np.flatnonzero(~np.isnan(y) & (w > 0))  # an airport's slot looks at its rows alone
+                        test = np.zeros(len(own), dtype=bool) if slot.valid is None else columns[slot.valid][own] > 0
+                    mine = bins if len(own) == len(y) else np.asfortranarray(bins[own])
+                    g, h, loss = _gradients(slot.loss, y[own], w[own], add(score[own, s], mine, trees[s]), grids[s])
+                    losses[s] += [loss[~test].sum(), w[own][~test].sum(), loss[test].sum(), w[own][test].sum()]
+                    ok = ~test
                     if p.row_share < 1:
-                        draw = _mix(batch.column("__u").to_numpy().view(np.uint64) ^ _mix(np.array([slot.seed * 1_000_003 + round_], dtype=np.uint64)))
+                        draw = _mix(batch.column("__u").to_numpy().view(np.uint64)[own] ^ _mix(np.array([slot.seed * 1_000_003 + round_], dtype=np.uint64)))
                         ok &= draw < np.uint64(int(p.row_share * (2**64 - 1)))
                     place = np.full(len(tree.feature), -1)
                     place[nodes] = np.arange(len(nodes))
-                    at = place[tree.node_of(bins)]
+                    at = tree._fold(mine, place)
                     some = np.flatnonzero(ok & (at >= 0))
-                    cell = ((at[some, None] * features + np.arange(features)) * width + bins[some]).ravel()
-                    for k, x in enumerate((g, h, None)):
-                        held[s][k] += np.bincount(cell, None if x is None else np.repeat(x[some], features), minlength=held[s].shape[1])
+                    g, h, first = g[some], h[some], at[some] * (features * width)
+                    for f in range(features):
+                        cell = first + (f * width + mine[some, f].astype(np.int64))
+                        for k, x in enumerate((g, h, None)):
+                            held[s][k] += np.bincount(cell, x, minlength=held[s].shape[1])
             for s, sums in held.items():
                 some = np.flatnonzero(sums[2])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), s)), pa.array(some), *[pa.array(sums[k][some]) for k in range(3)]], names=["slot", "cell", "g", "h", "n"])
@@ -441,7 +461,10 @@ def fit(df: DataFrame, p: Params, slots: Sequence[Slot], report: Callable[[int,
 
             def write(batches, pending=pending):
                 for batch, bins in parts(batches):
-                    made = pa.array([x.tobytes() for x in scores(batch, bins, pending)], pa.binary())
+                    now = held_scores(batch)
+                    for s, own in enumerate(pending):
+                        now[:, s] = add(now[:, s], bins, own)
+                    made = pa.array([x.tobytes() for x in now], pa.binary())
                     yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=batch.schema.names)
 
             after = materialise(rows.mapInArrow(write, rows.schema), "bins")

@@ -147,3 +147,35 @@ def test_nothing_to_learn_from(table):
     assert one.filter("p = 5").count() == 2
     with pytest.raises(ValueError):
         boosting.fit(table, Params(numeric=("a",), bins=300), [Slot("y")])
+
+
+def test_every_pass_is_spread_and_a_slot_looks_at_its_own_rows(spark, table, monkeypatch):
+    """A table of one partition is dealt to all cores before the passes, and gradients are made of rows that a slot learns from."""
+    dealt = []
+    monkeypatch.setattr(boosting, "materialise", lambda df, *a: dealt.append(materialise(df, *a)) or dealt[-1])
+    monkeypatch.setattr(boosting, "release", lambda df: None)
+    one = table.withColumn("own", (F.col("block") == 1).cast("double")).coalesce(1)
+    slots = [Slot("y"), Slot("y", "own")]
+    models = boosting.fit(one, P, slots)
+    assert dealt[-1].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    alone = boosting.fit(one.filter("block = 1"), P, [Slot("y", "own")], binner=models.binner)
+    got = table.withColumns({"a1": models.column([1])[0], "a2": alone.column()[0]})
+    assert got.filter("abs(a1 - a2) > 1e-9").count() == 0
+
+
+def test_trees_by_columns_are_those_by_rows():
+    rng = np.random.default_rng(4)
+    tree = boosting.Tree()
+    for node in (0, 1, 2, 4, 5, 8):
+        left = rng.random(boosting.BINS + 1) < 0.5
+        tree.split(node, int(rng.integers(3)), left, (float(rng.random()), float(rng.random())))
+    bins = rng.integers(0, 60, (500, 3)).astype(np.uint8)
+    want = []
+    for row in bins:
+        node = 0
+        while tree.feature[node] >= 0:
+            node = tree.children[node][0 if tree.left[node][row[tree.feature[node]]] else 1]
+        want.append(node)
+    assert tree.node_of(bins).tolist() == want
+    assert tree.predict(bins).tolist() == [tree.value[n] for n in want]
+    assert boosting.Tree().node_of(bins).tolist() == [0] * 500
