@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.frame import corrector_frame
-from ..sources.storage import materialise
+from ..sources.storage import settled
 from . import feature_queries, join_queries, model_queries, record_queries, stat_queries, window_queries  # noqa: F401
 from .catalogue import QUERIES, SQL, query
 
@@ -43,9 +43,11 @@ def corrector_frame_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A corrector's input with all its blocks."""
     blocks = {}
     for name, own in BLOCKS.items():
-        parts = [QUERIES[q](spark, sf_dir).select("mvt_id", *columns) for q, columns in own]
+        # Each query's columns are written before the next query begins, so that disk holds one query's shuffles at a time.
+        parts = [settled(spark, lambda q=q, columns=columns: QUERIES[q](spark, sf_dir).select("mvt_id", *columns), "block") for q, columns in own]
         for p in parts[1:]:
             parts[0] = parts[0].join(p, "mvt_id", "left")
         blocks[name] = parts[0]
-    got = corrector_frame(QUERIES["corrector_frame"](spark, sf_dir), blocks, "mvt_id", "pred", AGAINST, require=["sup_off_rwy", "map_map_dist"], save=lambda d: materialise(d, "block"))
+    base = settled(spark, lambda: QUERIES["corrector_frame"](spark, sf_dir), "base")
+    got = corrector_frame(base, blocks, "mvt_id", "pred", AGAINST, require=["sup_off_rwy", "map_map_dist"])
     return got.withColumns({f"{c}_less_pred": F.round(f"{c}_less_pred", 4) for c in AGAINST})

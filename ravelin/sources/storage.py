@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +63,19 @@ def release(df: DataFrame) -> None:
     _written[:] = [x for x in _written if x[1] != df._ravelin_path]
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str = "frame") -> DataFrame:
+    """The frame that make() builds, written, without what stands behind it: frames that were written on the way are deleted, and
+    shuffle files go, which Spark keeps until the driver happens to collect the plans that refer to them."""
+    before = {p for _, p in _written}
+    out = materialise(make(), name)
+    for session, path in [x for x in _written if x[1] not in before and x[1] != out._ravelin_path]:
+        remove(session, path.rsplit("/", 1)[0])
+        _written.remove((session, path))
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Deletes, at its end, what was written to the shared folder inside: for a caller that writes a query's result and then needs

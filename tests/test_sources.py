@@ -296,3 +296,20 @@ def test_auto_features(spark):
     assert sorted(r.x2 for r in dealt.collect()) == sorted(float(i) for i in range(20))
     scores = fe.correlation_screen(df, specs, "x")
     assert fe.survivors(scores, 0.1, None, 1, 3).count() == 3
+
+
+def test_a_settled_frame_leaves_nothing_behind_it(spark):
+    from pyspark.sql import functions as F
+
+    from ravelin.sources import storage
+
+    def make():
+        inner = storage.materialise(spark.range(100), "inner")
+        return inner.groupBy((F.col("id") % 7).alias("k")).count()
+
+    before = set(storage._written)
+    got = storage.settled(spark, make, "outer")
+    assert {r["k"]: r["count"] for r in got.collect()} == {k: 15 if k < 2 else 14 for k in range(7)}
+    new = set(storage._written) - before
+    assert [p for _, p in new] == [got._ravelin_path]
+    storage.release(got)
