@@ -46,14 +46,17 @@ def blocks_of(df: DataFrame, block: str) -> list:
     return [r[0] for r in df.select(block).distinct().orderBy(block).collect()]  # a dozen
 
 
-def out_of_fold(df: DataFrame, block: str, c: Config, out: str, save: Callable[[DataFrame], DataFrame], blind: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
-    """Each block's rows, as blind() shows them, predicted by a model of all other blocks. save() keeps the result, since
-    as many models stand behind it as there are blocks."""
-
+def _folds(df: DataFrame, block: str, c: Config, out: str, save: Callable[[DataFrame], DataFrame], blind: Callable[[DataFrame], DataFrame]) -> list[Callable[[], DataFrame]]:
     def one(b) -> Callable[[], DataFrame]:
         return lambda: save(fit(df.filter(F.col(block) != b), c)(blind(df.filter(F.col(block) == b)), out))
 
-    return _union(side_by_side(df.sparkSession, [one(b) for b in blocks_of(df, block)]))
+    return [one(b) for b in blocks_of(df, block)]
+
+
+def out_of_fold(df: DataFrame, block: str, c: Config, out: str, save: Callable[[DataFrame], DataFrame], blind: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """Each block's rows, as blind() shows them, predicted by a model of all other blocks. save() keeps the result, since
+    as many models stand behind it as there are blocks."""
+    return _union(side_by_side(df.sparkSession, _folds(df, block, c, out, save, blind)))
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -90,9 +93,9 @@ def out_of_fold_correction(df: DataFrame, day: str, base: str, c: Config, k: int
 
 def simulate(df: DataFrame, holdout: DataFrame, block: str, c: Config, corrector: Config, save) -> DataFrame:
     """The whole: out-of-fold base, corrector on it, base on the holdout, corrected holdout (columns base and pred)."""
-    oof = out_of_fold(df, block, c, "base", save)
-    model = correct(oof, "base", corrector)
-    return corrected(model, fit(df, c)(holdout, "base"), "base", "pred")
+    *parts, whole = side_by_side(df.sparkSession, [*_folds(df, block, c, "base", save, lambda d: d), lambda: fit(df, c)])
+    model = correct(_union(parts), "base", corrector)
+    return corrected(model, whole(holdout, "base"), "base", "pred")
 
 
 def body(df: DataFrame, pseudo: str, base: str, rule: str, cut: float) -> DataFrame:

@@ -205,3 +205,13 @@ def test_out_of_fold_correction_does_not_see_its_fold(rows):
     two = crossfit.out_of_fold_correction(moved, "day", "base", replace(CFG, rounds=2, depth=2), 2, "pred", materialise)
     both = one.filter(F.col("day").isin(first)).select("id", "pred").join(two.select("id", F.col("pred").alias("p2")), "id")
     assert one.count() == 600 and both.count() > 0 and both.filter("abs(pred - p2) > 1e-9").count() == 0
+
+
+def test_the_whole_fit_runs_beside_the_folds(rows, monkeypatch):
+    """The base on all rows waits for no fold, and the results are those of one fit after another."""
+    few, asked, run = replace(CFG, rounds=1, depth=1), [], crossfit.side_by_side
+    monkeypatch.setattr(crossfit, "side_by_side", lambda spark, work, *a: asked.append(len(work)) or run(spark, work, *a))
+    got = crossfit.simulate(rows.filter("block < 2"), rows.filter("block >= 2"), "block", few, few, materialise).select("id", "base", "pred")
+    want = base.fit(rows.filter("block < 2"), few)(rows.filter("block >= 2"), "b").select("id", "b")
+    assert asked == [3]
+    assert got.join(want, "id").filter("abs(base - b) < 1e-9 AND pred IS NOT NULL").count() == rows.filter("block >= 2").count()
