@@ -43,6 +43,21 @@ def test_band_join_is_strict(spark):
     assert sorted(r.r_no for r in asof.band_join(left, right, ["k"], "t", "s", 300, ["no"]).collect()) == [2, 3]
 
 
+def test_band_join_lays_pairs_of_equal_times_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(asof, "PIECE", 100, raising=False)
+    rng = random.Random(3)
+    left, right = [(i, "a", rng.randrange(12) * 7 * 10**6 + 3) for i in range(400)], [("a", rng.randrange(12) * 7 * 10**6, i) for i in range(400)]
+    left, right = left + [(400, None, 3), (401, "a", None)], right + [(None, 3, 400), ("a", None, 401)]
+    want = sorted((i, no, abs(t - s)) for i, k, t in left for c, s, no in right if k and k == c and None not in (t, s) and abs(t - s) < 30 * 10**6)
+    got = asof.band_join(spark.createDataFrame(left, "id long, k string, t long"), spark.createDataFrame(right, "k string, s long, no long"), ["k"], "t", "s", 30 * 10**6, ["no"])
+    assert got.columns == ["k", "id", "t", "r_no", "r_s"]
+    got.selectExpr("id", "r_no", "abs(t - r_s) AS apart").write.parquet(f"{tmp_path}/pairs")
+    rows = [tuple(r) for f in sorted(tmp_path.glob("pairs/*.parquet")) for r in pd.read_parquet(f).itertuples(index=False)]
+    assert sorted(rows) == want
+    assert sum(a[2] != b[2] for a, b in zip(rows, rows[1:])) < len(rows) / 100
+    assert sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet")) < len(rows) / 2
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_greedy_matching_is_sequential_greedy(spark, seed):
     rng = random.Random(seed)
