@@ -58,6 +58,22 @@ def test_band_join_lays_pairs_of_equal_times_together(spark, tmp_path, monkeypat
     assert sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet")) < len(rows) / 2
 
 
+def test_band_join_deals_rows_out_by_their_number(spark, tmp_path, monkeypatch):
+    """A file of many pairs sees few ids, however few the shuffle partitions; times apart or equal, on both sides of zero."""
+    monkeypatch.setattr(asof, "SHARE", 200, raising=False)
+    monkeypatch.setattr(asof, "PIECE", 3)
+    monkeypatch.setattr(asof, "LEFT", 5, raising=False)
+    rng = random.Random(4)
+    left, right = ([(i, k, rng.randrange(-600, 600) * step) for i in range(1500) for k, step in [rng.choice([("a", 1), ("b", 3), ("c", 7)])]] for _ in range(2))
+    want = sorted((i, t, no, s) for i, k, t in left for no, c, s in right if k == c and abs(t - s) < 25)
+    got = asof.band_join(spark.createDataFrame(left, "id long, k string, t long"), spark.createDataFrame(right, "no long, k string, s long"), ["k"], "t", "s", 25, ["no", "s"])
+    assert got.columns == ["k", "id", "t", "r_no", "r_s"]
+    got.write.parquet(f"{tmp_path}/pairs")
+    files = [f for f in (pd.read_parquet(f) for f in tmp_path.glob("pairs/*.parquet")) if len(f)]
+    assert sorted(tuple(r) for f in files for r in f[["id", "t", "r_no", "r_s"]].itertuples(index=False)) == want
+    assert len(files) > 8 and max(f["id"].nunique() for f in files) < 375
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_greedy_matching_is_sequential_greedy(spark, seed):
     rng = random.Random(seed)
